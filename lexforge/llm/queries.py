@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import exact_dedup, mixing, quality_rules
+from . import exact_dedup, jaccard_join, mixing, quality_rules
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,12 +19,17 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
 def queries():
-    return {"op3_mix_sources": op3_mix_sources, "op5_quality_rules": op5_quality_rules, "op6_exact_dedup": op6_exact_dedup}
+    return {"op2_jaccard_join": op2_jaccard_join, "op3_mix_sources": op3_mix_sources, "op5_quality_rules": op5_quality_rules, "op6_exact_dedup": op6_exact_dedup}
 
 
 def oracle_sql():
