@@ -288,14 +288,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, text: st
 
     links = Links(reps, width, percent)
     star = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
-    poor = lists.filter("long").join(used.filter("spent").select("doc"), "doc", "left_semi")
-    to_pivots = poor.select(F.explode("pivots").alias("a"), F.col("doc").alias("b")).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    long = lists.filter("long").join(used.select("doc", "spent"), "doc")
+    to_pivots = long.filter("spent").select(F.explode("pivots").alias("a"), F.col("doc").alias("b")).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     nearest = to_pivots.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("shared")).alias("s"), F.col("a").alias("a")))), 1, PIVOTS).alias("p")).select(F.explode("p.a").alias("a"), "b")
     first = star.unionByName(nearest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     measured = links.add(materialize(spark, first, "jj-first"))
     labels = links.labels()
     rest = _apart(pairs.select("a", "b"), labels).join(measured.select("a", "b"), ["a", "b"], "left_anti")
-    rest = rest.unionByName(_poor_rest(poor, measured, labels)).distinct()
+    rest = rest.unionByName(_spent_rest(long, measured, labels)).distinct()
     rest = materialize(spark, rest, "jj-rest")
     if rest.limit(1).count():
         links.add(rest)
@@ -309,18 +309,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, text: st
     return found.select("doc_id", "n_shingles", "class_id", "component_id").unionByName(none)
 
 
-def _poor_rest(poor: DataFrame, measured: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of spent documents in a long list that lie in different components and that no pivot rules out.
+def _spent_rest(long: DataFrame, measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs in a long list of which one document at least is spent, that lie in different components and that no
+    pivot rules out.
 
-    In each list one component is the home, the largest label count first; documents outside it are few, and meet all
-    others of the list. With Jaccard distance d, d(x, y) >= |d(x, p) - d(y, p)| for a shared pivot p.
+    In each list the component with most documents is the home. A spent document outside it meets all others of the
+    list, one inside meets those outside; so a group that is one component already makes no pairs. With Jaccard
+    distance d, d(x, y) >= |d(x, p) - d(y, p)| for a shared pivot p.
     """
-    mine = poor.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("sig", "doc", "n", F.coalesce("component", "doc").alias("c"))
+    mine = long.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("sig", "doc", "n", "spent", F.coalesce("component", "doc").alias("c"))
     counts = mine.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("k"))
     home = counts.groupBy("sig").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("home"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    open_lists = mine.join(home, "sig")
-    away = open_lists.filter("c <> home").select("sig", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    pairs = open_lists.join(away, "sig").filter("c <> cx AND 4 * least(n, nx) >= 3 * greatest(n, nx)")
+    spent_lists = mine.filter("spent").select("sig").distinct()
+    open_lists = mine.join(home, "sig").join(spent_lists, "sig", "left_semi")
+    other = open_lists.select("sig", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), "spent", "home")
+    outside = open_lists.filter("c <> home").drop("home", "spent")
+    fits = "c <> cx AND 4 * least(n, nx) >= 3 * greatest(n, nx)"
+    pairs = open_lists.drop("home", "spent").join(other.filter("spent AND cx <> home").drop("spent", "home"), "sig").filter(fits)
+    pairs = pairs.unionByName(outside.join(other.filter("spent AND cx = home").drop("spent", "home"), "sig").filter(fits))
     pairs = pairs.select(F.least("doc", "x").alias("a"), F.greatest("doc", "x").alias("b")).distinct().join(measured.select("a", "b"), ["a", "b"], "left_anti")
     d = measured.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
     sides = d.select(F.col("a").alias("p"), F.col("b").alias("x"), "d").unionByName(d.select(F.col("b").alias("p"), F.col("a").alias("x"), "d"))

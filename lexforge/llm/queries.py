@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import exact_dedup, jaccard_join, mixing, quality_rules
+from . import exact_dedup, jaccard_join, mixing, quality_rules, sentencepiece_np
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +28,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = "/opt/tokenizers/piece_bpe_32k.model") -> DataFrame:
+    return sentencepiece_np.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path)
+
+
 def queries():
-    return {"op2_jaccard_join": op2_jaccard_join, "op3_mix_sources": op3_mix_sources, "op5_quality_rules": op5_quality_rules, "op6_exact_dedup": op6_exact_dedup}
+    return {"op2_jaccard_join": op2_jaccard_join, "op3_mix_sources": op3_mix_sources, "op5_quality_rules": op5_quality_rules, "op6_exact_dedup": op6_exact_dedup, "op9_sentencepiece": op9_sentencepiece}
 
 
 def oracle_sql():
