@@ -40,6 +40,15 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _once(value: Column) -> Column:
+    """value, behind a condition that always holds but that the optimizer takes for random.
+
+    A later filter on the verdict would else be pushed below the projection that makes the arrays, with their
+    expressions written out inside each lambda, where they'd be evaluated again for every element.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def _repeat_words(ws: Column) -> Column:
     """Words inside 3-word windows that the text holds twice or more.
 
@@ -125,8 +134,8 @@ def annotate(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("_m", "_w", "_l", "_f", "quality")]
     lines = F.filter(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return (
-        docs.select(*own, words(F.col(f"`{text}`")).alias("_w"), lines.alias("_l"))
-        .select(*own, F.struct(*(v.alias(k) for k, v in m.items())).alias("_m"))
+        docs.select(*own, _once(words(F.col(f"`{text}`"))).alias("_w"), _once(lines).alias("_l"))
+        .select(*own, _once(F.struct(*(v.alias(k) for k, v in m.items()))).alias("_m"))
         .select(*own, "_m", failed_rules(rules).alias("_f"))
         .select(*own, F.struct("_m.*", F.col("_f").alias("failed_rules"), base.alias("base_failed"), (~base & (F.size("_f") == 0)).alias("kept")).alias("quality"))
     )
