@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import exact_dedup, jaccard_join, mixing, quality_rules, sentencepiece_np
+from . import exact_dedup, jaccard_join, language_id, mixing, quality_rules, sentencepiece_np, toxicity
+from .text import fold_of
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,21 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold_of(F.col("doc_id"), 3) == 1
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "toxic"))
+    rows = toxicity.score(docs, model)
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 4) == 2
+    model = language_id.train(docs.filter(~held_out).select("doc_id", "text", "lang"))
+    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_shingles", "component_id", "class_id")
@@ -33,7 +49,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = "/opt/
 
 
 def queries():
-    return {"op2_jaccard_join": op2_jaccard_join, "op3_mix_sources": op3_mix_sources, "op5_quality_rules": op5_quality_rules, "op6_exact_dedup": op6_exact_dedup, "op9_sentencepiece": op9_sentencepiece}
+    return {"op1_toxicity": op1_toxicity, "op2_jaccard_join": op2_jaccard_join, "op3_mix_sources": op3_mix_sources, "op5_quality_rules": op5_quality_rules, "op6_exact_dedup": op6_exact_dedup, "op8_language_id": op8_language_id, "op9_sentencepiece": op9_sentencepiece}
 
 
 def oracle_sql():
