@@ -9,12 +9,14 @@ non-empty ones are taken in the order of segments until there are H + 1 and a re
 document that stops first has H + 1 + reserve signatures before that place, of which at most H are spoilt: so the
 pair shares reserve + 1 signatures at least, and pairs that share fewer are dropped before verification. A signature
 in over `LONG` documents is skipped while the reserve covers it, with the floor lowered by one. Documents whose reserve
-is used up (large groups of near copies, or little but common passages) meet in the long lists: each with the first
-`PIVOTS` of a list, and then, with the bound that the triangle inequality gives from shared pivots, with every other
-document of the list that isn't in its component yet. Documents whose band leaves them too few non-empty segments
-(seldom) index single shingles in an extra space, where one deletion neighbourhood up from a single is the empty set.
-A one-deletion neighbourhood buys two units for 1 + |segment| signatures; with segments of two or three shingles one
-unit is cheaper from exact subsets, so the allocation takes them only where they cost less (see `unit_costs`).
+is used up that way (short texts around a common passage, large groups of near copies) are allotted the smallest
+segments there are, single shingles, all of them, in an index of their own: two thirds are reserve there. Where even
+that is used up they meet in the long lists: each with up to `PIVOTS` documents that lists begin with, and then, with
+the bound that the triangle inequality gives from shared pivots, with the documents outside its component.
+The document of a pair that stops first counts; so a document is used up already where a smaller partner would be.
+Documents whose band leaves them too few non-empty segments (seldom) index single shingles in an extra space.
+A one-deletion neighbourhood buys two units of difference for 1 + |segment| signatures (`unit_costs`); at two to three
+shingles a segment an exact subset is the cheaper unit, so the cost-based allocation takes none.
 
 Candidates are verified on whole sets of 64-bit shingle hashes: 100 * common >= 75 * union, in integers.
 
@@ -37,7 +39,7 @@ from .joins import skew_left_join, without_ids
 
 #: Bands grow by (4/3)^2, so a set within 3/4 of another lies in its band or the next.
 LONG, PIVOTS = 32, 4
-SMALL_BAND = 48
+SMALL_BAND = 300
 
 
 def band_edges(limit: int = 1 << 40) -> np.ndarray:
@@ -48,8 +50,9 @@ def band_edges(limit: int = 1 << 40) -> np.ndarray:
 
 
 def segments_of(upper: int) -> int:
-    """Segments of the band that ends before `upper`: half a segment a shingle at the top; single shingles in small bands."""
-    return 1 << 32 if upper <= SMALL_BAND else upper // 2 + 8
+    """Segments of the band that ends before `upper`: 5/8 of a segment a shingle at the top; single shingles in small
+    bands. So need + reserve non-empty segments are there but for odds of about 1e-12 a document."""
+    return 1 << 32 if upper <= SMALL_BAND else upper * 5 // 8
 
 
 def reserve(need: int) -> int:
@@ -134,6 +137,24 @@ def _signature_rows(width: int):
     return run
 
 
+def _single_rows(width: int):
+    """Every shingle of a set as a segment of its own; `spare` is negated (-1 - spare) beyond the first H + 1."""
+
+    def run(batches):
+        for b in batches:
+            for at, data, off in chunks(b.column(1)):
+                s, bounds = shingle_sets(data, off, width)
+                n = np.diff(bounds)
+                ids = b.column(0).slice(at, len(n)).cast(pa.int64()).to_numpy(zero_copy_only=False)
+                need = n // 3 + 1
+                place = np.arange(len(s)) - np.repeat(bounds[:-1], n)
+                spare = np.repeat(n - need, n)
+                spare = np.where(place < np.repeat(need, n), spare, -1 - spare)
+                yield pa.record_batch([pa.array(s.view(np.int64)), pa.array(np.repeat(ids, n)), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(spare.astype(np.int32))], names=["sig", "doc", "n", "spare"])
+
+    return run
+
+
 def _set_rows(width: int):
     def run(batches):
         for b in batches:
@@ -254,6 +275,51 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
+SIGNATURES = "sig long, doc long, n int, spare int"
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """ids (written before) for a semi-join: broadcast only after counting them."""
+    return F.broadcast(ids) if ids.count() <= 1_000_000 else ids.hint("merge")
+
+
+def _gather(sigs: DataFrame, name: str) -> DataFrame:
+    """Lists with two documents or more, written once."""
+    spark = sigs.sparkSession
+    lists = sigs.repartition(shuffle_partitions(spark), "sig").sortWithinPartitions("sig", "doc")
+    return materialize(spark, lists.mapInArrow(_lists, f"{SIGNATURES}, long boolean, pivots array<long>"), name)
+
+
+def _partner_reserve() -> F.Column:
+    """The reserve that a set within 3/4 of n has at least; it may be the one whose reserve counts for the pair."""
+    least = F.ceil(F.col("n") * 3 / 4)
+    return F.least(F.greatest(F.lit(4), F.floor((F.floor(least / 3) + 1) / 8)), least - F.floor(least / 3) - 1)
+
+
+def _reserves(lists: DataFrame, alone: bool) -> DataFrame:
+    """For each document: its reserve, how many signatures a true pair shares in short lists at least, and whether the
+    long lists use the reserve up: its own, or in the first index (alone: False) that of a smaller partner.
+
+    Should a document have fewer non-empty segments than its reserve takes, every document with a long list is spent.
+    """
+    left = F.when(F.col("spare") < 0, -1 - F.col("spare")).otherwise(F.col("spare"))
+    used = lists.groupBy("doc").agg(F.min(left).alias("spare"), F.max("n").alias("n"), F.count_if("long").alias("long"))
+    used = materialize(lists.sparkSession, used, "jj-reserves")
+    bound = F.col("spare")
+    if not alone:
+        whole = used.filter(F.col("spare") < _partner_reserve()).limit(1).count() == 0
+        bound = F.least("spare", _partner_reserve()) if whole else F.lit(0)
+    return used.select("doc", "spare", F.greatest(F.lit(1), F.col("spare") + 1 - F.col("long")).alias("floor"), (F.col("long") > bound).alias("spent"))
+
+
+def _listed_pairs(lists: DataFrame, used: DataFrame) -> DataFrame:
+    """Pairs of the short lists that share as many signatures as a true pair has to."""
+    short = lists.filter(~F.col("long")).groupBy("sig").agg(F.collect_list(F.struct("doc", "n")).alias("docs"))
+    pairs = short.select("docs").mapInArrow(_short_pairs, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    ua, ub = used.select(F.col("doc").alias("a"), F.col("floor").alias("fa")), used.select(F.col("doc").alias("b"), F.col("floor").alias("fb"))
+    return pairs.join(ua, "a").join(ub, "b").filter(F.col("shared") >= F.least("fa", "fb")).select("a", "b", "shared")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """A row for each doc_id: n_shingles, class_id (smallest doc_id with the same set), component_id.
 
@@ -273,29 +339,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, text: st
     others = member.filter("doc_id <> class_id").select("doc_id").distinct()
     reps = without_ids(rows, materialize(spark, others, "jj-others"))
 
-    sigs = reps.mapInArrow(_signature_rows(width), "sig long, doc long, n int, spare int")
-    lists = sigs.repartition(shuffle_partitions(spark), "sig").sortWithinPartitions("sig", "doc")
-    lists = materialize(spark, lists.mapInArrow(_lists, "sig long, doc long, n int, spare int, long boolean, pivots array<long>"), "jj-lists")
-
-    # How many shared signatures a true pair has at least, and which documents' reserve the long lists use up.
-    used = lists.groupBy("doc").agg(F.min("spare").alias("spare"), F.count_if("long").alias("long"))
-    used = materialize(spark, used.select("doc", F.greatest(F.lit(1), F.col("spare") + 1 - F.col("long")).alias("floor"), (F.col("long") > F.col("spare")).alias("spent")), "jj-used")
-    short = lists.filter(~F.col("long")).groupBy("sig").agg(F.collect_list(F.struct("doc", "n")).alias("docs"))
-    pairs = short.select("docs").mapInArrow(_short_pairs, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    ua, ub = used.select(F.col("doc").alias("a"), F.col("floor").alias("fa")), used.select(F.col("doc").alias("b"), F.col("floor").alias("fb"))
-    pairs = pairs.join(ua, "a").join(ub, "b").filter(F.col("shared") >= F.least("fa", "fb")).select("a", "b", "shared")
+    lists = _gather(reps.mapInArrow(_signature_rows(width), SIGNATURES), "jj-lists")
+    used = _reserves(lists, False)
+    pairs = _listed_pairs(lists, used)
+    # Documents whose reserve the long lists use up: all of their shingles, so two thirds of them are reserve.
+    spent = materialize(spark, used.filter("spent").select(F.col("doc").alias("_spent")), "jj-spent")
+    again = reps.join(_small(spent), F.col("doc_id") == F.col("_spent"), "left_semi")
+    singles = _gather(again.mapInArrow(_single_rows(width), SIGNATURES), "jj-singles")
+    used = _reserves(singles, True)
+    pairs = pairs.unionByName(_listed_pairs(singles, used)).groupBy("a", "b").agg(F.max("shared").alias("shared"))
     pairs = materialize(spark, pairs, "jj-pairs")
 
     links = Links(reps, width, percent)
     star = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
-    long = lists.filter("long").join(used.select("doc", "spent"), "doc")
-    to_pivots = long.filter("spent").select(F.explode("pivots").alias("a"), F.col("doc").alias("b")).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    long = singles.filter("long").join(used.filter("spent").select("doc", F.col("spare").alias("reserve")), "doc")
+    to_pivots = long.select(F.explode("pivots").alias("a"), F.col("doc").alias("b"), "reserve").filter("a <> b")
+    to_pivots = to_pivots.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("reserve").alias("reserve")).filter("2 * shared > reserve")
     nearest = to_pivots.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("shared")).alias("s"), F.col("a").alias("a")))), 1, PIVOTS).alias("p")).select(F.explode("p.a").alias("a"), "b")
     first = star.unionByName(nearest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     measured = links.add(materialize(spark, first, "jj-first"))
     labels = links.labels()
     rest = _apart(pairs.select("a", "b"), labels).join(measured.select("a", "b"), ["a", "b"], "left_anti")
-    rest = rest.unionByName(_spent_rest(long, measured, labels)).distinct()
+    rest = rest.unionByName(_spent_rest(long.filter("spare >= 0"), measured, labels)).distinct()
     rest = materialize(spark, rest, "jj-rest")
     if rest.limit(1).count():
         links.add(rest)
@@ -310,23 +375,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, text: st
 
 
 def _spent_rest(long: DataFrame, measured: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs in a long list of which one document at least is spent, that lie in different components and that no
-    pivot rules out.
+    """Pairs of spent documents in a long list that lie in different components and that no pivot rules out.
 
-    In each list the component with most documents is the home. A spent document outside it meets all others of the
-    list, one inside meets those outside; so a group that is one component already makes no pairs. With Jaccard
-    distance d, d(x, y) >= |d(x, p) - d(y, p)| for a shared pivot p.
+    In each list the component with most documents is the home. A document outside it meets all others of the list, so
+    a group that is one component already makes no pairs. With Jaccard distance d, d(x, y) >= |d(x, p) - d(y, p)| for
+    a shared pivot p.
     """
-    mine = long.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("sig", "doc", "n", "spent", F.coalesce("component", "doc").alias("c"))
+    mine = long.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("sig", "doc", "n", F.coalesce("component", "doc").alias("c"))
     counts = mine.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("k"))
     home = counts.groupBy("sig").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("home"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    spent_lists = mine.filter("spent").select("sig").distinct()
-    open_lists = mine.join(home, "sig").join(spent_lists, "sig", "left_semi")
-    other = open_lists.select("sig", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), "spent", "home")
-    outside = open_lists.filter("c <> home").drop("home", "spent")
-    fits = "c <> cx AND 4 * least(n, nx) >= 3 * greatest(n, nx)"
-    pairs = open_lists.drop("home", "spent").join(other.filter("spent AND cx <> home").drop("spent", "home"), "sig").filter(fits)
-    pairs = pairs.unionByName(outside.join(other.filter("spent AND cx = home").drop("spent", "home"), "sig").filter(fits))
+    open_lists = mine.join(home, "sig")
+    away = open_lists.filter("c <> home").select("sig", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
+    pairs = open_lists.drop("home").join(away, "sig").filter("c <> cx AND 4 * least(n, nx) >= 3 * greatest(n, nx)")
     pairs = pairs.select(F.least("doc", "x").alias("a"), F.greatest("doc", "x").alias("b")).distinct().join(measured.select("a", "b"), ["a", "b"], "left_anti")
     d = measured.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
     sides = d.select(F.col("a").alias("p"), F.col("b").alias("x"), "d").unionByName(d.select(F.col("b").alias("p"), F.col("a").alias("x"), "d"))
