@@ -17,9 +17,7 @@ aren't read. The model's size is bounded by the sample, so it is broadcast.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +27,7 @@ from pyspark.sql import functions as F
 from .sampling import sample_ids, sample_texts
 
 WORD = re.compile(r"[^\W\d_]+")
-RARE = 3
+RARE = 5
 #: Log ratio above which an expression counts as strong evidence by itself.
 STRONG = 1.5
 DISCOUNT = 0.75
@@ -47,51 +45,43 @@ class KneserNey:
 
     def __init__(self, toxic: list[list[str]], ordinary: list[list[str]]):
         self.vocab: dict[str, int] = {}
-        uni, bi = [Counter(), Counter()], [Counter(), Counter()]
-        for c, texts in enumerate((toxic, ordinary)):
+        mask = (1 << 32) - 1
+        singles, pairs = [], []
+        for texts in (toxic, ordinary):
+            one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for words in texts:
-                ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words]
-                uni[c].update(set(ids))
-                bi[c].update(set(zip([0, *ids], ids, strict=False)))
+                ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], dtype=np.int64)
+                one.append(np.unique(ids))
+                two.append(np.unique((np.concatenate([[0], ids[:-1]]) << 32 | ids) if len(ids) else ids))
+            singles.append(np.concatenate(one))
+            pairs.append(np.unique(np.concatenate(two), return_counts=True))
         n = self.n = len(self.vocab) + 1  # 0: outside the vocabulary, and the start
-        pooled = uni[0] + uni[1]
-        follows: dict[int, set] = {}
-        for c in (0, 1):
-            for v, w in bi[c]:
-                follows.setdefault(w, set()).add(v)
-        shared = np.ones(n)
-        for w, before in follows.items():
-            shared[w] = 1 + min(len(before), RARE)
+        counts = [np.bincount(x, minlength=n).astype(float) for x in singles]
+        pooled = counts[0] + counts[1]
+        kinds, each = np.unique(np.concatenate([k for k, _ in pairs]), return_inverse=True)
+        by = np.zeros((2, len(kinds)))
+        by[0, each[: len(pairs[0][0])]] = pairs[0][1]
+        by[1, each[len(pairs[0][0]) :]] = pairs[1][1]
+        before, word = kinds >> 32, kinds & mask
+        shared = 1.0 + np.minimum(np.bincount(word, minlength=n), RARE)
         shared /= shared.sum()
         # Both classes free the same mass, that of the pooled counts, so that size of a class is no evidence.
-        free = DISCOUNT * len(pooled) / max(1, pooled.total()) if pooled else 1.0
+        free = DISCOUNT * (pooled > 0).sum() / max(1.0, pooled.sum()) if pooled.any() else 1.0
         p1 = []
         for c in (0, 1):
-            own = np.zeros(n)
-            for w, k in uni[c].items():
-                if pooled[w] > RARE:
-                    own[w] = max(k - DISCOUNT, 0)
+            own = np.where(pooled > RARE, np.maximum(counts[c] - DISCOUNT, 0), 0.0)
             p1.append((1 - free) * own / own.sum() + free * shared if own.sum() else shared)
         self.uni = np.log(p1[0]) - np.log(p1[1])
-        both = bi[0] + bi[1]
-        common = [key for key, k in both.items() if k > RARE]
-        context, kinds, sums = Counter(), Counter(), [Counter(), Counter()]
-        for (v, _), k in both.items():
-            context[v] += k
-            kinds[v] += 1
+        context = np.bincount(before, weights=by.sum(axis=0), minlength=n)
+        freed = DISCOUNT * np.bincount(before, minlength=n) / np.maximum(context, 1)
+        common = np.flatnonzero(by.sum(axis=0) > RARE)
+        v, w, p2 = before[common], word[common], []
         for c in (0, 1):
-            for (v, _), k in bi[c].items():
-                sums[c][v] += max(k - DISCOUNT, 0)
-        keys, ratio = [], []
-        for v, w in common:
-            f, p = DISCOUNT * kinds[v] / context[v], []
-            for c in (0, 1):
-                own = max(bi[c].get((v, w), 0) - DISCOUNT, 0) / sums[c][v] if sums[c][v] else None
-                p.append(p1[c][w] if own is None else (1 - f) * own + f * p1[c][w])
-            keys.append(v * n + w)
-            ratio.append(math.log(p[0] / p[1]))
-        order = np.argsort(np.array(keys, dtype=np.int64))
-        self.keys, self.ratio = np.array(keys, dtype=np.int64)[order], np.array(ratio)[order]
+            own = np.maximum(by[c] - DISCOUNT, 0)
+            total = np.bincount(before, weights=own, minlength=n)[v]
+            mixed = (1 - freed[v]) * own[common] / np.maximum(total, 1e-300) + freed[v] * p1[c][w]
+            p2.append(np.where(total > 0, mixed, p1[c][w]))
+        self.keys, self.ratio = v * n + w, np.log(p2[0]) - np.log(p2[1])  # kinds are sorted, so keys are
 
     def ratios(self, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Log ratio of each word given the one before; start marks a document's first word."""
@@ -161,7 +151,7 @@ class Model:
         return np.where([len(d) == 0 for d in docs], np.minimum(out, 0.5), out)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, text: str = "text", label: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, text: str = "text", label: str = "toxic") -> Model:
     """labels: doc_id and the label 0/1 of the rows to learn from."""
     picked = sample_ids(labels, label, per_class)
     of = dict(picked)
