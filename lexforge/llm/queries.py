@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import exact_dedup, jaccard_join, language_id, mixing, quality_rules, sentencepiece_np, toxicity
+from . import exact_dedup, html_extract, jaccard_join, language_id, mixing, quality_rules, sentencepiece_np, toxicity
 from .text import fold_of
 
 
@@ -48,8 +48,12 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = "/opt/
     return sentencepiece_np.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path)
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"), html_extract.train())
+
+
 def queries():
-    return {"op1_toxicity": op1_toxicity, "op2_jaccard_join": op2_jaccard_join, "op3_mix_sources": op3_mix_sources, "op5_quality_rules": op5_quality_rules, "op6_exact_dedup": op6_exact_dedup, "op8_language_id": op8_language_id, "op9_sentencepiece": op9_sentencepiece}
+    return {"op1_toxicity": op1_toxicity, "op2_jaccard_join": op2_jaccard_join, "op3_mix_sources": op3_mix_sources, "op5_quality_rules": op5_quality_rules, "op6_exact_dedup": op6_exact_dedup, "op8_language_id": op8_language_id, "op9_sentencepiece": op9_sentencepiece, "op10_html_extract": op10_html_extract}
 
 
 def oracle_sql():
