@@ -57,7 +57,7 @@ WORDS = re.compile(r"[a-z]+(?:-[a-z]+)*")
 SPLIT = re.compile(r"[^a-z]+")
 
 N_TAGS = len(TAGS) + 1
-#: tag, names, then: constant, text sizes (3), link share, sentences, lists' links, depth, no text, all linked.
+#: tag, names, then: constant, text sizes (3), link share, long and unlinked, lists' links, depth, no text, all linked.
 N_FEATURES = N_TAGS + _KINDS + 11
 _TAG = {t: i for i, t in enumerate(TAGS)}
 #: Kinds of edges: by the child's role.
@@ -74,7 +74,6 @@ class Tree:
     marked: list[str] = field(default_factory=list)  # data-label, for labelled pages
     own: list[int] = field(default_factory=list)
     linked: list[int] = field(default_factory=list)
-    stops: list[int] = field(default_factory=list)
     texts: list[tuple[int, int, str]] = field(default_factory=list)
 
 
@@ -96,7 +95,6 @@ def parse(page: str | None, labels: bool = False) -> Tree:
         t.names.append(frozenset(found))
         t.own.append(0)
         t.linked.append(0)
-        t.stops.append(0)
         if labels:
             m = re.search(r'data-label="(\d)"', attrs)
             t.marked.append(m[1] if m else "")
@@ -121,7 +119,6 @@ def parse(page: str | None, labels: bool = False) -> Tree:
             here = stack[-1][1]
             n = len(text) - text.count(" ")
             t.own[here] += n
-            t.stops[here] += text.count(".") + text.count(",")
             if links:
                 t.linked[here] += n
             t.texts.append((here, block, text))
@@ -194,7 +191,7 @@ def features(trees: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     cat = lambda get, kind: np.array([x for t in trees for x in get(t)], dtype=kind)
     local = cat(lambda t: t.parent, np.int64)
     parent = np.where(local < 0, -1, local + np.repeat(base, sizes))
-    own, linked, stops = (cat(lambda t, k=k: getattr(t, k), np.float64) for k in ("own", "linked", "stops"))
+    own, linked = (cat(lambda t, k=k: getattr(t, k), np.float64) for k in ("own", "linked"))
     depth = np.zeros(n, np.int64)
     for i in range(n):  # parents come before children
         if parent[i] >= 0:
@@ -220,7 +217,7 @@ def features(trees: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     x[:, at + 2] = own >= 80
     x[:, at + 3] = own >= 250
     x[:, at + 4] = share
-    x[:, at + 5] = np.minimum(stops, 5) / 5
+    x[:, at + 5] = (own >= 25) & (share == 0)
     x[:, at + 6] = (share > 0.6) & np.isin(tags, [_TAG["ul"], _TAG["ol"], _TAG["li"]])
     x[:, at + 7] = np.minimum(depth, 10) / 10
     x[:, at + 8] = whole == 0
@@ -332,9 +329,12 @@ def labelled_pages(n: int = 360, seed: int = 11) -> list[tuple[str, None]]:
     def content():
         parts = [el("h1", 1, words(rng.randint(1, 12)))] if rng.random() < 0.85 else []
         plain = rng.random() < 0.25  # without punctuation
-        for _ in range(rng.randint(1, 12)):
+        short = rng.random() < 0.2  # mostly short lines
+        for _ in range(rng.randint(1, 25 if short else 12)):
             r = rng.random()
-            if plain and r < 0.8:
+            if short and r < 0.85:
+                parts.append(el("p", 1, pick("", "<b>") + words(rng.randint(1, 3))))
+            elif plain and r < 0.8:
                 parts.append(el("p", 1, pick("", "", "<b>") + " | ".join(words(rng.randint(1, 80)) for _ in range(pick(1, 1, 4)))))
             elif r < 0.7:
                 parts.append(el("p", 1, pick("", "", "<b>") + pick(sentence_block(1, 6), sentence_block(1, 6), words(rng.randint(1, 5)), f'{sentence_block(1, 2)} <a href="x">{words(3)}</a> {sentence_block(1, 2)}')))
