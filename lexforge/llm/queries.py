@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import exact_dedup, html_extract, jaccard_join, language_id, mixing, quality_rules, sentencepiece_np, toxicity
+from . import exact_dedup, html_extract, jaccard_join, language_id, lm_scoring, mixing, packing, quality_rules, sentencepiece_np, toxicity
 from .text import fold_of
 
 
@@ -15,6 +15,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")), F.array_join("quality.failed_rules", ",").alias("failed_rules"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold_of(F.col("doc_id"), 7) == 2
+    rows = lm_scoring.score(docs, ~held_out)
+    return rows.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), exact_dedup.DigestIndex(spark))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -28,6 +35,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_pack_tokens(spark: SparkSession, sf_dir: str, ranks_path: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks_path)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold_of(F.col("doc_id"), 4) == 2
@@ -53,7 +64,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_toxicity": op1_toxicity, "op2_jaccard_join": op2_jaccard_join, "op3_mix_sources": op3_mix_sources, "op5_quality_rules": op5_quality_rules, "op6_exact_dedup": op6_exact_dedup, "op8_language_id": op8_language_id, "op9_sentencepiece": op9_sentencepiece, "op10_html_extract": op10_html_extract}
+    return {"op1_toxicity": op1_toxicity, "op2_jaccard_join": op2_jaccard_join, "op3_mix_sources": op3_mix_sources, "op4_lm_scoring": op4_lm_scoring, "op5_quality_rules": op5_quality_rules, "op6_exact_dedup": op6_exact_dedup, "op7_pack_tokens": op7_pack_tokens, "op8_language_id": op8_language_id, "op9_sentencepiece": op9_sentencepiece, "op10_html_extract": op10_html_extract}
 
 
 def oracle_sql():
