@@ -10,9 +10,10 @@ document that stops first has H + 1 + reserve signatures before that place, of w
 pair shares reserve + 1 signatures at least, and pairs that share fewer are dropped before verification. A signature
 in over `LONG` documents is skipped while the reserve covers it, with the floor lowered by one. Documents whose reserve
 is used up that way (short texts around a common passage, large groups of near copies) are allotted the smallest
-segments there are, single shingles, all of them, in an index of their own: two thirds are reserve there. Where even
-that is used up they meet in the long lists: each with up to `PIVOTS` documents that lists begin with, and then, with
-the bound that the triangle inequality gives from shared pivots, with the documents outside its component.
+segments there are, single shingles, all of them, in an index of their own. There a pair that shares a short list is a
+candidate by it, and any other has its whole overlap in long lists, 3/4 of each document at least. Documents with that
+many long shingles meet each list's pivot, the one with the largest share of long shingles, and then those outside
+their component with which long shingles are enough and that the triangle inequality over shared pivots leaves.
 The document of a pair that stops first counts; so a document is used up already where a smaller partner would be.
 Documents whose band leaves them too few non-empty segments (seldom) index single shingles in an extra space.
 A one-deletion neighbourhood buys two units of difference for 1 + |segment| signatures (`unit_costs`); at two to three
@@ -29,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, shuffle_partitions
@@ -38,7 +39,7 @@ from .components import components
 from .joins import skew_left_join, without_ids
 
 #: Bands grow by (4/3)^2, so a set within 3/4 of another lies in its band or the next.
-LONG, PIVOTS = 32, 4
+LONG = 32
 SMALL_BAND = 300
 
 
@@ -167,23 +168,22 @@ def _set_rows(width: int):
 
 
 def _lists(batches):
-    """Lists with two documents or more, from rows sorted by signature and document: (sig, doc, n, spare, long, pivots).
+    """Lists with two documents or more, from rows sorted by signature and document: (sig, doc, n, spare, long).
 
-    A list is held until it ends or passes LONG; from there its rows stream through with the pivots it began with.
+    A list is held until it ends or passes LONG; from there its rows stream through.
     """
     held: list = []
-    sig, is_long, pivots = None, False, []
+    sig, is_long = None, False
     out: list = []
 
     def flush():
         if len(held) > 1 and not is_long:
-            p = []
-            out.extend((*x, False, p) for x in held)
+            out.extend((*x, False) for x in held)
 
     def emit():
         cols = list(zip(*out, strict=True))
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64())]
-        return pa.record_batch([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=["sig", "doc", "n", "spare", "long", "pivots"])
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+        return pa.record_batch([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=["sig", "doc", "n", "spare", "long"])
 
     for b in batches:
         s = b.column(0).to_numpy(zero_copy_only=False)
@@ -198,17 +198,17 @@ def _lists(batches):
         for x in rows:
             if x[0] != sig:
                 flush()
-                held, sig, is_long, pivots = [x], x[0], False, []
+                held, sig, is_long = [x], x[0], False
             elif held and held[-1][1] == x[1]:
                 continue
             elif is_long:
-                out.append((*x, True, pivots))
+                out.append((*x, True))
                 held = [x]
             else:
                 held.append(x)
                 if len(held) > LONG:
-                    is_long, pivots = True, [h[1] for h in held[:PIVOTS]]
-                    out.extend((*h, True, pivots) for h in held)
+                    is_long = True
+                    out.extend((*h, True) for h in held)
                     held = [x]
             if len(out) >= 50_000:
                 yield emit()
@@ -287,7 +287,7 @@ def _gather(sigs: DataFrame, name: str) -> DataFrame:
     """Lists with two documents or more, written once."""
     spark = sigs.sparkSession
     lists = sigs.repartition(shuffle_partitions(spark), "sig").sortWithinPartitions("sig", "doc")
-    return materialize(spark, lists.mapInArrow(_lists, f"{SIGNATURES}, long boolean, pivots array<long>"), name)
+    return materialize(spark, lists.mapInArrow(_lists, f"{SIGNATURES}, long boolean"), name)
 
 
 def _partner_reserve() -> F.Column:
@@ -309,7 +309,9 @@ def _reserves(lists: DataFrame, alone: bool) -> DataFrame:
     if not alone:
         whole = used.filter(F.col("spare") < _partner_reserve()).limit(1).count() == 0
         bound = F.least("spare", _partner_reserve()) if whole else F.lit(0)
-    return used.select("doc", "spare", F.greatest(F.lit(1), F.col("spare") + 1 - F.col("long")).alias("floor"), (F.col("long") > bound).alias("spent"))
+    # With every shingle indexed, a pair that shares no short list has its whole overlap, 3/4 of n at least, in long ones.
+    spent = 4 * F.col("long") >= 3 * F.col("n") if alone else F.col("long") > bound
+    return used.select("doc", "spare", "n", "long", F.greatest(F.lit(1), F.col("spare") + 1 - F.col("long")).alias("floor"), spent.alias("spent"))
 
 
 def _listed_pairs(lists: DataFrame, used: DataFrame) -> DataFrame:
@@ -352,15 +354,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, text: st
 
     links = Links(reps, width, percent)
     star = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
-    long = singles.filter("long").join(used.filter("spent").select("doc", F.col("spare").alias("reserve")), "doc")
-    to_pivots = long.select(F.explode("pivots").alias("a"), F.col("doc").alias("b"), "reserve").filter("a <> b")
-    to_pivots = to_pivots.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("reserve").alias("reserve")).filter("2 * shared > reserve")
-    nearest = to_pivots.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("shared")).alias("s"), F.col("a").alias("a")))), 1, PIVOTS).alias("p")).select(F.explode("p.a").alias("a"), "b")
+    long = singles.filter("long").select("sig", "doc").join(used.filter("spent").select("doc", "n", F.col("long").alias("l")), "doc")
+    # The overlap lies in long lists: of a document's l long shingles, in one order, the first l - 3n/4 + 1 are enough.
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("sig"))
+    long = long.withColumn("place", place).filter(F.col("place") <= F.col("l") - F.ceil(F.col("n") * 3 / 4) + 1).drop("place")
+    long = materialize(spark, long, "jj-long")
+    # Each list's pivot is the document with the largest share of long shingles: what all the list has in common.
+    pivots = long.groupBy("sig").agg(F.min_by("doc", F.struct(-F.col("l") / F.col("n"), "n", "doc")).alias("a"))
+    to_pivots = long.join(materialize(spark, pivots, "jj-pivots"), "sig").filter("a <> doc").groupBy("a", F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    nearest = to_pivots.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
     first = star.unionByName(nearest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     measured = links.add(materialize(spark, first, "jj-first"))
     labels = links.labels()
     rest = _apart(pairs.select("a", "b"), labels).join(measured.select("a", "b"), ["a", "b"], "left_anti")
-    rest = rest.unionByName(_spent_rest(long.filter("spare >= 0"), measured, labels)).distinct()
+    rest = rest.unionByName(_spent_rest(long, measured, labels)).distinct()
     rest = materialize(spark, rest, "jj-rest")
     if rest.limit(1).count():
         links.add(rest)
@@ -381,12 +388,12 @@ def _spent_rest(long: DataFrame, measured: DataFrame, labels: DataFrame) -> Data
     a group that is one component already makes no pairs. With Jaccard distance d, d(x, y) >= |d(x, p) - d(y, p)| for
     a shared pivot p.
     """
-    mine = long.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("sig", "doc", "n", F.coalesce("component", "doc").alias("c"))
+    mine = long.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("sig", "doc", "n", "l", F.coalesce("component", "doc").alias("c"))
     counts = mine.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("k"))
     home = counts.groupBy("sig").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("home"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     open_lists = mine.join(home, "sig")
-    away = open_lists.filter("c <> home").select("sig", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    pairs = open_lists.drop("home").join(away, "sig").filter("c <> cx AND 4 * least(n, nx) >= 3 * greatest(n, nx)")
+    away = open_lists.filter("c <> home").select("sig", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("l").alias("lx"), F.col("c").alias("cx"))
+    pairs = open_lists.drop("home").join(away, "sig").filter("c <> cx AND 7 * least(l, lx) >= 3 * (n + nx)")
     pairs = pairs.select(F.least("doc", "x").alias("a"), F.greatest("doc", "x").alias("b")).distinct().join(measured.select("a", "b"), ["a", "b"], "left_anti")
     d = measured.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
     sides = d.select(F.col("a").alias("p"), F.col("b").alias("x"), "d").unionByName(d.select(F.col("b").alias("p"), F.col("a").alias("x"), "d"))
