@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import exact_dedup, html_extract, jaccard_join, language_id, lm_scoring, mixing, packing, quality_rules, sentencepiece_np, toxicity
-from .text import fold_of
+from .text import LOWER, UPPER, fold_of
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +68,23 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    """Operators 5 and 6 in SQL; the others are held against brute force, round trips or held-out labels in the tests."""
+    rules = {"n_words": "n_words", "mean_word_chars": "word_chars / n_words", "symbol_ratio": "n_symbols / word_chars", "capital_ratio": "n_capitals / word_chars", "stop_ratio": "n_stop / n_words", "dup_line_ratio": "n_dup_lines / n_lines", "bullet_ratio": "n_bullet / n_lines", "ellipsis_ratio": "n_ellipsis / n_lines"}
+    stop = ", ".join(f"'{w}'" for s in sorted(set(quality_rules.STOP_WORDS)) for w in dict.fromkeys((s, s.capitalize())))
+    broken = []
+    for name, measure, least, most in quality_rules.RULES:
+        value = f"coalesce(CASE WHEN {rules[measure].split('/')[-1].strip()} = 0 THEN 0 ELSE {rules[measure]} END, 0)"
+        tests = ([f"{value} < {least}"] if least is not None else []) + ([f"{value} > {most}"] if most is not None else [])
+        broken.append(f"CASE WHEN {' OR '.join(tests)} THEN '{name}' END")
+    blank, word = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
+    op5 = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{word}')) AS ls FROM documents),
+tri AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM t, unnest(range(1, len(ws) - 1)) AS u(i)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
+m AS (SELECT t.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '{blank}', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
+ length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals, len(list_filter(ws, lambda x: x IN ({stop}))) AS n_stop, len(ls) AS n_lines, len(list_filter(ls, lambda x: regexp_matches(x, '^[\\x20\\x09]*[-*•◦]'))) AS n_bullet, len(list_filter(ls, lambda x: regexp_matches(x, '(?:\\.\\.\\.|…)[\\x20\\x09\\r]*$'))) AS n_ellipsis FROM t LEFT JOIN cov USING (doc_id)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, concat_ws(',', {', '.join(broken)}) AS failed_rules FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM v"""
+    op6 = f"""WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS x FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(x) AS text_sha256 FROM t WINDOW w AS (PARTITION BY x)"""
+    return {"op5_quality_rules": op5, "op6_exact_dedup": op6}
