@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import ids, textfn
-from ..operators import ledger, search, sequences
+from ..functions import greek, ids, textfn
+from ..operators import ledger, numbering, search, sequences
+from ..streaming import discovery
 from ..session import table
 
 QUERIES: dict = {}
@@ -469,6 +472,103 @@ def info_counts(spark, d):
     return table(spark, d, "documents").select(F.explode(member).alias("dataset")).groupBy("dataset").agg((F.count(F.lit(1)) - 1).alias("issues"))
 
 
+# Vectors: inline rows with known results
+
+
+def values(columns: str, rows: list[tuple]) -> str:
+    def literal(x):
+        if x is None:
+            return "NULL"
+        if isinstance(x, datetime.date):
+            return f"DATE '{x}'"
+        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+    quoted = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {quoted}) AS t({columns})"
+
+
+NORMAL = [("code:224.3.b", "code:224.3.β"), ("CODE:224.3.beta", "code:224.3.β"), ("code:224.3.β΄", "code:224.3.β"), (" code:224.3.Β ", "code:224.3.β"), ("nok:11.6.id", "nok:11.6.ιδ"), ("nok:10a", "nok:10Α"), ("fek-a-108-2026:133.1", "FEK-A-108-2026:133.1"), ("FEK-A-245-2020:120#1~4", "FEK-A-245-2020:120#1~4"), ("fire:p-a", "fire:Π-Α"), ("fire:A5.3.7.1", "fire:Α5.3.7.1"), ("FIRE:b3.2.a", "fire:Β3.2.α"), ("foo:1", None), ("code:", None), ("code:abc", None), ("nok:27.zz9", None), ("code:224.", None), ("code:224..3", None)]
+
+
+@query(values("typed, gid", NORMAL))
+def normalize_vectors(spark, d):
+    return spark.createDataFrame([(x,) for x, _ in NORMAL], "typed string").select("typed", greek.normalize("typed").alias("gid"))
+
+
+CITED = [("224.3.β", "Ν. 5306/2026", "Α΄ 88/2026", "άρθ. 224 παρ. 3 περ. β΄ ν. 5306/2026 (ΦΕΚ Α΄ 88/2026)"), ("120#1~4", "Ν. 4759/2020", "Α΄ 245/2020", "άρθ. 120 ν. 4759/2020 (ΦΕΚ Α΄ 245/2020)"), ("206.6.ιστ.α", "Ν. 5306/2026", "Α΄ 88/2026", "άρθ. 206 παρ. 6 περ. ιστ΄ υποπερ. α΄ ν. 5306/2026 (ΦΕΚ Α΄ 88/2026)"), ("Α5.3.7.1.α", "Π.Δ. 41/2018", "Α΄ 80/2018", "άρθ. 5 Κεφ. Α΄ παρ. 5.3.7.1 περ. α΄ π.δ. 41/2018 (ΦΕΚ Α΄ 80/2018)"), ("Β3", "Π.Δ. 41/2018", "Α΄ 80/2018", "άρθ. 3 Κεφ. Β΄ π.δ. 41/2018 (ΦΕΚ Α΄ 80/2018)")]
+
+
+@query(values("local, cited", [(a, c) for a, _, _, c in CITED]))
+def citation_vectors(spark, d):
+    return spark.createDataFrame([x[:3] for x in CITED], "local string, act string, fek string").select("local", greek.cite(F.col("local"), F.col("act"), F.col("fek")).alias("cited"))
+
+
+NUMBERED = [
+    ("206", None, ["6. Όροι:", "ιε) ένα", "ιστ) δύο:", "ιστα) τρία", "ιστβ) τέσσερα", "ιζ) πέντε"], ["206.6", "206.6.ιε", "206.6.ιστ", "206.6.ιστ.α", "206.6.ιστ.β", "206.6.ιζ"]),
+    ("207", None, ["6. Όροι", "ιβ) ιβα) ένα", "ιββ) δύο"], ["207.6", "207.6.ιβ.α", "207.6.ιβ.β"]),
+    ("5", None, ["1. Κείμενο", "και) δεν είναι αρίθμηση"], ["5.1", "5.1#1"]),
+    ("7", None, ["3. Όροι:", "α) ένα.", "β) δύο.", "κείμενο", "κείμενο"], ["7.3", "7.3.α", "7.3.β", "7.3#1", "7.3#2"]),
+    ("1", None, ["Σκοπός:", "α) ένα.", "β) δύο.", "Οι όροι:", "α) ένα.", "β) δύο."], ["1#1", "1.α", "1.β", "1#2", "1.α@2", "1.β@2"]),
+    ("Α5", "5", ["5.3. Όροι", "κείμενο", "5.3.7.1. Όροι", "α) ένα", "5.4. Όροι", "17.2.1989 ημερομηνία"], ["Α5.3", "Α5.3#1", "Α5.3.7.1", "Α5.3.7.1.α", "Α5.4", "Α5.4#1"]),
+]
+
+
+@query(values("article, pos, pid", [(a, i, p) for a, _, _, ps in NUMBERED for i, p in enumerate(ps)]))
+def numbering_vectors(spark, d):
+    rows = spark.createDataFrame([(a, dec, i, t) for a, dec, ts, _ in NUMBERED for i, t in enumerate(ts)], "article string, dec string, pos int, txt string")
+    return numbering.number(rows, ["article"], "article", "pos", "txt", "dec").select("article", "pos", "pid")
+
+
+NUMERAL = [("ιστ", 16), ("κε", 25), ("ιστα", None), ("α", 1), ("θ", 9), ("στ", 6), ("ι", 10), ("πθ", 89), ("και", None)]
+
+
+@query(values("label, n", NUMERAL))
+def numeral_vectors(spark, d):
+    return spark.createDataFrame([(x,) for x, _ in NUMERAL], "label string").select("label", greek.numeral(F.col("label")).cast("int").alias("n"))
+
+
+STARTS = [(1, "Η ισχύς του παρόντος αρχίζει από τη δημοσίευσή του.", 1, "publication", datetime.date(2020, 12, 10)), (2, "Η ισχύς του παρόντος αρχίζει από τη δημοσίευσή του, εκτός αν ορίζεται αλλιώς.", 1, "publication-unless", datetime.date(2020, 12, 10)), (3, "Η ισχύς του παρόντος αρχίζει από τη δημοσίευσή του.", 3, "publication-unless", datetime.date(2020, 12, 10)), (4, "Αρχίζει δέκα (10) ημέρες μετά τη δημοσίευσή του.", 1, "publication", datetime.date(2020, 12, 20)), (5, "Με απόφαση του Υπουργού ορίζεται η έναρξη.", 1, "text", None)]
+
+
+@query(values("id, rule, from_date", [(a, r, x) for a, _, _, r, x in STARTS]))
+def commencement_vectors(spark, d):
+    rows = spark.createDataFrame([x[:3] for x in STARTS], "id int, text string, paragraphs int").withColumn("published", F.lit("2020-12-10").cast("date"))
+    return rows.select("id", greek.commencement(F.col("text"), F.col("published"), F.col("paragraphs")).alias("c")).select("id", "c.rule", "c.from_date")
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(text, '{LICENCE}'))::BIGINT AS licence, len(regexp_extract_all(text, '{EMAIL}'))::BIGINT AS mail FROM documents")
+def discovery_stream(spark, d):
+    """The documents as a file-source stream, scanned until nothing is left: equal to the batch result."""
+    schema = table(spark, d, "documents").schema
+    found = discovery.scan_stream(spark, d, "documents.parquet", schema, {"licence": LICENCE, "mail": EMAIL})
+    return found.select("doc_id", "licence", "mail")
+
+
+@query("""WITH old AS (SELECT source, doc_id, 'old' AS seen FROM documents WHERE lang <> 'de'), new AS (SELECT source, doc_id, 'new' AS seen FROM documents WHERE source IN ('src1', 'src2'))
+SELECT * FROM old WHERE source NOT IN (SELECT source FROM new) UNION ALL SELECT * FROM new""")
+def rescan_upsert(spark, d):
+    docs = table(spark, d, "documents")
+    old = docs.filter("lang <> 'de'").select("source", "doc_id", F.lit("old").alias("seen"))
+    return discovery.upsert(old, docs.filter("source IN ('src1', 'src2')").select("source", "doc_id", F.lit("new").alias("seen")), "source")
+
+
+@query(f"""WITH RECURSIVE {PARAS_SQL}, n AS (SELECT doc_id, length(txt)::BIGINT + 1 AS size, row_number() OVER (PARTITION BY doc_id ORDER BY para_pos) AS k FROM paras),
+p AS (SELECT doc_id, k, 1::BIGINT AS page, size AS used FROM n WHERE k = 1 UNION ALL SELECT n.doc_id, n.k, CASE WHEN p.used + n.size > 2000 THEN p.page + 1 ELSE p.page END, CASE WHEN p.used + n.size > 2000 THEN n.size ELSE p.used + n.size END FROM p JOIN n ON n.doc_id = p.doc_id AND n.k = p.k + 1)
+SELECT doc_id, page, count(*)::BIGINT AS n_lines FROM p GROUP BY doc_id, page""")
+def pagination(spark, d):
+    """Greedy pages of 2,000 characters: a fold over a document's line sizes."""
+    sizes = F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.length(x).cast("long") + 1)
+    start = F.struct(F.lit(0).cast("long").alias("page"), F.lit(10**9).cast("long").alias("used"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(s, n):
+        turn = s["used"] + n > 2000
+        page = F.when(turn, s["page"] + 1).otherwise(s["page"])
+        return F.struct(page.alias("page"), F.when(turn, n).otherwise(s["used"] + n).alias("used"), F.array_append(s["out"], page).alias("out"))
+
+    pages = table(spark, d, "documents").select("doc_id", F.explode(F.aggregate(sizes, start, step)["out"]).alias("page"))
+    return pages.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 def queries():
     return dict(QUERIES)
 
