@@ -156,38 +156,47 @@ class Encoder:
             return len(self.m.pieces) + ord(text)
         return i
 
-    def _merge_rows(self, sym: np.ndarray) -> list[np.ndarray]:
-        """Merge rows of symbols of one length; -1 fills the places that merging frees at the right."""
+    def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, merged id) of pairs of symbols; rank is infinite where there is no such piece."""
+        key = (left.astype(U64) << U64(32)) | (right & 0xFFFFFFFF).astype(U64)
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where((self.keys[at] == key) & (right >= 0), self.rank[at], np.inf), self.merged[at]
+
+    def _merge_rows(self, sym: np.ndarray) -> list[list[int]]:
+        """Merge rows of symbols of one length. A merge moves all to its right one place left and asks for the two
+        pairs beside it anew; the other pairs' ranks move along."""
         n, width = sym.shape
         out: list = [None] * n
-        live = np.arange(n)
-        rows = sym.copy()
+        if width < 2 or not len(self.keys):
+            return sym.tolist()
+        live, rows = np.arange(n), sym
+        rank, piece = (x.reshape(n, width - 1) for x in self._look(rows[:, :-1].ravel(), rows[:, 1:].ravel()))
         while True:
-            if rows.shape[1] < 2:
-                break
-            left, right = rows[:, :-1], rows[:, 1:]
-            key = (left.astype(U64) << U64(32)) | (right & 0xFFFFFFFF).astype(U64)
-            at = np.searchsorted(self.keys, key.ravel()).reshape(key.shape)
-            at[at == len(self.keys)] = 0
-            hit = (self.keys[at] == key) & (right >= 0)
-            rank = np.where(hit, self.rank[at], np.inf)
             best = rank.argmin(axis=1)
             can = rank[np.arange(len(rows)), best] < np.inf
-            for r in np.flatnonzero(~can):
-                out[live[r]] = rows[r][rows[r] >= 0]
-            if not can.any():
-                return out
-            rows, live, best, at = rows[can], live[can], best[can], at[can]
-            w = rows.shape[1]
-            cols = np.arange(w - 1)[None, :]
-            # Everything right of the merged pair moves one place left.
-            new = np.where(cols <= best[:, None], rows[:, :-1], rows[:, 1:])
+            if not can.all():
+                for i, done in zip(live[~can].tolist(), rows[~can].tolist(), strict=True):
+                    out[i] = done
+                if not can.any():
+                    return out
+                rows, live, best, rank, piece = rows[can], live[can], best[can], rank[can], piece[can]
             k = np.arange(len(rows))
-            new[k, best] = self.merged[at[k, best]]
-            rows = new
-        for r in range(len(rows)):
-            out[live[r]] = rows[r][rows[r] >= 0]
-        return out
+            merged = piece[k, best]
+            cols = np.arange(rows.shape[1] - 1)[None, :]
+            left = cols <= best[:, None]
+            rows = np.where(left, rows[:, :-1], rows[:, 1:])
+            rows[k, best] = merged
+            if rows.shape[1] < 2:
+                for i, done in zip(live.tolist(), rows.tolist(), strict=True):
+                    out[i] = done
+                return out
+            before = cols[:, :-1] < best[:, None]
+            rank = np.where(before, rank[:, :-1], rank[:, 1:])
+            piece = np.where(before, piece[:, :-1], piece[:, 1:])
+            for at, ok in ((best - 1, best > 0), (best, best < rows.shape[1] - 1)):
+                r, c = k[ok], at[ok]
+                rank[r, c], piece[r, c] = self._look(rows[r, c], rows[r, c + 1])
 
     def _merge_long(self, sym: list[int]) -> list[int]:
         """The same merges for one long word: a heap of (rank, place) over a linked list."""
@@ -276,9 +285,10 @@ class Encoder:
 
     def _finish(self, symbols, base: int) -> list[int]:
         """Ids from symbols; a bare character becomes its bytes or the unknown piece."""
+        if symbols and 0 <= min(symbols) and max(symbols) < base:
+            return symbols
         out = []
         for s in symbols:
-            s = int(s)
             if 0 <= s < len(self.m.pieces):
                 out.append(s)
                 continue
@@ -345,24 +355,63 @@ class Encoder:
         return text[1:] if self.m.dummy_prefix and text.startswith(" ") else text
 
 
-#: Distinct words kept from batch to batch of a task.
-MEMO_WORDS = 200_000
+#: Distinct words kept from batch to batch of a task, in each of two generations.
+MEMO_WORDS = 400_000
+
+
+class Memo:
+    """Ids of words seen, in one flat array: a word's place gives its start and length. When the young generation is
+    full it becomes the old one, so words that keep coming are kept."""
+
+    def __init__(self, enc: Encoder):
+        self.enc, self.young, self.old = enc, {}, {}
+        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each text)."""
+        enc = self.enc
+        cut = [enc.split(enc.normalise(t)) if t else [] for t in texts]
+        if len(self.young) > MEMO_WORDS:
+            keep = list(self.young.values())
+            sizes = self.size[keep]
+            starts = np.cumsum(sizes) - sizes
+            self.flat = self.flat[np.repeat(self.start[keep] - starts, sizes) + np.arange(int(sizes.sum()))]
+            self.start, self.size = starts, sizes
+            self.old, self.young = dict(zip(self.young, range(len(keep)), strict=True)), {}
+        young, old = self.young, self.old
+        new = []
+        for w in {w for ws in cut for w in ws}.difference(young):
+            i = old.get(w)
+            if i is None:
+                new.append(w)
+            else:
+                young[w] = i
+        if new:
+            ids = enc.words(new)
+            base = len(self.size)
+            sizes = np.array([len(ids[w]) for w in new], dtype=np.int64)
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.size = np.concatenate([self.size, sizes])
+            self.flat = np.concatenate([self.flat, np.array([i for w in new for i in ids[w]], dtype=np.int32)])
+            young.update(zip(new, range(base, base + len(new)), strict=True))
+        counts = np.array([len(ws) for ws in cut], dtype=np.int64)
+        at = np.fromiter((young[w] for ws in cut for w in ws), dtype=np.int64, count=int(counts.sum()))
+        sizes = self.size[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.flat[np.repeat(self.start[at] - ends[:-1], sizes) + np.arange(int(ends[-1]))]
+        bounds = ends[np.concatenate([[0], np.cumsum(counts)])]
+        return flat, np.diff(bounds)
 
 
 def _encode_rows(model_bytes, rows: int):
     def run(batches):
-        enc, memo = Encoder(read_model(model_bytes.value)), {}
+        memo = Memo(Encoder(read_model(model_bytes.value)))
         for b in batches:
             for at in range(0, b.num_rows, rows):
                 part = b.slice(at, rows)
-                ids = enc.encode(part.column(1).to_pylist(), memo)
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                sizes = np.array([len(x) for x in ids], dtype=np.int32)
+                flat, sizes = memo.encode(part.column(1).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(offsets[-1]))
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-                yield pa.record_batch([part.column(0).cast(pa.int64()), pa.array(sizes.astype(np.int64)), lists], names=["doc_id", "n_tokens", "ids"])
+                yield pa.record_batch([part.column(0).cast(pa.int64()), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "n_tokens", "ids"])
 
     return run
 
