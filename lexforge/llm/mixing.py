@@ -56,16 +56,28 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come as near below `budget` as can be found.
 
     Proportional shares first, then the longest that fit until the rest is small, then a bounded knapsack over bit
-    sets: bit s of a state says that s words can be made exactly; states are kept to walk back.
+    sets: bit s of a state says that s words can be made exactly; states are kept to walk back. Where that leaves a
+    gap, more of the budget is left to the knapsack.
     """
     total = int((lengths * counts).sum())
-    take = np.zeros(len(lengths), dtype=np.int64)
     if total <= 0 or budget <= 0:
-        return take
+        return np.zeros(len(lengths), dtype=np.int64)
     if budget >= total:
         return np.where(lengths > 0, counts, 0).astype(np.int64)
-    # Integer share with room below for the knapsack: round down.
-    take = np.array([int(c) * budget // total if s > 0 else 0 for s, c in zip(lengths, counts, strict=True)], dtype=np.int64)
+    best, least = None, budget + 1
+    for reserve in (0, 1024, 8192, KNAPSACK_WORDS):  # words left to the knapsack besides those of rounding down
+        take = _fit(lengths, counts, budget, reserve, total)
+        gap = budget - int((lengths * take).sum())
+        if gap < least:
+            best, least = take, gap
+        if not gap or reserve >= budget:
+            break
+    return best
+
+
+def _fit(lengths: np.ndarray, counts: np.ndarray, budget: int, reserve: int, total: int) -> np.ndarray:
+    shared = max(0, budget - reserve)
+    take = np.array([int(c) * shared // total if s > 0 else 0 for s, c in zip(lengths, counts, strict=True)], dtype=np.int64)
     left = budget - int((lengths * take).sum())
     order = np.argsort(-lengths, kind="stable")
     for i in order:
