@@ -16,8 +16,8 @@ many long shingles meet each list's pivot, the one with the largest share of lon
 their component with which long shingles are enough and that the triangle inequality over shared pivots leaves.
 The document of a pair that stops first counts; so a document is used up already where a smaller partner would be.
 Documents whose band leaves them too few non-empty segments (seldom) index single shingles in an extra space.
-A one-deletion neighbourhood buys two units of difference for 1 + |segment| signatures (`unit_costs`); at two to three
-shingles a segment an exact subset is the cheaper unit, so the cost-based allocation takes none.
+One-deletion neighbourhoods aren't built: one buys two units of difference for 1 + |segment| signatures; at two to three
+shingles a segment two exact subsets are cheaper.
 
 Candidates are verified on whole sets of 64-bit shingle hashes: 100 * common >= 75 * union, in integers.
 
@@ -60,11 +60,6 @@ def reserve(need: int) -> int:
     return max(4, need // 8)
 
 
-def unit_costs(segment_size: float) -> tuple[float, float]:
-    """Signatures for one unit of difference: from the exact subset, and from subset plus one-deletion neighbourhood."""
-    return 1.0, (1.0 + segment_size) / 2.0
-
-
 def _segment_signatures(s: np.ndarray, m: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of the non-empty segments of one sorted set, in the order of segments."""
     seg = s >> U64(32) if m >= 1 << 32 else ((s >> U64(32)) * U64(m)) >> U64(32)
