@@ -51,3 +51,15 @@ def mode(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The most frequent value of a key; the smallest on ties."""
     n = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     return n.groupBy(*keys).agg(F.min_by(F.struct(value, "n"), F.struct((-F.col("n")).alias("a"), F.col(value).alias("b"))).alias("m")).select(*keys, f"m.{value}", "m.n")
+
+
+def repair_boundaries(rows: DataFrame, keys: list[str], group: str, label: str, position: str) -> DataFrame:
+    """`repaired`: the group of each row after moving a group's closing run of label 1 to the next group, where that one
+    doesn't begin with 1. A moved run needs another label before it in its own group."""
+    others = F.max(F.when(F.col(label) != 1, F.col(position)))
+    heads = rows.groupBy(*keys, group).agg(F.min(position).alias("_first_pos"), F.min_by(label, position).alias("_first"), others.alias("_last_other"))
+    order = Window.partitionBy(*keys).orderBy("_first_pos")
+    heads = heads.withColumn("_next", F.lead(group).over(order)).withColumn("_next_first", F.lead("_first").over(order))
+    moved = (F.col(label) == 1) & (F.col(position) > F.col("_last_other")) & (F.col("_next_first") > 1)
+    joined = rows.join(heads, [*keys, group])
+    return joined.withColumn("repaired", F.when(moved, F.col("_next")).otherwise(F.col(group))).drop("_first_pos", "_first", "_last_other", "_next", "_next_first")

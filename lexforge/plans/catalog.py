@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import greek, ids, textfn
+from ..functions import amend, greek, ids, textfn
 from ..operators import ledger, numbering, search, sequences
 from ..streaming import discovery
 from ..session import table
@@ -536,6 +536,57 @@ def commencement_vectors(spark, d):
     return rows.select("id", greek.commencement(F.col("text"), F.col("published"), F.col("paragraphs")).alias("c")).select("id", "c.rule", "c.from_date")
 
 
+SENTENCES = [
+    (1, "Η περ. ιδ΄ της παρ. 6 του άρθρου 11 του ν. 4067/2012 (Α΄ 79) αντικαθίσταται ως εξής:", "amend", "11.6.ιδ", False),
+    (2, "Στο άρθρο 28 του ν. 4067/2012 προστίθεται παρ. 11 ως εξής:", "amend", "28.11", False),
+    (3, "Το άρθρο 4 του ν. 4067/2012 αντικαθίσταται ως εξής:", "amend", "4", True),
+    (4, "Οι παρ. 2 και 4 του άρθρου 27 του ν. 4067/2012 τροποποιούνται ως εξής:", "amend", "27.2,27.4", False),
+    (5, "Καταργείται η παρ. 4 του άρθρου 20 του ν. 4067/2012.", "repeal", "20.4", False),
+    (6, "Οι άδειες εκδίδονται σύμφωνα με την παρ. 2 του άρθρου 6 του ν. 4067/2012.", None, "6.2", False),
+]
+
+
+@query(values("id, kind, targets, restates", [(a, k, t, r) for a, _, k, t, r in SENTENCES]))
+def targets_vectors(spark, d):
+    rows = spark.createDataFrame([x[:2] for x in SENTENCES], "id int, s string")
+    return rows.select("id", amend.kind(F.col("s")).alias("kind"), amend.targets(F.col("s")).alias("t")).select("id", "kind", F.array_join("t.targets", ",").alias("targets"), "t.restates")
+
+
+LABELS = [("2 και 4", "2,4"), ("ιδ΄", "ιδ"), ("3α", "3.α"), ("το", "")]
+
+
+@query(values("listed, labels", LABELS))
+def label_vectors(spark, d):
+    return spark.createDataFrame([(x,) for x, _ in LABELS], "listed string").select("listed", F.array_join(amend.labels(F.col("listed")), ",").alias("labels"))
+
+
+REFERENCES = [(1, "Παρ. 5 του άρθρου 27 του ν. 4067/2012, όπως ισχύει", "27.5"), (2, "Παρ. 1 και 2 του άρθρου 13 του ν. 4067/2012", "13.1,13.2"), (3, "Άρθρο 3 του ν. 4067/2012", "3"), (4, "Άρθρο 3 του ν. 1577/1985", "")]
+
+
+@query(values("id, refs", [(a, r) for a, _, r in REFERENCES]))
+def reference_vectors(spark, d):
+    return spark.createDataFrame([x[:2] for x in REFERENCES], "id int, s string").select("id", F.array_join(amend.law_references(F.col("s"), "4067/2012"), ",").alias("refs"))
+
+
+TERMS = [(1, "«Ανοικτός εξώστης (μπαλκόνι)»: η οριζόντια προεξοχή.", "Ανοικτός εξώστης", "μπαλκόνι"), (2, "α) Οικόπεδο είναι η έκταση γης.", "Οικόπεδο", None), (3, "Χωρίς ορισμό.", None, None)]
+
+
+@query(values("id, term, also", [(a, t, x) for a, _, t, x in TERMS]))
+def glossary_vectors(spark, d):
+    rows = spark.createDataFrame([x[:2] for x in TERMS], "id int, s string")
+    return rows.select("id", amend.definition(F.col("s")).alias("x")).select("id", "x.term", "x.also")
+
+
+@query(f"""WITH n AS (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_quantity, {_FULL})::BIGINT AS pos FROM lineitem),
+h AS (SELECT l_suppkey, l_orderkey, min(pos) AS fp, arg_min(l_linenumber, pos) AS f, max(CASE WHEN l_linenumber <> 1 THEN pos END) AS lo FROM n GROUP BY ALL),
+g AS (SELECT *, lead(l_orderkey) OVER w AS nx, lead(f) OVER w AS nf FROM h WINDOW w AS (PARTITION BY l_suppkey ORDER BY fp))
+SELECT n.l_suppkey, n.pos, CASE WHEN l_linenumber = 1 AND n.pos > lo AND nf > 1 THEN nx ELSE n.l_orderkey END AS repaired FROM n JOIN g ON g.l_suppkey = n.l_suppkey AND g.l_orderkey = n.l_orderkey""")
+def boundary_repair(spark, d):
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_quantity", "l_linenumber", *KEY)
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("pos"))
+    return sequences.repair_boundaries(rows, ["l_suppkey"], "l_orderkey", "l_linenumber", "pos").select("l_suppkey", "pos", "repaired")
+
+
 @query(f"SELECT doc_id, len(regexp_extract_all(text, '{LICENCE}'))::BIGINT AS licence, len(regexp_extract_all(text, '{EMAIL}'))::BIGINT AS mail FROM documents")
 def discovery_stream(spark, d):
     """The documents as a file-source stream, scanned until nothing is left: equal to the batch result."""
