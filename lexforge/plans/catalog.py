@@ -178,6 +178,23 @@ def related_join(spark, d):
     return ids.related_join(a, b, "gid", "other")
 
 
+@query("""SELECT 'o:' || o_orderkey AS outer_id, count(*)::BIGINT AS n_within, round(sum(l_quantity), 2) AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def within_join_all(spark, d):
+    """Lines within every order."""
+    outer = table(spark, d, "orders").select(F.concat(F.lit("o:"), "o_orderkey").alias("outer_id"))
+    got = ids.within_join(line_ids(spark, d).select("gid", "l_quantity"), outer, "gid", "outer_id")
+    return got.groupBy("outer_id").agg(F.count(F.lit(1)).alias("n_within"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem), b AS (SELECT o_orderkey AS k, NULL AS n FROM orders UNION ALL SELECT k, n FROM a)
+SELECT 'o:' || a.k || '.' || a.n AS gid, 'o:' || b.k || coalesce('.' || b.n, '') AS other FROM a JOIN b ON a.k = b.k AND (b.n IS NULL OR a.n = b.n)""")
+def related_join_all(spark, d):
+    """Every line's id against every order's and every line's."""
+    a = line_ids(spark, d).select("gid").distinct()
+    b = table(spark, d, "orders").select(F.concat(F.lit("o:"), "o_orderkey").alias("other")).unionByName(a.select(F.col("gid").alias("other")))
+    return ids.related_join(a, b, "gid", "other")
+
+
 @query("""SELECT o_orderkey, 'o:' || o_orderkey AS wanted FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""")
 def locate_miss(spark, d):
     have = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
@@ -276,6 +293,13 @@ def xref_expand(spark, d):
     return rows.select("l_orderkey", F.explode(F.sequence(F.col("l_linenumber").cast("long"), (F.col("l_linenumber") + 2).cast("long"))).alias("cited"))
 
 
+@query("""SELECT l_orderkey, (l_linenumber + i)::BIGINT AS cited FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), unnest(range(0, 3)) AS u(i)""")
+def xref_expand_all(spark, d):
+    """The ranges of every line."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    return rows.select("l_orderkey", F.explode(F.sequence(F.col("l_linenumber").cast("long"), (F.col("l_linenumber") + 2).cast("long"))).alias("cited"))
+
+
 @query("""WITH b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS word FROM benchmark), dw AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS word FROM documents)
 SELECT item_id, doc_id, count(*)::BIGINT AS n FROM b JOIN dw USING (word) GROUP BY ALL""")
 def mention_join(spark, d):
