@@ -3,10 +3,10 @@
 The model codes a text's tokens as bytes: each word (A-Z lower-cased) and a space, then an end byte; before the first
 stand end bytes as context. A byte is eight binary decisions, one node of 255 for each prefix of bits; each has a context
 tree over the DEPTH bytes before. At every context the Krichevsky-Trofimov estimate of its counts and the product of
-its children's are weighted one half each, so that all depths are mixed. Counts are of all training texts. A context is
-kept where it holds 1/MAX_CONTEXTS of the training bytes or more, so at most MAX_CONTEXTS a depth; what the others hold
-stays exact in their parent, as one more child, a leaf. That bounds the tables for any corpus (32,768 contexts of 256
-bytes at each depth), and so they are broadcast. Code length a byte is -score / n_bytes.
+its children's are weighted one half each, so that all depths are mixed. Counts are of all training texts. Every
+context that was seen is kept, so the tree grows with the corpus. The tree is never in one place: byte strings lie in
+buckets by their contexts' nearest bytes (context_table), a bucket answers the distinct byte strings of each part of the
+texts, and the answers meet the part's texts by a shuffle. Code length a byte is -score / n_bytes.
 
 Base: add-one estimates of words. Words with 2^-18 of all tokens or more, so at most 2^18, are broadcast; the others meet
 their counts in a shuffled join, as their number grows with the corpus. Words are told apart by 64-bit hashes.
@@ -19,16 +19,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .bytesnp import Words, chunks
+from .context_table import MIN_COUNT, SPLIT, bucket, logs, pieces, subtrees, top
+from .estimates import log_kt
 
 DEPTH = 5
-MAX_CONTEXTS = 1 << 15
 HEAD = 1 << 18
 END = 10
+#: A part ends at so many distinct byte strings or so many bytes; a chunk stays whole.
+PART_GRAMS = 1_000_000
+PART_BYTES = 1 << 26
+PARTS_DDL = "kind int, part long, bucket int, key long, n long, keys binary, counts binary, doc_id long, text string"
+PARTS = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("bucket", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("doc_id", pa.int64()), ("text", pa.string())])
 
 
 def stream(w: Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,54 +76,140 @@ def _grams(out: np.ndarray, coded: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _count_rows(depth: int):
-    """(kind, key, n): kind 0 for byte strings of depth + 1, 1 for words, 2 for texts."""
+    """Rows of PARTS: kind 0 for a bucket of a part's byte strings of depth + 1, 1 for words, 2 for texts, 3 for a text.
+
+    A part is a run of texts with about PART_GRAMS distinct byte strings; n counts training texts only.
+    """
 
     def merge(parts):
         keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
         return [(keys, np.bincount(inverse, weights=np.concatenate([n for _, n in parts])).astype(np.int64))]
 
-    def rows(kind, parts):
+    def batch(rows, **columns):
+        return pa.record_batch([columns.get(f.name, pa.nulls(rows, f.type)) for f in PARTS], schema=PARTS)
+
+    def of_kind(kind, n):
+        return pa.array(np.full(n, kind, np.int32))
+
+    def grams(parts, part):
+        for keys, n in merge(parts) if parts else []:
+            at = bucket(keys)
+            order = np.argsort(at, kind="stable")
+            names, first = np.unique(at[order], return_index=True)
+            cut = lambda x: pa.array([y.tobytes() for y in np.split(x[order], first[1:])], pa.binary())
+            yield batch(len(names), kind=of_kind(0, len(names)), part=pa.array(np.full(len(names), part)), bucket=pa.array(names.astype(np.int32)), keys=cut(keys), counts=cut(n))
+
+    def words(parts):
         for keys, n in merge(parts) if parts else []:
             for a in range(0, len(keys), 100_000):
                 k = keys[a : a + 100_000]
-                yield pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[a : a + 100_000])], names=["kind", "key", "n"])
+                yield batch(len(k), kind=of_kind(1, len(k)), key=pa.array(k), n=pa.array(n[a : a + 100_000]))
 
     def run(batches):
-        texts, parts, held = 0, ([], []), [0, 0]
+        part = TaskContext.get().partitionId() << 24
+        texts, parts, held, size = 0, ([], []), [0, 0], 0
         for b in batches:
-            texts += b.num_rows
-            for _, data, off in chunks(b.column(0)):
+            learn = np.asarray(b.column(2).fill_null(False))
+            texts += int(learn.sum())
+            for at, data, off in chunks(b.column(1)):
                 w = Words(data, off)
+                rows = len(off) - 1
                 out, bounds = stream(w, depth)
-                parts[0].append(np.unique(_grams(out, _scored(bounds, depth, len(out)), depth), return_counts=True))
-                parts[1].append(np.unique(w.hashes().view(np.int64), return_counts=True))
+                coded, taught = _scored(bounds, depth, len(out)), learn[at : at + rows]
+                code, of_train = _grams(out, coded, depth), np.repeat(taught, np.diff(bounds))[coded]
+                parts[0].append(np.unique(code[of_train], return_counts=True))
+                other = np.unique(code[~of_train])
+                parts[0].append((other, np.zeros(len(other), np.int64)))
+                parts[1].append(np.unique(w.hashes().view(np.int64)[taught[w.row]], return_counts=True))
+                yield batch(rows, kind=of_kind(3, rows), part=pa.array(np.full(rows, part)), doc_id=b.column(0).slice(at, rows).cast(pa.int64()), text=b.column(1).slice(at, rows).cast(pa.string()))
+                size += len(out)
+                held = [held[0] + len(parts[0][-2][0]) + len(other), held[1] + len(parts[1][-1][0])]
                 for j in (0, 1):
-                    held[j] += len(parts[j][-1][0])
-                    if held[j] > 1_500_000:
+                    if held[j] > 1.5 * PART_GRAMS:
                         parts[j][:] = merge(parts[j])
                         held[j] = len(parts[j][0][0])
-                        if held[j] > 1_000_000:
-                            yield from rows(j, parts[j])
-                            parts[j].clear()
-                            held[j] = 0
-        for j in (0, 1):
-            yield from rows(j, parts[j])
-        yield pa.record_batch([pa.array([2], type=pa.int32()), pa.array([0], type=pa.int64()), pa.array([texts], type=pa.int64())], names=["kind", "key", "n"])
+                if held[0] > PART_GRAMS and len(parts[0]) == 1 or size > PART_BYTES:
+                    yield from grams(parts[0], part)
+                    parts[0].clear()
+                    part, held[0], size = part + 1, 0, 0
+                if held[1] > PART_GRAMS and len(parts[1]) == 1:
+                    yield from words(parts[1])
+                    parts[1].clear()
+                    held[1] = 0
+        yield from grams(parts[0], part)
+        yield from words(parts[1])
+        yield batch(1, kind=of_kind(2, 1), key=pa.array([0]), n=pa.array([texts]))
 
     return run
 
 
-def _lgamma(x: np.ndarray) -> np.ndarray:
-    """log Gamma for x > 0: eight steps up, then Stirling's series."""
-    up = np.zeros_like(x)
-    y = x.copy()
-    for _ in range(8):
-        low = y < 8
-        if not low.any():
-            break
-        up[low] += np.log(y[low])
-        y[low] += 1
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - up
+def _numbers(column, kind=np.int64) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _flat(batches):
+    """(kind, key, n) of rows of PARTS."""
+    for b in batches:
+        own = b.filter(pc.greater(b.column(0), 0))
+        yield pa.record_batch([own.column(0), own.column(1), own.column(2)], names=["kind", "key", "n"])
+        keys, n = (_numbers(b.column(i).drop_null()) for i in (3, 4))
+        yield pa.record_batch([pa.array(np.zeros(len(keys), np.int32)), pa.array(keys), pa.array(n)], names=["kind", "key", "n"])
+
+
+def _sum_rows(keys: np.ndarray, *values: np.ndarray):
+    key, inverse = np.unique(keys, return_inverse=True)
+    return key, *(np.bincount(inverse, weights=v, minlength=len(key)) for v in values)
+
+
+def _upward(depth: int, least: int):
+    """What the driver needs of a bucket: counts of SPLIT bytes (kind 0), and its subtrees' sums (kind 1)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        keys, n = _sum_rows(_numbers(t["keys"]), _numbers(t["counts"]))
+        found = []
+        for at in pieces(keys[n > 0]):
+            k, m = keys[n > 0][at], n[n > 0][at]
+            key, m3 = _sum_rows(k & ((1 << 8 * min(SPLIT, depth + 1)) - 1), m)
+            found.append((np.zeros(len(key), np.int32), key, m3, np.zeros(len(key)), np.zeros(len(key))))
+            if depth >= SPLIT:
+                pair, *sums = _sum_rows(*subtrees(k, m, depth, least)[0].rows())
+                found.append((np.ones(len(pair), np.int32), pair, *sums))
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int32), np.zeros(0, np.int64), *[np.zeros(0)] * 3]
+        return pa.table(dict(zip(("kind", "key", "w", "n0", "n1"), columns, strict=True)))
+
+    return run
+
+
+def _downward(depth: int, least: int, shared):
+    """(part, keys, logs) of each part's byte strings of a bucket."""
+
+    def run(t: pa.Table) -> pa.Table:
+        upper = shared.value
+        asked, n = _numbers(t["keys"]), _numbers(t["counts"])
+        keys, sums = _sum_rows(asked, n)
+        found = np.zeros(len(keys), np.float32)
+        for at in pieces(keys):
+            levels = subtrees(keys[at], sums[at], depth, least)
+            for i, level in enumerate(levels):
+                level.spread(levels[i - 1] if i else upper[-1])
+            found[at] = logs([*upper, *levels], keys[at])
+        sizes = np.array([len(x) // 8 for x in t["keys"].to_pylist()])
+        each = found[np.searchsorted(keys, asked)]
+        return pa.table({"part": t["part"], "keys": t["keys"], "logs": pa.array([x.tobytes() for x in np.split(each, np.cumsum(sizes)[:-1])], pa.binary())})
+
+    return run
+
+
+def gram_logs(parts: DataFrame, depth: int = DEPTH, least: int = MIN_COUNT):
+    """(part, keys, logs) of all byte strings, and the broadcast they need until they are read."""
+    grams = parts.filter("kind = 0").select("part", "bucket", "keys", "counts")
+    up = grams.groupBy("bucket").applyInArrow(_upward(depth, least), "kind int, key long, w double, n0 double, n1 double")
+    up = up.groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in ("w", "n0", "n1"))).toArrow()
+    kind, key, w, n0, n1 = (up[c].to_numpy() for c in ("kind", "key", "w", "n0", "n1"))
+    one = kind == 1
+    upper = top(key[~one], w[~one], (key[one], w[one], n0[one], n1[one]), depth, least)
+    shared = parts.sparkSession.sparkContext.broadcast(upper)
+    return grams.groupBy("bucket").applyInArrow(_downward(depth, least, shared), "part long, keys binary, logs binary"), shared
 
 
 def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,10 +222,6 @@ def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(zero, axis=1), np.concatenate(one, axis=1)
 
 
-def _log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - _lgamma(n0 + n1 + 1) - np.log(np.pi)
-
-
 def _byte_logs(p1: np.ndarray) -> np.ndarray:
     """Natural logs of the 256 bytes' probabilities from those of bit 1 at the 255 nodes."""
     out = np.zeros((len(p1), 256))
@@ -160,7 +250,7 @@ class ContextTree:
         # Upwards: log of the weighted probability of each kept context, and the log ratio of own estimate to children.
         ratio, rest_counts, weighted = [None] * (depth + 1), [None] * (depth + 1), None
         for d in range(depth, -1, -1):
-            own = _log_kt(*_bits(levels[d][1].astype(float)))
+            own = log_kt(*_bits(levels[d][1].astype(float)))
             if d == depth:
                 weighted = own
                 continue
@@ -170,7 +260,7 @@ class ContextTree:
                 np.subtract.at(rest, parent[d + 1], levels[d + 1][1].astype(float))
                 np.add.at(below, parent[d + 1], weighted)
             r0, r1 = _bits(np.maximum(rest, 0))
-            below += _log_kt(r0, r1)
+            below += log_kt(r0, r1)
             rest_counts[d] = ((r1 + 0.5) / (r0 + r1 + 1)).astype(np.float32)
             ratio[d] = (own - below).astype(np.float32)
             weighted = np.logaddexp(own, below) - np.log(2)
@@ -207,14 +297,20 @@ class ContextTree:
         return self.logs[node, out]
 
 
+def count_parts(docs: DataFrame, training: Column, text: str = "text", id_col: str = "doc_id", depth: int = DEPTH) -> DataFrame:
+    """Rows of PARTS for all rows of docs, written once."""
+    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), training.alias("training"))
+    return materialize(docs.sparkSession, picked.mapInArrow(_count_rows(depth), PARTS_DDL), "lm-parts")
+
+
 def train_counts(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
-    """(kind, key, n) summed over all rows of docs, written once."""
-    parts = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(_count_rows(depth), "kind int, key long, n long")
-    return materialize(docs.sparkSession, parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
+    """(kind, key, n) summed over all rows of docs."""
+    parts = count_parts(docs.withColumn("_id", F.lit(0)), F.lit(True), text, "_id", depth).filter("kind < 3")
+    return parts.select("kind", "key", "n", "keys", "counts").mapInArrow(_flat, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def context_tree(counts: DataFrame, depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS) -> ContextTree:
-    """The tree from counted byte strings; each depth sends at most max_contexts * 256 counts to the driver."""
+def context_tree(counts: DataFrame, depth: int = DEPTH, max_contexts: int = 1 << 15) -> ContextTree:
+    """The tree in memory, of contexts with 1/max_contexts of the bytes or more; for corpora that one machine holds."""
     grams = counts.filter("kind = 0")
     total = grams.agg(F.sum("n")).first()[0] or 0
     levels, known = [], None
@@ -238,58 +334,64 @@ def context_tree(counts: DataFrame, depth: int = DEPTH, max_contexts: int = MAX_
     return ContextTree(levels)
 
 
-def _score_rows(shared):
-    def run(batches):
-        tree, heads, logs = shared.value
-        for b in batches:
-            for at, data, off in chunks(b.column(1)):
-                w = Words(data, off)
-                rows = len(off) - 1
-                out, bounds = stream(w, tree.depth)
-                lp = tree.code_lengths(out).astype(np.float64)
-                lp[~_scored(bounds, tree.depth, len(out))] = 0.0
-                sums = np.concatenate([[0.0], np.cumsum(lp)])
-                score = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.log(10)
-                h = w.hashes().view(np.int64)
-                place = np.minimum(np.searchsorted(heads, h), max(0, len(heads) - 1))
-                hit = heads[place] == h if len(heads) else np.zeros(len(h), dtype=bool)
-                base, n_known = np.zeros(rows), np.zeros(rows, np.int64)
-                np.add.at(base, w.row[hit], logs[place[hit]] if len(heads) else 0.0)
-                np.add.at(n_known, w.row[hit], 1)
-                miss_row, miss = w.row[~hit], h[~hit]
-                order = np.lexsort((miss, miss_row))
-                miss_row, miss = miss_row[order], miss[order]
-                new = np.ones(len(miss), dtype=bool)
-                new[1:] = (miss[1:] != miss[:-1]) | (miss_row[1:] != miss_row[:-1])
-                starts = np.flatnonzero(new)
-                times = np.diff(np.concatenate([starts, [len(miss)]])).astype(np.int32)
-                offsets = np.searchsorted(miss_row[starts], np.arange(rows + 1)).astype(np.int32)
-                yield pa.record_batch(
-                    [b.column(0).slice(at, rows).cast(pa.int64()), pa.array(np.diff(w.first).astype(np.int64) + 1), pa.array((bounds[1:] - bounds[:-1] - tree.depth).astype(np.int64)), pa.array(base), pa.array(n_known), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), pa.array(miss[starts])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(times))],
-                    names=["doc_id", "n_tokens", "n_bytes", "head", "n_known", "score", "keys", "times"],
-                )
+def _score_part(shared, depth: int):
+    def batches(docs: pa.Table, values: pa.Table):
+        heads, logs = shared.value
+        known, lp_known = _numbers(values["keys"]), _numbers(values["logs"], np.float32)
+        order = np.argsort(known)
+        known, lp_known = known[order], lp_known[order].astype(np.float64)
+        for at, data, off in chunks(docs["text"]):
+            w = Words(data, off)
+            rows = len(off) - 1
+            out, bounds = stream(w, depth)
+            coded = _scored(bounds, depth, len(out))
+            lp = np.zeros(len(out))
+            lp[coded] = lp_known[np.searchsorted(known, _grams(out, coded, depth))]
+            sums = np.concatenate([[0.0], np.cumsum(lp)])
+            score = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.log(10)
+            h = w.hashes().view(np.int64)
+            place = np.minimum(np.searchsorted(heads, h), max(0, len(heads) - 1))
+            hit = heads[place] == h if len(heads) else np.zeros(len(h), dtype=bool)
+            base, n_known = np.zeros(rows), np.zeros(rows, np.int64)
+            np.add.at(base, w.row[hit], logs[place[hit]] if len(heads) else 0.0)
+            np.add.at(n_known, w.row[hit], 1)
+            miss_row, miss = w.row[~hit], h[~hit]
+            order = np.lexsort((miss, miss_row))
+            miss_row, miss = miss_row[order], miss[order]
+            new = np.ones(len(miss), dtype=bool)
+            new[1:] = (miss[1:] != miss[:-1]) | (miss_row[1:] != miss_row[:-1])
+            starts = np.flatnonzero(new)
+            times = np.diff(np.concatenate([starts, [len(miss)]])).astype(np.int32)
+            offsets = np.searchsorted(miss_row[starts], np.arange(rows + 1)).astype(np.int32)
+            yield pa.record_batch(
+                [docs["doc_id"].slice(at, rows).combine_chunks(), pa.array(np.diff(w.first).astype(np.int64) + 1), pa.array((bounds[1:] - bounds[:-1] - depth).astype(np.int64)), pa.array(base), pa.array(n_known), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), pa.array(miss[starts])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(times))],
+                names=["doc_id", "n_tokens", "n_bytes", "head", "n_known", "score", "keys", "times"],
+            )
+
+    def run(docs: pa.Table, values: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(batches(docs, values)))
 
     return run
 
 
-def score(docs: DataFrame, training: Column, text: str = "text", id_col: str = "doc_id", depth: int = DEPTH) -> DataFrame:
+def score(docs: DataFrame, training: Column, text: str = "text", id_col: str = "doc_id", depth: int = DEPTH, least: int = MIN_COUNT) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes of each row; `training` picks the rows to learn from."""
     spark = docs.sparkSession
-    counts = train_counts(docs.filter(training), text, depth)
-    tree = context_tree(counts, depth)
-    words = counts.filter("kind = 1")
-    texts = counts.filter("kind = 2").agg(F.sum("n")).first()[0] or 0
+    parts = count_parts(docs, training, text, id_col, depth)
+    words = materialize(spark, parts.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "lm-words")
+    texts = parts.filter("kind = 2").agg(F.sum("n")).first()[0] or 0
     n_words, n_kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, kinds = n_words + texts, n_kinds + (texts > 0)
     head = words.filter(F.col("n") * HEAD >= F.lit(total)).select("key", "n").toArrow()
     keys, n = head["key"].to_numpy(), head["n"].to_numpy()
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((tree, keys[order].astype(np.int64), np.log10(n[order] + 1.0)))
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    shared = spark.sparkContext.broadcast((keys[order].astype(np.int64), np.log10(n[order] + 1.0)))
+    values, upper = gram_logs(parts, depth, least)
     schema = "doc_id long, n_tokens long, n_bytes long, head double, n_known long, score double, keys array<long>, times array<int>"
-    del tree
-    rows = materialize(spark, picked.mapInArrow(_score_rows(shared), schema).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    whole = parts.filter("kind = 3").select("part", "doc_id", "text").groupBy("part").cogroup(values.groupBy("part"))
+    rows = materialize(spark, whole.applyInArrow(_score_part(shared, depth), schema).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
     shared.destroy()  # the rows are written
+    upper.destroy()
     tail = rows.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
     rare = words.filter(F.col("n") * HEAD < F.lit(total)).select("key", "n")
     found = tail.join(rare.hint("merge"), "key").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("tail"), F.sum("times").alias("more"))

@@ -1,0 +1,37 @@
+"""The bucketed context table against the tree in memory."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexforge.llm import lm_scoring
+
+from test_operators import SCHEMA, corpus, low, words
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA)
+
+
+@pytest.mark.parametrize("least", [1, 3])
+def test_scores_equal_a_tree_of_all_contexts(docs, least):
+    """Contexts far below 2^-15 of the bytes count at their own depth."""
+    learn = F.col("doc_id") % 3 != 0
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs.repartition(5), learn, least=least).collect()}
+    counts = lm_scoring.train_counts(docs.filter(learn))
+    total = counts.filter("kind = 0").agg(F.sum("n")).first()[0]
+    tree = lm_scoring.context_tree(counts, max_contexts=total / least)
+    for r in corpus():
+        out = np.frombuffer(("\n" * 5 + "".join(w + " " for w in words(low(r[1]))) + "\n").encode(), np.uint8)
+        want = tree.code_lengths(out)[5:].astype(float).sum() / np.log(10)
+        assert abs(got[r[0]] - want) < 1e-4 * max(1, -want)
+
+
+def test_rare_contexts_do_not_depend_on_the_rest(spark):
+    """A rare source's own contexts are kept however much text another source adds."""
+    rare = [(i, "zyx qwv zyx kjh", True) for i in range(3)]
+    hot = [(10 + i, "the same line again " * 800, True) for i in range(60)]
+    of = lambda rows: {r["doc_id"]: r["score"] for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string, t boolean"), F.col("t")).collect()}
+    alone, mixed = of(rare), of([*rare, *hot])
+    assert mixed[0] > 1.6 * alone[0]
