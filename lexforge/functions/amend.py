@@ -18,11 +18,31 @@ def kind(sentence: Column) -> Column:
     return F.when(sentence.rlike(REPEALS), "repeal").when(sentence.rlike(AMENDS), "amend")
 
 
+#: Greek numerals of 1 to 89, in order.
+_NUMERALS = [t + u for t in ["", *"ικλμνξοπ"] for u in ["", "α", "β", "γ", "δ", "ε", "στ", "ζ", "η", "θ"]][1:]
+
+
 def labels(listed: Column) -> Column:
-    """Numbers and numerals of a list such as `2 και 4`; `3α` is 3.α; other words go."""
-    parts = F.transform(F.split(listed, r"\s*,\s*|\s+και\s+|\s+"), lambda x: F.replace(x, F.lit("΄"), F.lit("")))
+    """Numbers and numerals of a list such as `2 και 4`; `3α` is 3.α; other words go.
+
+    `2 έως 5` is 2, 3, 4, 5, and so with numerals; ends that don't rise or lie 50 or more apart stay the two ends.
+    """
+    joined = F.regexp_replace(listed, r"(?iu)\s*έως\s*", "-")
+    parts = F.transform(F.split(joined, r"\s*,\s*|\s+και\s+|\s+"), lambda x: F.replace(x, F.lit("΄"), F.lit("")))
     one = lambda x: F.when(x.rlike(r"^\d+$"), x).when(x.rlike(r"^\d+[α-ω]$"), F.regexp_replace(x, r"^(\d+)", "$1.")).when(numeral(x).isNotNull(), x)
-    return F.array_compact(F.transform(parts, one))
+    names = F.array(*(F.lit(x) for x in _NUMERALS))
+
+    def expand(x: Column) -> Column:
+        ends = F.split(x, "-")
+        first, last = F.element_at(ends, 1), F.element_at(ends, -1)
+        rises = lambda lo, hi: (F.size(ends) == 2) & (lo <= hi) & (hi - lo < 50)
+        lo, hi = F.regexp_extract(first, r"^(\d{1,9})$", 1).try_cast("int"), F.regexp_extract(last, r"^(\d{1,9})$", 1).try_cast("int")
+        low, high = numeral(first).cast("int"), numeral(last).cast("int")
+        numbers = F.when(rises(lo, hi), F.transform(F.sequence(lo, hi), lambda i: i.cast("string")))
+        letters = F.when(rises(low, high) & (high <= len(_NUMERALS)), F.slice(names, low, high - low + 1))
+        return F.coalesce(numbers, letters, F.transform(ends, one))
+
+    return F.array_compact(F.flatten(F.transform(parts, expand)))
 
 
 def article(sentence: Column) -> Column:
