@@ -1,9 +1,8 @@
-"""Session helpers: reading tables, and the folder that all executors share."""
+"""Session helpers: reading tables, the folder that all executors share, and tables written on the way."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; set to a new local one only where it is unset (local tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir. Without one, a local master gets a folder below its warehouse; on a cluster that
+    is an error, as each executor would write to its own disk."""
     sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
-        at = sc.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="lexforge-")
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_stages")
         sc.setCheckpointDir(at)
     return at
 
@@ -33,5 +33,33 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file system, wherever it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Tables written on the way to a result, in one folder that goes when the block ends. `keep` writes the result."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = os.path.join(shared_dir(spark), f"scratch-{uuid.uuid4().hex}")
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = os.path.join(self.path, f"{name}-{uuid.uuid4().hex[:8]}")
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(self.spark, df, name)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        remove(self.spark, self.path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
