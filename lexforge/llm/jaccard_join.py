@@ -1,29 +1,38 @@
 """N-gram Jaccard join (operator 2): exact, by partitioning the universe of shingles and the pigeonhole principle.
 
 Two sets of x and y shingles with Jaccard similarity t or more differ in at most H = (x + y)(1 - t)/(1 + t) shingles.
-Shingle hashes are cut into the segments of a size band (`band`), the same for both sets; each difference spoils one
-segment, so of more than H segments one must be equal. A document indexes the hash of the subset it has in a segment.
+Shingle hashes are cut into the segments of a size band (`band_edges`), the same for both sets; each difference spoils
+one segment, so of more than H segments one must be equal. A document indexes the hash of the subset it has in a segment.
 
 Allocation by cost, for each document: an empty segment's list would hold most of the band, so it gets no signature;
-non-empty ones are taken in the order of segments until there are H + 1 and a reserve (`RESERVE`) of them. Of a pair, the
+non-empty ones are taken in the order of segments until there are H + 1 and a reserve (`reserve`) of them. Of a pair, the
 document that stops first has H + 1 + reserve signatures before that place, of which at most H are spoilt: so the
 pair shares reserve + 1 signatures at least, and pairs that share fewer are dropped before verification. A signature
-in over `LONG` documents is skipped while the reserve covers it, with the floor lowered by one. Documents whose reserve
-is used up that way (short texts around a common passage, large groups of near copies) are allotted the smallest
-segments there are, single shingles, all of them, in an index of their own. There a pair that shares a short list is a
-candidate by it, and any other has its whole overlap in long lists, 3/4 of each document at least. Documents with that
-many long shingles meet each list's pivot, the one with the largest share of long shingles, and then those outside
-their component with which long shingles are enough and that the triangle inequality over shared pivots leaves.
-The document of a pair that stops first counts; so a document is used up already where a smaller partner would be.
-Documents whose band leaves them too few non-empty segments (seldom) index single shingles in an extra space.
+in over `LONG` documents is skipped while the reserve covers it, with the floor lowered by one. Should a document have
+fewer non-empty segments than that (seldom), all are cut anew by another seed.
+
+Documents whose reserve is used up that way (short texts around a common passage, large groups of near copies) are
+allotted the smallest segments there are, single shingles, all of them, in an index of their own. There a pair that shares
+a short list is a candidate by it, and any other has its whole overlap in long lists, 3/4 of each document at least.
+Of a document's l long shingles, rarest first, l - 3n/4 + 1 are enough to meet. Each list's pivot, the document with the
+largest share of long shingles, is measured against all of the list; components contract; and then a document outside
+its list's largest component is measured against those of other components that the pivot leaves: with o long
+shingles in common with the pivot and e others, two documents share min(o, o') + min(e, e') at most. Profiles (n, o, e)
+meet before documents do, so equal profiles cost one comparison.
+
 One-deletion neighbourhoods aren't built: one buys two units of difference for 1 + |segment| signatures; at two to three
-shingles a segment two exact subsets are cheaper.
+shingles a segment two exact subsets are cheaper (measured, see README).
 
-Candidates are verified on whole sets of 64-bit shingle hashes: 100 * common >= 75 * union, in integers.
+Signatures travel packed: each chunk of texts sends one row of bytes to a bucket, 6 bytes of signature and the ids' byte
+planes. A bucket's lists are found by sorting in numpy, block by block; a list that outgrows LONG streams out, so memory
+doesn't grow with a signature's documents. Candidates are verified on whole sets of 64-bit shingle hashes:
+100 * common >= 75 * union, in integers.
 
 Defined results: null and empty texts and texts without words have no set and link with nothing; equal sets are one
-class, found by digest and represented by its smallest doc_id; rows that repeat a doc_id are one document (the union
-of nothing: the first digest stands); an empty table gives no rows; extra columns aren't read.
+class, found by digest and represented by its smallest doc_id. Where ids repeat or are null, rows are joined as rows:
+each row keeps its own n_shingles, rows of one id are one node of the graph, and a null id is a node without a name, so
+component_id is the smallest id in reach, null where there is none. An empty table gives no rows; extra columns aren't
+read, whatever their names; ties don't matter, as components don't depend on order.
 """
 
 from __future__ import annotations
@@ -33,69 +42,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, shuffle_partitions
+from ..session import Scratch, shuffle_partitions
 from .bytesnp import U64, _mix, chunks, shingle_sets
 from .components import components
 from .joins import skew_left_join, without_ids
 
-#: Bands grow by (4/3)^2, so a set within 3/4 of another lies in its band or the next.
 LONG = 32
 SMALL_BAND = 300
+#: Signatures a bucket holds before it settles its lists.
+BLOCK = 4_000_000
+#: Pairs of short lists made at a time.
+PAIRS = 1_000_000
 
 
 def band_edges(limit: int = 1 << 40) -> np.ndarray:
+    """Bands grow by (4/3)^2, so a set within 3/4 of another lies in its band or the next."""
     edges = [1]
     while edges[-1] < limit:
         edges.append(max(edges[-1] + 1, edges[-1] * 16 // 9))
     return np.array(edges, dtype=np.int64)
 
 
-def segments_of(upper: int) -> int:
-    """Segments of the band that ends before `upper`: 5/8 of a segment a shingle at the top; single shingles in small
-    bands. So need + reserve non-empty segments are there but for odds of about 1e-12 a document."""
-    return 1 << 32 if upper <= SMALL_BAND else upper * 5 // 8
-
-
 def reserve(need: int) -> int:
     return max(4, need // 8)
 
 
-def _segment_signatures(s: np.ndarray, m: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the non-empty segments of one sorted set, in the order of segments."""
-    seg = s >> U64(32) if m >= 1 << 32 else ((s >> U64(32)) * U64(m)) >> U64(32)
-    starts = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]])) if len(seg) else np.zeros(0, np.int64)
-    sums = np.add.reduceat(_mix(s + U64(0x632BE59BD9B4E019)), starts) if len(starts) else np.zeros(0, U64)
-    return _mix(sums ^ (seg[starts] * U64(0x9E3779B97F4A7C15)) ^ U64((salt * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF)), starts
+def _segment_signatures(s: np.ndarray, upper: int, salt: int) -> np.ndarray:
+    """Signatures of the non-empty segments of one sorted set, in the order of segments.
+
+    A band that ends at `upper` has 5/8 of a segment for each shingle of its largest set, small bands one for each
+    possible shingle; so H + 1 + reserve non-empty ones are there but for odds of about 1e-12 a document.
+    """
+    tag = U64((salt * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF)
+    if upper <= SMALL_BAND:
+        return _mix(s ^ tag)
+    seg = ((s >> U64(32)) * U64(upper * 5 // 8)) >> U64(32)
+    starts = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
+    sums = np.add.reduceat(_mix(s + U64(0x632BE59BD9B4E019)), starts)
+    return _mix(sums ^ (seg[starts] * U64(0x9E3779B97F4A7C15)) ^ tag)
 
 
-def signatures(s: np.ndarray, edges: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """[(signatures, reserve that a pair must leave)] of one set: its own band, and the one below if it reaches there."""
+def signatures(s: np.ndarray, edges: np.ndarray, seed: int = 0) -> list[np.ndarray] | None:
+    """Signatures of one set: in its own band, and in the one below if it reaches there; None if segments are too few."""
     n = len(s)
+    if seed:
+        s = np.sort(_mix(s + U64(seed)))
     k = int(np.searchsorted(edges, n, side="right")) - 1
     out = []
-    poor = []
     for band in (k, k - 1):
         if band < 0:
             continue
         upper = int(edges[band + 1])  # first size above the band
-        largest = upper - 1
         if band == k:
             need = n // 3 + 1
+        elif 3 * n > 4 * (upper - 1):
+            continue
         else:
-            if 3 * n > 4 * largest:
-                continue
-            need = (largest + n) // 7 + 1
-        sig, _ = _segment_signatures(s, segments_of(upper), band)
-        extra = reserve(need)
-        if len(sig) < need:
-            poor.append((band, need))
-        out.append((sig[: need + extra], max(0, min(len(sig), need + extra) - need)))
-    for band, need in poor:
-        sig, _ = _segment_signatures(s, 1 << 32, band + 1000)
-        out.append((sig[: need + 4], max(0, min(len(sig), need + 4) - need)))
+            need = (upper - 1 + n) // 7 + 1
+        sig = _segment_signatures(s, upper, band)
+        most = need + reserve(need)
+        if len(sig) < min(most, n):
+            return None
+        out.append(sig[:most])
     return out
 
 
+def least_reserve(n):
+    """The reserve that a set of n, or one within 3/4 of it, has at least; n is a column."""
+    small = F.ceil(n * 3 / 4)
+    return F.least(F.greatest(F.lit(4), F.floor((F.floor(small / 3) + 1) / 8)), small - F.floor(small / 3) - 1)
+
+
 def _digest_rows(width: int):
     def run(batches):
         for b in batches:
@@ -111,42 +128,66 @@ def _digest_rows(width: int):
     return run
 
 
-def _signature_rows(width: int):
+def _packed(sig: np.ndarray, doc: np.ndarray, buckets: int, wide: int):
+    """Rows (bucket, sigs, docs): the `wide` high bytes of each signature, and the ids' byte planes."""
+    at = ((sig & U64(0xFFFFFFFF)) % U64(buckets)).astype(np.int32)
+    order = np.argsort(at, kind="stable")
+    names, first = np.unique(at[order], return_index=True)
+    ends = [*first[1:].tolist(), len(at)]
+    high = sig[order].view(np.uint8).reshape(-1, 8)[:, 8 - wide :]
+    ids = doc[order].view(np.uint8).reshape(-1, 8)
+    spans = list(zip(first.tolist(), ends, strict=True))
+    return pa.record_batch([pa.array(names), pa.array([high[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([ids[a:b].T.tobytes() for a, b in spans], pa.binary())], names=["bucket", "sigs", "docs"])
+
+
+def _unpacked(sigs: bytes, docs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(docs) // 8
+    ids = np.ascontiguousarray(np.frombuffer(docs, np.uint8).reshape(8, n).T).view(np.int64).ravel()
+    wide = len(sigs) // n
+    high = np.zeros((n, 8), np.uint8)
+    high[:, 8 - wide :] = np.frombuffer(sigs, np.uint8).reshape(n, wide)
+    return high.view(np.int64).ravel(), ids
+
+
+PACKED = "bucket int, sigs binary, docs binary"
+
+
+def _signature_rows(width: int, buckets: int, seed: int):
+    """Packed signatures; bucket -1 has the ids of documents with too few segments."""
+
     def run(batches):
         edges = band_edges()
         for b in batches:
             for at, data, off in chunks(b.column(1)):
                 s, bounds = shingle_sets(data, off, width)
-                ids = b.column(0).slice(at, len(off) - 1).cast(pa.int64()).to_numpy(zero_copy_only=False)
-                sig, doc, spare, space = [], [], [], []
-                for r in range(len(off) - 1):
-                    one = s[bounds[r] : bounds[r + 1]]
-                    if len(one):
-                        for j, (x, left) in enumerate(signatures(one, edges)):
-                            sig.append(x)
-                            doc.append((ids[r], len(one), left, len(x)))
+                ids = b.column(0).slice(at, len(off) - 1).to_numpy(zero_copy_only=False)
+                sig, doc, poor = [], [], []
+                for r in np.flatnonzero(np.diff(bounds)).tolist():
+                    found = signatures(s[bounds[r] : bounds[r + 1]], edges, seed)
+                    if found is None:
+                        poor.append(ids[r])
+                        continue
+                    sig += found
+                    doc += [(ids[r], len(x)) for x in found]
                 if sig:
-                    lens = np.array([d[3] for d in doc])
-                    col = lambda i, t: np.repeat(np.array([d[i] for d in doc], dtype=t), lens)
-                    yield pa.record_batch([pa.array(np.concatenate(sig).view(np.int64)), pa.array(col(0, np.int64)), pa.array(col(1, np.int32)), pa.array(col(2, np.int32))], names=["sig", "doc", "n", "spare"])
+                    yield _packed(np.concatenate(sig), np.repeat(*(np.array(x, np.int64) for x in zip(*doc, strict=True))), buckets, 6)
+                if poor:
+                    bad = np.array(poor, np.int64)
+                    yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([bytes(6 * len(bad))], pa.binary()), pa.array([bad.view(np.uint8).reshape(-1, 8).T.tobytes()], pa.binary())], names=["bucket", "sigs", "docs"])
 
     return run
 
 
-def _single_rows(width: int):
-    """Every shingle of a set as a segment of its own; `spare` is negated (-1 - spare) beyond the first H + 1."""
+def _single_rows(width: int, buckets: int):
+    """Every shingle of a set as a segment of its own."""
 
     def run(batches):
         for b in batches:
             for at, data, off in chunks(b.column(1)):
                 s, bounds = shingle_sets(data, off, width)
-                n = np.diff(bounds)
-                ids = b.column(0).slice(at, len(n)).cast(pa.int64()).to_numpy(zero_copy_only=False)
-                need = n // 3 + 1
-                place = np.arange(len(s)) - np.repeat(bounds[:-1], n)
-                spare = np.repeat(n - need, n)
-                spare = np.where(place < np.repeat(need, n), spare, -1 - spare)
-                yield pa.record_batch([pa.array(s.view(np.int64)), pa.array(np.repeat(ids, n)), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(spare.astype(np.int32))], names=["sig", "doc", "n", "spare"])
+                if len(s):
+                    ids = b.column(0).slice(at, len(off) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+                    yield _packed(s, np.repeat(ids, np.diff(bounds)), buckets, 8)
 
     return run
 
@@ -157,111 +198,239 @@ def _set_rows(width: int):
             for at, data, off in chunks(b.column(1)):
                 s, bounds = shingle_sets(data, off, width)
                 sets = pa.LargeListArray.from_arrays(pa.array(bounds.astype(np.int64)), pa.array(s.view(np.int64))).cast(pa.list_(pa.int64()))
-                yield pa.record_batch([b.column(0).slice(at, len(off) - 1).cast(pa.int64()), sets], names=["doc", "shingles"])
+                yield pa.record_batch([b.column(0).slice(at, len(off) - 1), sets], names=["doc", "shingles"])
 
     return run
 
 
-def _lists(batches):
-    """Lists with two documents or more, from rows sorted by signature and document: (sig, doc, n, spare, long).
-
-    A list is held until it ends or passes LONG; from there its rows stream through.
-    """
-    held: list = []
-    sig, is_long = None, False
-    out: list = []
-
-    def flush():
-        if len(held) > 1 and not is_long:
-            out.extend((*x, False) for x in held)
-
-    def emit():
-        cols = list(zip(*out, strict=True))
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-        return pa.record_batch([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=["sig", "doc", "n", "spare", "long"])
+LISTS = "kind int, a long, b long, n long"
+
+
+def _list_rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray):
+    for at in range(0, len(a), 100_000):
+        cut = slice(at, at + 100_000)
+        yield pa.record_batch([pa.array(np.full(len(a[cut]), kind, np.int32)), pa.array(a[cut]), pa.array(b[cut]), pa.array(n[cut])], names=["kind", "a", "b", "n"])
+
+
+def _short_pairs(doc: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+    """Rows of kind 0, (a, b, lists that both are in), of lists with 2 to LONG documents, sorted within each."""
+    for k in np.unique(sizes).tolist():
+        of_size = starts[sizes == k]
+        i, j = np.triu_indices(k, 1)
+        step = max(1, PAIRS // len(i))
+        for at in range(0, len(of_size), step):
+            rows = doc[of_size[at : at + step, None] + np.arange(k)]
+            a, b = rows[:, i].ravel(), rows[:, j].ravel()
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            yield from _list_rows(0, a[new], b[new], np.diff(np.concatenate([new, [len(a)]])))
+
+
+def _meet(batches):
+    """Lists of a partition's packed rows: kind 0, pairs of the short ones; kind 1, (signature, document) of the long
+    ones; kind 2, documents of bucket -1."""
+    sigs, docs, held, long = [], [], 0, np.zeros(0, np.int64)
+
+    def settle(last: bool):
+        nonlocal sigs, docs, held, long
+        sig, doc = np.concatenate(sigs), np.concatenate(docs)
+        order = np.lexsort((doc, sig))
+        sig, doc = sig[order], doc[order]
+        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])])
+        sig, doc = sig[new], doc[new]
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(sig)]]))
+        is_long = (sizes > LONG) | np.isin(sig[starts], long)
+        long = np.union1d(long, sig[starts[is_long]])
+        out = np.repeat(is_long, sizes)
+        yield from _list_rows(1, sig[out], doc[out], np.ones(int(out.sum()), np.int64))
+        if last:
+            short = ~is_long & (sizes > 1)
+            yield from _short_pairs(doc, starts[short], sizes[short])
+            sigs, docs = [], []
+        else:
+            sigs, docs = [sig[~out]], [doc[~out]]
+        held = int((~out).sum())
 
+    limit = BLOCK
     for b in batches:
-        s = b.column(0).to_numpy(zero_copy_only=False)
-        if not len(s):
-            continue
-        # Only rows beside a row with the same signature, or at the batch's ends, can matter.
-        same = np.zeros(len(s), dtype=bool)
-        same[1:] |= s[1:] == s[:-1]
-        same[:-1] |= s[1:] == s[:-1]
-        same[0] = same[-1] = True
-        rows = zip(*(c.filter(pa.array(same)).to_pylist() for c in b.columns[:4]), strict=True)
-        for x in rows:
-            if x[0] != sig:
-                flush()
-                held, sig, is_long = [x], x[0], False
-            elif held and held[-1][1] == x[1]:
+        for bucket, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            sig, doc = _unpacked(x, y)
+            if bucket < 0:
+                yield from _list_rows(2, doc, doc, np.ones(len(doc), np.int64))
                 continue
-            elif is_long:
-                out.append((*x, True))
-                held = [x]
-            else:
-                held.append(x)
-                if len(held) > LONG:
-                    is_long = True
-                    out.extend((*h, True) for h in held)
-                    held = [x]
-            if len(out) >= 50_000:
-                yield emit()
-                out = []
-    flush()
-    if out:
-        yield emit()
-
-
-def _short_pairs(batches):
-    """All pairs of the short lists (LONG documents at most each), from rows grouped by signature within a partition."""
-    for b in batches:
-        d = b.to_pydict()
-        a, c = [], []
-        for docs in d["docs"]:
-            docs = sorted(docs, key=lambda x: x["doc"])
-            for i, x in enumerate(docs):
-                for y in docs[i + 1 :]:
-                    if 4 * min(x["n"], y["n"]) >= 3 * max(x["n"], y["n"]):
-                        a.append(x["doc"])
-                        c.append(y["doc"])
-        yield pa.record_batch([pa.array(a, type=pa.int64()), pa.array(c, type=pa.int64())], names=["a", "b"])
-
-
-class Links:
-    """Verifies candidate pairs on the whole sets and keeps the components found so far."""
-
-    def __init__(self, reps: DataFrame, width: int, percent: int):
-        self.reps, self.width, self.percent, self.spark = reps, width, percent, reps.sparkSession
-        self.edges = None
-
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, common, na, nb) of candidate pairs (a, b)."""
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        ids = materialize(self.spark, ids, "jj-ids")
-        want = ids.withColumnRenamed("id", "_want")
+            sigs.append(sig)
+            docs.append(doc)
+            held += len(sig)
+        if held > limit:
+            yield from settle(False)
+            limit = max(BLOCK, 2 * held)
+    if sigs:
+        yield from settle(True)
+
+
+def _copies(deg):
+    return F.floor((deg - 1) / 256).cast("int")
+
+
+def common_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, common) of distinct pairs, from sets (doc, shingles). A document in many pairs is copied, one copy for each
+    256 of them, on either side, so no task holds all of a document's pairs."""
+    for side, other in (("a", "b"), ("b", "a")):
+        deg = pairs.groupBy(side).agg(F.count(F.lit(1)).alias(f"deg_{side}"))
+        pairs = pairs.join(deg, side).withColumn(f"salt_{side}", F.pmod(F.xxhash64(other), _copies(F.col(f"deg_{side}")) + 1).cast("int"))
+    sides = []
+    for side in "ab":
+        deg = pairs.select(side, F.col(f"deg_{side}").alias("deg")).distinct()
+        spread = sets.join(deg, F.col("doc") == F.col(side)).select(side, F.col("shingles").alias(f"s_{side}"), F.explode(F.sequence(F.lit(0), _copies(F.col("deg")))).alias(f"salt_{side}"))
+        sides.append(spread)
+    both = pairs.select("a", "b", "salt_a", "salt_b").join(sides[0], ["a", "salt_a"]).select("a", "b", "salt_b", "s_a").join(sides[1], ["b", "salt_b"])
+    return both.select("a", "b", F.size(F.array_intersect("s_a", "s_b")).alias("common"))
+
+
+class _Join:
+    """One run: the documents that represent their classes, their sizes, and the tables written on the way."""
+
+    def __init__(self, rows: DataFrame, width: int, percent: int, scratch: Scratch):
+        self.rows, self.width, self.percent, self.scratch, self.spark = rows, width, percent, scratch, rows.sparkSession
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        return self.scratch.write(df, f"jj-{name}")
+
+    def linked(self, common, sizes):
+        return (100 + self.percent) * common >= self.percent * sizes
+
+    def only(self, ids: DataFrame) -> DataFrame:
+        """Rows of the ids (one column, written before): broadcast only after counting them."""
+        want = ids.select(F.col(ids.columns[0]).alias("_want"))
         want = F.broadcast(want) if ids.count() <= 1_000_000 else want.hint("merge")
-        docs = self.reps.join(want, F.col("doc_id") == F.col("_want"), "left_semi")
-        sets = materialize(self.spark, docs.mapInArrow(_set_rows(self.width), "doc long, shingles array<long>"), "jj-sets")
-        deg = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
-        # A document in many pairs is copied, one copy for each 256 pairs, so no task holds all of its pairs.
-        left = sets.join(deg, F.col("doc") == F.col("a")).select("a", F.col("shingles").alias("sa"), F.explode(F.sequence(F.lit(0), F.floor((F.col("k") - 1) / 256).cast("int"))).alias("salt"), "k")
-        salted = pairs.join(deg.withColumnRenamed("a", "_a"), F.col("a") == F.col("_a")).select("a", "b", F.pmod(F.xxhash64("b"), F.floor((F.col("k") - 1) / 256) + 1).cast("int").alias("salt"))
-        half = salted.join(left.drop("k"), ["a", "salt"]).join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b")
-        return half.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
-
-    def linked(self) -> F.Column:
-        return 100 * F.col("common") >= self.percent * (F.col("na") + F.col("nb") - F.col("common"))
-
-    def add(self, pairs: DataFrame) -> DataFrame:
-        """Verify pairs, keep the links; returns all that was measured."""
-        done = materialize(self.spark, self.verify(pairs), "jj-verified")
-        new = done.filter(self.linked()).select("a", "b")
-        self.edges = new if self.edges is None else self.edges.unionByName(new)
-        return done
-
-    def labels(self) -> DataFrame:
-        return materialize(self.spark, components(self.edges, "a", "b"), "jj-labels")
+        return self.reps.join(want, F.col("doc_id") == F.col("_want"), "left_semi")
+
+    def classes(self, digests: DataFrame) -> DataFrame:
+        """doc_id, n_shingles, class_id of all documents with a set; sets `reps` and `sizes`."""
+        full = digests.filter("n_shingles > 0").withColumn("key", F.struct("n_shingles", "d1", "d2"))
+        classes = self.write(full.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "classes")
+        self.total = full.count()
+        member = self.write(skew_left_join(full, classes, "key", "copies", self.total).select("doc_id", "n_shingles", "class_id"), "members")
+        others = self.write(member.filter("doc_id <> class_id").select("doc_id"), "others")
+        self.reps = without_ids(self.rows, others)
+        self.sizes = classes.select(F.col("class_id").alias("doc"), F.col("key.n_shingles").alias("n"))
+        self.n_all = classes.agg(F.sum("key.n_shingles")).first()[0] or 0
+        return member
+
+    def lists(self, packed, name: str) -> DataFrame:
+        """Rows of LISTS from a function of the number of buckets that gives packed rows."""
+        parts = max(shuffle_partitions(self.spark), -(-self.n_all // BLOCK))
+        return self.write(packed(8 * parts).repartition(parts, "bucket").mapInArrow(_meet, LISTS), name)
+
+    def used(self, lists: DataFrame, name: str) -> DataFrame:
+        """doc, n and the number of its signatures in long lists."""
+        long = lists.filter("kind = 1").groupBy(F.col("b").alias("doc")).agg(F.count(F.lit(1)).alias("long"))
+        return self.write(self.sizes.join(long, "doc", "left").select("doc", "n", F.coalesce("long", F.lit(0)).alias("long")), name)
+
+    def listed_pairs(self, lists: DataFrame, used: DataFrame, enough) -> DataFrame:
+        """Pairs of the short lists that share as many signatures as a true pair has to (`enough`)."""
+        pairs = lists.filter("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("shared"))
+        for side in "ab":
+            pairs = pairs.join(used.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("long").alias(f"long_{side}")), side)
+        return pairs.filter(enough & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))).select("a", "b", "shared")
+
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """(a, b) of the pairs that link, on whole sets."""
+        ids = self.write(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
+        sets = self.write(self.only(ids).mapInArrow(_set_rows(self.width), "doc long, shingles array<long>"), f"{name}-sets")
+        found = common_of(pairs, sets)
+        for side in "ab":
+            found = found.join(self.sizes.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}")), side)
+        return self.write(found.filter(self.linked(F.col("common"), F.col("n_a") + F.col("n_b"))).select("a", "b"), name)
+
+    def labels(self, *edges: DataFrame) -> DataFrame:
+        every = edges[0]
+        for e in edges[1:]:
+            every = every.unionByName(e)
+        return self.write(components(every, "a", "b"), "labels")
+
+    def links(self) -> DataFrame:
+        """node, component over the representatives."""
+        reps, width = self.reps, self.width
+        for seed in range(64):
+            lists = self.lists(lambda buckets, seed=seed: reps.mapInArrow(_signature_rows(width, buckets, seed), PACKED), "lists")
+            if not lists.filter("kind = 2").limit(1).count():
+                break
+        else:
+            raise RuntimeError("no seed gives every set enough segments")
+        used = self.used(lists, "used")
+        floors = [least_reserve(F.col(f"n_{side}")) + 1 - F.col(f"long_{side}") for side in "ab"]
+        pairs = self.listed_pairs(lists, used, F.col("shared") >= F.least(*floors))
+        # Documents whose reserve the long lists use up: all of their shingles.
+        spent = self.write(used.filter(F.col("long") > least_reserve(F.col("n"))).select("doc"), "spent")
+        again = self.only(spent)
+        singles = self.lists(lambda buckets: again.mapInArrow(_single_rows(width, buckets), PACKED), "singles")
+        used = self.used(singles, "used-singles")
+        most = F.col("shared") + F.least("long_a", "long_b")
+        more = self.listed_pairs(singles, used, self.linked(most, F.col("n_a") + F.col("n_b")))
+        pairs = self.write(pairs.unionByName(more).groupBy("a", "b").agg(F.max("shared").alias("shared")), "pairs")
+        # First each document's best partner, then what lies in different components still.
+        star = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
+        star = self.write(star, "star")
+        long = self.long_shingles(singles, used)
+        measured = self.to_pivots(long)
+        edges = [self.verified(star, "star-links"), measured.filter("linked").select("a", "b")]
+        labels = self.labels(*edges)
+        rest = self.write(_apart(pairs.select("a", "b"), labels).join(star, ["a", "b"], "left_anti"), "rest")
+        edges.append(self.verified(rest, "rest-links"))
+        edges.append(self.long_rest(long, measured, labels))
+        return self.labels(*edges)
+
+    def long_shingles(self, singles: DataFrame, used: DataFrame) -> DataFrame:
+        """(sig, doc, n, l, pivot) of the lists where documents meet whose long shingles may hold a whole overlap; l is
+        the number of a document's long shingles. Sets `long_sets`."""
+        rows = singles.filter("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("doc"))
+        rows = rows.join(used.filter(4 * F.col("long") >= 3 * F.col("n")).select("doc", "n"), "doc")
+        counts = self.write(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "long-counts")
+        rows = rows.join(counts, "sig")
+        # Rarest first, in one order for all documents.
+        place = Window.partitionBy("doc").orderBy("k", "sig")
+        rows = self.write(rows.withColumn("place", F.row_number().over(place)).withColumn("l", F.count(F.lit(1)).over(Window.partitionBy("doc"))).filter(4 * F.col("l") >= 3 * F.col("n")), "long")
+        self.long_sets = self.write(rows.groupBy("doc").agg(F.collect_list("sig").alias("shingles")), "long-sets")
+        rows = rows.filter(F.col("place") <= F.col("l") - F.ceil(F.col("n") * 3 / 4) + 1).select("sig", "doc", "n", "l")
+        pivots = rows.groupBy("sig").agg(F.min_by("doc", F.struct(-F.col("l") / F.col("n"), "n", "doc")).alias("pivot"))
+        return self.write(rows.join(pivots, "sig"), "long-lists")
+
+    def to_pivots(self, long: DataFrame) -> DataFrame:
+        """(a, b, common, linked) of each document b and the pivots a of its lists, on their long shingles."""
+        pairs = self.write(long.filter("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b"), F.col("n").alias("n_b")).distinct(), "pivots")
+        sizes = self.sizes.select(F.col("doc").alias("a"), F.col("n").alias("n_a"))
+        found = common_of(pairs.select("a", "b"), self.long_sets).join(pairs, ["a", "b"]).join(sizes, "a")
+        return self.write(found.select("a", "b", "common", self.linked(F.col("common"), F.col("n_a") + F.col("n_b")).alias("linked")), "measured")
+
+    def long_rest(self, long: DataFrame, measured: DataFrame, labels: DataFrame) -> DataFrame:
+        """(a, b) that link, of documents in a long list that lie in different components."""
+        to_pivot = measured.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), "common")
+        rows = long.join(to_pivot, ["pivot", "doc"], "left").join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left")
+        o = F.coalesce("common", "l")  # a pivot has all of its own
+        rows = rows.select("sig", "doc", "n", o.alias("o"), (F.col("l") - o).alias("e"), F.coalesce("component", "doc").alias("c"))
+        rows = self.write(rows, "open")
+        counts = rows.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("k"))
+        home = counts.groupBy("sig").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("home"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        rows = self.write(rows.join(home.drop("parts"), "sig").withColumn("away", F.col("c") != F.col("home")).drop("home"), "parted")
+        key = ["sig", "n", "o", "e"]
+        profiles = self.write(rows.groupBy(*key).agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.max("away").alias("away")), "profiles")
+        mine = profiles.filter("away").select("sig", *(F.col(c).alias(f"{c}_x") for c in ("n", "o", "e", "c1", "c2")))
+        most = F.least("o", "o_x") + F.least("e", "e_x")
+        apart = ~((F.col("c1") == F.col("c2")) & (F.col("c1") == F.col("c1_x")) & (F.col("c1_x") == F.col("c2_x")))
+        near = (4 * F.least("n", "n_x") >= 3 * F.greatest("n", "n_x")) & self.linked(most, F.col("n") + F.col("n_x"))
+        meet = profiles.join(mine, "sig").filter(apart & near).select(*key, "n_x", "o_x", "e_x")
+        x = rows.filter("away").select("sig", F.col("doc").alias("x"), *(F.col(c).alias(f"{c}_x") for c in ("n", "o", "e", "c")))
+        found = x.join(meet, ["sig", "n_x", "o_x", "e_x"]).join(rows.drop("away"), key).filter("c <> c_x")
+        pairs = found.select(F.least("doc", "x").alias("a"), F.greatest("doc", "x").alias("b")).distinct()
+        done = measured.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = self.write(pairs.join(done, ["a", "b"], "left_anti"), "long-rest")
+        common = common_of(pairs, self.long_sets)
+        for side in "ab":
+            common = common.join(self.sizes.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}")), side)
+        return self.write(common.filter(self.linked(F.col("common"), F.col("n_a") + F.col("n_b"))).select("a", "b"), "long-rest-links")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -270,129 +439,56 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-SIGNATURES = "sig long, doc long, n int, spare int"
-
-
-def _small(ids: DataFrame) -> DataFrame:
-    """ids (written before) for a semi-join: broadcast only after counting them."""
-    return F.broadcast(ids) if ids.count() <= 1_000_000 else ids.hint("merge")
-
-
-def _gather(sigs: DataFrame, name: str) -> DataFrame:
-    """Lists with two documents or more, written once."""
-    spark = sigs.sparkSession
-    lists = sigs.repartition(shuffle_partitions(spark), "sig").sortWithinPartitions("sig", "doc")
-    return materialize(spark, lists.mapInArrow(_lists, f"{SIGNATURES}, long boolean"), name)
-
-
-def _partner_reserve() -> F.Column:
-    """The reserve that a set within 3/4 of n has at least; it may be the one whose reserve counts for the pair."""
-    least = F.ceil(F.col("n") * 3 / 4)
-    return F.least(F.greatest(F.lit(4), F.floor((F.floor(least / 3) + 1) / 8)), least - F.floor(least / 3) - 1)
-
+def _unique_ids(rows: DataFrame, width: int, percent: int, scratch: Scratch, digests: DataFrame | None = None) -> DataFrame:
+    """near_duplicates of rows (doc_id, text) with distinct, non-null ids."""
+    run = _Join(rows, width, percent, scratch)
+    digests = _digests(rows, width, scratch) if digests is None else digests
+    member = run.classes(digests)
+    by_class = run.links().select(F.col("node").alias("class_id"), "component")
+    weights = member.groupBy("class_id").agg(F.count(F.lit(1)).alias("w"))
+    classes = weights.join(by_class, "class_id", "left").select("class_id", "w", F.coalesce("component", "class_id").alias("component_id"))
+    found = skew_left_join(member, run.write(classes, "components"), "class_id", "w", run.total)
+    none = digests.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    return found.select("doc_id", "n_shingles", "class_id", "component_id").unionByName(none)
 
-def _reserves(lists: DataFrame, alone: bool) -> DataFrame:
-    """For each document: its reserve, how many signatures a true pair shares in short lists at least, and whether the
-    long lists use the reserve up: its own, or in the first index (alone: False) that of a smaller partner.
 
-    Should a document have fewer non-empty segments than its reserve takes, every document with a long list is spent.
-    """
-    left = F.when(F.col("spare") < 0, -1 - F.col("spare")).otherwise(F.col("spare"))
-    used = lists.groupBy("doc").agg(F.min(left).alias("spare"), F.max("n").alias("n"), F.count_if("long").alias("long"))
-    used = materialize(lists.sparkSession, used, "jj-reserves")
-    bound = F.col("spare")
-    if not alone:
-        whole = used.filter(F.col("spare") < _partner_reserve()).limit(1).count() == 0
-        bound = F.least("spare", _partner_reserve()) if whole else F.lit(0)
-    # With every shingle indexed, a pair that shares no short list has its whole overlap, 3/4 of n at least, in long ones.
-    spent = 4 * F.col("long") >= 3 * F.col("n") if alone else F.col("long") > bound
-    return used.select("doc", "spare", "n", "long", F.greatest(F.lit(1), F.col("spare") + 1 - F.col("long")).alias("floor"), spent.alias("spent"))
-
-
-def _listed_pairs(lists: DataFrame, used: DataFrame) -> DataFrame:
-    """Pairs of the short lists that share as many signatures as a true pair has to."""
-    short = lists.filter(~F.col("long")).groupBy("sig").agg(F.collect_list(F.struct("doc", "n")).alias("docs"))
-    pairs = short.select("docs").mapInArrow(_short_pairs, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    ua, ub = used.select(F.col("doc").alias("a"), F.col("floor").alias("fa")), used.select(F.col("doc").alias("b"), F.col("floor").alias("fb"))
-    return pairs.join(ua, "a").join(ub, "b").filter(F.col("shared") >= F.least("fa", "fb")).select("a", "b", "shared")
+def _digests(rows: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    return scratch.write(rows.mapInArrow(_digest_rows(width), "doc_id long, n_shingles long, d1 long, d2 long"), "jj-digests")
+
+
+def _any_ids(rows: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """near_duplicates of rows whose ids repeat or are null: rows are joined under numbers of their own."""
+    numbered = scratch.write(rows.withColumn("row", F.monotonically_increasing_id()), "jj-rows")
+    found = _unique_ids(numbered.select(F.col("row").alias("doc_id"), "text"), width, percent, scratch)
+    found = found.select(F.col("doc_id").alias("row"), "n_shingles", "class_id", F.col("component_id").alias("c"))
+    found = scratch.write(found.join(numbered.select("row", "doc_id"), "row"), "jj-by-row")
+    # Rows of one id are one node: their components join.
+    named = found.filter("doc_id IS NOT NULL")
+    total = named.count()
+    least = scratch.write(named.groupBy("doc_id").agg(F.min("c").alias("m"), F.count(F.lit(1)).alias("k")), "jj-ids")
+    edges = skew_left_join(named.select("doc_id", "c"), least, "doc_id", "k", total).select("c", "m").distinct()
+    labels = scratch.write(components(edges, "c", "m"), "jj-id-labels")
+    by_c = scratch.write(found.groupBy("c").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("w")), "jj-by-component")
+    by_c = by_c.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("component", "c"))
+    names = by_c.groupBy("root").agg(F.min("id").alias("component_id"))
+    by_c = scratch.write(by_c.join(names, "root").select("c", "w", "component_id"), "jj-names")
+    class_of = found.groupBy("class_id").agg(F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("v"))
+    out = skew_left_join(found, by_c, "c", "w", found.count())
+    out = skew_left_join(out, scratch.write(class_of, "jj-class-names"), "class_id", "v", found.count())
+    return out.select("doc_id", "n_shingles", F.col("name").alias("class_id"), "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """A row for each doc_id: n_shingles, class_id (smallest doc_id with the same set), component_id.
+    """A row for each row of docs: doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id.
 
-    The bands are built for a threshold of 3/4 (percent = 75); a higher one is met by verification.
+    The bands are built for a threshold of 3/4 (percent = 75); a higher one is met by verification. The result is
+    written to the shared folder; all tables on the way are deleted.
     """
     if percent < 75:
         raise ValueError("bands are built for a similarity of 75 percent or more")
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    digests = materialize(spark, rows.mapInArrow(_digest_rows(width), "doc_id long, n_shingles long, d1 long, d2 long"), "jj-digests")
-    full = digests.filter("n_shingles > 0")
-    classes = full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(spark, classes.withColumn("key", F.struct("n_shingles", "d1", "d2")).select("key", "class_id", "copies"), "jj-classes")
-    total = full.count()
-    member = skew_left_join(full.withColumn("key", F.struct("n_shingles", "d1", "d2")), classes, "key", "copies", total).select("doc_id", "n_shingles", "class_id", "copies")
-    member = materialize(spark, member, "jj-members")
-    others = member.filter("doc_id <> class_id").select("doc_id").distinct()
-    reps = without_ids(rows, materialize(spark, others, "jj-others"))
-
-    lists = _gather(reps.mapInArrow(_signature_rows(width), SIGNATURES), "jj-lists")
-    used = _reserves(lists, False)
-    pairs = _listed_pairs(lists, used)
-    # Documents whose reserve the long lists use up: all of their shingles, so two thirds of them are reserve.
-    spent = materialize(spark, used.filter("spent").select(F.col("doc").alias("_spent")), "jj-spent")
-    again = reps.join(_small(spent), F.col("doc_id") == F.col("_spent"), "left_semi")
-    singles = _gather(again.mapInArrow(_single_rows(width), SIGNATURES), "jj-singles")
-    used = _reserves(singles, True)
-    pairs = pairs.unionByName(_listed_pairs(singles, used)).groupBy("a", "b").agg(F.max("shared").alias("shared"))
-    pairs = materialize(spark, pairs, "jj-pairs")
-
-    links = Links(reps, width, percent)
-    star = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
-    long = singles.filter("long").select("sig", "doc").join(used.filter("spent").select("doc", "n", F.col("long").alias("l")), "doc")
-    # The overlap lies in long lists: of a document's l long shingles, in one order, the first l - 3n/4 + 1 are enough.
-    place = F.row_number().over(Window.partitionBy("doc").orderBy("sig"))
-    long = long.withColumn("place", place).filter(F.col("place") <= F.col("l") - F.ceil(F.col("n") * 3 / 4) + 1).drop("place")
-    long = materialize(spark, long, "jj-long")
-    # Each list's pivot is the document with the largest share of long shingles: what all the list has in common.
-    pivots = long.groupBy("sig").agg(F.min_by("doc", F.struct(-F.col("l") / F.col("n"), "n", "doc")).alias("a"))
-    to_pivots = long.join(materialize(spark, pivots, "jj-pivots"), "sig").filter("a <> doc").groupBy("a", F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    nearest = to_pivots.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
-    first = star.unionByName(nearest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    measured = links.add(materialize(spark, first, "jj-first"))
-    labels = links.labels()
-    rest = _apart(pairs.select("a", "b"), labels).join(measured.select("a", "b"), ["a", "b"], "left_anti")
-    rest = rest.unionByName(_spent_rest(long, measured, labels)).distinct()
-    rest = materialize(spark, rest, "jj-rest")
-    if rest.limit(1).count():
-        links.add(rest)
-        labels = links.labels()
-
-    by_class = labels.select(F.col("node").alias("class_id"), "component")
-    weights = member.groupBy("class_id").agg(F.count(F.lit(1)).alias("w"))
-    classes = weights.join(by_class, "class_id", "left").select("class_id", "w", F.coalesce("component", "class_id").alias("component_id"))
-    found = skew_left_join(member.select("doc_id", "n_shingles", "class_id"), materialize(spark, classes, "jj-components"), "class_id", "w", total)
-    none = digests.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    return found.select("doc_id", "n_shingles", "class_id", "component_id").unionByName(none)
-
-
-def _spent_rest(long: DataFrame, measured: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of spent documents in a long list that lie in different components and that no pivot rules out.
-
-    In each list the component with most documents is the home. A document outside it meets all others of the list, so
-    a group that is one component already makes no pairs. With Jaccard distance d, d(x, y) >= |d(x, p) - d(y, p)| for
-    a shared pivot p.
-    """
-    mine = long.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("sig", "doc", "n", "l", F.coalesce("component", "doc").alias("c"))
-    counts = mine.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("k"))
-    home = counts.groupBy("sig").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("home"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    open_lists = mine.join(home, "sig")
-    away = open_lists.filter("c <> home").select("sig", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("l").alias("lx"), F.col("c").alias("cx"))
-    pairs = open_lists.drop("home").join(away, "sig").filter("c <> cx AND 7 * least(l, lx) >= 3 * (n + nx)")
-    pairs = pairs.select(F.least("doc", "x").alias("a"), F.greatest("doc", "x").alias("b")).distinct().join(measured.select("a", "b"), ["a", "b"], "left_anti")
-    d = measured.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-    sides = d.select(F.col("a").alias("p"), F.col("b").alias("x"), "d").unionByName(d.select(F.col("b").alias("p"), F.col("a").alias("x"), "d"))
-    maps = sides.join(pairs.select(F.col("a").alias("x")).union(pairs.select("b")).distinct(), "x", "left_semi").groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("p", "d"))), 1, 64).alias("m"))
-    near = pairs.join(maps.select(F.col("x").alias("a"), F.col("m").alias("ma")), "a", "left").join(maps.select(F.col("x").alias("b"), F.col("m").alias("mb")), "b", "left")
-    ruled = F.exists("ma", lambda u: F.exists("mb", lambda v: (u["p"] == v["p"]) & (F.abs(u["d"] - v["d"]) > 0.25 + 1e-9)))
-    return near.filter(~F.coalesce(ruled, F.lit(False))).select("a", "b")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    with Scratch(docs.sparkSession) as scratch:
+        digests = _digests(rows, width, scratch)
+        odd = digests.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1 OR doc_id IS NULL").limit(1).count()
+        found = _any_ids(rows, width, percent, scratch) if odd else _unique_ids(rows, width, percent, scratch, digests)
+        return scratch.keep(found, "jj-found")
