@@ -26,7 +26,7 @@ shingles a segment two exact subsets are cheaper (measured, see README).
 Signatures travel packed: each chunk of texts sends one row of bytes to a bucket, 6 bytes of signature and the ids' byte
 planes. A bucket's lists are found by sorting in numpy, block by block; a list that outgrows LONG streams out, so memory
 doesn't grow with a signature's documents. Candidates are verified on whole sets of 64-bit shingle hashes:
-100 * common >= 75 * union, in integers.
+100 * common >= 75 * union, in integers; before that, pairs go whose sets differ too much by 1,024 bits of each.
 
 Defined results: null and empty texts and texts without words have no set and link with nothing; equal sets are one
 class, found by digest and represented by its smallest doc_id. Where ids repeat or are null, rows are joined as rows:
@@ -53,6 +53,8 @@ SMALL_BAND = 300
 BLOCK = 4_000_000
 #: Pairs of short lists made at a time.
 PAIRS = 1_000_000
+#: Bits that tell which shingles a set can't have: a bit of one set that another lacks is a difference.
+BITS = 1024
 
 
 def band_edges(limit: int = 1 << 40) -> np.ndarray:
@@ -123,11 +125,18 @@ def _digest_rows(width: int):
                 np.cumsum(_mix(s + U64(1)), dtype=U64, out=sums[0, 1:])
                 np.cumsum(_mix(s ^ U64(0xA0761D6478BD642F)), dtype=U64, out=sums[1, 1:])
                 d = sums[:, bounds[1:]] - sums[:, bounds[:-1]]
-                yield pa.record_batch([b.column(0).slice(at, len(n)).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64))], names=["doc_id", "n_shingles", "d1", "d2"])
+                bits = np.zeros((len(n), BITS), dtype=bool)
+                bits[np.repeat(np.arange(len(n)), n), (s >> U64(20)) % U64(BITS)] = True
+                words = np.packbits(bits, axis=1).view(np.int64)
+                offsets = np.arange(0, words.size + 1, BITS // 64, dtype=np.int32)
+                yield pa.record_batch([b.column(0).slice(at, len(n)).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(words.ravel()))], names=["doc_id", "n_shingles", "d1", "d2", "bits"])
 
     return run
 
 
+DIGESTS = "doc_id long, n_shingles long, d1 long, d2 long, bits array<long>"
+
+
 def _packed(sig: np.ndarray, doc: np.ndarray, buckets: int, wide: int):
     """Rows (bucket, sigs, docs): the `wide` high bytes of each signature, and the ids' byte planes."""
     at = ((sig & U64(0xFFFFFFFF)) % U64(buckets)).astype(np.int32)
@@ -301,15 +310,16 @@ class _Join:
     def linked(self, common, sizes):
         return (100 + self.percent) * common >= self.percent * sizes
 
-    def only(self, ids: DataFrame) -> DataFrame:
-        """Rows of the ids (one column, written before): broadcast only after counting them."""
+    def only(self, rows: DataFrame, ids: DataFrame) -> DataFrame:
+        """Rows whose first column is one of the ids (one column, written before): broadcast only after counting them."""
         want = ids.select(F.col(ids.columns[0]).alias("_want"))
         want = F.broadcast(want) if ids.count() <= 1_000_000 else want.hint("merge")
-        return self.reps.join(want, F.col("doc_id") == F.col("_want"), "left_semi")
+        return rows.join(want, F.col(rows.columns[0]) == F.col("_want"), "left_semi")
 
     def classes(self, digests: DataFrame) -> DataFrame:
         """doc_id, n_shingles, class_id of all documents with a set; sets `reps` and `sizes`."""
-        full = digests.filter("n_shingles > 0").withColumn("key", F.struct("n_shingles", "d1", "d2"))
+        self.bits = digests.select(F.col("doc_id").alias("doc"), "bits")
+        full = digests.filter("n_shingles > 0").select("doc_id", "n_shingles", F.struct("n_shingles", "d1", "d2").alias("key"))
         classes = self.write(full.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "classes")
         self.total = full.count()
         member = self.write(skew_left_join(full, classes, "key", "copies", self.total).select("doc_id", "n_shingles", "class_id"), "members")
@@ -337,9 +347,17 @@ class _Join:
         return pairs.filter(enough & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))).select("a", "b", "shared")
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b) of the pairs that link, on whole sets."""
-        ids = self.write(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
-        sets = self.write(self.only(ids).mapInArrow(_set_rows(self.width), "doc long, shingles array<long>"), f"{name}-sets")
+        """(a, b) of the pairs that link, on whole sets. Those whose bits differ too much go before sets are made."""
+        every = lambda pairs: pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        bits = self.only(self.bits, self.write(every(pairs), f"{name}-all-ids"))
+        for side in "ab":
+            known = bits.join(self.sizes, "doc").select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+            pairs = pairs.join(known, side)
+        lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, k: s + k)
+        most = F.least(F.col("n_a") - lacks("bits_a", "bits_b"), F.col("n_b") - lacks("bits_b", "bits_a"))
+        pairs = self.write(pairs.filter(self.linked(most, F.col("n_a") + F.col("n_b"))).select("a", "b"), f"{name}-near")
+        ids = self.write(every(pairs), f"{name}-ids")
+        sets = self.write(self.only(self.reps, ids).mapInArrow(_set_rows(self.width), "doc long, shingles array<long>"), f"{name}-sets")
         found = common_of(pairs, sets)
         for side in "ab":
             found = found.join(self.sizes.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}")), side)
@@ -365,7 +383,7 @@ class _Join:
         pairs = self.listed_pairs(lists, used, F.col("shared") >= F.least(*floors))
         # Documents whose reserve the long lists use up: all of their shingles.
         spent = self.write(used.filter(F.col("long") > least_reserve(F.col("n"))).select("doc"), "spent")
-        again = self.only(spent)
+        again = self.only(reps, spent)
         singles = self.lists(lambda buckets: again.mapInArrow(_single_rows(width, buckets), PACKED), "singles")
         used = self.used(singles, "used-singles")
         most = F.col("shared") + F.least("long_a", "long_b")
@@ -453,7 +471,7 @@ def _unique_ids(rows: DataFrame, width: int, percent: int, scratch: Scratch, dig
 
 
 def _digests(rows: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    return scratch.write(rows.mapInArrow(_digest_rows(width), "doc_id long, n_shingles long, d1 long, d2 long"), "jj-digests")
+    return scratch.write(rows.mapInArrow(_digest_rows(width), DIGESTS), "jj-digests")
 
 
 def _any_ids(rows: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
