@@ -50,6 +50,26 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES):
         at = end
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+    """64 bits for each word data[start:end]: a polynomial over its bytes' values, finished with its length."""
+    n = len(data)
+    if not len(start):
+        return np.zeros(0, U64)
+    values = tables()[2] if values is None else values
+    base, inv = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
+    powers = np.full(n, base, U64)
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=U64)
+    sums = np.zeros(n + 1, U64)
+    np.cumsum(values[data] * powers, dtype=U64, out=sums[1:])
+    del powers
+    back = np.full(n, inv, U64)
+    back[0] = 1
+    back = np.cumprod(back, dtype=U64)
+    h = (sums[end] - sums[start]) * back[start]
+    return _mix(h + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 class Words:
     """Words of a chunk: start and end bytes, row of each, first word of each row."""
 
@@ -70,22 +90,7 @@ class Words:
         self.first = np.searchsorted(self.start, off, side="left")  # n rows + 1
 
     def hashes(self) -> np.ndarray:
-        """64 bits for each word: a polynomial over its bytes' values, finished with its length."""
-        n = len(self.data)
-        if not len(self.start):
-            return np.zeros(0, U64)
-        base, inv = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
-        powers = np.full(n, base, U64)
-        powers[0] = 1
-        powers = np.cumprod(powers, dtype=U64)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum(self.values[self.data] * powers, dtype=U64, out=sums[1:])
-        del powers
-        back = np.full(n, inv, U64)
-        back[0] = 1
-        back = np.cumprod(back, dtype=U64)
-        h = (sums[self.end] - sums[self.start]) * back[self.start]
-        return _mix(h + (self.end - self.start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        return word_hashes(self.data, self.start, self.end, self.values)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = 5):

@@ -1,27 +1,30 @@
-"""SentencePiece encoding and decoding (operator 9) in batched numpy, from a model file.
+"""SentencePiece encoding and decoding (operator 9): batched numpy Viterbi over equal-length words, from a model file.
 
-Unigram models: a Viterbi over characters. Words of equal length advance together as rows of a matrix; a substring's
-rolling hash is looked up in the sorted hashes of the pieces, and vectorised maxima keep the best score and the length
-that reached it.
+Words of equal length advance together as rows of a matrix. At each place, the rolling hashes of the substrings that end
+there probe the sorted hashes of the pieces; of the pieces found, vectorised maxima keep the best score and, as a
+backpointer, the piece that reached it; the paths are read backwards, all words at a time.
 
-BPE models: their pieces' scores are merge ranks, so a maximum of score sums isn't what the model means, and the Viterbi
-gives other ids than the model's own encoder. There words of equal length again advance together: a pair of adjacent
-symbols is looked up in the sorted table of pairs, and the best (leftmost on ties) of each row merges, until none can.
-Words longer than `LONG` characters take the same merges one word at a time with a heap.
+Unigram models: the score is the sum of the pieces' scores. BPE models: a piece's score is its merge rank, and a path is
+what the merges would make when each two neighbours stay apart, that is, when joining their characters again by rank
+gives these two pieces. So there a piece only follows a best path whose last piece it stays apart from (`_apart`); one path
+is left for each prefix, and its ids are those of the merges. `_apart` undoes the merges on both sides of the
+border from the latest on: the border holds if the two symbols at it never join before one of them is undone. Words
+longer than `LONG` characters take the same steps one word at a time.
 
 A text is cut before each run of U+2581: no piece has that mark after another character (checked when the model is
-read), so no piece spans two words, and each distinct word of a batch is encoded once. Characters without a piece
-become byte pieces, or the unknown piece where the model has none.
-
-Defined results: null and empty texts give no ids and decode to ""; very long texts and words are encoded whole; with
-the model's identity normaliser, decoding gives back the text (a text's own U+2581 comes back as a space, as in the
-library). The vocabulary comes by broadcast: its size is the model file's.
+read), so no piece spans two words, and each distinct word is encoded once a task: words meet their ids by 64-bit hashes
+in sorted arrays, with length and first bytes compared. Characters without a piece become byte pieces, or the unknown
+piece where the model has none.
+
+Defined results: null and empty texts give no ids and decode to ""; very long texts and words are encoded whole; null and
+repeated ids pass through, a row each; an empty table gives no rows; extra columns aren't read; with the model's
+identity normaliser, decoding gives back the text (a text's own U+2581 comes back as a space, as in the library). The
+vocabulary comes by broadcast: its size is the model file's.
 """
 
 from __future__ import annotations
 
-import heapq
-import re
+import pickle
 import struct
 from dataclasses import dataclass, field
 
@@ -30,10 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytesnp import chunks, word_hashes
+
 MARK = "▁"
 LONG = 48
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: Distinct words whose ids a task keeps; beyond that it starts again.
+MEMO_WORDS = 1_000_000
+#: Characters of words that a Viterbi takes at a time.
+STEP = 400_000
 
 
 def _fields(buf: bytes):
@@ -115,322 +124,381 @@ def read_model(data: bytes) -> Model:
     return m
 
 
+def _symbols(model: Model) -> dict[str, int]:
+    """Pieces that text can become: normal and user-defined ones."""
+    out = {model.pieces[i]: i for i, k in enumerate(model.kinds) if k in (1, 4)}
+    if any(MARK in p.lstrip(MARK) for p in out):
+        raise ValueError("a piece has the word mark inside")
+    return out
+
+
+def _parts(model: Model, id_of: dict[str, int]):
+    """(pairs, rank, left, right) of a BPE model: the pairs of symbols that make a piece, {left << 32 | right: piece};
+    and of each piece its merge order (-1: a character, never made) and the two symbols that its last merge joins.
+    A piece that its own characters' merges don't give has order -2."""
+    base = len(model.pieces)
+    symbol = lambda s: id_of.get(s, base + ord(s) if len(s) == 1 else None)
+    pairs = {}
+    for text, i in id_of.items():
+        for cut in range(1, len(text)):
+            a, b = symbol(text[:cut]), symbol(text[cut:])
+            if a is not None and b is not None:
+                pairs[a << 32 | b] = i
+    order = {i: k for k, i in enumerate(sorted({-s for s in model.scores}))}
+    rank = np.array([order[-s] for s in model.scores], dtype=np.int64)
+    left, right = np.full(base, -1, np.int64), np.full(base, -1, np.int64)
+    for text, i in id_of.items():
+        if len(text) == 1:
+            rank[i] = -1
+            continue
+        row = [symbol(c) for c in text]
+        while len(row) > 1:
+            found = [(rank[p], k, p) for k in range(len(row) - 1) if (p := pairs.get(row[k] << 32 | row[k + 1])) is not None]
+            if not found:
+                break
+            _, k, p = min(found)
+            if len(row) == 2:
+                left[i], right[i] = row
+            row[k : k + 2] = [p]
+        if row != [i]:
+            rank[i] = -2
+    return pairs, rank, left, right
+
+
+def prepare(model: Model) -> dict:
+    """The tables that encoding and decoding need, as plain arrays and values."""
+    id_of = _symbols(model)
+    out = {"base": len(model.pieces), "pieces": model.pieces, "kinds": model.kinds, "unk": model.unk, "dummy_prefix": model.dummy_prefix, "squeeze": model.squeeze, "byte_fallback": model.byte_fallback, "bpe": model.kind == 2, "score": np.array(model.scores)}
+    out["byte_id"] = {int(model.pieces[i][3:5], 16): i for i, k in enumerate(model.kinds) if k == 6}
+    used = [s for s, k in zip(model.scores, model.kinds, strict=True) if k in (1, 4)]
+    out["unknown_score"] = (min(used) if used else 0.0) - 10.0
+    if out["bpe"]:
+        pairs, rank, left, right = _parts(model, id_of)
+        keys = np.array(sorted(pairs), dtype=U64)
+        out |= {"pair_keys": keys, "pair_rank": rank[[pairs[k] for k in keys.tolist()]], "rank": rank, "left": left, "right": right}
+    by: dict[int, list] = {}
+    for text, i in id_of.items():
+        if out["bpe"] and out["rank"][i] == -2:
+            continue
+        h = 0
+        for c in text:
+            h = (h * _BASE + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+        by.setdefault(len(text), []).append((h, i))
+    out["by_length"] = {size: tuple(np.array(x, dtype=kind) for x, kind in zip(zip(*sorted(rows), strict=True), (U64, np.int64), strict=True)) for size, rows in sorted(by.items())}
+    return out
+
+
 class Encoder:
-    """Encodes lists of texts with a Model; also decodes."""
-
-    def __init__(self, model: Model):
-        self.m = model
-        usable = [i for i, k in enumerate(model.kinds) if k in (1, 4)]
-        if any(MARK in model.pieces[i].lstrip(MARK) for i in usable):
-            raise ValueError("a piece has the word mark inside")
-        self.id_of = {model.pieces[i]: i for i in usable}
-        self.byte_id = {int(model.pieces[i][3:5], 16): i for i, k in enumerate(model.kinds) if k == 6}
-        self.byte_of = {i: b for b, i in self.byte_id.items()}
-        if model.kind == 2:
-            self._pairs()
-        else:
-            self._hashes()
-
-    # BPE
-
-    def _pairs(self) -> None:
-        """Sorted keys left << 32 | right of all pairs whose concatenation is a piece, with its id and rank."""
-        keys, merged, rank = [], [], []
-        for text, i in self.id_of.items():
-            for cut in range(1, len(text)):
-                left, right = self._symbol(text[:cut]), self._symbol(text[cut:])
-                if left is not None and right is not None:
-                    keys.append(left << 32 | right)
-                    merged.append(i)
-                    rank.append(-self.m.scores[i])
-        order = np.argsort(np.array(keys, dtype=U64), kind="stable")
-        self.keys = np.array(keys, dtype=U64)[order]
-        self.merged = np.array(merged, dtype=np.int64)[order]
-        self.rank = np.array(rank, dtype=np.float64)[order]
-        self.pair = {k: (r, i) for k, r, i in zip(keys, rank, merged, strict=True)}
-
-    def _symbol(self, text: str) -> int | None:
-        """A symbol: a piece's id, or for a character without a piece its code point above all ids."""
-        i = self.id_of.get(text)
-        if i is None and len(text) == 1:
-            return len(self.m.pieces) + ord(text)
-        return i
-
-    def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, merged id) of pairs of symbols; rank is infinite where there is no such piece."""
-        key = (left.astype(U64) << U64(32)) | (right & 0xFFFFFFFF).astype(U64)
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where((self.keys[at] == key) & (right >= 0), self.rank[at], np.inf), self.merged[at]
-
-    def _merge_rows(self, sym: np.ndarray) -> list[list[int]]:
-        """Merge rows of symbols of one length. A merge moves all to its right one place left and asks for the two
-        pairs beside it anew; the other pairs' ranks move along."""
-        n, width = sym.shape
-        out: list = [None] * n
-        if width < 2 or not len(self.keys):
-            return sym.tolist()
-        live, rows = np.arange(n), sym
-        rank, piece = (x.reshape(n, width - 1) for x in self._look(rows[:, :-1].ravel(), rows[:, 1:].ravel()))
-        while True:
-            best = rank.argmin(axis=1)
-            can = rank[np.arange(len(rows)), best] < np.inf
-            if not can.all():
-                for i, done in zip(live[~can].tolist(), rows[~can].tolist(), strict=True):
-                    out[i] = done
-                if not can.any():
-                    return out
-                rows, live, best, rank, piece = rows[can], live[can], best[can], rank[can], piece[can]
-            k = np.arange(len(rows))
-            merged = piece[k, best]
-            cols = np.arange(rows.shape[1] - 1)[None, :]
-            left = cols <= best[:, None]
-            rows = np.where(left, rows[:, :-1], rows[:, 1:])
-            rows[k, best] = merged
-            if rows.shape[1] < 2:
-                for i, done in zip(live.tolist(), rows.tolist(), strict=True):
-                    out[i] = done
-                return out
-            before = cols[:, :-1] < best[:, None]
-            rank = np.where(before, rank[:, :-1], rank[:, 1:])
-            piece = np.where(before, piece[:, :-1], piece[:, 1:])
-            for at, ok in ((best - 1, best > 0), (best, best < rows.shape[1] - 1)):
-                r, c = k[ok], at[ok]
-                rank[r, c], piece[r, c] = self._look(rows[r, c], rows[r, c + 1])
-
-    def _merge_long(self, sym: list[int]) -> list[int]:
-        """The same merges for one long word: a heap of (rank, place) over a linked list."""
-        n = len(sym)
-        nxt, prv, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = []
-
-        def push(i):
-            j = nxt[i]
-            if j < n and (hit := self.pair.get(sym[i] << 32 | sym[j])):
-                heapq.heappush(heap, (hit[0], i, sym[i], j, sym[j], hit[1]))
-
-        for i in range(n - 1):
-            push(i)
-        while heap:
-            _, i, a, j, b, piece = heapq.heappop(heap)
-            if not (alive[i] and j < n and alive[j] and nxt[i] == j and sym[i] == a and sym[j] == b):
-                continue
-            sym[i], alive[j] = piece, False
-            nxt[i] = nxt[j]
-            if nxt[i] < n:
-                prv[nxt[i]] = i
-            if prv[i] >= 0:
-                push(prv[i])
-            push(i)
-        return [sym[i] for i in range(n) if alive[i]]
-
-    # Unigram
-
-    def _hashes(self) -> None:
-        """Sorted hashes of the pieces by length; a piece's hash is its characters' polynomial, modulo 2^64."""
-        by: dict[int, list] = {}
-        for text, i in self.id_of.items():
-            h = 0
-            for c in text:
-                h = (h * _BASE + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-            by.setdefault(len(text), []).append((h, i))
-        self.by_length = {}
-        for size, rows in by.items():
-            rows.sort()
-            self.by_length[size] = (np.array([r[0] for r in rows], dtype=U64), np.array([r[1] for r in rows], dtype=np.int64))
-        self.score = np.array(self.m.scores)
-        used = [s for s, k in zip(self.m.scores, self.m.kinds, strict=True) if k in (1, 4)]
-        self.unknown_score = (min(used) if used else 0.0) - 10.0
-
-    def _viterbi(self, codes: np.ndarray) -> list[list[int]]:
-        """Best paths of words of one length: codes is words x characters."""
-        n, width = codes.shape
-        prefix = np.zeros((n, width + 1), dtype=U64)
+    """Encodes texts with the tables of `prepare`, and decodes ids."""
+
+    def __init__(self, tables: dict):
+        self.t = tables
+        self.byte_of = {i: b for b, i in tables["byte_id"].items()}
+        self.forget()
+
+    def forget(self) -> None:
+        """Words seen: sorted hashes, a check for each, and where its ids lie."""
+        self.keys, self.marks = np.zeros(0, U64), np.zeros(0, U64)
+        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    # Viterbi
+
+    def _apart(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Whether piece u, then piece v, stay two under the merges. Orders count double; of two equal ones the left
+        merge comes first."""
+        t, base = self.t, self.t["base"]
+        keys, ranks = t["pair_keys"], t["pair_rank"]
+        out = np.ones(len(u), dtype=bool)
+        if not len(keys):
+            return out
+        live, a, b = np.arange(len(u)), u.copy(), v.copy()
+        until = np.full(len(u), np.iinfo(np.int64).max)
+        order = lambda x: np.where(x < base, t["rank"][np.minimum(x, base - 1)], -1)
+        while len(live):
+            key = a.astype(U64) << U64(32) | b.astype(U64)
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            joined = (keys[at] == key) & (2 * ranks[at] < until)
+            out[live[joined]] = False
+            ra, rb = order(a), order(b)
+            go = ~joined & (np.maximum(ra, rb) >= 0)
+            live, a, b, ra, rb = live[go], a[go], b[go], ra[go], rb[go]
+            undo_left = ra > rb
+            until = np.where(undo_left, 2 * ra, 2 * rb + 1)
+            a, b = np.where(undo_left, t["right"][np.minimum(a, base - 1)], a), np.where(undo_left, b, t["left"][np.minimum(b, base - 1)])
+        return out
+
+    def _viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best paths of words of one length (codes: words x characters): symbols, and how many each word has.
+
+        A character without a piece is the symbol base + its code point.
+        """
+        t, (n, width) = self.t, codes.shape
+        base, bpe = t["base"], t["bpe"]
+        codes = codes.astype(np.int64)
+        prefix = np.zeros((width + 1, n), dtype=U64)
         power = [1]
         for j in range(width):
-            prefix[:, j + 1] = prefix[:, j] * U64(_BASE) + codes[:, j].astype(U64) + U64(1)
+            prefix[j + 1] = prefix[j] * U64(_BASE) + codes[:, j].astype(U64) + U64(1)
             power.append(power[-1] * _BASE & 0xFFFFFFFFFFFFFFFF)
-        best = np.full((n, width + 1), -np.inf)
-        best[:, 0] = 0.0
-        back = np.zeros((n, width + 1), dtype=np.int64)
-        piece = np.full((n, width + 1), -1, dtype=np.int64)
+        best = np.full((width + 1, n), -np.inf)
+        best[0] = 0.0
+        back = np.zeros((width + 1, n), dtype=np.int64)
+        piece = np.full((width + 1, n), -1, dtype=np.int64)
         for j in range(1, width + 1):
-            for size, (keys, ids) in self.by_length.items():
+            found = []  # rows, sizes, pieces
+            known = np.zeros(n, dtype=bool)
+            for size, (keys, ids) in t["by_length"].items():
                 if size > j:
-                    continue
-                h = prefix[:, j] - prefix[:, j - size] * U64(power[size])
+                    break
+                h = prefix[j] - prefix[j - size] * U64(power[size])
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                score = np.where(keys[at] == h, best[:, j - size] + self.score[ids[at]], -np.inf)
-                better = score > best[:, j]
-                best[better, j], back[better, j], piece[better, j] = score[better], size, ids[at][better]
-            alone = self.by_length.get(1)
-            known = np.zeros(n, dtype=bool)
-            if alone is not None:
-                h = codes[:, j - 1].astype(U64) + U64(1)
-                at = np.minimum(np.searchsorted(alone[0], h), len(alone[0]) - 1)
-                known = alone[0][at] == h
-            score = np.where(known, -np.inf, best[:, j - 1] + self.unknown_score)
-            better = score > best[:, j]
-            best[better, j], back[better, j], piece[better, j] = score[better], 1, -1 - codes[better, j - 1]
-        out = []
-        for r in range(n):
-            j, path = width, []
-            while j > 0:
-                path.append(int(piece[r, j]))
-                j -= int(back[r, j])
-            out.append(path[::-1])
-        return out
+                hit = np.flatnonzero(keys[at] == h)
+                found.append((hit, np.full(len(hit), size), ids[at[hit]], t["score"][ids[at[hit]]]))
+                if size == 1:
+                    known[hit] = True
+            alone = np.flatnonzero(~known)
+            found.append((alone, np.ones(len(alone), np.int64), base + codes[alone, j - 1], np.full(len(alone), t["unknown_score"])))
+            row, size, sym, score = (np.concatenate(x) for x in zip(*found, strict=True))
+            if bpe and j > 1:
+                last = piece[j - size, row]
+                pairs, place = np.unique(last << 32 | sym, return_inverse=True)
+                whole = pairs < 0  # the word's start
+                ok = np.ones(len(pairs), dtype=bool)
+                ok[~whole] = self._apart(pairs[~whole] >> 32, pairs[~whole] & 0xFFFFFFFF)
+                keep = ok[place]
+                row, size, sym, score = row[keep], size[keep], sym[keep], score[keep]
+            score = score + best[j - size, row]
+            np.maximum.at(best[j], row, score)
+            top = score == best[j, row]
+            back[j, row[top]], piece[j, row[top]] = size[top], sym[top]
+        rows = np.arange(n)
+        path, counts, at = np.full((n, width), -1, dtype=np.int64), np.zeros(n, np.int64), np.full(n, width)
+        while rows.size:
+            counts[rows] += 1
+            path[rows, width - counts[rows]] = piece[at[rows], rows]
+            at[rows] -= back[at[rows], rows]
+            rows = rows[at[rows] > 0]
+        return path[path >= 0], counts
+
+    def _viterbi_long(self, codes: np.ndarray) -> np.ndarray:
+        """The same for one long word: symbols."""
+        t, base = self.t, self.t["base"]
+        if not hasattr(self, "id_of"):
+            self.id_of = {t["pieces"][i]: int(i) for _, ids in t["by_length"].values() for i in ids}
+            self.longest = max(t["by_length"], default=1)
+            self.stay: dict[tuple[int, int], bool] = {}
+        text = codes.astype("<u4").tobytes().decode("utf-32-le", "replace")
+        best, last, back = [0.0], [-1], [0]
+        for j in range(1, len(text) + 1):
+            top = (-np.inf, 0, 0)
+            known = False
+            for size in range(1, min(j, self.longest) + 1):
+                sym = self.id_of.get(text[j - size : j])
+                if size == 1:
+                    known = sym is not None
+                    score = t["score"][sym] if known else t["unknown_score"]
+                    sym = sym if known else base + ord(text[j - 1])
+                elif sym is None:
+                    continue
+                else:
+                    score = t["score"][sym]
+                before = last[j - size]
+                if t["bpe"] and before >= 0:
+                    if (before, sym) not in self.stay:
+                        self.stay[before, sym] = bool(self._apart(np.array([before]), np.array([sym]))[0])
+                    if not self.stay[before, sym]:
+                        continue
+                if score + best[j - size] > top[0]:
+                    top = (score + best[j - size], size, sym)
+            best.append(top[0])
+            back.append(top[1])
+            last.append(top[2])
+        out, j = [], len(text)
+        while j:
+            out.append(last[j])
+            j -= back[j]
+        return np.array(out[::-1], dtype=np.int64)
 
     # Words
 
-    def _finish(self, symbols, base: int) -> list[int]:
-        """Ids from symbols; a bare character becomes its bytes or the unknown piece."""
-        if symbols and 0 <= min(symbols) and max(symbols) < base:
-            return symbols
-        out = []
-        for s in symbols:
-            if 0 <= s < len(self.m.pieces):
-                out.append(s)
-                continue
-            char = chr(s - base if s >= 0 else -1 - s)
-            if self.m.byte_fallback:
-                out += [self.byte_id[b] for b in char.encode("utf-8")]
-            elif not out or out[-1] != self.m.unk:
-                out.append(self.m.unk)
-        return out
+    def _spelled(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids from symbols: a bare character becomes its bytes' pieces, or runs of them the unknown piece."""
+        t, bare = self.t, symbols >= self.t["base"]
+        if not bare.any():
+            return symbols.astype(np.int32), counts
+        word = np.repeat(np.arange(len(counts)), counts)
+        if not t["byte_fallback"]:
+            again = bare[1:] & bare[:-1] & (word[1:] == word[:-1])
+            keep = np.concatenate([[True], ~again])
+            return np.where(bare, t["unk"], symbols)[keep].astype(np.int32), np.bincount(word[keep], minlength=len(counts))
+        kinds, place = np.unique(symbols[bare], return_inverse=True)
+        spelled = [[t["byte_id"][b] for b in chr(k - t["base"]).encode("utf-8", "replace")] for k in kinds.tolist()]
+        sizes = np.ones(len(symbols), np.int64)
+        sizes[bare] = np.array([len(s) for s in spelled])[place]
+        out = np.repeat(symbols, sizes)
+        first = np.cumsum(sizes) - sizes
+        for k in range(4):
+            more = np.array([s[k] if k < len(s) else -1 for s in spelled])[place]
+            out[first[bare][more >= 0] + k] = more[more >= 0]
+        return out.astype(np.int32), np.bincount(np.repeat(word, sizes), minlength=len(counts))
+
+    def words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of each word's ids) of words given by their bytes; a space stands for the mark."""
+        sizes = end - start
+        at = np.cumsum(sizes) - sizes
+        raw = data[np.arange(int(sizes.sum())) + np.repeat(start - at, sizes)]
+        try:
+            codes = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+            lengths = np.add.reduceat((raw & 0xC0) != 0x80, at).astype(np.int64) if len(raw) else np.zeros(0, np.int64)
+        except UnicodeDecodeError:
+            texts = [raw[a : a + k].tobytes().decode("utf-8", "replace") for a, k in zip(at.tolist(), sizes.tolist(), strict=True)]
+            codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+            lengths = np.array([len(x) for x in texts], dtype=np.int64)
+        codes = np.where(codes == 32, ord(MARK), codes)
+        first = np.cumsum(lengths) - lengths
+        order, parts = [], []
+        for size in np.unique(lengths).tolist():
+            group = np.flatnonzero(lengths == size)
+            step = max(1, STEP // size) if size <= LONG else 1
+            for a in range(0, len(group), step):
+                part = group[a : a + step]
+                if size > LONG:
+                    symbols = self._viterbi_long(codes[first[part[0]] : first[part[0]] + size])
+                    counts = np.array([len(symbols)])
+                else:
+                    symbols, counts = self._viterbi(codes[first[part][:, None] + np.arange(size)])
+                order.append(part)
+                parts.append(self._spelled(symbols, counts))
+        order = np.concatenate(order) if order else np.zeros(0, np.int64)
+        flat, counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        begin = (np.cumsum(counts) - counts)[np.argsort(order)]
+        counts = counts[np.argsort(order)]
+        out = np.cumsum(counts) - counts
+        return flat[np.arange(len(flat)) + np.repeat(begin - out, counts)], counts
+
+    def normalised(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes and offsets with a text's own marks as spaces, runs of spaces squeezed and the prefix set, if the model asks."""
+
+        def without(gone):
+            before = np.concatenate([[0], np.cumsum(gone)])
+            return data[~gone], off - before[off]
+
+        if len(data) > 2:
+            own = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81))
+            if len(own):
+                data = data.copy()
+                data[own] = 32
+                gone = np.zeros(len(data), dtype=bool)
+                gone[own + 1] = gone[own + 2] = True
+                data, off = without(gone)
+        if self.t["squeeze"]:
+            for _ in range(2):  # a space after a space or at a row's start, then one at its end
+                edge = np.zeros(len(data) + 1, dtype=bool)
+                edge[off] = True
+                space = data == 32
+                gone = space & (edge[:-1] | np.concatenate([[False], space[:-1]])) if _ == 0 else space & edge[1:]
+                data, off = without(gone)
+        if self.t["dummy_prefix"]:
+            sizes = np.diff(off)
+            shift = np.cumsum(sizes > 0)
+            out = np.full(len(data) + (int(shift[-1]) if len(shift) else 0), 32, dtype=np.uint8)
+            out[np.arange(len(data)) + np.repeat(shift, sizes)] = data
+            data, off = out, off + np.concatenate([[0], shift])
+        return data, off
+
+    def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, bounds by row) of the texts of a chunk."""
+        data, off = self.normalised(data, off)
+        rows = len(off) - 1
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(rows + 1, np.int64)
+        edge = np.zeros(len(data) + 1, dtype=bool)
+        edge[off] = True
+        space = data == 32
+        start = np.flatnonzero(edge[:-1] | (space & ~np.concatenate([[False], space[:-1]])))
+        end = np.concatenate([start[1:], [len(data)]])
+        keys, marks = _word_hashes(data, start, end)
+        kinds, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.keys) + len(kinds) > MEMO_WORDS:
+            self.forget()
+        at = np.minimum(np.searchsorted(self.keys, kinds), max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[at] != kinds) if len(self.keys) else np.arange(len(kinds))
+        if len(new):
+            flat, counts = self.words(data, start[first[new]], end[first[new]])
+            begin = len(self.flat) + np.cumsum(counts) - counts
+            self.flat = np.concatenate([self.flat, flat])
+            into = np.searchsorted(self.keys, kinds[new])
+            self.keys, self.marks, self.start, self.size = (np.insert(x, into, y) for x, y in ((self.keys, kinds[new]), (self.marks, marks[first[new]]), (self.start, begin), (self.size, counts)))
+        at = np.searchsorted(self.keys, kinds)[place]
+        begin, sizes, flat = self.start[at], self.size[at], self.flat
+        other = np.flatnonzero(self.marks[at] != marks)  # another word has the same hash: encoded by itself
+        if len(other):
+            more, counts = self.words(data, start[other], end[other])
+            begin[other], sizes[other] = len(flat) + np.cumsum(counts) - counts, counts
+            flat = np.concatenate([flat, more])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        out = flat[np.arange(int(ends[-1])) + np.repeat(begin - ends[:-1], sizes)]
+        return out, ends[np.searchsorted(start, off)]
 
-    def words(self, distinct: list[str]) -> dict[str, list[int]]:
-        """Ids of each distinct word (with its mark)."""
-        by: dict[int, list[str]] = {}
-        for w in distinct:
-            by.setdefault(len(w), []).append(w)
-        base = len(self.m.pieces)
-        out = {}
-        for size, group in by.items():
-            if self.m.kind != 2:
-                step = max(1, 200_000 // size)
-                for a in range(0, len(group), step):
-                    part = group[a : a + step]
-                    codes = np.frombuffer("".join(part).encode("utf-32-le"), dtype=np.uint32).reshape(len(part), size).astype(np.int64)
-                    out.update((w, self._finish(p, base)) for w, p in zip(part, self._viterbi(codes), strict=True))
-            elif size > LONG:
-                out.update((w, self._finish(self._merge_long([self._symbol(c) for c in w]), base)) for w in group)
-            else:
-                step = max(1, 400_000 // size)
-                for a in range(0, len(group), step):
-                    part = group[a : a + step]
-                    codes = np.frombuffer("".join(part).encode("utf-32-le"), dtype=np.uint32).reshape(len(part), size).astype(np.int64)
-                    chars, place = np.unique(codes, return_inverse=True)
-                    sym = np.array([self._symbol(chr(c)) for c in chars], dtype=np.int64)[place.reshape(codes.shape)]
-                    out.update((w, self._finish(s, base)) for w, s in zip(part, self._merge_rows(sym), strict=True))
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        out = []
+        for _, data, off in chunks(pa.array(texts, pa.string())):
+            flat, bounds = self.ids(data, off)
+            out += [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return out
 
-    def normalise(self, text: str) -> str:
-        if self.m.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        text = text.replace(" ", MARK)
-        return MARK + text if self.m.dummy_prefix and text else text
-
-    def split(self, text: str) -> list[str]:
-        """Words of a normalised text, each with the marks before it."""
-        return re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", text)
-
-    def encode(self, texts: list[str | None], memo: dict[str, list[int]] | None = None) -> list[list[int]]:
-        memo = {} if memo is None else memo
-        cut = [self.split(self.normalise(t)) if t else [] for t in texts]
-        memo.update(self.words(list({w for ws in cut for w in ws} - memo.keys())))
-        return [[i for w in ws for i in memo[w]] for ws in cut]
-
     def decode(self, ids: list[int]) -> str:
+        t = self.t
         out: list[bytes] = []
         for i in ids:
-            kind = self.m.kinds[i]
+            kind = t["kinds"][i]
             if kind == 6:
                 out.append(bytes([self.byte_of[i]]))
             elif kind == 2:
                 out.append(" ⁇ ".encode())
             elif kind != 3:
-                out.append(self.m.pieces[i].encode("utf-8"))
+                out.append(t["pieces"][i].encode("utf-8"))
         text = b"".join(out).decode("utf-8", errors="replace").replace(MARK, " ")
-        return text[1:] if self.m.dummy_prefix and text.startswith(" ") else text
-
-
-#: Distinct words kept from batch to batch of a task, in each of two generations.
-MEMO_WORDS = 400_000
-
-
-class Memo:
-    """Ids of words seen, in one flat array: a word's place gives its start and length. When the young generation is
-    full it becomes the old one, so words that keep coming are kept."""
-
-    def __init__(self, enc: Encoder):
-        self.enc, self.young, self.old = enc, {}, {}
-        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, number of ids of each text)."""
-        enc = self.enc
-        cut = [enc.split(enc.normalise(t)) if t else [] for t in texts]
-        if len(self.young) > MEMO_WORDS:
-            keep = list(self.young.values())
-            sizes = self.size[keep]
-            starts = np.cumsum(sizes) - sizes
-            self.flat = self.flat[np.repeat(self.start[keep] - starts, sizes) + np.arange(int(sizes.sum()))]
-            self.start, self.size = starts, sizes
-            self.old, self.young = dict(zip(self.young, range(len(keep)), strict=True)), {}
-        young, old = self.young, self.old
-        new = []
-        for w in {w for ws in cut for w in ws}.difference(young):
-            i = old.get(w)
-            if i is None:
-                new.append(w)
-            else:
-                young[w] = i
-        if new:
-            ids = enc.words(new)
-            base = len(self.size)
-            sizes = np.array([len(ids[w]) for w in new], dtype=np.int64)
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.size = np.concatenate([self.size, sizes])
-            self.flat = np.concatenate([self.flat, np.array([i for w in new for i in ids[w]], dtype=np.int32)])
-            young.update(zip(new, range(base, base + len(new)), strict=True))
-        counts = np.array([len(ws) for ws in cut], dtype=np.int64)
-        at = np.fromiter((young[w] for ws in cut for w in ws), dtype=np.int64, count=int(counts.sum()))
-        sizes = self.size[at]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.flat[np.repeat(self.start[at] - ends[:-1], sizes) + np.arange(int(ends[-1]))]
-        bounds = ends[np.concatenate([[0], np.cumsum(counts)])]
-        return flat, np.diff(bounds)
+        return text[1:] if t["dummy_prefix"] and text.startswith(" ") else text
+
+
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits for each word, and its length and first eight bytes as a check."""
+    keys = word_hashes(data, start, end)
+    size = (end - start).astype(U64)
+    marks = size * U64(0x9E3779B97F4A7C15)
+    for k in range(8):
+        inside = start + k < end
+        marks[inside] ^= data[start[inside] + k].astype(U64) << U64(8 * k)
+    return keys, marks
 
 
-def _encode_rows(model_bytes, rows: int):
+def _encode_rows(shared):
     def run(batches):
-        memo = Memo(Encoder(read_model(model_bytes.value)))
+        enc = Encoder(pickle.loads(shared.value))
         for b in batches:
-            for at in range(0, b.num_rows, rows):
-                part = b.slice(at, rows)
-                flat, sizes = memo.encode(part.column(1).to_pylist())
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                yield pa.record_batch([part.column(0).cast(pa.int64()), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "n_tokens", "ids"])
+            for at, data, off in chunks(b.column(1)):
+                flat, bounds = enc.ids(data, off)
+                yield pa.record_batch([b.column(0).slice(at, len(off) - 1).cast(pa.int64()), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))], names=["doc_id", "n_tokens", "ids"])
 
     return run
 
 
 def _model_broadcast(df: DataFrame, model_path: str):
-    """The model file's bytes for the executors. The path may be local to the driver or one that Spark reads."""
+    """The model's tables for the executors, pickled plain values. The path may be local to the driver or one that Spark reads."""
     spark = df.sparkSession
     try:
         with open(model_path, "rb") as f:
             data = f.read()
     except OSError:
         data = bytes(spark.read.format("binaryFile").load(model_path).select("content").first()[0])
-    return spark.sparkContext.broadcast(data)
+    return spark.sparkContext.broadcast(pickle.dumps(prepare(read_model(data))))
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", id_col: str = "doc_id", rows: int = 256) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens and ids for each row of docs."""
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return picked.mapInArrow(_encode_rows(_model_broadcast(docs, model_path), rows), "doc_id long, n_tokens long, ids array<int>")
+    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return picked.mapInArrow(_encode_rows(_model_broadcast(docs, model_path)), "doc_id long, n_tokens long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -438,7 +506,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     model = _model_broadcast(encoded, model_path)
 
     def run(batches):
-        enc = Encoder(read_model(model.value))
+        enc = Encoder(pickle.loads(model.value))
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([enc.decode(x or []) for x in b.column(1).to_pylist()], type=pa.string())], names=["doc_id", "text"])
 
