@@ -1,172 +1,227 @@
 """Toxicity (operator 1): class-conditional Kneser-Ney models of toxic and ordinary text.
 
-Two interpolated bigram models with absolute discounts are counted on labelled rows, one for each class. Both back off
-from bigrams to their own unigrams and from those to one shared distribution: over both classes together, the number of
-different words that a word follows, up to `RARE`. So an expression that is rare, or that neither class has seen, gets
-the same backoff in both and says nothing, and a common one speaks by its class counts. A document's evidence is its
-log-likelihood ratio divided by its length, and the part of it that comes from expressions with a ratio over STRONG; a
-logistic curve over these, fitted on documents that the models of the other half of the sample have not seen, turns
-them into a score from 0 to 1.
+Kneser-Ney models of words and of words after words are counted on labelled rows, with the class as the first history to
+drop: an absolute discount is taken from each class's count, and what it takes is counted together over both classes,
+as shared backoff counts, whose probability both classes get with the freed mass. So an expression too rare for the
+discount has the shared probability in both classes and says nothing, and a frequent one speaks by its class counts. A
+pair of words too rare to tell falls back to its second word. Log ratios are shrunk towards 0 by a few tenths of a nat, since
+a vocabulary has many expressions with a weak ratio by chance. A document's evidence is its length-normalised
+log-likelihood ratio: toxic less ordinary, divided by its words; a logistic curve turns that one number into a score.
+Discount, shrinking, order and curve are those that do best on the half of the sample that the models haven't seen.
 
-Training rows are bounded: `per_class` documents of each class. Scoring reads whole texts of all rows.
+Words are runs of letters by bytes: ASCII letters and bytes from 128 on, but for general punctuation and Latin-1 signs;
+A-Z and Latin-1 capitals are lower-cased. They are held as 64-bit hashes; a document counts an expression once.
+
+Training rows are bounded: `per_class` documents of each class, whole texts. Scoring reads whole texts of all rows.
 
 Defined results: null and empty texts, and texts without letters, have no evidence and get the curve's value at zero
-evidence, at most 0.5; without labels of both classes all scores are 0; repeated rows get equal scores; extra columns
-aren't read. The model's size is bounded by the sample, so it is broadcast.
+evidence, at most 0.5; without labels of both classes all scores are 0; repeated rows, and ids that repeat or are null,
+get a row each and equal texts equal scores; an empty table gives no rows; very long texts are read whole; extra columns
+aren't read. A label under several values for one id counts once for each. The model's size is bounded by the sample, so it is broadcast.
 """
 
 from __future__ import annotations
 
-import re
+import pickle
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytesnp import U64, _mix, chunks, word_hashes
 from .sampling import sample_ids, sample_texts
 
-WORD = re.compile(r"[^\W\d_]+")
-RARE = 5
-#: Log ratio above which an expression counts as strong evidence by itself.
-STRONG = 1.5
-DISCOUNT = 0.75
-
-
-def tokens(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+#: Discounts tried, in documents.
+DISCOUNTS = (0.75, 2.0, 4.0, 8.0, 16.0)
+#: Nats by which each log ratio is shrunk towards 0: weaker ones say nothing.
+LEAST = (0.0, 0.5, 1.0, 1.5)
+START = U64(0x9E3779B97F4A7C15)
+
+
+def letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes in lower case, whether each belongs to a word)."""
+    low = data.copy()
+    upper = (data >= 65) & (data <= 90)
+    low[upper] += 32
+    inside = (low >= 97) & (low <= 122) | (data >= 128)
+    lead = np.flatnonzero(data[:-1] >= 0xC2) if len(data) else np.zeros(0, np.int64)
+    first, second = data[lead], data[lead + 1] if len(lead) else data[:0]
+    capital = lead[(first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)]
+    low[capital + 1] += 32
+    sign = lead[(first == 0xC2) | (first == 0xC3) & ((second == 0x97) | (second == 0xB7))]
+    inside[sign] = inside[sign + 1] = False
+    mark = lead[(first == 0xE2) & ((second == 0x80) | (second == 0x81))]
+    for k in range(3):
+        inside[mark[mark + k < len(data)] + k] = False
+    return low, inside
+
+
+def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, hash of it and the one before, first word of each row) of a chunk."""
+    low, inside = letters(data)
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[off] = True
+    before = np.concatenate([[False], inside[:-1]]) if len(data) else inside
+    after = np.concatenate([inside[1:], [False]]) if len(data) else inside
+    start = np.flatnonzero(inside & (~before | edge[:-1]))
+    end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    h = word_hashes(low, start, end)
+    first = np.searchsorted(start, off)
+    previous = np.concatenate([[START], h[:-1]]) if len(h) else h
+    previous[first[:-1][first[:-1] < first[1:]]] = START
+    return h, _mix(previous * U64(0xBF58476D1CE4E5B9) + h), first
+
+
+class Counts:
+    """Documents of each class that hold each word and each pair of words; `docs`: (words, pairs) of each document."""
+
+    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
+        one, two = [], []
+        for (w, p), y in zip(docs, labels, strict=True):
+            one.append((np.unique(w), y))
+            key, at = np.unique(p, return_index=True)
+            two.append((key, np.where(at > 0, w[at - 1], START), w[at], y))
+        cat = lambda rows, i, kind=U64: np.concatenate([np.zeros(0, kind), *(r[i] for r in rows)])
+        of = lambda rows, y: np.repeat([r[-1] == y for r in rows], [len(r[0]) for r in rows]).astype(float) if rows else np.zeros(0)
+        self.words, at = np.unique(cat(one, 0), return_inverse=True)
+        self.by = [np.bincount(at, weights=of(one, y), minlength=len(self.words)) for y in (1, 0)]
+        self.pairs, first, at = np.unique(cat(two, 0), return_index=True, return_inverse=True)
+        self.pair_by = [np.bincount(at, weights=of(two, y), minlength=len(self.pairs)) for y in (1, 0)]
+        self.word = np.searchsorted(self.words, cat(two, 2)[first])
+        _, self.context = np.unique(cat(two, 1)[first], return_inverse=True)
+
+
+def _soft(x: np.ndarray, least: float) -> np.ndarray:
+    return np.sign(x) * np.maximum(np.abs(x) - least, 0.0)
 
 
 class KneserNey:
-    """Log-likelihood ratios toxic : ordinary of bigrams, from counts of both classes.
-
-    A document counts an expression once, so that one that repeats a word hundreds of times isn't a class of its own.
-    """
-
-    def __init__(self, toxic: list[list[str]], ordinary: list[list[str]]):
-        self.vocab: dict[str, int] = {}
-        mask = (1 << 32) - 1
-        singles, pairs = [], []
-        for texts in (toxic, ordinary):
-            one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for words in texts:
-                ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], dtype=np.int64)
-                one.append(np.unique(ids))
-                two.append(np.unique((np.concatenate([[0], ids[:-1]]) << 32 | ids) if len(ids) else ids))
-            singles.append(np.concatenate(one))
-            pairs.append(np.unique(np.concatenate(two), return_counts=True))
-        n = self.n = len(self.vocab) + 1  # 0: outside the vocabulary, and the start
-        counts = [np.bincount(x, minlength=n).astype(float) for x in singles]
-        pooled = counts[0] + counts[1]
-        kinds, each = np.unique(np.concatenate([k for k, _ in pairs]), return_inverse=True)
-        by = np.zeros((2, len(kinds)))
-        by[0, each[: len(pairs[0][0])]] = pairs[0][1]
-        by[1, each[len(pairs[0][0]) :]] = pairs[1][1]
-        before, word = kinds >> 32, kinds & mask
-        shared = 1.0 + np.minimum(np.bincount(word, minlength=n), RARE)
-        shared /= shared.sum()
-        # Both classes free the same mass, that of the pooled counts, so that size of a class is no evidence.
-        free = DISCOUNT * (pooled > 0).sum() / max(1.0, pooled.sum()) if pooled.any() else 1.0
-        p1 = []
-        for c in (0, 1):
-            own = np.where(pooled > RARE, np.maximum(counts[c] - DISCOUNT, 0), 0.0)
-            p1.append((1 - free) * own / own.sum() + free * shared if own.sum() else shared)
-        self.uni = np.log(p1[0]) - np.log(p1[1])
-        context = np.bincount(before, weights=by.sum(axis=0), minlength=n)
-        freed = DISCOUNT * np.bincount(before, minlength=n) / np.maximum(context, 1)
-        common = np.flatnonzero(by.sum(axis=0) > RARE)
-        v, w, p2 = before[common], word[common], []
-        for c in (0, 1):
-            own = np.maximum(by[c] - DISCOUNT, 0)
-            total = np.bincount(before, weights=own, minlength=n)[v]
-            mixed = (1 - freed[v]) * own[common] / np.maximum(total, 1e-300) + freed[v] * p1[c][w]
-            p2.append(np.where(total > 0, mixed, p1[c][w]))
-        self.keys, self.ratio = v * n + w, np.log(p2[0]) - np.log(p2[1])  # kinds are sorted, so keys are
-
-    def ratios(self, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Log ratio of each word given the one before; start marks a document's first word."""
-        before = np.zeros_like(ids)
-        before[1:] = ids[:-1]
-        before[start] = 0
-        out = self.uni[ids]
-        if len(self.keys):
-            key = before * self.n + ids
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            seen = (self.keys[at] == key) & (ids > 0)
-            out[seen] = self.ratio[at[seen]]
-        out[ids == 0] = 0.0
-        return out
-
-    def evidence(self, docs: list[list[str]]) -> np.ndarray:
-        """For each document: mean ratio by word, and of the part above STRONG the mean and the sum (log), log of length."""
-        sizes = np.array([len(d) for d in docs], dtype=np.int64)
-        get = self.vocab.get
-        ids = np.fromiter((get(w, 0) for d in docs for w in d), dtype=np.int64, count=int(sizes.sum()))
-        ends = np.cumsum(sizes)
-        begin = ends - sizes
-        each = self.ratios(ids, begin[sizes > 0]) if len(ids) else np.zeros(0)
-        total, strong = (np.diff(np.concatenate([[0.0], np.cumsum(x)])[np.stack([begin, ends], axis=1)], axis=1)[:, 0] for x in (each, np.maximum(each - STRONG, 0)))
-        n = np.maximum(sizes, 1)
-        return np.stack([total / n, 10 * np.minimum(strong / n, 1), np.log1p(np.maximum(strong, 0)), (np.log(n) - 5) / 3], axis=1)
-
-
-def fit_curve(x: np.ndarray, y: np.ndarray, positive: float = 0.3, steps: int = 50, ridge: float = 1e-2) -> np.ndarray:
-    """Logistic regression by Newton steps, with a share `positive` of weight on label 1; the last weight is the constant."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-    weight = np.where(y > 0, positive / max(1, (y > 0).sum()), (1 - positive) / max(1, (y == 0).sum())) * len(y)
-    w = np.zeros(a.shape[1])
+    """Log-likelihood ratios toxic : ordinary of words after words, less `least` nats. Only those that say something are
+    stored; any other pair has its word's ratio, any other word 0."""
+
+    def __init__(self, c: Counts, discount: float, least: float, order: int = 2):
+        n = len(c.words)
+        free = [np.minimum(count, discount) for count in c.by]
+        weight = (free[0] + free[1]).sum() / max(1.0, (c.by[0] + c.by[1]).sum())
+        shared = (free[0] + free[1]) / max(1e-300, (free[0] + free[1]).sum())
+        uni = []
+        for count in c.by:
+            own = np.maximum(count - discount, 0.0)
+            uni.append((1 - weight) * own / own.sum() + weight * shared if own.sum() > 0 else shared)
+        ratio = _soft(np.log(uni[0]) - np.log(uni[1]) if n else np.zeros(0), least)
+        told = np.flatnonzero(ratio)
+        self.words, self.ratio = c.words[told], ratio[told]
+        self.pairs, self.pair_ratio = c.pairs[:0], np.zeros(0)
+        if order < 2 or not len(c.pairs):
+            return
+        m = int(c.context.max()) + 1
+        total = lambda x: np.bincount(c.context, weights=x, minlength=m)
+        free = [np.minimum(count, discount) for count in c.pair_by]
+        kept = np.flatnonzero(np.maximum(*c.pair_by) > discount)
+        at, p = c.context[kept], []
+        shared = (free[0] + free[1])[kept] / np.maximum(total(free[0] + free[1])[at], 1e-300)
+        for k, count in enumerate(c.pair_by):
+            mass = total(count)[at]
+            p.append(np.where(mass > 0, (np.maximum(count - discount, 0.0)[kept] + total(free[k])[at] * shared) / np.maximum(mass, 1.0), shared))
+        self.pairs, self.pair_ratio = c.pairs[kept], _soft(np.log(p[0]) - np.log(p[1]), least)
+
+    def evidence(self, words: np.ndarray, pairs: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """For each row the mean log ratio of its words; 0 without words."""
+        each = np.zeros(len(words))
+        for keys, ratio, asked in ((self.words, self.ratio, words), (self.pairs, self.pair_ratio, pairs)):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                hit = keys[at] == asked
+                each[hit] = ratio[at[hit]]
+        sums = np.concatenate([[0.0], np.cumsum(each)])
+        return (sums[first[1:]] - sums[first[:-1]]) / np.maximum(1, np.diff(first))
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray, positive: float = 0.3, steps: int = 100, ridge: float = 1e-3) -> tuple[float, float, float]:
+    """(slope, constant, loss) of a logistic curve by Newton steps, with a share `positive` of weight on label 1."""
+    scale = max(1e-9, float(np.std(x)))
+    a = np.stack([x / scale, np.ones(len(x))], axis=1)
+    weight = np.where(y > 0, positive / max(1, (y > 0).sum()), (1 - positive) / max(1, (y == 0).sum()))
+    w = np.zeros(2)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (weight * (p - y)) + ridge * w
-        hess = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+        hess = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(2)
+        step = np.linalg.solve(hess, a.T @ (weight * (p - y)) + ridge * w * [1, 0])
+        w -= np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-9:
             break
-    return w
-
-
-class Model:
-    def __init__(self, texts: list[tuple[str | None, int]]):
-        docs = [(tokens(t), y) for t, y in texts]
-        self.ready = {y for _, y in docs} >= {0, 1}
-        if not self.ready:
-            return
-        pick = lambda rows, y: [d for d, z in rows if z == y]
-        halves = [docs[::2], docs[1::2]]
-        x, y = [], []
-        for a, b in (halves, halves[::-1]):
-            part = KneserNey(pick(a, 1), pick(a, 0))
-            x.append(part.evidence([d for d, _ in b]))
-            y += [z for _, z in b]
-        self.curve = fit_curve(np.concatenate(x), np.array(y, dtype=float))
-        self.models = KneserNey(pick(docs, 1), pick(docs, 0))
-
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        if not self.ready:
-            return np.zeros(len(texts))
-        docs = [tokens(t) for t in texts]
-        z = self.models.evidence(docs) @ self.curve[:-1] + self.curve[-1]
-        out = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        return np.where([len(d) == 0 for d in docs], np.minimum(out, 0.5), out)
-
-
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, text: str = "text", label: str = "toxic") -> Model:
+    p = np.clip(1 / (1 + np.exp(-np.clip(a @ w, -30, 30))), 1e-12, 1 - 1e-12)
+    loss = -float((weight * np.where(y > 0, np.log(p), np.log1p(-p))).sum())
+    return float(w[0] / scale), float(w[1]), loss
+
+
+def fit(texts: list[tuple[str | None, int]], discounts=DISCOUNTS, leasts=LEAST) -> dict:
+    """The model as plain arrays: words, ratio, pairs, pair_ratio, slope, constant; empty without both classes."""
+    labels = np.array([int(y > 0) for _, y in texts])
+    if set(labels.tolist()) != {0, 1}:
+        return {}
+    docs = []
+    for _, data, off in chunks(pa.array([t for t, _ in texts], pa.string())):
+        w, p, first = tokens(data, off)
+        docs += [(w[a:b], p[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+    fold = np.zeros(len(docs), dtype=np.int64)
+    for y in (0, 1):  # halves of each class
+        own = np.flatnonzero(labels == y)
+        fold[own] = np.arange(len(own)) % 2
+    found = []
+    halves = [Counts([docs[i] for i in np.flatnonzero(fold == k)], labels[fold == k]) for k in (0, 1)]
+    others = [np.flatnonzero(fold != k) for k in (0, 1)]
+    for discount, least, order in product(discounts, leasts, (1, 2)):
+        x = np.zeros(len(docs))
+        for k in (0, 1):
+            part = KneserNey(halves[k], discount, least, order)
+            x[others[k]] = part.evidence(*_joined([docs[i] for i in others[k]]))
+        slope, constant, loss = fit_curve(x, labels.astype(float))
+        found.append((loss, discount, least, order, slope, constant))
+    del halves
+    _, discount, least, order, slope, constant = min(found)
+    model = KneserNey(Counts(docs, labels), discount, least, order)
+    return {"words": model.words, "ratio": model.ratio, "pairs": model.pairs, "pair_ratio": model.pair_ratio, "slope": slope, "constant": constant, "discount": discount, "least": least, "order": order}
+
+
+def _joined(docs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, pairs, first word of each document) of documents one after the other."""
+    if not docs:
+        return np.zeros(0, U64), np.zeros(0, U64), np.zeros(1, np.int64)
+    return np.concatenate([w for w, _ in docs]), np.concatenate([p for _, p in docs]), np.concatenate([[0], np.cumsum([len(w) for w, _ in docs])])
+
+
+def scores(model: dict, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Scores of a chunk's rows."""
+    rows = len(off) - 1
+    if not model:
+        return np.zeros(rows)
+    own = KneserNey.__new__(KneserNey)
+    own.words, own.ratio, own.pairs, own.pair_ratio = (model[k] for k in ("words", "ratio", "pairs", "pair_ratio"))
+    w, p, first = tokens(data, off)
+    out = 1 / (1 + np.exp(-np.clip(model["slope"] * own.evidence(w, p, first) + model["constant"], -30, 30)))
+    return np.where(np.diff(first) == 0, np.minimum(out, 0.5), out)
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, text: str = "text", label: str = "toxic") -> dict:
     """labels: doc_id and the label 0/1 of the rows to learn from."""
     picked = sample_ids(labels, label, per_class)
-    of = dict(picked)
-    return Model([(t, int(of[i])) for i, t in sample_texts(docs, picked, F.col(f"`{text}`"))])
+    of: dict = {}
+    for i, y in picked:
+        of.setdefault(i, []).append(int(y))
+    return fit([(t, y) for i, t in sample_texts(docs, picked, F.col(f"`{text}`")) for y in of[i]])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id and score for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: dict, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id and score for each row of docs. The model goes out as bytes of plain arrays."""
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def run(batches):
-        m = shared.value
+        m = pickle.loads(shared.value)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                yield pa.record_batch([part.column(0).cast(pa.int64()), pa.array(m.scores(part.column(1).to_pylist()))], names=["doc_id", "score"])
+            for at, data, off in chunks(b.column(1)):
+                yield pa.record_batch([b.column(0).slice(at, len(off) - 1).cast(pa.int64()), pa.array(scores(m, data, off))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
