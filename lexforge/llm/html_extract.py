@@ -9,29 +9,36 @@ such pages from a grammar of layouts, as none are given.
 
 Text: scripts, styles, comments and the head are never text; character references are decoded; white space inside a
 block becomes one space; blocks are joined in page order by one space. Unclosed and misnested tags are mended as
-browsers do for paragraphs, list items, cells and options.
+browsers do for paragraphs, list items, cells and options. A `<` that no tag or `>` follows is text. Scanning takes time
+in proportion to a page's length, whatever stands in it.
 
 Defined results: null and empty html, and pages without content, give ""; plain text without tags is one block of the
-body and kept; very long pages are read whole and one at a time; repeated rows get equal results; extra columns aren't
-read.
+body and kept; pages are taken together up to CHUNK bytes, a longer one is read whole and alone; repeated rows, and ids
+that repeat or are null, get a row each and equal pages equal results; an empty table gives no rows; extra columns
+aren't read.
 """
 
 from __future__ import annotations
 
 import html
+import pickle
 import random
 import re
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytesnp import chunks
+
+CHUNK = 1 << 20
 #: Element names by role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object select button canvas xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style title textarea template iframe svg annotation select button canvas xmp noembed noframes".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover mstyle semantics".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tbody": {"table"}, "option": {"select"}}
@@ -51,7 +58,8 @@ NAMES = {
 }
 _NAME = {w: k for k, (_, ws) in enumerate(NAMES.items()) for w in ws.split()}
 _KINDS = len(NAMES)
-TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<![^>]*>|<\?[^>]*>|[^<]+|<""", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"""[>"']""")
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 WORDS = re.compile(r"[a-z]+(?:-[a-z]+)*")
 SPLIT = re.compile(r"[^a-z]+")
@@ -77,6 +85,56 @@ class Tree:
     texts: list[tuple[int, int, str]] = field(default_factory=list)
 
 
+def tokens(page: str):
+    """(text, end tag, name in lower case or None, attributes) of a page, in order; comments, declarations and the insides
+    of RAW elements are left out."""
+    at, size, last = 0, len(page), page.rfind(">")
+    while at < size:
+        start = page.find("<", at)
+        if start < 0 or start > last:  # no tag ends after here; an open comment lasts to the end
+            end = page.find("<!--", at)
+            yield page[at:] if end < 0 else page[at:end], "", None, ""
+            return
+        if start > at:
+            yield page[at:start], "", None, ""
+        at = start
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = size if end < 0 else end + 3
+            continue
+        if page.startswith(("<!", "<?"), at):
+            at = page.find(">", at) + 1
+            continue
+        m = TAG.match(page, at)
+        if m is None:
+            yield "<", "", None, ""
+            at += 1
+            continue
+        end = m.end()
+        while True:  # to the tag's end; a quote that doesn't close before the last one is a plain character
+            stop = STOP.search(page, end)
+            end = stop.end()
+            if stop[0] == ">":
+                break
+            close = page.find(stop[0], end, last)
+            if close >= 0:
+                end = close + 1
+            else:
+                end = page.find(">", end) + 1
+                break
+        name, attrs = m[2].lower(), page[m.end() : end - 1]
+        at = end
+        yield "", m[1], name, attrs
+        if name in RAW and not m[1] and not (attrs.endswith("/") and name == "svg"):
+            found = _raw_end(name).search(page, at)
+            at = size if found is None else page.find(">", found.start()) + 1 or size
+
+
+@cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(f"</{re.escape(name)}(?![a-z0-9])", re.I | re.A)
+
+
 def parse(page: str | None, labels: bool = False) -> Tree:
     """The block elements of a page. Inline elements only carry their text's links."""
     t = Tree()
@@ -102,17 +160,18 @@ def parse(page: str | None, labels: bool = False) -> Tree:
 
     root = node(-1, "body", "")
     stack: list[tuple[str, int]] = [("body", root)]  # block elements
+    held: dict[str, int] = {}  # how many of each name are on the stack, so that no search goes in vain
+
+    def cut(k: int) -> None:
+        for name, _ in stack[k:]:
+            held[name] -= 1
+        del stack[k:]
+
     links, block = 0, 0
-    page = page or ""
-    at, size, lower = 0, len(page), None
     in_head = False
-    while at < size:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        name = m[2]
+    for text, closing, name, attrs in tokens(page or ""):
         if name is None:
-            text = m[0]
-            if text.startswith(("<!", "<?")) or in_head:
+            if in_head:
                 continue
             if "&" in text:
                 text = html.unescape(text)
@@ -123,26 +182,19 @@ def parse(page: str | None, labels: bool = False) -> Tree:
                 t.linked[here] += n
             t.texts.append((here, block, text))
             continue
-        name = name.lower()
-        if m[1]:  # an end tag
+        if closing:
             if name == "a":
                 links = 0
             elif name == "head":
                 in_head = False
-            elif name not in INLINE and name not in ("body", "html"):
+            elif name not in INLINE and held.get(name):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == name:
-                        del stack[k:]
+                        cut(k)
                         block += 1
                         break
             continue
         if name in RAW:
-            if m[3].endswith("/") and name in ("svg", "math"):
-                continue
-            if lower is None:
-                lower = page.lower()
-            end = lower.find(f"</{name}", at)
-            at = size if end < 0 else page.find(">", end) + 1 or size
             block += 1
             continue
         if name == "head":
@@ -165,24 +217,31 @@ def parse(page: str | None, labels: bool = False) -> Tree:
             continue
         links = 0
         block += 1
-        if name in CLOSES_P:
+        if name in CLOSES_P and held.get("p"):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k][0] in ("table", "td", "th", "article", "section", "div", "li"):
                     break
-        if name in SAME:
+        if name in SAME and any(held.get(x) for x in SAME[name]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in SCOPE[name]:
                     break
                 if stack[k][0] in SAME[name]:
-                    del stack[k:]
+                    cut(k)
                     break
-        stack.append((name, node(stack[-1][1], name, m[3])))
+        stack.append((name, node(stack[-1][1], name, attrs)))
+        held[name] = held.get(name, 0) + 1
     return t
 
 
+def levels_of(depth: np.ndarray) -> list[np.ndarray]:
+    """Nodes of each depth."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if len(depth) else []
+
+
 def features(trees: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(features, parents, depths, edge kinds) of the nodes of all trees, one after the other; roots have parent -1."""
     sizes = [len(t.parent) for t in trees]
@@ -197,8 +256,7 @@ def features(trees: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         if parent[i] >= 0:
             depth[i] = depth[parent[i]] + 1
     whole, whole_linked = own.copy(), linked.copy()
-    for d in range(int(depth.max()) if n else 0, 0, -1):
-        at = np.flatnonzero(depth == d)
+    for at in reversed(levels_of(depth)[1:]):
         np.add.at(whole, parent[at], whole[at])
         np.add.at(whole_linked, parent[at], whole_linked[at])
     x = np.zeros((n, N_FEATURES))
@@ -242,7 +300,7 @@ class TreeModel:
         unary = np.stack([np.zeros(n), x @ self.w], axis=1)
         up = unary.copy()  # own potential and messages from children
         to_parent = np.zeros((n, 2))
-        levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1 if n else 0)]
+        levels = levels_of(depth)
         for at in reversed(levels[1:]):
             both = up[at][:, None, :] + self.edge[kind[at]]  # parent label, own label
             to_parent[at] = np.logaddexp(both[:, :, 0], both[:, :, 1])
@@ -396,16 +454,17 @@ def extract(model: TreeModel, pages: list[str | None]) -> list[str]:
     return out
 
 
-def main_text(pages: DataFrame, model: TreeModel, html_col: str = "html", batch: int = 64) -> DataFrame:
-    """pages' page_id and url with text and n_chars (code points)."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+def main_text(pages: DataFrame, model: TreeModel, html_col: str = "html") -> DataFrame:
+    """pages' page_id and url with text and n_chars (code points). The model goes out as bytes of plain arrays."""
+    shared = pages.sparkSession.sparkContext.broadcast(pickle.dumps((model.w, model.edge)))
 
     def run(batches):
-        m = shared.value
+        m = TreeModel()
+        m.w, m.edge = pickle.loads(shared.value)
         for b in batches:
-            for at in range(0, b.num_rows, batch):
-                part = b.slice(at, batch)
-                texts = extract(m, part.column(2).to_pylist())
+            for at, data, off in chunks(b.column(2), CHUNK):
+                texts = extract(m, [data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
+                part = b.slice(at, len(texts))
                 yield pa.record_batch([part.column(0).cast(pa.int64()), part.column(1).cast(pa.string()), pa.array(texts, type=pa.string()), pa.array([len(x) for x in texts], type=pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col(f"`{html_col}`").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
