@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A key with at least this share of the left rows counts as hot; so there are at most HOT_SHARE hot keys.
@@ -11,6 +11,24 @@ HOT_SHARE = 1000
 BROADCAST_IDS = 1_000_000
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, with underscores added until no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def ref(name: str) -> Column:
+    """The top-level column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def odd_ids(rows: DataFrame, id_col: str) -> bool:
+    """Whether an id is null or stands in more than one row."""
+    return rows.groupBy(ref(id_col).alias("id")).agg(F.count(F.lit(1)).alias("k")).filter("k > 1 OR id IS NULL").limit(1).count() > 0
+
+
 def skew_left_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """left LEFT JOIN right on key, where right has one row a key and `weight`, the key's rows in left.
 
@@ -32,6 +50,7 @@ def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") ->
 
     The number of dropped ids is counted: a small set is broadcast and no text moves; a larger one takes a shuffle.
     """
-    d = dropped.select(F.col(dropped.columns[0]).alias("_dropped"))
+    name = fresh(docs.columns, "_dropped")
+    d = dropped.select(ref(dropped.columns[0]).alias(name))
     d = F.broadcast(d) if dropped.count() <= BROADCAST_IDS else d.hint("merge")
-    return docs.join(d, F.col(id_col) == F.col("_dropped"), "left_anti")
+    return docs.join(d, ref(id_col) == ref(name), "left_anti")

@@ -1,8 +1,9 @@
 """Quality rules (operator 5): a threshold table compiled into one projection, without user functions.
 
 Defined results: a null text has no words, counts of zero, and fails; ties and repeated rows are judged row by row;
-an empty table gives an empty table; extra columns pass through `annotate` untouched, as measures get the names below
-only in its result. A very long text is measured whole.
+an empty table gives an empty table; null and repeated ids play no part; extra columns pass through untouched, whatever
+their names: the result's struct is the last column, named `quality`, or `quality_` and so on where that is taken, and
+columns on the way get names that no input column has. A very long text is measured whole.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import fresh, ref
 from .text import SPACE, words
 
 #: Frequent function words of English, French, German and Spanish.
@@ -77,12 +79,11 @@ def _repeat_words(ws: Column) -> Column:
     return F.when(n < 4, F.lit(0)).otherwise(_let(hashes, count))
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """Counts of a text over its words `_w` and lines with a word `_l`; see RULES for the ratios built on them."""
+def measures(text: Column, w: Column, lines: Column) -> dict[str, Column]:
+    """Counts of a text over its words w and its lines with a word; see RULES for the ratios built on them."""
     t = F.coalesce(text, F.lit(""))
     n = F.size
-    stop = {w for w in STOP_WORDS} | {w.capitalize() for w in STOP_WORDS}
-    w, lines = F.col("_w"), F.col("_l")
+    stop = {x for x in STOP_WORDS} | {x.capitalize() for x in STOP_WORDS}
     return {
         "n_words": n(w).cast("long"),
         "word_chars": F.length(F.regexp_replace(t, SPACE, "")).cast("long"),
@@ -97,26 +98,24 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
-def _ratio(a: str, b: str) -> Column:
-    return F.coalesce(F.try_divide(F.col(f"_m.{a}").cast("double"), F.col(f"_m.{b}")), F.lit(0.0))
-
-
-def ratios() -> dict[str, Column]:
+def ratios(m: Column) -> dict[str, Column]:
+    """The measures that rules bound, from the struct of counts."""
+    ratio = lambda a, b: F.coalesce(F.try_divide(m[a].cast("double"), m[b]), F.lit(0.0))
     return {
-        "n_words": F.col("_m.n_words").cast("double"),
-        "mean_word_chars": _ratio("word_chars", "n_words"),
-        "symbol_ratio": _ratio("n_symbols", "word_chars"),
-        "capital_ratio": _ratio("n_capitals", "word_chars"),
-        "stop_ratio": _ratio("n_stop_words", "n_words"),
-        "dup_line_ratio": _ratio("n_dup_lines", "n_lines"),
-        "bullet_ratio": _ratio("n_bullet_lines", "n_lines"),
-        "ellipsis_ratio": _ratio("n_ellipsis_lines", "n_lines"),
+        "n_words": m["n_words"].cast("double"),
+        "mean_word_chars": ratio("word_chars", "n_words"),
+        "symbol_ratio": ratio("n_symbols", "word_chars"),
+        "capital_ratio": ratio("n_capitals", "word_chars"),
+        "stop_ratio": ratio("n_stop_words", "n_words"),
+        "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
+        "bullet_ratio": ratio("n_bullet_lines", "n_lines"),
+        "ellipsis_ratio": ratio("n_ellipsis_lines", "n_lines"),
     }
 
 
-def failed_rules(rules=RULES) -> Column:
+def failed_rules(m: Column, rules=RULES) -> Column:
     """Names of the rules that a row's measures break, from the table."""
-    r = ratios()
+    r = ratios(m)
     broken = []
     for name, measure, least, most in rules:
         parts = ([r[measure] < F.lit(float(least))] if least is not None else []) + ([r[measure] > F.lit(float(most))] if most is not None else [])
@@ -125,22 +124,25 @@ def failed_rules(rules=RULES) -> Column:
 
 
 def annotate(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
-    """docs with the struct `quality`: the measures, failed_rules, base_failed and kept.
+    """docs with a struct `quality` as last column: the measures, failed_rules, base_failed and kept.
 
     base_failed: n_words < 50, or 100 * n_repeat_words > 50 * n_words. kept: not base_failed and no rule broken.
     """
-    base = (F.col("_m.n_words") < 50) | (100 * F.col("_m.n_repeat_words") > 50 * F.col("_m.n_words"))
-    m = measures(F.col(f"`{text}`"))
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("_m", "_w", "_l", "_f", "quality")]
-    lines = F.filter(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    w, l, m, f, quality = (fresh(docs.columns, x) for x in ("_words", "_lines", "_measures", "_failed", "quality"))
+    own = [ref(c) for c in docs.columns]
+    base = (ref(m)["n_words"] < 50) | (100 * ref(m)["n_repeat_words"] > 50 * ref(m)["n_words"])
+    lines = F.filter(F.split(F.coalesce(ref(text), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    counts = measures(ref(text), ref(w), ref(l))
     return (
-        docs.select(*own, _once(words(F.col(f"`{text}`"))).alias("_w"), _once(lines).alias("_l"))
-        .select(*own, _once(F.struct(*(v.alias(k) for k, v in m.items()))).alias("_m"))
-        .select(*own, "_m", failed_rules(rules).alias("_f"))
-        .select(*own, F.struct("_m.*", F.col("_f").alias("failed_rules"), base.alias("base_failed"), (~base & (F.size("_f") == 0)).alias("kept")).alias("quality"))
+        docs.select(*own, _once(words(ref(text))).alias(w), _once(lines).alias(l))
+        .select(*own, _once(F.struct(*(v.alias(k) for k, v in counts.items()))).alias(m))
+        .select(*own, ref(m), failed_rules(ref(m), rules).alias(f))
+        .select(*own, F.struct(*(ref(m)[k].alias(k) for k in counts), ref(f).alias("failed_rules"), base.alias("base_failed"), (~base & (F.size(ref(f)) == 0)).alias("kept")).alias(quality))
     )
 
 
 def keep_good(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """The rows of docs that pass, with their own columns."""
-    return annotate(docs, rules, text).filter("quality.kept").drop("quality")
+    rows = annotate(docs, rules, text)
+    quality = rows.columns[-1]
+    return rows.filter(ref(quality)["kept"]).drop(ref(quality))
