@@ -18,8 +18,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, shuffle_partitions
-from .joins import skew_left_join, without_ids
+from ..session import materialize, shared_dir, shuffle_partitions
+from .joins import ref, skew_left_join, without_ids
 from .text import ascii_lower
 
 SCHEMA = "digest BINARY, keep_id BIGINT, n_rows BIGINT, batch STRING"
@@ -47,7 +47,7 @@ class DigestIndex:
 
 
 def digests(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(ascii_lower(F.col(f"`{text}`")), 256)).alias("digest"))
+    return docs.select(ref(id_col).alias("doc_id"), F.unhex(F.sha2(ascii_lower(ref(text)), 256)).alias("digest"))
 
 
 def dedup(docs: DataFrame, index: DigestIndex, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -56,7 +56,7 @@ def dedup(docs: DataFrame, index: DigestIndex, text: str = "text", id_col: str =
     Appends the batch's new digests to the index.
     """
     batch = uuid.uuid4().hex
-    rows = digests(docs, text, id_col)
+    rows = materialize(docs.sparkSession, digests(docs, text, id_col), "digest-rows")  # each text is hashed once
     groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n_rows"))
     new = groups.join(index.read().select(F.col("digest").alias("_seen")).hint("merge"), F.col("digest") == F.col("_seen"), "left_anti")
     index.append(new.withColumn("batch", F.lit(batch)))
