@@ -11,8 +11,10 @@
    no task sees a whole hot group.
 
 Defined results: null text has size 0 and is taken 0 words; a null source is a source of its own, last; repeated rows
-are separate documents (ties by doc_id, equal rows in either order, with equal results); no rows give no rows; extra
-columns aren't read. Sizes are of whole texts.
+are separate documents; where ids repeat or are null, rows are told apart by a number of their own, so that each row has its
+own copies and the words taken meet the targets (which of such rows are taken then depends on the table's files); ties go
+by hash, then id; no rows give no rows; extra columns aren't read by `mix` and pass through `mixed`, whatever their names.
+Sizes are of whole texts.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import Scratch, materialize, shuffle_partitions
+from .joins import fresh, odd_ids, ref
 from .text import words
 
 WEIGHTS = (3, 1, 2)
@@ -31,25 +34,47 @@ BINS = 1024
 KNAPSACK_WORDS = 32768
 
 
-def sizes(docs: DataFrame, seed: int, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
-    """doc_id, size, source key ('=' + source, or '~' for null, which sorts last), seeded hash and hash bin."""
-    key = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("~"))
-    h = F.xxhash64(F.lit(seed), F.col(id_col))
-    return docs.select(F.col(id_col).alias("doc_id"), key.alias("src"), F.size(words(F.col(f"`{text}`"))).cast("long").alias("size"), h.alias("h"), F.pmod(F.shiftrightunsigned(h, 20), F.lit(BINS)).cast("int").alias("bin"))
+def sizes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
+    """doc_id, size, source key ('=' + source, or '~' for null, which sorts last) and the row's number."""
+    key = F.coalesce(F.concat(F.lit("="), ref(source)), F.lit("~"))
+    return docs.select(ref(id_col).alias("doc_id"), key.alias("src"), F.size(words(ref(text))).cast("long").alias("size"), F.monotonically_increasing_id().alias("row"))
 
 
-def targets(totals: DataFrame, weights=WEIGHTS, share: float = 1.5, max_repeat: int = 2) -> DataFrame:
-    """src, source_size, target from src, source_size: one row a source, so a window over all of them is small."""
-    order = Window.orderBy("src")
-    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    t = totals.withColumn("w", w).withColumn("cap", F.col("source_size") * float(max_repeat)).withColumn("r", F.col("cap") / F.col("w"))
-    every, before = Window.orderBy("r", "src").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), Window.orderBy("r", "src").rowsBetween(Window.unboundedPreceding, -1)
-    budget = F.sum("source_size").over(every) * share
-    level = (budget - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    # Sources are capped in order of cap/weight; the first that isn't fixes the level for itself and all after.
-    t = t.withColumn("level", level)
-    first = F.min(F.when(F.col("level") <= F.col("r"), F.struct("r", "src", "level"))).over(every)["level"]
-    return t.select("src", "source_size", F.least("cap", F.coalesce(F.col("w") * first, F.col("cap"))).alias("target"))
+def hashed(rows: DataFrame, seed: int, by: str) -> DataFrame:
+    """rows with the seeded hash h of a column and its hash bin."""
+    h = F.xxhash64(F.lit(seed), F.col(by))
+    return rows.withColumn("h", h).withColumn("bin", F.pmod(F.shiftrightunsigned(h, 20), F.lit(BINS)).cast("int"))
+
+
+def _places(rows: DataFrame, by: str, scratch: Scratch) -> DataFrame:
+    """rows (distinct in `by`) with their place in that order, from 0: ranges are numbered apart, and the ranges' sizes
+    (one row a partition) give the places before each."""
+    parts = scratch.write(rows.repartitionByRange(shuffle_partitions(rows.sparkSession), by).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
+    before = counts.withColumn("before", F.sum("k").over(Window.orderBy("part")) - F.col("k")).drop("k")
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(by)) - 1
+    return parts.withColumn("inside", inside).join(F.broadcast(before), "part").withColumn("place", F.col("before") + F.col("inside")).drop("part", "inside", "before")
+
+
+def targets(totals: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = 1.5, max_repeat: int = 2) -> DataFrame:
+    """src, source_size, target from src, source_size (a row a source).
+
+    target = min(cap, level * weight): a level that shares out what the capped sources leave is raised until no other
+    source is above its cap; each pass is one sum over the sources.
+    """
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.pmod(F.col("place"), F.lit(len(weights))) + 1).cast("int"))
+    t = _places(totals, "src", scratch).select("src", "source_size", w.alias("w"), (F.col("source_size") * float(max_repeat)).alias("cap"))
+    t = scratch.write(t, "mix-weights")
+    budget = float((t.agg(F.sum("source_size")).first()[0] or 0) * share)
+    level, capped = 0.0, -1
+    while True:
+        over = F.col("cap") < F.lit(level) * F.col("w")
+        n, fixed, open_weight = t.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("w"))), F.lit(0.0))).first()
+        if n == capped or not open_weight:
+            break
+        capped, level = n, (budget - fixed) / open_weight
+    target = F.col("cap") if not open_weight else F.least("cap", F.lit(level) * F.col("w"))
+    return t.select("src", "source_size", target.alias("target"))
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -125,27 +150,37 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: float = 1.5, max_repeat: int = 2, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, copies and taken (words, repeats counted) for each row of docs."""
-    spark = docs.sparkSession
-    rows = materialize(spark, sizes(docs, seed, text, id_col, source), "mix-sizes")
-    bins = materialize(spark, rows.groupBy("src", "size", "bin").agg(F.count(F.lit(1)).alias("n")), "mix-bins")
-    lengths = bins.groupBy("src", "size").agg(F.sum("n").alias("n"))
-    goal = targets(lengths.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, max_repeat)
-    goal = materialize(spark, goal, "mix-goal")
-    plan = lengths.join(goal, "src").groupBy("src").applyInPandas(_fit_source, "src string, size long, whole long, extra long")
-    plan = materialize(spark, plan, "mix-plan")
-    before = F.sum("n").over(Window.partitionBy("src", "size").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    places = bins.withColumn("before", F.coalesce(before, F.lit(0))).join(plan, ["src", "size"]).join(goal, "src")
-    # A bin that is taken whole or not at all needs no ranks; the one on the border is ranked by hash.
-    ranked = rows.join(places, ["src", "size", "bin"])
-    rank = F.row_number().over(Window.partitionBy("src", "size", "bin").orderBy("h", F.col("doc_id").asc_nulls_last()))
-    copies = F.col("whole") + (F.col("before") + rank <= F.col("extra")).cast("long")
-    return ranked.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs as the mix takes them: none, once or repeated, with their own columns."""
-    id_col = options.get("id_col", "doc_id")
-    picks = mix(docs, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_copies"))
-    out = docs.join(picks.hint("merge"), F.col(id_col) == F.col("_mix_id"))
-    out = out.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.write(sizes(docs, text, id_col, source), "mix-sizes")
+        rows = hashed(rows, seed, "row" if odd_ids(rows, "doc_id") else "doc_id")
+        bins = scratch.write(rows.groupBy("src", "size", "bin").agg(F.count(F.lit(1)).alias("n")), "mix-bins")
+        lengths = bins.groupBy("src", "size").agg(F.sum("n").alias("n"))
+        goal = targets(lengths.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), scratch, weights, share, max_repeat)
+        goal = scratch.write(goal, "mix-goal")
+        plan = lengths.join(goal, "src").groupBy("src").applyInPandas(_fit_source, "src string, size long, whole long, extra long")
+        plan = scratch.write(plan, "mix-plan")
+        before = F.sum("n").over(Window.partitionBy("src", "size").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+        places = bins.withColumn("before", F.coalesce(before, F.lit(0))).join(plan, ["src", "size"]).join(goal, "src")
+        # A bin that is taken whole or not at all needs no ranks; the one on the border is ranked by hash.
+        ranked = rows.join(places, ["src", "size", "bin"])
+        rank = F.row_number().over(Window.partitionBy("src", "size", "bin").orderBy("h", F.col("doc_id").asc_nulls_last(), "row"))
+        copies = F.col("whole") + (F.col("before") + rank <= F.col("extra")).cast("long")
+        found = ranked.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        return scratch.keep(found, "mix-found")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The rows of docs as the mix takes them: none, once or repeated, with their own columns.
+
+    Rows are told apart by id; where ids repeat or are null, docs is written once with a number for each row.
+    """
+    spark, own = docs.sparkSession, [ref(c) for c in docs.columns]
+    row, copies = fresh(docs.columns, "_row"), fresh(docs.columns, "_copies")
+    if odd_ids(docs, id_col):
+        docs = materialize(spark, docs.select(*own, F.monotonically_increasing_id().alias(row)), "mix-docs")
+        key = row
+    else:
+        docs, key = docs.withColumn(row, ref(id_col)), row
+    picks = mix(docs, id_col=key, text=text, source=source, **options).filter("copies > 0").select(F.col("doc_id").alias(row), F.col("copies").alias(copies))
+    out = docs.join(picks.hint("merge"), row).withColumn(copies, F.explode(F.sequence(F.lit(1), ref(copies))))
+    return out.select(*own)
