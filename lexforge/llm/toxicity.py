@@ -4,7 +4,7 @@ Kneser-Ney models of words and of words after words are counted on labelled rows
 drop: an absolute discount is taken from each class's count, and what it takes is counted together over both classes,
 as shared backoff counts, whose probability both classes get with the freed mass. So an expression too rare for the
 discount has the shared probability in both classes and says nothing, and a frequent one speaks by its class counts. A
-pair of words too rare to tell falls back to its second word. Log ratios are shrunk towards 0 by a few tenths of a nat, since
+pair of words too rare to tell falls back to its second word. Log ratios are shrunk towards 0 by a few nats, since
 a vocabulary has many expressions with a weak ratio by chance. A document's evidence is its length-normalised
 log-likelihood ratio: toxic less ordinary, divided by its words; a logistic curve turns that one number into a score.
 Discount, shrinking, order and curve are those that do best on the half of the sample that the models haven't seen.
@@ -34,9 +34,9 @@ from .bytesnp import U64, _mix, chunks, word_hashes
 from .sampling import sample_ids, sample_texts
 
 #: Discounts tried, in documents.
-DISCOUNTS = (0.75, 2.0, 4.0, 8.0, 16.0)
+DISCOUNTS = (0.75, 2.0, 4.0, 8.0)
 #: Nats by which each log ratio is shrunk towards 0: weaker ones say nothing.
-LEAST = (0.0, 0.5, 1.0, 1.5)
+LEAST = (0.0, 1.0, 2.0, 3.0)
 START = U64(0x9E3779B97F4A7C15)
 
 
@@ -139,7 +139,7 @@ class KneserNey:
         return (sums[first[1:]] - sums[first[:-1]]) / np.maximum(1, np.diff(first))
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, positive: float = 0.3, steps: int = 100, ridge: float = 1e-3) -> tuple[float, float, float]:
+def fit_curve(x: np.ndarray, y: np.ndarray, positive: float = 0.5, steps: int = 100, ridge: float = 1e-3) -> tuple[float, float, float]:
     """(slope, constant, loss) of a logistic curve by Newton steps, with a share `positive` of weight on label 1."""
     scale = max(1e-9, float(np.std(x)))
     a = np.stack([x / scale, np.ones(len(x))], axis=1)
