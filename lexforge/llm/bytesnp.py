@@ -70,6 +70,12 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np
     return _mix(h + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by sorting, as numpy's own hashing is slower on many numbers."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 class Words:
     """Words of a chunk: start and end bytes, row of each, first word of each row."""
 
@@ -122,3 +128,37 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = 5):
     new = np.ones(len(s), dtype=bool)
     new[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
     return s[new], np.searchsorted(owner[new], np.arange(rows + 1))
+
+
+class Lookup:
+    """Values of distinct non-negative 64-bit keys, by open addressing; faster than a binary search where keys are many."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        size = 1 << self.bits
+        self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size, values.dtype)
+        at = self._slot(keys)
+        while len(keys):
+            free = self.keys[at] == -1
+            self.keys[at[free]] = keys[free]  # of two keys for one slot the last stays
+            won = self.keys[at] == keys
+            self.values[at[won]] = values[won]
+            keys, values, at = keys[~won], values[~won], (at[~won] + 1) & (size - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, whether the key is there); a missing key has value 0."""
+        at = self._slot(keys)
+        got = self.keys[at]
+        found, out = got == keys, self.values[at]
+        open_ = np.flatnonzero(~found & (got != -1))
+        out[~found] = 0
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+            got = self.keys[at[open_]]
+            hit = got == keys[open_]
+            found[open_[hit]], out[open_[hit]] = True, self.values[at[open_[hit]]]
+            open_ = open_[~hit & (got != -1)]
+        return out, found

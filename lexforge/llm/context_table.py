@@ -1,9 +1,10 @@
 """Context-tree weighting with every context that was seen, in a table cut by context.
 
-A gram is depth + 1 bytes, the coded one lowest and the nearest before it next. Grams whose SPLIT nearest bytes are equal
-share a bucket, so a bucket holds whole subtrees below depth SPLIT - 1; the contexts above (at most 65,793 at SPLIT 3,
-however much is read) are joined on the driver. Only nodes that were seen are stored: an unseen one has estimate and
-weight one half.
+A gram is one number: the byte before the coded one on top, then the one before that and so on for `depth` bytes, and the
+coded byte lowest. So sorted grams have equal contexts side by side at every depth. Grams whose SPLIT nearest bytes are
+equal share a bucket, so a bucket holds whole subtrees from depth SPLIT on; the contexts above (at most 65,793 at SPLIT 3,
+however much is read) are joined on the driver. A byte is eight binary nodes; a node that training hasn't seen has counts
+0, estimate one half and weight one, so that it may be held or left out without a difference.
 """
 
 from __future__ import annotations
@@ -11,134 +12,156 @@ from __future__ import annotations
 import numpy as np
 
 from .bytesnp import _mix
-from .estimates import log_kt
+from .estimates import KT
 
 SPLIT = 3
-#: Training bytes of a context that is kept: 1 keeps every one. A higher count leaves the others in their parent, as one more child.
-MIN_COUNT = 1
 BUCKETS = 512
-PIECE = 200_000
-
-
-def bucket(keys: np.ndarray) -> np.ndarray:
-    return (_mix((keys >> 8 & ((1 << 8 * SPLIT) - 1)) + 1) % np.uint64(BUCKETS)).astype(np.int64)
-
-
-def _find(have: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, whether there) of want in the sorted have."""
-    if not len(have):
-        return np.zeros(want.shape, np.int64), np.zeros(want.shape, bool)
-    at = np.minimum(np.searchsorted(have, want), len(have) - 1)
-    return at, have[at] == want
-
-
-def nodes(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The eight binary nodes of each byte, and the bit at each."""
-    k = np.arange(8)
-    return (1 << k) - 1 + (byte[:, None] >> (8 - k)), byte[:, None] >> (7 - k) & 1
-
-
-class Level:
-    """Kept contexts of one depth, and (context, node) pairs with their counts."""
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int, least: int):
-        key, inverse = np.unique(keys & ((1 << 8 * (depth + 1)) - 1), return_inverse=True)
-        m = np.bincount(inverse, weights=n, minlength=len(key))
-        context, inverse = np.unique(key >> 8, return_inverse=True)
-        kept = np.bincount(inverse, weights=m, minlength=len(context)) >= (least if depth else 1)
-        self.depth, self.contexts = depth, context[kept]
-        key, m = key[kept[inverse]], m[kept[inverse]]
-        node, bit = nodes(key & 255)
-        self.pairs, inverse = np.unique(((key >> 8)[:, None] << 8 | node).ravel(), return_inverse=True)
-        both = np.repeat(m, 8)
-        self.n1 = np.bincount(inverse, weights=both * bit.ravel(), minlength=len(self.pairs))
-        self.n0 = np.bincount(inverse, weights=both, minlength=len(self.pairs)) - self.n1
-
-    def above(self) -> np.ndarray:
-        """The pair of each pair's parent context."""
-        return (self.pairs >> 8 & ((1 << 8 * (self.depth - 1)) - 1)) << 8 | self.pairs & 255
-
-    def weigh(self, children=None) -> None:
-        """children: (pair, weighted, n0, n1) rows of kept contexts one byte longer; None at full depth."""
-        own = log_kt(self.n0, self.n1)
-        if children is None:
-            self.share, self.weighted = np.ones(len(own)), own
-            self.rest = (self.n1 + 0.5) / (self.n0 + self.n1 + 1)
-            return
-        at = np.searchsorted(self.pairs, children[0])
-        w, k0, k1 = (np.bincount(at, weights=x, minlength=len(own)) for x in children[1:])
-        r0, r1 = self.n0 - k0, self.n1 - k1
-        below = w + log_kt(r0, r1)
-        self.share = 1 / (1 + np.exp(-np.clip(own - below, -60, 60)))
-        self.rest = (r1 + 0.5) / (r0 + r1 + 1)
-        self.weighted = np.logaddexp(own, below) - np.log(2)
+PIECE = 400_000
+
+
+def bucket(grams: np.ndarray, depth: int) -> np.ndarray:
+    return (_mix((grams >> 8 * (depth + 1 - min(SPLIT, depth))) + 1) % np.uint64(BUCKETS)).astype(np.int32)
+
+
+def sum_runs(keys: np.ndarray, *values: np.ndarray):
+    """Distinct keys in order with their values' sums; quick where keys come in sorted runs."""
+    if not len(keys):
+        return keys, *values
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], *(np.add.reduceat(v[order], starts) for v in values)
+
+
+class Nodes:
+    """The nodes of bit k at one depth, of sorted entries (context << 8 | byte) with counts: counts, the first entry of
+    each, and the node of each entry."""
+
+    def __init__(self, entries: np.ndarray, n: np.ndarray, k: int):
+        pre = entries >> (8 - k)
+        new = np.concatenate([[True], pre[1:] != pre[:-1]])
+        self.first = np.flatnonzero(new)
+        self.of = np.cumsum(new) - 1
+        total = np.add.reduceat(n, self.first)
+        self.n1 = np.add.reduceat(n * (entries >> (7 - k) & 1), self.first)
+        self.n0 = total - self.n1
+        #: (context << 8 | node number) of each.
+        self.key = (entries[self.first] >> 8) << 8 | (1 << k) - 1 + (pre[self.first] & (1 << k) - 1)
+
+
+class Subtrees:
+    """Weighed contexts of depths SPLIT to depth of sorted, distinct grams; grams with count 0 are asked for only."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, depth: int, kt: KT):
+        self.depths = range(SPLIT, depth + 1)
+        self.bits = grams & 255
+        self.nodes: list[list[Nodes]] = []  # by depth, then bit
+        self.at: list[list[np.ndarray]] = []  # node of each gram
+        for d in self.depths:
+            entries = (grams >> 8 * (depth - d + 1)) << 8 | self.bits
+            order = np.argsort(entries, kind="stable")
+            sorted_, counts = entries[order], n[order]
+            row, at = [], []
+            for k in range(8):
+                x = Nodes(sorted_, counts, k)
+                place = np.empty(len(grams), np.int32)
+                place[order] = x.of
+                x.first, x.of = order[x.first], None
+                row.append(x)
+                at.append(place)
+            self.nodes.append(row)
+            self.at.append(at)
+        for k in range(8):
+            weighted = None
+            for i in range(len(self.nodes) - 1, -1, -1):
+                x = self.nodes[i][k]
+                own = kt.log(x.n0, x.n1)
+                if weighted is None:
+                    x.share, weighted = None, own
+                else:
+                    child = self.nodes[i + 1][k]
+                    below = np.bincount(self.at[i][k][child.first], weights=weighted, minlength=len(own))
+                    x.share = 1 / (1 + np.exp(-np.clip(own - below, -60, 60)))
+                    weighted = np.logaddexp(own, below) - np.log(2)
+            self.nodes[0][k].weighted = weighted
 
     def rows(self):
-        return self.above(), self.weighted, self.n0, self.n1
-
-    def spread(self, parent: Level | None) -> None:
-        """given: what this and shorter contexts give to bit 1; carry: the weight left; final: bit 1 where the tree ends."""
-        at = np.searchsorted(parent.pairs, self.above()) if parent else None
-        g, c = (parent.given[at], parent.carry[at]) if parent else (0.0, 1.0)
-        self.given = g + c * self.share * (self.n1 + 0.5) / (self.n0 + self.n1 + 1)
-        self.carry = c * (1 - self.share)
-        self.final = self.given + self.carry * self.rest
-        self.n0 = self.n1 = self.share = self.rest = self.weighted = None
-
-
-def subtrees(keys: np.ndarray, n: np.ndarray, depth: int, least: int) -> list[Level]:
-    """Weighed levels SPLIT to depth of grams that were trained on."""
-    seen = n > 0
-    levels = [Level(keys[seen], n[seen], d, least) for d in range(SPLIT, depth + 1)]
-    for i in range(len(levels) - 1, -1, -1):
-        levels[i].weigh(levels[i + 1].rows() if i + 1 < len(levels) else None)
-    return levels
-
-
-def top(keys: np.ndarray, n: np.ndarray, children, depth: int, least: int) -> list[Level]:
-    """Levels above SPLIT from grams of SPLIT bytes and the sums of the subtrees."""
-    levels = [Level(keys, n, d, least) for d in range(min(SPLIT, depth + 1))]
-    for i in range(len(levels) - 1, -1, -1):
-        levels[i].weigh(levels[i + 1].rows() if i + 1 < len(levels) else children if depth >= SPLIT else None)
-    for i, level in enumerate(levels):
-        level.spread(levels[i - 1] if i else None)
-    return levels
-
-
-def logs(levels: list[Level], keys: np.ndarray) -> np.ndarray:
-    """Natural log of the probability of each gram's byte after its context."""
-    out = np.zeros(len(keys), np.float32)
-    for a in range(0, len(keys), PIECE):
-        key = keys[a : a + PIECE]
-        node, bit = nodes(key & 255)
-        p1, given, carry = np.full(node.shape, 0.5), np.zeros(node.shape), np.ones(node.shape)
-        live = np.arange(len(key))
-        for level in levels:
-            context = key[live] >> 8 & ((1 << 8 * level.depth) - 1)
-            kept = _find(level.contexts, context)[1]
-            live, context = live[kept], context[kept]
-            if not len(live):
-                break
-            at, hit = _find(level.pairs, context[:, None] << 8 | node[live])
-            row, col = np.nonzero(hit)
-            row, at = live[row], at[hit]
-            p1[row, col], given[row, col], carry[row, col] = level.final[at], level.given[at], level.carry[at]
-            row, col = np.nonzero(~hit)
-            row = live[row]
-            p1[row, col] = given[row, col] + 0.5 * carry[row, col]
-        p1 = np.clip(p1, 1e-12, 1 - 1e-12)
-        out[a : a + PIECE] = np.where(bit == 1, np.log(p1), np.log1p(-p1)).sum(axis=1)
+        """(parent node's key, sum of weighted) for the depth above SPLIT."""
+        every = [(_parent(x.key), x.weighted) for x in self.nodes[0]]
+        return sum_runs(np.concatenate([k for k, _ in every]), np.concatenate([w for _, w in every]))
+
+    def logs(self, upper: list[tuple]) -> np.ndarray:
+        """Natural log of the probability of each gram's byte after its context, as float32."""
+        p = np.ones(len(self.bits))
+        for k in range(8):
+            given = carry = None
+            for i, d in enumerate(self.depths):
+                x = self.nodes[i][k]
+                if i:
+                    up = self.at[i - 1][k][x.first]
+                    given, carry = given[up], carry[up]
+                else:
+                    given, carry = above(upper, x.key)
+                estimate = (x.n1 + 0.5) / (x.n0 + x.n1 + 1.0)
+                if x.share is None:
+                    given = given + carry * estimate
+                else:
+                    given, carry = given + carry * x.share * estimate, carry * (1 - x.share)
+            one = np.clip(given, 1e-12, 1 - 1e-12)[self.at[-1][k]]
+            p *= np.where(self.bits >> (7 - k) & 1, one, 1 - one)
+        return np.log(p).astype(np.float32)
+
+
+def _parent(key: np.ndarray) -> np.ndarray:
+    """The key of the same node in the context of one byte less: contexts have their nearest byte on top."""
+    return (key >> 16) << 8 | key & 255
+
+
+def above(upper: list[tuple], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(given, carry) of the parents of nodes at depth SPLIT (or len(upper)), from spread levels (keys, given, carry)."""
+    given, carry = np.zeros(len(key)), np.ones(len(key))
+    for d, (keys, g, c) in enumerate(upper):
+        asked = key >> 8
+        own = (asked >> 8 * (len(upper) - d)) << 8 | key & 255
+        at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
+        hit = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+        given, carry = np.where(hit, g[at] if len(keys) else 0, given + 0.25 * carry), np.where(hit, c[at] if len(keys) else 0, 0.5 * carry)
+    return given, carry
+
+
+def top(grams: np.ndarray, n: np.ndarray, below: tuple[np.ndarray, np.ndarray]) -> list[tuple]:
+    """Spread levels (keys, given, carry) above SPLIT, from grams of SPLIT - 1 context bytes and the byte, and the sums of
+    the subtrees' weighted logs by node."""
+    kt, levels = KT(), []
+    for d in range(SPLIT):
+        entries, counts = sum_runs((grams >> 8 * (SPLIT - d)) << 8 | grams & 255, n)
+        parts = [Nodes(entries, counts, k) for k in range(8)] if len(entries) else []
+        keys, n0, n1 = (np.concatenate([getattr(x, c) for x in parts]) if parts else np.zeros(0, np.int64) for c in ("key", "n0", "n1"))
+        order = np.argsort(keys)
+        levels.append((keys[order], n0[order], n1[order]))
+    shares = []
+    for d in range(SPLIT - 1, -1, -1):
+        keys, n0, n1 = levels[d]
+        own = kt.log(n0, n1)
+        under = np.bincount(np.searchsorted(keys, below[0]), weights=below[1], minlength=len(keys)) if len(keys) else np.zeros(0)
+        shares.append(1 / (1 + np.exp(-np.clip(own - under, -60, 60))))
+        weighted = np.logaddexp(own, under) - np.log(2)
+        below = sum_runs(_parent(keys), weighted)
+    out = []
+    for d, share in enumerate(reversed(shares)):
+        keys, n0, n1 = levels[d]
+        given, carry = above(out, keys) if d else (np.zeros(len(keys)), np.ones(len(keys)))
+        estimate = (n1 + 0.5) / (n0 + n1 + 1.0)
+        out.append((keys, given + carry * share * estimate, carry * (1 - share)))
     return out
 
 
-def pieces(keys: np.ndarray):
-    """Slices of about PIECE keys, sorted by shard, that cut no subtree; with the order that sorts them."""
-    shard = keys >> 8 & ((1 << 8 * SPLIT) - 1)
-    order = np.argsort(shard, kind="stable")
-    edges = np.flatnonzero(np.diff(shard[order])) + 1
+def pieces(grams: np.ndarray, depth: int):
+    """Slices of about PIECE sorted grams that cut no subtree."""
+    edges = np.flatnonzero(np.diff(grams >> 8 * (depth + 1 - SPLIT))) + 1
     a = 0
-    while a < len(keys):
-        later = edges[edges >= a + PIECE]
-        b = int(later[0]) if len(later) else len(keys)
-        yield order[a:b]
+    while a < len(grams):
+        later = np.searchsorted(edges, a + PIECE)
+        b = int(edges[later]) if later < len(edges) else len(grams)
+        yield slice(a, b)
         a = b

@@ -5,46 +5,52 @@ stand end bytes as context. A byte is eight binary decisions, one node of 255 fo
 tree over the DEPTH bytes before. At every context the Krichevsky-Trofimov estimate of its counts and the product of
 its children's are weighted one half each, so that all depths are mixed. Counts are of all training texts. Every
 context that was seen is kept, so the tree grows with the corpus. The tree is never in one place: byte strings lie in
-buckets by their contexts' nearest bytes (context_table), a bucket answers the distinct byte strings of each part of the
-texts, and the answers meet the part's texts by a shuffle. Code length a byte is -score / n_bytes.
+buckets by their contexts' nearest bytes (context_table). Texts are cut into parts; a part sends its distinct byte strings
+with their counts to the buckets, sorted and packed, and gets their log-probabilities back in the same order, where they
+meet the part's texts again. Code length a byte is -score / n_bytes.
 
 Base: add-one estimates of words. Words with 2^-18 of all tokens or more, so at most 2^18, are broadcast; the others meet
-their counts in a shuffled join, as their number grows with the corpus. Words are told apart by 64-bit hashes.
+their counts in a shuffled join, as their number grows with the corpus. Words are told apart by 63-bit hashes.
 
 Defined results: null and empty texts have one token, the end; without training rows the counts are 0 and the model is
-uniform over bits; repeated rows get equal scores; very long texts are read whole; extra columns aren't read.
+uniform over bits; null and repeated ids, and repeated rows, get a row each and equal texts equal scores; an empty table
+gives no rows; very long texts are read whole; extra columns aren't read.
 """
 
 from __future__ import annotations
 
+import pickle
+import zlib
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .bytesnp import Words, chunks
-from .context_table import MIN_COUNT, SPLIT, bucket, logs, pieces, subtrees, top
-from .estimates import log_kt
+from ..session import Scratch
+from .bytesnp import Lookup, Words, chunks, distinct
+from .context_table import SPLIT, Subtrees, bucket, pieces, sum_runs, top
+from .estimates import KT
+from .joins import ref
 
-DEPTH = 5
+DEPTH = 6
 HEAD = 1 << 18
 END = 10
+#: Word hashes keep 63 bits.
+NON_NEGATIVE = (1 << 63) - 1
 #: A part ends at so many distinct byte strings or so many bytes; a chunk stays whole.
-PART_GRAMS = 1_000_000
+PART_GRAMS = 2_000_000
 PART_BYTES = 1 << 26
-PARTS_DDL = "kind int, part long, bucket int, key long, n long, keys binary, counts binary, doc_id long, text string"
-PARTS = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("bucket", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("doc_id", pa.int64()), ("text", pa.string())])
+PARTS_DDL = "kind int, part long, bucket int, key long, n long, a binary, b binary"
+PARTS = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("bucket", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
 
 def stream(w: Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, bounds) of a chunk's texts as the model codes them, each after `depth` end bytes of context."""
     rows = len(w.off) - 1
     sizes = w.end - w.start
-    row_bytes = np.zeros(rows, np.int64)
-    np.add.at(row_bytes, w.row, sizes + 1)
+    row_bytes = np.bincount(w.row, weights=sizes + 1, minlength=rows).astype(np.int64)
     bounds = np.concatenate([[0], np.cumsum(row_bytes + depth + 1)])
     out = np.full(bounds[-1], 32, dtype=np.uint8)
     for k in range(depth):
@@ -60,30 +66,52 @@ def stream(w: Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def _scored(bounds: np.ndarray, depth: int, n: int) -> np.ndarray:
-    """Which bytes are coded: all but the contexts before a text."""
-    coded = np.ones(n, dtype=bool)
+def grams_of(w: Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(grams in the order of the coded bytes, their bounds by row)."""
+    out, bounds = stream(w, depth)
+    code = out.astype(np.int64)
+    for k in range(1, depth + 1):
+        code[k:] |= out[:-k].astype(np.int64) << (8 * (depth + 1 - k))
+    coded = np.ones(len(out), dtype=bool)
     for k in range(depth):
         coded[bounds[:-1] + k] = False
-    return coded
+    return code[coded], bounds - depth * np.arange(len(bounds))
 
 
-def _grams(out: np.ndarray, coded: np.ndarray, depth: int) -> np.ndarray:
-    code = out.astype(np.int64)
-    for k in range(1, depth + 1):
-        code[k:] |= out[:-k].astype(np.int64) << (8 * k)
-    return code[coded]
+def by_bucket(grams: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of sorted grams by bucket, the buckets, where each begins)."""
+    at = bucket(grams, depth)
+    order = np.argsort(at, kind="stable")
+    names, first = np.unique(at[order], return_index=True)
+    return order, names, first
 
 
-def _count_rows(depth: int):
-    """Rows of PARTS: kind 0 for a bucket of a part's byte strings of depth + 1, 1 for words, 2 for texts, 3 for a text.
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of whole numbers, plane by plane, compressed."""
+    return zlib.compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), 1)
 
-    A part is a run of texts with about PART_GRAMS distinct byte strings; n counts training texts only.
-    """
 
-    def merge(parts):
-        keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return [(keys, np.bincount(inverse, weights=np.concatenate([n for _, n in parts])).astype(np.int64))]
+def _from_planes(data: bytes, width: int | None = None, n: int | None = None) -> np.ndarray:
+    """The numbers of _planes, of a known width or a known number."""
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    raw = raw.reshape(width or len(raw) // n, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, : len(raw)] = raw.T
+    return out.view("<i8").ravel()
+
+
+def _asked(column_a, column_b, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(grams, counts) of packed rows."""
+    out = []
+    for a, b in zip(column_a.to_pylist(), column_b.to_pylist(), strict=True):
+        grams = _from_planes(a, depth + 1)
+        out.append((grams, _from_planes(b, n=len(grams))))
+    return out
+
+
+def _count_rows(depth: int):
+    """Rows of PARTS: kind 0 for a bucket of a part's grams (a) and their counts in training texts (b), 1 for words, 2 for
+    the number of training texts, 3 for a chunk of the part's texts: bytes (a), ids and offsets (b)."""
 
     def batch(rows, **columns):
         return pa.record_batch([columns.get(f.name, pa.nulls(rows, f.type)) for f in PARTS], schema=PARTS)
@@ -91,270 +119,144 @@ def _count_rows(depth: int):
     def of_kind(kind, n):
         return pa.array(np.full(n, kind, np.int32))
 
-    def grams(parts, part):
-        for keys, n in merge(parts) if parts else []:
-            at = bucket(keys)
-            order = np.argsort(at, kind="stable")
-            names, first = np.unique(at[order], return_index=True)
-            cut = lambda x: pa.array([y.tobytes() for y in np.split(x[order], first[1:])], pa.binary())
-            yield batch(len(names), kind=of_kind(0, len(names)), part=pa.array(np.full(len(names), part)), bucket=pa.array(names.astype(np.int32)), keys=cut(keys), counts=cut(n))
-
-    def words(parts):
-        for keys, n in merge(parts) if parts else []:
-            for a in range(0, len(keys), 100_000):
-                k = keys[a : a + 100_000]
-                yield batch(len(k), kind=of_kind(1, len(k)), key=pa.array(k), n=pa.array(n[a : a + 100_000]))
+    def grams(runs, part):
+        keys, n = sum_runs(*(np.concatenate(x) for x in zip(*runs, strict=True)))
+        order, names, first = by_bucket(keys, depth)
+        a, b = [], []
+        for at in np.split(order, first[1:]):
+            a.append(_planes(keys[at], depth + 1))
+            b.append(_planes(n[at], max(1, (int(n[at].max()).bit_length() + 7) // 8)))
+        yield batch(len(names), kind=of_kind(0, len(names)), part=pa.array(np.full(len(names), part)), bucket=pa.array(names), a=pa.array(a, pa.binary()), b=pa.array(b, pa.binary()))
+
+    def words(runs):
+        keys, n = sum_runs(*(np.concatenate(x) for x in zip(*runs, strict=True)))
+        for at in range(0, len(keys), 100_000):
+            k = keys[at : at + 100_000]
+            yield batch(len(k), kind=of_kind(1, len(k)), key=pa.array(k), n=pa.array(n[at : at + 100_000]))
 
     def run(batches):
         part = TaskContext.get().partitionId() << 24
-        texts, parts, held, size = 0, ([], []), [0, 0], 0
+        texts, size, runs, counts, held = 0, 0, [], [], [0, 0]
         for b in batches:
             learn = np.asarray(b.column(2).fill_null(False))
             texts += int(learn.sum())
             for at, data, off in chunks(b.column(1)):
                 w = Words(data, off)
                 rows = len(off) - 1
-                out, bounds = stream(w, depth)
-                coded, taught = _scored(bounds, depth, len(out)), learn[at : at + rows]
-                code, of_train = _grams(out, coded, depth), np.repeat(taught, np.diff(bounds))[coded]
-                parts[0].append(np.unique(code[of_train], return_counts=True))
-                other = np.unique(code[~of_train])
-                parts[0].append((other, np.zeros(len(other), np.int64)))
-                parts[1].append(np.unique(w.hashes().view(np.int64)[taught[w.row]], return_counts=True))
-                yield batch(rows, kind=of_kind(3, rows), part=pa.array(np.full(rows, part)), doc_id=b.column(0).slice(at, rows).cast(pa.int64()), text=b.column(1).slice(at, rows).cast(pa.string()))
-                size += len(out)
-                held = [held[0] + len(parts[0][-2][0]) + len(other), held[1] + len(parts[1][-1][0])]
-                for j in (0, 1):
-                    if held[j] > 1.5 * PART_GRAMS:
-                        parts[j][:] = merge(parts[j])
-                        held[j] = len(parts[j][0][0])
-                if held[0] > PART_GRAMS and len(parts[0]) == 1 or size > PART_BYTES:
-                    yield from grams(parts[0], part)
-                    parts[0].clear()
-                    part, held[0], size = part + 1, 0, 0
-                if held[1] > PART_GRAMS and len(parts[1]) == 1:
-                    yield from words(parts[1])
-                    parts[1].clear()
-                    held[1] = 0
-        yield from grams(parts[0], part)
-        yield from words(parts[1])
+                taught = learn[at : at + rows]
+                code, bounds = grams_of(w, depth)
+                of_train = np.repeat(taught, np.diff(bounds))
+                runs.append(np.unique(code[of_train], return_counts=True))
+                other = distinct(code[~of_train])
+                runs.append((other, np.zeros(len(other), np.int64)))
+                counts.append(np.unique(w.hashes().view(np.int64)[taught[w.row]] & NON_NEGATIVE, return_counts=True))
+                ids = b.column(0).slice(at, rows).cast(pa.int64())
+                names = pickle.dumps((np.asarray(ids.fill_null(0)), np.asarray(ids.is_null()), off))
+                yield batch(1, kind=of_kind(3, 1), part=pa.array([part]), a=pa.array([zlib.compress(data.tobytes(), 1)], pa.binary()), b=pa.array([zlib.compress(names, 1)], pa.binary()))
+                size += len(data)
+                held = [held[0] + len(runs[-2][0]) + len(other), held[1] + len(counts[-1][0])]
+                if held[0] > 2 * PART_GRAMS:
+                    runs = [sum_runs(*(np.concatenate(x) for x in zip(*runs, strict=True)))]
+                    held[0] = len(runs[0][0])
+                if held[0] > PART_GRAMS and len(runs) == 1 or size > PART_BYTES:
+                    yield from grams(runs, part)
+                    part, runs, held[0], size = part + 1, [], 0, 0
+                if held[1] > PART_GRAMS:
+                    yield from words(counts)
+                    counts, held[1] = [], 0
+        if runs:
+            yield from grams(runs, part)
+        if counts:
+            yield from words(counts)
         yield batch(1, kind=of_kind(2, 1), key=pa.array([0]), n=pa.array([texts]))
 
     return run
 
 
-def _numbers(column, kind=np.int64) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
-
-
-def _flat(batches):
-    """(kind, key, n) of rows of PARTS."""
-    for b in batches:
-        own = b.filter(pc.greater(b.column(0), 0))
-        yield pa.record_batch([own.column(0), own.column(1), own.column(2)], names=["kind", "key", "n"])
-        keys, n = (_numbers(b.column(i).drop_null()) for i in (3, 4))
-        yield pa.record_batch([pa.array(np.zeros(len(keys), np.int32)), pa.array(keys), pa.array(n)], names=["kind", "key", "n"])
-
-
-def _sum_rows(keys: np.ndarray, *values: np.ndarray):
-    key, inverse = np.unique(keys, return_inverse=True)
-    return key, *(np.bincount(inverse, weights=v, minlength=len(key)) for v in values)
-
-
-def _upward(depth: int, least: int):
-    """What the driver needs of a bucket: counts of SPLIT bytes (kind 0), and its subtrees' sums (kind 1)."""
+def _upward(depth: int):
+    """What the driver needs of a bucket: counts of SPLIT - 1 context bytes and the byte (kind 0), and its subtrees' weighted
+    logs by their parents' nodes (kind 1)."""
 
     def run(t: pa.Table) -> pa.Table:
-        keys, n = _sum_rows(_numbers(t["keys"]), _numbers(t["counts"]))
+        grams, n = sum_runs(*(np.concatenate(x) for x in zip(*_asked(t["a"], t["b"], depth), strict=True)))
+        grams, n, kt = grams[n > 0], n[n > 0], KT()
         found = []
-        for at in pieces(keys[n > 0]):
-            k, m = keys[n > 0][at], n[n > 0][at]
-            key, m3 = _sum_rows(k & ((1 << 8 * min(SPLIT, depth + 1)) - 1), m)
-            found.append((np.zeros(len(key), np.int32), key, m3, np.zeros(len(key)), np.zeros(len(key))))
-            if depth >= SPLIT:
-                pair, *sums = _sum_rows(*subtrees(k, m, depth, least)[0].rows())
-                found.append((np.ones(len(pair), np.int32), pair, *sums))
-        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int32), np.zeros(0, np.int64), *[np.zeros(0)] * 3]
-        return pa.table(dict(zip(("kind", "key", "w", "n0", "n1"), columns, strict=True)))
+        for at in pieces(grams, depth):
+            g, m = grams[at], n[at]
+            key, count = sum_runs((g >> 8 * (depth + 2 - SPLIT)) << 8 | g & 255, m)
+            found.append((np.zeros(len(key), np.int32), key, count.astype(float)))
+            key, weighted = Subtrees(g, m, depth, kt).rows()
+            found.append((np.ones(len(key), np.int32), key, weighted))
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("kind", "key", "w"), columns, strict=True)))
 
     return run
 
 
-def _downward(depth: int, least: int, shared):
-    """(part, keys, logs) of each part's byte strings of a bucket."""
+def _downward(depth: int, shared):
+    """(part, bucket, logs) of each part's grams of a bucket: the upper three bytes of rounded 32-bit floats."""
 
     def run(t: pa.Table) -> pa.Table:
-        upper = shared.value
-        asked, n = _numbers(t["keys"]), _numbers(t["counts"])
-        keys, sums = _sum_rows(asked, n)
-        found = np.zeros(len(keys), np.float32)
-        for at in pieces(keys):
-            levels = subtrees(keys[at], sums[at], depth, least)
-            for i, level in enumerate(levels):
-                level.spread(levels[i - 1] if i else upper[-1])
-            found[at] = logs([*upper, *levels], keys[at])
-        sizes = np.array([len(x) // 8 for x in t["keys"].to_pylist()])
-        each = found[np.searchsorted(keys, asked)]
-        return pa.table({"part": t["part"], "keys": t["keys"], "logs": pa.array([x.tobytes() for x in np.split(each, np.cumsum(sizes)[:-1])], pa.binary())})
+        upper, kt = pickle.loads(shared.value), KT()
+        asked = _asked(t["a"], t["b"], depth)
+        grams, n = sum_runs(*(np.concatenate(x) for x in zip(*asked, strict=True)))
+        found = np.zeros(len(grams), np.float32)
+        for at in pieces(grams, depth):
+            found[at] = Subtrees(grams[at], n[at], depth, kt).logs(upper)
+        high = (found.view(np.uint32).astype(np.int64) + 128 >> 8).astype(np.int64)
+        answers = [_planes(high[np.searchsorted(grams, g)], 3) for g, _ in asked]
+        return pa.table({"part": t["part"], "bucket": t["bucket"], "logs": pa.array(answers, pa.binary())})
 
     return run
 
 
-def gram_logs(parts: DataFrame, depth: int = DEPTH, least: int = MIN_COUNT):
-    """(part, keys, logs) of all byte strings, and the broadcast they need until they are read."""
-    grams = parts.filter("kind = 0").select("part", "bucket", "keys", "counts")
-    up = grams.groupBy("bucket").applyInArrow(_upward(depth, least), "kind int, key long, w double, n0 double, n1 double")
-    up = up.groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in ("w", "n0", "n1"))).toArrow()
-    kind, key, w, n0, n1 = (up[c].to_numpy() for c in ("kind", "key", "w", "n0", "n1"))
-    one = kind == 1
-    upper = top(key[~one], w[~one], (key[one], w[one], n0[one], n1[one]), depth, least)
-    shared = parts.sparkSession.sparkContext.broadcast(upper)
-    return grams.groupBy("bucket").applyInArrow(_downward(depth, least, shared), "part long, keys binary, logs binary"), shared
-
-
-def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(n0, n1) of the 255 binary nodes from byte counts; node (1 << k) - 1 + prefix decides bit k."""
-    zero, one = [], []
-    for k in range(8):
-        s = h.reshape(len(h), 1 << (k + 1), 128 >> k).sum(axis=2)
-        zero.append(s[:, 0::2])
-        one.append(s[:, 1::2])
-    return np.concatenate(zero, axis=1), np.concatenate(one, axis=1)
-
-
-def _byte_logs(p1: np.ndarray) -> np.ndarray:
-    """Natural logs of the 256 bytes' probabilities from those of bit 1 at the 255 nodes."""
-    out = np.zeros((len(p1), 256))
-    p1 = np.clip(p1, 1e-12, 1 - 1e-12)
-    yes, no = np.log(p1), np.log1p(-p1)
-    byte = np.arange(256)
-    for k in range(8):
-        at = (1 << k) - 1 + (byte >> (8 - k))
-        out += np.where(byte >> (7 - k) & 1, yes[:, at], no[:, at])
+def gram_logs(parts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> DataFrame:
+    """(part, bucket, logs) of all grams, written."""
+    grams = parts.filter("kind = 0").select("part", "bucket", "a", "b")
+    up = grams.groupBy("bucket").applyInArrow(_upward(depth), "kind int, key long, w double")
+    up = up.groupBy("kind", "key").agg(F.sum("w").alias("w")).toArrow()
+    kind, key, w = (up[c].to_numpy() for c in ("kind", "key", "w"))
+    order = np.argsort(key[kind == 1])
+    upper = top(key[kind == 0], w[kind == 0].astype(np.int64), (key[kind == 1][order], w[kind == 1][order]))
+    shared = parts.sparkSession.sparkContext.broadcast(pickle.dumps(upper))
+    out = scratch.write(grams.groupBy("bucket").applyInArrow(_downward(depth, shared), "part long, bucket int, logs binary"), "lm-logs")
+    shared.destroy()
     return out
 
 
-class ContextTree:
-    """next_node: node x byte before -> child or the node itself; logs: node x byte -> natural log of its probability.
-
-    levels: for each depth the sorted context codes (nearest byte lowest) and their byte counts.
-    """
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        depth = len(levels) - 1
-        first = np.concatenate([[0], np.cumsum([len(c) for c, _ in levels])])
-        parent = [None]
-        for d in range(1, depth + 1):
-            codes = levels[d][0]
-            parent.append(np.searchsorted(levels[d - 1][0], codes & ((1 << (8 * (d - 1))) - 1)))
-        # Upwards: log of the weighted probability of each kept context, and the log ratio of own estimate to children.
-        ratio, rest_counts, weighted = [None] * (depth + 1), [None] * (depth + 1), None
-        for d in range(depth, -1, -1):
-            own = log_kt(*_bits(levels[d][1].astype(float)))
-            if d == depth:
-                weighted = own
-                continue
-            rest = levels[d][1].astype(float)
-            below = np.zeros_like(own)
-            if len(levels[d + 1][0]):
-                np.subtract.at(rest, parent[d + 1], levels[d + 1][1].astype(float))
-                np.add.at(below, parent[d + 1], weighted)
-            r0, r1 = _bits(np.maximum(rest, 0))
-            below += log_kt(r0, r1)
-            rest_counts[d] = ((r1 + 0.5) / (r0 + r1 + 1)).astype(np.float32)
-            ratio[d] = (own - below).astype(np.float32)
-            weighted = np.logaddexp(own, below) - np.log(2)
-        # Downwards: what the contexts so far give, and the weight left for deeper ones.
-        n = int(first[-1])
-        self.logs = np.zeros((n, 256), dtype=np.float32)
-        self.next_node = np.zeros((n, 256), dtype=np.int32)
-        given = carry = None
-        for d in range(depth + 1):
-            n0, n1 = _bits(levels[d][1].astype(float))
-            kt = (n1 + 0.5) / (n0 + n1 + 1)
-            g, c = (given[parent[d]], carry[parent[d]]) if d else (np.zeros_like(kt), np.ones_like(kt))
-            here = slice(first[d], first[d + 1])
-            if d == depth:
-                self.logs[here] = _byte_logs(g + c * kt)
-            else:
-                share = 1 / (1 + np.exp(-np.clip(ratio[d], -60, 60)))
-                given, carry = g + c * share * kt, c * (1 - share)
-                self.logs[here] = _byte_logs(given + carry * rest_counts[d])
-            self.next_node[here] = np.arange(first[d], first[d + 1], dtype=np.int32)[:, None]
-            if d:
-                byte = levels[d][0] >> (8 * (d - 1))
-                self.next_node[first[d - 1] + parent[d], byte] = np.arange(first[d], first[d + 1], dtype=np.int32)
-        self.depth = depth
-        self.first = first
-
-    def code_lengths(self, out: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each byte of a stream given those before it."""
-        node = np.zeros(len(out), dtype=np.int32)
-        for k in range(1, self.depth + 1):
-            # Only nodes of depth k - 1 have children at k; the others stay.
-            deep = np.flatnonzero(node[k:] >= self.first[k - 1]) + k
-            node[deep] = self.next_node[node[deep], out[deep - k]]
-        return self.logs[node, out]
-
-
-def count_parts(docs: DataFrame, training: Column, text: str = "text", id_col: str = "doc_id", depth: int = DEPTH) -> DataFrame:
-    """Rows of PARTS for all rows of docs, written once."""
-    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), training.alias("training"))
-    return materialize(docs.sparkSession, picked.mapInArrow(_count_rows(depth), PARTS_DDL), "lm-parts")
-
-
-def train_counts(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
-    """(kind, key, n) summed over all rows of docs."""
-    parts = count_parts(docs.withColumn("_id", F.lit(0)), F.lit(True), text, "_id", depth).filter("kind < 3")
-    return parts.select("kind", "key", "n", "keys", "counts").mapInArrow(_flat, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-def context_tree(counts: DataFrame, depth: int = DEPTH, max_contexts: int = 1 << 15) -> ContextTree:
-    """The tree in memory, of contexts with 1/max_contexts of the bytes or more; for corpora that one machine holds."""
-    grams = counts.filter("kind = 0")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    levels, known = [], None
-    for d in range(depth + 1):
-        mask = (1 << (8 * (d + 1))) - 1
-        g = grams.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n")) if d < depth else grams.select("key", "n")
-        context = F.shiftright("key", 8)
-        sums = g.groupBy(context.alias("c")).agg(F.sum("n").alias("cn"), F.collect_list(F.struct(F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("b"), "n")).alias("h"))
-        kept = sums.filter(F.col("cn") * max_contexts >= F.lit(total)).select("c", F.explode("h").alias("x")).select("c", "x.b", "x.n").toArrow()
-        codes, row = np.unique(kept["c"].to_numpy(), return_inverse=True)
-        h = np.zeros((len(codes), 256), dtype=np.int64)
-        h[row, kept["b"].to_numpy()] = kept["n"].to_numpy()
-        del kept
-        if d == 0 and not len(codes):
-            codes, h = np.zeros(1, np.int64), np.zeros((1, 256), np.int64)
-        if d:  # a context is kept only below a kept one
-            ok = np.isin(codes & ((1 << (8 * (d - 1))) - 1), known)
-            codes, h = codes[ok], h[ok]
-        known = codes
-        levels.append((codes, h))
-    return ContextTree(levels)
+ROWS = "doc_id long, n_tokens long, n_bytes long, head double, n_known long, score double, keys array<long>, times array<int>"
 
 
 def _score_part(shared, depth: int):
-    def batches(docs: pa.Table, values: pa.Table):
-        heads, logs = shared.value
-        known, lp_known = _numbers(values["keys"]), _numbers(values["logs"], np.float32)
-        order = np.argsort(known)
-        known, lp_known = known[order], lp_known[order].astype(np.float64)
-        for at, data, off in chunks(docs["text"]):
-            w = Words(data, off)
-            rows = len(off) - 1
-            out, bounds = stream(w, depth)
-            coded = _scored(bounds, depth, len(out))
-            lp = np.zeros(len(out))
-            lp[coded] = lp_known[np.searchsorted(known, _grams(out, coded, depth))]
-            sums = np.concatenate([[0.0], np.cumsum(lp)])
+    def texts(docs: pa.Table):
+        for a, b in zip(docs["a"].to_pylist(), docs["b"].to_pylist(), strict=True):
+            ids, null, off = pickle.loads(zlib.decompress(b))
+            yield pa.array(ids, mask=null), Words(np.frombuffer(zlib.decompress(a), np.uint8), off)
+
+    def run(docs: pa.Table, values: pa.Table) -> pa.Table:
+        heads = Lookup(*pickle.loads(shared.value))
+        # The part's distinct grams, in the order in which it sent them.
+        runs: list[np.ndarray] = []
+        for _, w in texts(docs):
+            runs.append(distinct(grams_of(w, depth)[0]))
+            if len(runs) > 8:
+                runs = [sum_runs(np.concatenate(runs))[0]]
+        grams = sum_runs(np.concatenate([np.zeros(0, np.int64), *runs]))[0]
+        order, names, _ = by_bucket(grams, depth)
+        sent = dict(zip(values["bucket"].to_pylist(), values["logs"].to_pylist(), strict=True))
+        high = np.concatenate([np.zeros(0, np.int64), *(_from_planes(sent[x], 3) for x in names.tolist())])
+        table = Lookup(grams[order], (high << 8).astype(np.uint32).view(np.float32))
+        del runs, grams, order, high
+        out = []
+        for ids, w in texts(docs):
+            rows = len(w.off) - 1
+            code, bounds = grams_of(w, depth)
+            sums = np.concatenate([[0.0], np.cumsum(table.find(code)[0], dtype=np.float64)])
             score = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.log(10)
-            h = w.hashes().view(np.int64)
-            place = np.minimum(np.searchsorted(heads, h), max(0, len(heads) - 1))
-            hit = heads[place] == h if len(heads) else np.zeros(len(h), dtype=bool)
-            base, n_known = np.zeros(rows), np.zeros(rows, np.int64)
-            np.add.at(base, w.row[hit], logs[place[hit]] if len(heads) else 0.0)
-            np.add.at(n_known, w.row[hit], 1)
+            h = w.hashes().view(np.int64) & NON_NEGATIVE
+            known_log, hit = heads.find(h)
+            base = np.bincount(w.row, weights=known_log, minlength=rows)
+            n_known = np.bincount(w.row[hit], minlength=rows).astype(np.int64)
             miss_row, miss = w.row[~hit], h[~hit]
             order = np.lexsort((miss, miss_row))
             miss_row, miss = miss_row[order], miss[order]
@@ -363,39 +265,42 @@ def _score_part(shared, depth: int):
             starts = np.flatnonzero(new)
             times = np.diff(np.concatenate([starts, [len(miss)]])).astype(np.int32)
             offsets = np.searchsorted(miss_row[starts], np.arange(rows + 1)).astype(np.int32)
-            yield pa.record_batch(
-                [docs["doc_id"].slice(at, rows).combine_chunks(), pa.array(np.diff(w.first).astype(np.int64) + 1), pa.array((bounds[1:] - bounds[:-1] - depth).astype(np.int64)), pa.array(base), pa.array(n_known), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), pa.array(miss[starts])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(times))],
-                names=["doc_id", "n_tokens", "n_bytes", "head", "n_known", "score", "keys", "times"],
+            out.append(
+                pa.record_batch(
+                    [ids, pa.array(np.diff(w.first).astype(np.int64) + 1), pa.array(np.diff(bounds).astype(np.int64)), pa.array(base), pa.array(n_known), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), pa.array(miss[starts])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(times))],
+                    names=["doc_id", "n_tokens", "n_bytes", "head", "n_known", "score", "keys", "times"],
+                )
             )
-
-    def run(docs: pa.Table, values: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(batches(docs, values)))
+        return pa.Table.from_batches(out)
 
     return run
 
 
-def score(docs: DataFrame, training: Column, text: str = "text", id_col: str = "doc_id", depth: int = DEPTH, least: int = MIN_COUNT) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes of each row; `training` picks the rows to learn from."""
+def score(docs: DataFrame, training: Column, text: str = "text", id_col: str = "doc_id", depth: int = DEPTH) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes of each row; `training` picks the rows to learn from.
+
+    The result is written to the shared folder; all tables on the way are deleted.
+    """
+    if not SPLIT <= depth <= 6:
+        raise ValueError("contexts are 3 to 6 bytes")
     spark = docs.sparkSession
-    parts = count_parts(docs, training, text, id_col, depth)
-    words = materialize(spark, parts.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "lm-words")
-    texts = parts.filter("kind = 2").agg(F.sum("n")).first()[0] or 0
-    n_words, n_kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    total, kinds = n_words + texts, n_kinds + (texts > 0)
-    head = words.filter(F.col("n") * HEAD >= F.lit(total)).select("key", "n").toArrow()
-    keys, n = head["key"].to_numpy(), head["n"].to_numpy()
-    order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((keys[order].astype(np.int64), np.log10(n[order] + 1.0)))
-    values, upper = gram_logs(parts, depth, least)
-    schema = "doc_id long, n_tokens long, n_bytes long, head double, n_known long, score double, keys array<long>, times array<int>"
-    whole = parts.filter("kind = 3").select("part", "doc_id", "text").groupBy("part").cogroup(values.groupBy("part"))
-    rows = materialize(spark, whole.applyInArrow(_score_part(shared, depth), schema).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    shared.destroy()  # the rows are written
-    upper.destroy()
-    tail = rows.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
-    rare = words.filter(F.col("n") * HEAD < F.lit(total)).select("key", "n")
-    found = tail.join(rare.hint("merge"), "key").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("tail"), F.sum("times").alias("more"))
-    whole = rows.drop("keys", "times").join(found, "row", "left")
-    base = F.col("head") + F.coalesce("tail", F.lit(0.0)) + F.lit(float(np.log10(texts + 1.0))) - F.col("n_tokens") * F.lit(float(np.log10(total + kinds + 1.0)))
-    n_known = F.col("n_known") + F.coalesce("more", F.lit(0)) + F.lit(int(texts > 0))
-    return whole.select("doc_id", "n_tokens", n_known.alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes")
+    picked = docs.select(ref(id_col).cast("long").alias("doc_id"), ref(text).cast("string").alias("text"), training.alias("training"))
+    with Scratch(spark) as scratch:
+        parts = scratch.write(picked.mapInArrow(_count_rows(depth), PARTS_DDL), "lm-parts")
+        words = scratch.write(parts.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "lm-words")
+        texts = parts.filter("kind = 2").agg(F.sum("n")).first()[0] or 0
+        n_words, n_kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+        total, kinds = n_words + texts, n_kinds + (texts > 0)
+        head = words.filter(F.col("n") * HEAD >= F.lit(total)).select("key", "n").toArrow()
+        shared = spark.sparkContext.broadcast(pickle.dumps((head["key"].to_numpy().astype(np.int64), np.log10(head["n"].to_numpy() + 1.0))))
+        values = gram_logs(parts, scratch, depth)
+        whole = parts.filter("kind = 3").select("part", "a", "b").groupBy("part").cogroup(values.groupBy("part"))
+        rows = scratch.write(whole.applyInArrow(_score_part(shared, depth), ROWS).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+        shared.destroy()  # the rows are written
+        tail = rows.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
+        rare = words.filter(F.col("n") * HEAD < F.lit(total)).select("key", "n")
+        found = tail.join(rare.hint("merge"), "key").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("tail"), F.sum("times").alias("more"))
+        both = rows.drop("keys", "times").join(found, "row", "left")
+        base = F.col("head") + F.coalesce("tail", F.lit(0.0)) + F.lit(float(np.log10(texts + 1.0))) - F.col("n_tokens") * F.lit(float(np.log10(total + kinds + 1.0)))
+        n_known = F.col("n_known") + F.coalesce("more", F.lit(0)) + F.lit(int(texts > 0))
+        return scratch.keep(both.select("doc_id", "n_tokens", n_known.alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes"), "lm-scores")
