@@ -244,6 +244,8 @@ def _meet(batches):
     def settle(last: bool):
         nonlocal sigs, docs, held, long
         sig, doc = np.concatenate(sigs), np.concatenate(docs)
+        if not len(sig):
+            return
         order = np.lexsort((doc, sig))
         sig, doc = sig[order], doc[order]
         new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])])
