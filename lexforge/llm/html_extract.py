@@ -25,7 +25,6 @@ import pickle
 import random
 import re
 from dataclasses import dataclass, field
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +58,7 @@ NAMES = {
 _NAME = {w: k for k, (_, ws) in enumerate(NAMES.items()) for w in ws.split()}
 _KINDS = len(NAMES)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+RAW_END = {x: re.compile(f"</{x}(?![a-z0-9])", re.I | re.A) for x in RAW}
 STOP = re.compile(r"""[>"']""")
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 WORDS = re.compile(r"[a-z]+(?:-[a-z]+)*")
@@ -126,15 +126,10 @@ def tokens(page: str):
         at = end
         yield "", m[1], name, attrs
         if name in RAW and not m[1] and not (attrs.endswith("/") and name == "svg"):
-            found = _raw_end(name).search(page, at)
+            found = RAW_END[name].search(page, at)
             at = size if found is None else page.find(">", found.start()) + 1 or size
 
 
-@cache
-def _raw_end(name: str) -> re.Pattern:
-    return re.compile(f"</{re.escape(name)}(?![a-z0-9])", re.I | re.A)
-
-
 def parse(page: str | None, labels: bool = False) -> Tree:
     """The block elements of a page. Inline elements only carry their text's links."""
     t = Tree()
