@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Rows are taken together up to so many text bytes; a longer text comes alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -130,6 +130,15 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = 5):
     return s[new], np.searchsorted(owner[new], np.arange(rows + 1))
 
 
+def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of each row's values, in the same way wherever the row stands; 0 for empty rows."""
+    out = np.zeros(len(bounds) - 1)
+    full = np.flatnonzero(bounds[1:] > bounds[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(values.astype(np.float64, copy=False), bounds[full])
+    return out
+
+
 class Lookup:
     """Values of distinct non-negative 64-bit keys, by open addressing; faster than a binary search where keys are many."""
 

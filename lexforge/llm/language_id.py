@@ -9,8 +9,8 @@ language.
 
 Defined results: a text that is null or has no letter is `und` with score 0; ties go to the language first by code
 point; without training rows every text is `und`; an empty table gives no rows; very long texts are read whole, window by
-window; repeated rows, and ids that repeat or are null, get a row each and equal texts equal results; extra columns aren't
-read. Of more than 256 languages the most frequent ones are learned (see sampling).
+window; repeated rows, and ids that repeat or are null, get a row each and equal texts equal languages (scores agree to 32-bit
+rounding); extra columns aren't read. Of more than 256 languages the most frequent ones are learned (see sampling).
 """
 
 from __future__ import annotations

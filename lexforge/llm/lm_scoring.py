@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .bytesnp import Lookup, Words, chunks, distinct
+from .bytesnp import Lookup, Words, chunks, distinct, row_sums
 from .context_table import SPLIT, Subtrees, bucket, pieces, sum_runs, top
 from .estimates import KT
 from .joins import ref
@@ -251,11 +251,10 @@ def _score_part(shared, depth: int):
         for ids, w in texts(docs):
             rows = len(w.off) - 1
             code, bounds = grams_of(w, depth)
-            sums = np.concatenate([[0.0], np.cumsum(table.find(code)[0], dtype=np.float64)])
-            score = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.log(10)
+            score = row_sums(table.find(code)[0], bounds) / np.log(10)
             h = w.hashes().view(np.int64) & NON_NEGATIVE
             known_log, hit = heads.find(h)
-            base = np.bincount(w.row, weights=known_log, minlength=rows)
+            base = np.bincount(w.row, weights=known_log, minlength=rows).astype(np.float64)
             n_known = np.bincount(w.row[hit], minlength=rows).astype(np.int64)
             miss_row, miss = w.row[~hit], h[~hit]
             order = np.lexsort((miss, miss_row))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesnp import U64, _mix, chunks, word_hashes
+from .bytesnp import U64, _mix, chunks, row_sums, word_hashes
 from .sampling import sample_ids, sample_texts
 
 #: Discounts tried, in documents.
@@ -135,8 +135,7 @@ class KneserNey:
                 at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
                 hit = keys[at] == asked
                 each[hit] = ratio[at[hit]]
-        sums = np.concatenate([[0.0], np.cumsum(each)])
-        return (sums[first[1:]] - sums[first[:-1]]) / np.maximum(1, np.diff(first))
+        return row_sums(each, first) / np.maximum(1, np.diff(first))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, positive: float = 0.5, steps: int = 100, ridge: float = 1e-3) -> tuple[float, float, float]:
