@@ -1,7 +1,11 @@
 """From raw documents to token ids: quality rules, exact dedup, near dedup, source mixing, SentencePiece encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; its result is written as Parquet
-and reread. All but the last return the columns of documents.
+and reread. All but the last return the columns of documents, whatever their names.
+
+Defined results, as of the operators: null and empty texts fail the quality rules, so no later stage sees them; rows with a
+null id are never dropped as copies by the second and third stage (which drop by id), rows that share an id go together;
+the mix gives each row its own copies; very long texts stay whole; empty tables give empty tables with the same columns.
 """
 
 from __future__ import annotations
@@ -51,7 +55,8 @@ STAGES = [
     ("sentencepiece", token_ids),
 ]
 
-#: SQL can't express the Jaccard components, the knapsack and the merges; tests hold the stages against brute force.
+#: SQL can't express the Jaccard components, the knapsack and the merges; a test holds run() against plain versions of the
+#: five stages: ids that stay, words taken of each source, token ids.
 ORACLE_SQL = None
 
 
