@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import amend, greek, ids, textfn
-from ..operators import ledger, numbering, search, sequences
+from ..functions import ids, textfn
+from ..operators import ledger, search, sequences
 from ..streaming import discovery
 from ..session import table
 
@@ -159,25 +157,6 @@ def id_ancestors(spark, d):
     return line_ids(spark, d).select("l_orderkey", "l_linenumber", F.explode(ids.ancestors(F.col("gid"))).alias("ancestor"))
 
 
-@query("""SELECT 'o:' || o_orderkey AS outer_id, count(*)::BIGINT AS n_within, round(sum(l_quantity), 2) AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders) GROUP BY o_orderkey""")
-def within_join(spark, d):
-    """Lines within orders of the first priority: explode ancestors, then an equi-join."""
-    orders = table(spark, d, "orders")
-    first = orders.agg(F.min("o_orderpriority").alias("p"))
-    outer = orders.join(F.broadcast(first), F.col("o_orderpriority") == F.col("p")).select(F.concat(F.lit("o:"), "o_orderkey").alias("outer_id"))
-    got = ids.within_join(line_ids(spark, d).select("gid", "l_quantity"), outer, "gid", "outer_id")
-    return got.groupBy("outer_id").agg(F.count(F.lit(1)).alias("n_within"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
-
-
-@query("""WITH a AS (SELECT DISTINCT 'o:' || l_orderkey || '.' || l_linenumber AS gid FROM lineitem WHERE l_linenumber <= 2), b AS (SELECT 'o:' || o_orderkey AS other FROM orders UNION ALL SELECT DISTINCT 'o:' || l_orderkey || '.' || l_linenumber FROM lineitem WHERE l_linenumber >= 2)
-SELECT gid, other FROM a JOIN b ON gid = other OR starts_with(gid, other || '.') OR starts_with(other, gid || '.')""")
-def related_join(spark, d):
-    rows = line_ids(spark, d)
-    a = rows.filter("l_linenumber <= 2").select("gid").distinct()
-    b = table(spark, d, "orders").select(F.concat(F.lit("o:"), "o_orderkey").alias("other")).unionByName(rows.filter("l_linenumber >= 2").select(F.col("gid").alias("other")).distinct())
-    return ids.related_join(a, b, "gid", "other")
-
-
 @query("""SELECT 'o:' || o_orderkey AS outer_id, count(*)::BIGINT AS n_within, round(sum(l_quantity), 2) AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def within_join_all(spark, d):
     """Lines within every order."""
@@ -286,13 +265,6 @@ def trace_two_hop(spark, d):
     return links.join(place, "s_suppkey").select("p_partkey", "s_suppkey", "n_name")
 
 
-@query("""SELECT l_orderkey, (l_linenumber + i)::BIGINT AS cited FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <= 3), unnest(range(0, 3)) AS u(i)""")
-def xref_expand(spark, d):
-    """Ranges `n to n+2` expanded to single references."""
-    rows = table(spark, d, "lineitem").filter("l_linenumber <= 3").select("l_orderkey", "l_linenumber").distinct()
-    return rows.select("l_orderkey", F.explode(F.sequence(F.col("l_linenumber").cast("long"), (F.col("l_linenumber") + 2).cast("long"))).alias("cited"))
-
-
 @query("""SELECT l_orderkey, (l_linenumber + i)::BIGINT AS cited FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), unnest(range(0, 3)) AS u(i)""")
 def xref_expand_all(spark, d):
     """The ranges of every line."""
@@ -496,109 +468,7 @@ def info_counts(spark, d):
     return table(spark, d, "documents").select(F.explode(member).alias("dataset")).groupBy("dataset").agg((F.count(F.lit(1)) - 1).alias("issues"))
 
 
-# Vectors: inline rows with known results
-
-
-def values(columns: str, rows: list[tuple]) -> str:
-    def literal(x):
-        if x is None:
-            return "NULL"
-        if isinstance(x, datetime.date):
-            return f"DATE '{x}'"
-        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-
-    quoted = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
-    return f"SELECT * FROM (VALUES {quoted}) AS t({columns})"
-
-
-NORMAL = [("code:224.3.b", "code:224.3.β"), ("CODE:224.3.beta", "code:224.3.β"), ("code:224.3.β΄", "code:224.3.β"), (" code:224.3.Β ", "code:224.3.β"), ("nok:11.6.id", "nok:11.6.ιδ"), ("nok:10a", "nok:10Α"), ("fek-a-108-2026:133.1", "FEK-A-108-2026:133.1"), ("FEK-A-245-2020:120#1~4", "FEK-A-245-2020:120#1~4"), ("fire:p-a", "fire:Π-Α"), ("fire:A5.3.7.1", "fire:Α5.3.7.1"), ("FIRE:b3.2.a", "fire:Β3.2.α"), ("foo:1", None), ("code:", None), ("code:abc", None), ("nok:27.zz9", None), ("code:224.", None), ("code:224..3", None)]
-
-
-@query(values("typed, gid", NORMAL))
-def normalize_vectors(spark, d):
-    return spark.createDataFrame([(x,) for x, _ in NORMAL], "typed string").select("typed", greek.normalize("typed").alias("gid"))
-
-
-CITED = [("224.3.β", "Ν. 5306/2026", "Α΄ 88/2026", "άρθ. 224 παρ. 3 περ. β΄ ν. 5306/2026 (ΦΕΚ Α΄ 88/2026)"), ("120#1~4", "Ν. 4759/2020", "Α΄ 245/2020", "άρθ. 120 ν. 4759/2020 (ΦΕΚ Α΄ 245/2020)"), ("206.6.ιστ.α", "Ν. 5306/2026", "Α΄ 88/2026", "άρθ. 206 παρ. 6 περ. ιστ΄ υποπερ. α΄ ν. 5306/2026 (ΦΕΚ Α΄ 88/2026)"), ("Α5.3.7.1.α", "Π.Δ. 41/2018", "Α΄ 80/2018", "άρθ. 5 Κεφ. Α΄ παρ. 5.3.7.1 περ. α΄ π.δ. 41/2018 (ΦΕΚ Α΄ 80/2018)"), ("Β3", "Π.Δ. 41/2018", "Α΄ 80/2018", "άρθ. 3 Κεφ. Β΄ π.δ. 41/2018 (ΦΕΚ Α΄ 80/2018)")]
-
-
-@query(values("local, cited", [(a, c) for a, _, _, c in CITED]))
-def citation_vectors(spark, d):
-    return spark.createDataFrame([x[:3] for x in CITED], "local string, act string, fek string").select("local", greek.cite(F.col("local"), F.col("act"), F.col("fek")).alias("cited"))
-
-
-NUMBERED = [
-    ("206", None, ["6. Όροι:", "ιε) ένα", "ιστ) δύο:", "ιστα) τρία", "ιστβ) τέσσερα", "ιζ) πέντε"], ["206.6", "206.6.ιε", "206.6.ιστ", "206.6.ιστ.α", "206.6.ιστ.β", "206.6.ιζ"]),
-    ("207", None, ["6. Όροι", "ιβ) ιβα) ένα", "ιββ) δύο"], ["207.6", "207.6.ιβ.α", "207.6.ιβ.β"]),
-    ("5", None, ["1. Κείμενο", "και) δεν είναι αρίθμηση"], ["5.1", "5.1#1"]),
-    ("7", None, ["3. Όροι:", "α) ένα.", "β) δύο.", "κείμενο", "κείμενο"], ["7.3", "7.3.α", "7.3.β", "7.3#1", "7.3#2"]),
-    ("1", None, ["Σκοπός:", "α) ένα.", "β) δύο.", "Οι όροι:", "α) ένα.", "β) δύο."], ["1#1", "1.α", "1.β", "1#2", "1.α@2", "1.β@2"]),
-    ("Α5", "5", ["5.3. Όροι", "κείμενο", "5.3.7.1. Όροι", "α) ένα", "5.4. Όροι", "17.2.1989 ημερομηνία"], ["Α5.3", "Α5.3#1", "Α5.3.7.1", "Α5.3.7.1.α", "Α5.4", "Α5.4#1"]),
-]
-
-
-@query(values("article, pos, pid", [(a, i, p) for a, _, _, ps in NUMBERED for i, p in enumerate(ps)]))
-def numbering_vectors(spark, d):
-    rows = spark.createDataFrame([(a, dec, i, t) for a, dec, ts, _ in NUMBERED for i, t in enumerate(ts)], "article string, dec string, pos int, txt string")
-    return numbering.number(rows, ["article"], "article", "pos", "txt", "dec").select("article", "pos", "pid")
-
-
-NUMERAL = [("ιστ", 16), ("κε", 25), ("ιστα", None), ("α", 1), ("θ", 9), ("στ", 6), ("ι", 10), ("πθ", 89), ("και", None)]
-
-
-@query(values("label, n", NUMERAL))
-def numeral_vectors(spark, d):
-    return spark.createDataFrame([(x,) for x, _ in NUMERAL], "label string").select("label", greek.numeral(F.col("label")).cast("int").alias("n"))
-
-
-STARTS = [(1, "Η ισχύς του παρόντος αρχίζει από τη δημοσίευσή του.", 1, "publication", datetime.date(2020, 12, 10)), (2, "Η ισχύς του παρόντος αρχίζει από τη δημοσίευσή του, εκτός αν ορίζεται αλλιώς.", 1, "publication-unless", datetime.date(2020, 12, 10)), (3, "Η ισχύς του παρόντος αρχίζει από τη δημοσίευσή του.", 3, "publication-unless", datetime.date(2020, 12, 10)), (4, "Αρχίζει δέκα (10) ημέρες μετά τη δημοσίευσή του.", 1, "publication", datetime.date(2020, 12, 20)), (5, "Με απόφαση του Υπουργού ορίζεται η έναρξη.", 1, "text", None)]
-
-
-@query(values("id, rule, from_date", [(a, r, x) for a, _, _, r, x in STARTS]))
-def commencement_vectors(spark, d):
-    rows = spark.createDataFrame([x[:3] for x in STARTS], "id int, text string, paragraphs int").withColumn("published", F.lit("2020-12-10").cast("date"))
-    return rows.select("id", greek.commencement(F.col("text"), F.col("published"), F.col("paragraphs")).alias("c")).select("id", "c.rule", "c.from_date")
-
-
-SENTENCES = [
-    (1, "Η περ. ιδ΄ της παρ. 6 του άρθρου 11 του ν. 4067/2012 (Α΄ 79) αντικαθίσταται ως εξής:", "amend", "11.6.ιδ", False),
-    (2, "Στο άρθρο 28 του ν. 4067/2012 προστίθεται παρ. 11 ως εξής:", "amend", "28.11", False),
-    (3, "Το άρθρο 4 του ν. 4067/2012 αντικαθίσταται ως εξής:", "amend", "4", True),
-    (4, "Οι παρ. 2 και 4 του άρθρου 27 του ν. 4067/2012 τροποποιούνται ως εξής:", "amend", "27.2,27.4", False),
-    (5, "Καταργείται η παρ. 4 του άρθρου 20 του ν. 4067/2012.", "repeal", "20.4", False),
-    (6, "Οι άδειες εκδίδονται σύμφωνα με την παρ. 2 του άρθρου 6 του ν. 4067/2012.", None, "6.2", False),
-]
-
-
-@query(values("id, kind, targets, restates", [(a, k, t, r) for a, _, k, t, r in SENTENCES]))
-def targets_vectors(spark, d):
-    rows = spark.createDataFrame([x[:2] for x in SENTENCES], "id int, s string")
-    return rows.select("id", amend.kind(F.col("s")).alias("kind"), amend.targets(F.col("s")).alias("t")).select("id", "kind", F.array_join("t.targets", ",").alias("targets"), "t.restates")
-
-
-LABELS = [("2 και 4", "2,4"), ("ιδ΄", "ιδ"), ("3α", "3.α"), ("το", "")]
-
-
-@query(values("listed, labels", LABELS))
-def label_vectors(spark, d):
-    return spark.createDataFrame([(x,) for x, _ in LABELS], "listed string").select("listed", F.array_join(amend.labels(F.col("listed")), ",").alias("labels"))
-
-
-REFERENCES = [(1, "Παρ. 5 του άρθρου 27 του ν. 4067/2012, όπως ισχύει", "27.5"), (2, "Παρ. 1 και 2 του άρθρου 13 του ν. 4067/2012", "13.1,13.2"), (3, "Άρθρο 3 του ν. 4067/2012", "3"), (4, "Άρθρο 3 του ν. 1577/1985", "")]
-
-
-@query(values("id, refs", [(a, r) for a, _, r in REFERENCES]))
-def reference_vectors(spark, d):
-    return spark.createDataFrame([x[:2] for x in REFERENCES], "id int, s string").select("id", F.array_join(amend.law_references(F.col("s"), "4067/2012"), ",").alias("refs"))
-
-
-TERMS = [(1, "«Ανοικτός εξώστης (μπαλκόνι)»: η οριζόντια προεξοχή.", "Ανοικτός εξώστης", "μπαλκόνι"), (2, "α) Οικόπεδο είναι η έκταση γης.", "Οικόπεδο", None), (3, "Χωρίς ορισμό.", None, None)]
-
-
-@query(values("id, term, also", [(a, t, x) for a, _, t, x in TERMS]))
-def glossary_vectors(spark, d):
-    rows = spark.createDataFrame([x[:2] for x in TERMS], "id int, s string")
-    return rows.select("id", amend.definition(F.col("s")).alias("x")).select("id", "x.term", "x.also")
+# Sequences, streams, pages
 
 
 @query(f"""WITH n AS (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_quantity, {_FULL})::BIGINT AS pos FROM lineitem),
@@ -645,8 +515,12 @@ def pagination(spark, d):
 
 
 def queries():
-    return dict(QUERIES)
+    from . import provisions
+
+    return dict(QUERIES) | provisions.queries()
 
 
 def oracle_sql():
-    return dict(ORACLES)
+    from . import provisions
+
+    return dict(ORACLES) | provisions.oracle_sql()
