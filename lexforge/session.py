@@ -40,7 +40,14 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Tables written on the way to a result, in one folder that goes when the block ends. `keep` writes the result."""
+    """Tables written on the way to a result, in one folder that goes when the block ends. `keep` writes the result.
+
+    Inside the block, Arrow batches hold at most BATCH rows, so that a Python stage's memory doesn't follow the length of
+    10,000 texts.
+    """
+
+    BATCH = 2000
+    SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -55,9 +62,13 @@ class Scratch:
         return materialize(self.spark, df, name)
 
     def __enter__(self) -> Scratch:
+        self.before = self.spark.conf.get(self.SETTING)
+        if not 0 < int(self.before) <= self.BATCH:
+            self.spark.conf.set(self.SETTING, str(self.BATCH))
         return self
 
     def __exit__(self, *error) -> None:
+        self.spark.conf.set(self.SETTING, self.before)
         remove(self.spark, self.path)
 
 
