@@ -15,7 +15,7 @@ Documents whose reserve is used up that way (short texts around a common passage
 allotted the smallest segments there are, single shingles, all of them, in an index of their own. There a pair that shares
 a short list is a candidate by it, and any other has its whole overlap in long lists, 3/4 of each document at least.
 Of a document's l long shingles, rarest first, l - 3n/4 + 1 are enough to meet. Each list's pivot, the document with the
-largest share of long shingles, is measured against all of the list; components contract; and then a document outside
+largest share of long shingles, is measured against all of the list; components contract, and then a document outside
 its list's largest component is measured against those of other components that the pivot leaves: with o long
 shingles in common with the pivot and e others, two documents share min(o, o') + min(e, e') at most. Profiles (n, o, e)
 meet before documents do, so equal profiles cost one comparison.
@@ -49,10 +49,11 @@ from .joins import skew_left_join, without_ids
 
 LONG = 32
 SMALL_BAND = 300
+CHUNK = 1 << 19
 #: Signatures a bucket holds before it settles its lists.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 #: Pairs of short lists made at a time.
-PAIRS = 1_000_000
+PAIRS = 250_000
 #: Bits that tell which shingles a set can't have: a bit of one set that another lacks is a difference.
 BITS = 1024
 
@@ -118,7 +119,7 @@ def least_reserve(n):
 def _digest_rows(width: int):
     def run(batches):
         for b in batches:
-            for at, data, off in chunks(b.column(1)):
+            for at, data, off in chunks(b.column(1), CHUNK):
                 s, bounds = shingle_sets(data, off, width)
                 n = np.diff(bounds)
                 sums = np.zeros((2, len(s) + 1), U64)
@@ -167,7 +168,7 @@ def _signature_rows(width: int, buckets: int, seed: int):
     def run(batches):
         edges = band_edges()
         for b in batches:
-            for at, data, off in chunks(b.column(1)):
+            for at, data, off in chunks(b.column(1), CHUNK):
                 s, bounds = shingle_sets(data, off, width)
                 ids = b.column(0).slice(at, len(off) - 1).to_numpy(zero_copy_only=False)
                 sig, doc, poor = [], [], []
@@ -192,7 +193,7 @@ def _single_rows(width: int, buckets: int):
 
     def run(batches):
         for b in batches:
-            for at, data, off in chunks(b.column(1)):
+            for at, data, off in chunks(b.column(1), CHUNK):
                 s, bounds = shingle_sets(data, off, width)
                 if len(s):
                     ids = b.column(0).slice(at, len(off) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -204,7 +205,7 @@ def _single_rows(width: int, buckets: int):
 def _set_rows(width: int):
     def run(batches):
         for b in batches:
-            for at, data, off in chunks(b.column(1)):
+            for at, data, off in chunks(b.column(1), CHUNK):
                 s, bounds = shingle_sets(data, off, width)
                 sets = pa.LargeListArray.from_arrays(pa.array(bounds.astype(np.int64)), pa.array(s.view(np.int64))).cast(pa.list_(pa.int64()))
                 yield pa.record_batch([b.column(0).slice(at, len(off) - 1), sets], names=["doc", "shingles"])
@@ -346,7 +347,7 @@ class _Join:
         pairs = lists.filter("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("shared"))
         for side in "ab":
             pairs = pairs.join(used.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("long").alias(f"long_{side}")), side)
-        return pairs.filter(enough & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))).select("a", "b", "shared")
+        return pairs.filter(enough & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))).select("a", "b")
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """(a, b) of the pairs that link, on whole sets. Those whose bits differ too much go before sets are made."""
@@ -390,18 +391,15 @@ class _Join:
         used = self.used(singles, "used-singles")
         most = F.col("shared") + F.least("long_a", "long_b")
         more = self.listed_pairs(singles, used, self.linked(most, F.col("n_a") + F.col("n_b")))
-        pairs = self.write(pairs.unionByName(more).groupBy("a", "b").agg(F.max("shared").alias("shared")), "pairs")
-        # First each document's best partner, then what lies in different components still.
-        star = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
-        star = self.write(star, "star")
+        pairs = self.write(pairs.unionByName(more).distinct(), "pairs")
+        edges = [self.verified(pairs, "links")]
+        # In long lists pivots come first, then what lies in different components still.
         long = self.long_shingles(singles, used)
         measured = self.to_pivots(long)
-        edges = [self.verified(star, "star-links"), measured.filter("linked").select("a", "b")]
+        edges.append(measured.filter("linked").select("a", "b"))
         labels = self.labels(*edges)
-        rest = self.write(_apart(pairs.select("a", "b"), labels).join(star, ["a", "b"], "left_anti"), "rest")
-        edges.append(self.verified(rest, "rest-links"))
-        edges.append(self.long_rest(long, measured, labels))
-        return self.labels(*edges)
+        more = self.long_rest(long, measured, labels)
+        return self.labels(*edges, more) if more.limit(1).count() else labels
 
     def long_shingles(self, singles: DataFrame, used: DataFrame) -> DataFrame:
         """(sig, doc, n, l, pivot) of the lists where documents meet whose long shingles may hold a whole overlap; l is
@@ -453,12 +451,6 @@ class _Join:
         return self.write(common.filter(self.linked(F.col("common"), F.col("n_a") + F.col("n_b"))).select("a", "b"), "long-rest-links")
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends aren't in one component yet."""
-    la, lb = labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
-
-
 def _unique_ids(rows: DataFrame, width: int, percent: int, scratch: Scratch, digests: DataFrame | None = None) -> DataFrame:
     """near_duplicates of rows (doc_id, text) with distinct, non-null ids."""
     run = _Join(rows, width, percent, scratch)
