@@ -50,3 +50,15 @@ def natural_key(x: Column) -> Column:
     parts = F.regexp_extract_all(x, F.lit(r"(\d+|[^\d]+)"), 1)
     number = lambda p: F.when(p.rlike(r"^\d"), p.cast("long"))
     return F.transform(parts, lambda p: F.struct((~p.rlike(r"^\d")).alias("is_text"), F.coalesce(number(p), F.lit(0)).alias("num"), p.alias("txt")))
+
+
+def pages(sizes: Column, limit: int = 12_000) -> Column:
+    """The page of each line, from 1: a line that would pass the limit begins the next page; a longer one fills its own."""
+    start = F.struct(F.lit(0).cast("long").alias("page"), F.lit(2**60).cast("long").alias("used"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(s: Column, n: Column) -> Column:
+        turn = s["used"] + n > limit
+        page = F.when(turn, s["page"] + 1).otherwise(s["page"])
+        return F.struct(page.alias("page"), F.when(turn, n).otherwise(s["used"] + n).alias("used"), F.array_append(s["out"], page).alias("out"))
+
+    return F.aggregate(sizes, start, step)["out"]

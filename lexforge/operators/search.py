@@ -41,3 +41,13 @@ def best_articles(hits: DataFrame, article: str, tier: Column, limit: int, bonus
     """The first `limit` articles by tier, then score (best paragraph and bonus), then id."""
     best = hits.groupBy(article).agg(F.min(tier).alias("tier"), (F.max("score") + F.max(bonus if bonus is not None else F.lit(0))).alias("best"))
     return best.orderBy("tier", F.col("best").desc(), article).limit(limit)
+
+
+def top_articles(hits: DataFrame, article: str, position: str, tier: Column, limit: int, k: int = 3) -> DataFrame:
+    """The best k paragraphs of the first `limit` articles in one pass over the hits: an article's hits meet once, and only its
+    k best leave; rows of article, rnk, position, score."""
+    place = F.struct((-F.col("score")).alias("s"), F.col(position).alias("p"))
+    best = hits.groupBy(article).agg(F.min(tier).alias("tier"), F.max("score").alias("best"), F.slice(F.array_sort(F.collect_list(place)), 1, k).alias("top"))
+    first = best.orderBy("tier", F.col("best").desc(), article).limit(limit)
+    rows = first.select(article, F.posexplode("top").alias("rnk", "x"))
+    return rows.select(article, (F.col("rnk") + 1).cast("long").alias("rnk"), F.col("x.p").alias(position), (-F.col("x.s")).alias("score"))

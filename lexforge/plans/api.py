@@ -38,6 +38,16 @@ class Corpus:
         shown = find.top_per_article(hits.join(F.broadcast(best.select("key", "tier", "best")), "key"), "key", "para_pos", per_article)
         return shown.select("tier", "best", "key", "rnk", "gid", "score", "text")
 
+    def found(self, terms: list[list[list[str]]]) -> DataFrame:
+        """(articles, paragraphs): how many match, shown or not."""
+        hits = find.score_paragraphs(self.paragraphs, terms, "text", "title")
+        return hits.agg(F.countDistinct("file", "article").alias("articles"), F.count(F.lit(1)).alias("paragraphs"))
+
+    def status(self, gid: str, as_of: str | None = None) -> DataFrame:
+        """(amended, latest): the pointers related to an id and the latest day; no rows where there is none."""
+        mine = self._visible(as_of).filter(F.array_contains(ids.ancestors(F.col("target")), gid) | F.array_contains(ids.ancestors(F.lit(gid)), F.col("target")))
+        return mine.agg(F.count(F.lit(1)).alias("amended"), F.max("published").alias("latest")).filter("amended > 0")
+
     def read(self, gid: str) -> DataFrame:
         """The paragraphs at or below an id, in printed order; no rows where there is no such id (see nearest)."""
         return self.paragraphs.filter(self._below(gid)).select("file", "art_pos", "para_pos", "gid", "text").orderBy("file", "art_pos", "para_pos")
@@ -83,5 +93,5 @@ class Corpus:
         rows = arts.join(self.sections, "article", "left")
         if section:
             rows = rows.filter(find.fold(F.concat_ws(" ", "path", "title")).contains(section.lower()))
-        w = Window.orderBy("art_pos", "article")
+        w = Window.partitionBy(F.lit(dataset)).orderBy("art_pos", "article")  # the articles of one text
         return rows.withColumn("heading", F.when(~F.col("path").eqNullSafe(F.lag("path").over(w)), F.col("path"))).orderBy("art_pos", "article")

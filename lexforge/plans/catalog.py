@@ -86,8 +86,7 @@ SELECT doc_id, rnk, para_pos, score FROM (SELECT doc_id, para_pos, score, row_nu
 def stem_search(spark, d):
     """Top-3 lines of the best 8 documents (the listing's limit is the feature)."""
     hits = search.score_paragraphs(paras(spark, d), [[["tion"]], [["ment"]]], "txt")
-    best = search.best_articles(hits, "doc_id", F.expr(TIERS), 8).select("doc_id")
-    return search.top_per_article(hits.join(F.broadcast(best), "doc_id", "left_semi"), "doc_id", "para_pos").select("doc_id", "rnk", "para_pos", "score")
+    return search.top_articles(hits, "doc_id", "para_pos", F.expr(TIERS), 8).select("doc_id", "rnk", "para_pos", "score")
 
 
 @query(f"""WITH {PARAS_SQL}, f AS (SELECT *, {FOLD_SQL.format('txt')} AS f FROM paras)
@@ -455,11 +454,13 @@ def render_markdown(spark, d):
     return rows.select("conv_id", F.array_join("ls.line", "\n").alias("markdown"))
 
 
-@query("""SELECT source, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY source""")
+@query("""WITH b AS (SELECT source, doc_id // 1024 AS block, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS h FROM documents GROUP BY ALL) SELECT source, sha256(string_agg(h, '' ORDER BY block)) AS digest FROM b GROUP BY source""")
 def digest(spark, d):
-    """A digest by source over its documents in order: only 64 characters a document meet in a group."""
-    rows = table(spark, d, "documents").select("source", F.struct("doc_id", F.sha2("text", 256).alias("h")).alias("x"))
-    return rows.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("x")).getField("h"), ""), 256).alias("digest"))
+    """A digest by source: of the digests of its blocks of 1,024 ids in order, so no task gathers a whole source's documents."""
+    joined = lambda x: F.sha2(F.array_join(F.array_sort(F.collect_list(x)).getField("h"), ""), 256)
+    rows = table(spark, d, "documents").select("source", F.floor(F.col("doc_id") / 1024).alias("block"), F.struct("doc_id", F.sha2("text", 256).alias("h")).alias("x"))
+    blocks = rows.groupBy("source", "block").agg(joined("x").alias("h"))
+    return blocks.groupBy("source").agg(joined(F.struct("block", "h")).alias("digest"))
 
 
 @query("""SELECT dataset, count(*)::BIGINT - 1 AS issues FROM (SELECT source AS dataset, doc_id FROM documents UNION SELECT 'lang-' || lang, doc_id FROM documents) GROUP BY dataset""")
@@ -503,24 +504,17 @@ SELECT doc_id, page, count(*)::BIGINT AS n_lines FROM p GROUP BY doc_id, page"""
 def pagination(spark, d):
     """Greedy pages of 2,000 characters: a fold over a document's line sizes."""
     sizes = F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.length(x).cast("long") + 1)
-    start = F.struct(F.lit(0).cast("long").alias("page"), F.lit(10**9).cast("long").alias("used"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(s, n):
-        turn = s["used"] + n > 2000
-        page = F.when(turn, s["page"] + 1).otherwise(s["page"])
-        return F.struct(page.alias("page"), F.when(turn, n).otherwise(s["used"] + n).alias("used"), F.array_append(s["out"], page).alias("out"))
-
-    pages = table(spark, d, "documents").select("doc_id", F.explode(F.aggregate(sizes, start, step)["out"]).alias("page"))
+    pages = table(spark, d, "documents").select("doc_id", F.explode(textfn.pages(sizes, 2000)).alias("page"))
     return pages.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 def queries():
-    from . import provisions
+    from . import commands, provisions
 
-    return dict(QUERIES) | provisions.queries()
+    return dict(QUERIES) | provisions.queries() | commands.queries()
 
 
 def oracle_sql():
-    from . import provisions
+    from . import commands, provisions
 
-    return dict(ORACLES) | provisions.oracle_sql()
+    return dict(ORACLES) | provisions.oracle_sql() | commands.oracle_sql()

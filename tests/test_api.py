@@ -1,7 +1,10 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from lexforge import cli
+from lexforge.functions import textfn
 from lexforge.plans.api import Corpus
 
 D = datetime.date
@@ -36,3 +39,20 @@ def test_commands(corpus):
     assert [r["by"] for r in corpus.changes("2013-01-01").collect()] == ["FEK-A-2-2016:4.1"]
     assert [tuple(r) for r in corpus.trace("code:224.3.β").collect()] == [("code:224.3", "nok:27.5")]
     assert {(r["article"], r["heading"]) for r in corpus.toc("nok").collect()} >= {("27", "Α"), ("270", "Β")}
+
+
+def test_command_line(corpus, capsys):
+    assert cli.main(["read", "nok:27.5"], corpus) == 0
+    assert capsys.readouterr().out.splitlines()[0] == "Status: amended 1 time(s), latest 2016-01-01."
+    assert cli.main(["read", "nok:27.9"], corpus) == 2 and "there are nok:27.1, nok:27.5" in capsys.readouterr().err
+    assert cli.main(["read", "xyz"], corpus) == 2 and cli.main(["changes", "--since", "2013-13-01"], corpus) == 2
+    capsys.readouterr()
+    assert cli.main(["search", "εξωστ", "--limit", "1"], corpus) == 0
+    assert capsys.readouterr().out.splitlines()[-1] == "1 more articles match"
+    for args in (["info"], ["history", "nok:27", "--as-of", "2015-01-01"], ["changes"], ["trace", "code:224.3.b"], ["toc", "nok"]):
+        assert cli.main(args, corpus) == 0 and capsys.readouterr().out
+
+
+def test_pages_by_size(spark):
+    sizes = spark.createDataFrame([([5, 5, 5, 20, 1],)], "s array<bigint>")
+    assert sizes.select(textfn.pages(F.col("s"), 10).alias("p")).first()["p"] == [1, 1, 2, 3, 4]
