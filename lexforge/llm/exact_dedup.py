@@ -57,7 +57,8 @@ def dedup(docs: DataFrame, index: DigestIndex, text: str = "text", id_col: str =
     """
     batch = uuid.uuid4().hex
     rows = materialize(docs.sparkSession, digests(docs, text, id_col), "digest-rows")  # each text is hashed once
-    groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n_rows"))
+    # Written, as the optimizer would else push the anti-join below the sums and shuffle every row of a hot digest.
+    groups = materialize(docs.sparkSession, rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n_rows")), "digest-groups")
     new = groups.join(index.read().select(F.col("digest").alias("_seen")).hint("merge"), F.col("digest") == F.col("_seen"), "left_anti")
     index.append(new.withColumn("batch", F.lit(batch)))
     known = index.read()
