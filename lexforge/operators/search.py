@@ -51,3 +51,14 @@ def top_articles(hits: DataFrame, article: str, position: str, tier: Column, lim
     first = best.orderBy("tier", F.col("best").desc(), article).limit(limit)
     rows = first.select(article, F.posexplode("top").alias("rnk", "x"))
     return rows.select(article, (F.col("rnk") + 1).cast("long").alias("rnk"), F.col("x.p").alias(position), (-F.col("x.s")).alias("score"))
+
+
+def listing(hits: DataFrame, article: str, tier: Column, limit: int, more: int = 20) -> DataFrame:
+    """The first `limit` articles and the next `more`: place, whether shown, how many articles match at all, and a limit
+    that would show three times as many. Only limit + more rows are numbered."""
+    best = hits.groupBy(article).agg(F.min(tier).alias("tier"), F.max("score").alias("best"))
+    first = best.orderBy("tier", F.col("best").desc(), article).limit(limit + more)
+    found = best.agg(F.count(F.lit(1)).alias("found"))
+    place = F.row_number().over(Window.orderBy("tier", F.col("best").desc(), article)).cast("long")
+    rows = first.withColumn("place", place).join(F.broadcast(found))
+    return rows.withColumn("shown", F.col("place") <= limit).withColumn("suggested", F.least("found", F.lit(3 * limit)))

@@ -509,12 +509,12 @@ def pagination(spark, d):
 
 
 def queries():
-    from . import commands, provisions
+    from . import commands, documents, provisions
 
-    return dict(QUERIES) | provisions.queries() | commands.queries()
+    return dict(QUERIES) | provisions.queries() | commands.queries() | documents.queries()
 
 
 def oracle_sql():
-    from . import commands, provisions
+    from . import commands, documents, provisions
 
-    return dict(ORACLES) | provisions.oracle_sql() | commands.oracle_sql()
+    return dict(ORACLES) | provisions.oracle_sql() | commands.oracle_sql() | documents.oracle_sql()
