@@ -57,3 +57,38 @@ def misprint(gid: Column, text: Column) -> Column:
     shown = F.regexp_extract(F.ltrim(F.regexp_replace(text, "^«+", "")), r"^(\d+(?:\.\d+)+)\.?(?=\s|$)", 1)
     wrong = gid.contains("~") & ~local.contains("#") & (shown != "") & local.contains(".") & ~F.element_at(F.split(local, "@"), 1).endswith(shown)
     return F.when(wrong, shown)
+
+
+def rows_by_anchor(items: DataFrame, page: list[str], y: str, order: str, slack: float = 1.5, out: str = "row") -> DataFrame:
+    """(page, order, row): items of a page from top to bottom; one starts a row where it lies more than `slack` below the
+    first item of the row before. A page's items meet in one array, which a printed page bounds."""
+    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(-1).alias("row"), F.array().cast(f"array<struct<id: {items.schema[order].dataType.simpleString()}, row: int>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        same = F.coalesce(x["y"] - s["y"] <= slack, F.lit(False))
+        row = F.when(same, s["row"]).otherwise(s["row"] + 1)
+        return F.struct(F.when(same, s["y"]).otherwise(x["y"]).alias("y"), row.alias("row"), F.array_append(s["out"], F.struct(x["id"].alias("id"), row.alias("row"))).alias("out"))
+
+    pages = items.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(F.col(y).cast("double").alias("y"), F.col(order).alias("id")))).alias("_items"))
+    return pages.select(*page, F.explode(F.aggregate("_items", start, step)["out"]).alias("_x")).select(*page, F.col("_x.id").alias(order), F.col("_x.row").alias(out))
+
+
+def merged_fragments(rows: DataFrame, line: list[str], x0: str, x1: str, gap: float = 10) -> DataFrame:
+    """Fragments of a row as lines: line keys, first and last edge, how many; a gap over `gap` after all before it parts two."""
+    before = Window.partitionBy(*line).orderBy(x0, x1).rowsBetween(Window.unboundedPreceding, -1)
+    started = rows.withColumn("_reach", F.max(x1).over(before)).withColumn("_new", F.coalesce(F.col(x0) - F.col("_reach") > gap, F.lit(True)).cast("int"))
+    numbered = started.withColumn("_run", F.sum("_new").over(Window.partitionBy(*line).orderBy(x0, x1).rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*line, "_run").agg(F.min(x0).alias(x0), F.max(x1).alias(x1), F.count(F.lit(1)).alias("n")).drop("_run")
+
+
+def without_noise_layer(words: DataFrame, page: list[str], height: str, noise: Column, least: int = 20, share: float = 0.5) -> DataFrame:
+    """words less those of a page's noise layer: heights at which at least `least` words, and `share` of them, are noise."""
+    layer = words.groupBy(*page, height).agg(F.count_if(noise).alias("_n"), F.count(F.lit(1)).alias("_all")).filter((F.col("_n") >= least) & (F.col("_n") >= share * F.col("_all"))).select(*page, height)
+    return words.join(layer, [*page, height], "left_anti")
+
+
+def image_notes(pages: DataFrame, images: DataFrame, item: list[str], page: str) -> DataFrame:
+    """item and what its text lacks: `all` where all of its pages are images, `part` where some are; others have no row."""
+    hit = pages.select(*item, page).distinct().join(images.select(*item, page).distinct().withColumn("_image", F.lit(1)), [*item, page], "left")
+    n = hit.groupBy(*item).agg(F.count(F.lit(1)).alias("_n"), F.count("_image").alias("_i")).filter("_i > 0")
+    return n.select(*item, F.when(F.col("_i") == F.col("_n"), "all").otherwise("part").alias("lacks"))

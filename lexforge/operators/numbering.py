@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.greek import NUMERALS
 
-ARABIC = re.compile(r"^(\d+)\.(?!\d)\s*")
+ARABIC = re.compile(r"^(\d+[Α-Ω]?)(?:\.(?!\d)|\))\s*")
 CLAUSE = re.compile(r"^([α-ω]+)\)\s*")
 DECIMAL = re.compile(r"^(\d+(?:\.\d+)+)\.?(?=\s|$)\s*")
 
@@ -17,7 +17,7 @@ DECIMAL = re.compile(r"^(\d+(?:\.\d+)+)\.?(?=\s|$)\s*")
 def paragraph_ids(article: str, texts: list[str], decimal: str | None = None) -> list[str]:
     """Ids for the texts of an article in order.
 
-    `n.` opens a paragraph; `α)` a clause of it, and with the open clause's label before it a sub-clause. A text without
+    `n.` or `n)` opens a paragraph, a capital after the number an added one; `α)` a clause of it, and with the open clause's label before it a sub-clause. A text without
     a number is the k-th of the paragraph (`#k`); an id that comes again gets `@k`. With `decimal`, numbers that begin
     with it are whole paths, if they go on from the last one.
     """

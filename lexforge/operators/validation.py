@@ -51,6 +51,14 @@ def margins(lines: DataFrame, page: list[str], left: str, right: str, least: int
     return both.select(*page, F.when(few, F.col("_ul")).otherwise(F.col("_l")).alias(left), F.when(few, F.col("_ur")).otherwise(F.col("_r")).alias(right))
 
 
+def coverage(expected: DataFrame, got: DataFrame, key: str, word: str, share: float = 0.01, least: int = 5) -> DataFrame:
+    """Keys whose text lacks more than `share` of the expected words, and more than `least`: (key, missing). Bags of words, so
+    a word that stands too seldom counts as often as it is missing."""
+    want, have = (x.groupBy(key, word).agg(F.count(F.lit(1)).alias(n)) for x, n in ((expected, "_want"), (got, "_have")))
+    both = want.join(have, [key, word], "left").groupBy(key).agg(F.sum("_want").alias("_all"), F.sum(F.greatest(F.col("_want") - F.coalesce("_have", F.lit(0)), F.lit(0))).alias("missing"))
+    return both.filter((F.col("missing") > least) & (F.col("missing") > share * F.col("_all"))).select(key, "missing")
+
+
 def report(*checks: DataFrame) -> DataFrame:
     """(severity, rule, n) over all checks; a rule without a row has none."""
     return reduce(lambda a, b: a.unionByName(b), checks).groupBy("severity", "rule").agg(F.count(F.lit(1)).alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import assemble, layout, search
+from ..operators import assemble, layout, search, validation
 from ..session import table
 from ..sources import listing
 from .catalog import FOLD_SQL, PARAS_SQL, paras
@@ -134,6 +134,45 @@ def search_remainder(spark, d):
     return search.listing(hits, "doc_id", F.lit(0), 8).select("doc_id", "place", "shown", "found", "suggested")
 
 
+_ANCHOR = """WITH RECURSIVE n AS (SELECT user_id, ts::DATE AS day, event_id, value, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY value, event_id) AS rn FROM events),
+r AS (SELECT user_id, day, event_id, rn, value AS anchor, 0 AS row_no FROM n WHERE rn = 1 UNION ALL SELECT n.user_id, n.day, n.event_id, n.rn, CASE WHEN n.value - anchor <= 20 THEN anchor ELSE n.value END, CASE WHEN n.value - anchor <= 20 THEN row_no ELSE row_no + 1 END FROM r JOIN n ON n.user_id = r.user_id AND n.day = r.day AND n.rn = r.rn + 1)"""
+
+
+def _rows(spark, d):
+    ev = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", "value")
+    return ev, layout.rows_by_anchor(ev, ["user_id", "day"], "value", "event_id", 20, "row_no")
+
+
+@query(f"{_ANCHOR} SELECT user_id, day, event_id, row_no FROM r")
+def anchored_rows(spark, d):
+    """Events of a user's day as a page's fragments, their value as height."""
+    return _rows(spark, d)[1]
+
+
+@query(f"""{_ANCHOR}, f AS (SELECT user_id, day, row_no, event_id % 500 AS x0, event_id % 500 + 30 AS x1 FROM r), g AS (SELECT *, max(x1) OVER (PARTITION BY user_id, day, row_no ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f),
+k AS (SELECT *, sum(CASE WHEN reach IS NULL OR x0 - reach > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, day, row_no ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT user_id, day, row_no, min(x0) AS x0, max(x1) AS x1, count(*)::BIGINT AS n FROM k GROUP BY user_id, day, row_no, run""")
+def merged_fragments(spark, d):
+    rows = _rows(spark, d)[1].select("user_id", "day", "row_no", (F.col("event_id") % 500).alias("x0"), (F.col("event_id") % 500 + 30).alias("x1"))
+    return layout.merged_fragments(rows, ["user_id", "day", "row_no"], "x0", "x1")
+
+
+@query("WITH h AS (SELECT user_id, event_type, count(*) FILTER (value > 100) AS n, count(*) AS c FROM events GROUP BY ALL) SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.user_id = e.user_id AND h.event_type = e.event_type AND n >= 5 AND n >= 0.5 * c)")
+def clean_layers(spark, d):
+    return layout.without_noise_layer(table(spark, d, "events"), ["user_id"], "event_type", F.col("value") > 100, 5).select("event_id")
+
+
+@query("WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), i AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'), n AS (SELECT p.l_orderkey, count(*) AS c, count(i.l_orderkey) AS k FROM p LEFT JOIN i USING (l_orderkey, l_linenumber) GROUP BY ALL) SELECT l_orderkey, CASE WHEN c = k THEN 'all' ELSE 'part' END AS lacks FROM n WHERE k > 0")
+def image_notes(spark, d):
+    li = table(spark, d, "lineitem")
+    return layout.image_notes(li, li.filter("l_returnflag = 'R'"), ["l_orderkey"], "l_linenumber")
+
+
+@query("WITH w AS (SELECT l_suppkey AS k, l_linenumber AS word, count(*) AS n FROM lineitem GROUP BY ALL), g AS (SELECT l_suppkey AS k, l_linenumber AS word, count(*) AS n FROM lineitem WHERE l_quantity > 3 GROUP BY ALL), b AS (SELECT w.k, sum(w.n) AS total, sum(greatest(w.n - coalesce(g.n, 0), 0))::BIGINT AS missing FROM w LEFT JOIN g USING (k, word) GROUP BY w.k) SELECT k, missing FROM b WHERE missing > 5 AND missing > 0.01 * total")
+def coverage(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_linenumber").alias("word"), "l_quantity")
+    return validation.coverage(li, li.filter("l_quantity > 3"), "k", "word")
+
+
 def queries():
     return dict(QUERIES)
 

@@ -98,6 +98,7 @@ def test_commencement(spark, text, paragraphs, rule, day):
 NUMBERED = [
     ("206", None, ["6. Όροι:", "ιε) ένα", "ιστ) δύο:", "ιστα) τρία", "ιστβ) τέσσερα", "ιζ) πέντε"], ["206.6", "206.6.ιε", "206.6.ιστ", "206.6.ιστ.α", "206.6.ιστ.β", "206.6.ιζ"]),
     ("207", None, ["6. Όροι", "ιβ) ιβα) ένα", "ιββ) δύο"], ["207.6", "207.6.ιβ.α", "207.6.ιβ.β"]),
+    ("8", None, ["1) ένα", "2) δύο", "2Α. τρία", "1.5 μέτρα"], ["8.1", "8.2", "8.2Α", "8.2Α#1"]),
     ("5", None, ["1. Κείμενο", "και) δεν είναι αρίθμηση"], ["5.1", "5.1#1"]),
     ("7", None, ["3. Όροι:", "α) ένα.", "β) δύο.", "κείμενο", "κείμενο"], ["7.3", "7.3.α", "7.3.β", "7.3#1", "7.3#2"]),
     ("1", None, ["Σκοπός:", "α) ένα.", "β) δύο.", "Οι όροι:", "α) ένα.", "β) δύο."], ["1#1", "1.α", "1.β", "1#2", "1.α@2", "1.β@2"]),
