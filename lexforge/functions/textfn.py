@@ -45,6 +45,12 @@ def bag(rows: DataFrame, *keys: str, text: str = "txt", pattern: str = "[a-z]{2,
     return found.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def lacking(expected: DataFrame, got: DataFrame) -> DataFrame:
+    """word and how many of its n in one bag the other lacks."""
+    have = got.select("word", F.col("n").alias("_have"))
+    return expected.join(have, "word", "left").select("word", F.greatest(F.col("n") - F.coalesce("_have", F.lit(0)), F.lit(0)).alias("missing"))
+
+
 def natural_key(x: Column) -> Column:
     """Sort key of an id: runs of digits as numbers before other runs as text."""
     parts = F.regexp_extract_all(x, F.lit(r"(\d+|[^\d]+)"), 1)

@@ -124,3 +124,21 @@ def by_label(labels: DataFrame, cells: DataFrame, page: str, y: str, slack: floa
     w = Window.partitionBy(page).orderBy("_y", "_cell", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = both.withColumn("label", F.last("label", True).over(w)).filter("_cell = 1 AND label IS NOT NULL")
     return rows.groupBy(page, "label").agg(F.array_sort(F.collect_list(F.struct("_y", "text"))).alias("c")).select(page, "label", F.array_join("c.text", " | ").alias("cells"))
+
+
+def divide(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """The keys that have every value there is: relational division by counts of distinct pairs."""
+    need = rows.select(value).distinct().agg(F.count(F.lit(1)).alias("_need"))
+    have = rows.select(key, value).distinct().groupBy(key).agg(F.count(F.lit(1)).alias("_have"))
+    return have.join(F.broadcast(need), F.col("_have") == F.col("_need")).select(key)
+
+
+def route(rows: DataFrame, keys: list[str], rules: dict[str, Column], out: str) -> DataFrame:
+    """A row for each rule that holds; a row may go to several."""
+    names = F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items())))
+    return rows.select(*keys, F.explode(names).alias(out))
+
+
+def in_force(published: Column, months: int = 3) -> Column:
+    """The day on which a decree starts, so many months after its release."""
+    return F.add_months(published, months)

@@ -40,6 +40,17 @@ def next_value(rows: DataFrame, keys: list[str], order: list, value: Column, out
     return rows.withColumn(out, F.first(value, ignorenulls=True).over(w))
 
 
+def last_page(rows: DataFrame, keys: list[str], page: str, out: str) -> DataFrame:
+    """out: where an item ends, the page on which the next one begins; the last ends on its own."""
+    return rows.withColumn(out, F.coalesce(F.lead(page).over(Window.partitionBy(*keys).orderBy(page)), page))
+
+
+def jumps(rows: DataFrame, keys: list[str], order: list, number: str, out: str) -> DataFrame:
+    """Rows whose number is neither that of the row before them nor one more, with that number as `out`."""
+    before = F.lag(number).over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn(out, before).filter(~(F.col(number) - F.col(out)).isin(0, 1))
+
+
 def fill_gaps(rows: DataFrame, key: str, number: str) -> DataFrame:
     """key, number, missing: every number from a key's least to its greatest."""
     span = rows.groupBy(key).agg(F.min(number).alias("_lo"), F.max(number).alias("_hi"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, textfn
-from ..operators import ledger, search, sequences
+from ..operators import ledger, provisions, search, sequences
 from ..streaming import discovery
 from ..session import table
 
@@ -123,8 +123,8 @@ def search_snippet(spark, d):
 @query(f"""SELECT doc_id, len(regexp_extract_all(text, '{LICENCE}'))::BIGINT AS n_licence, len(regexp_extract_all(text, '{EMAIL}'))::BIGINT AS n_email, len(regexp_extract_all(text, '[0-9]+'))::BIGINT AS n_numbers,
 regexp_matches(text, '{LICENCE}') AND NOT regexp_matches(text, '{EMAIL}') AS review FROM documents""")
 def needle_counts(spark, d):
-    n = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
-    return table(spark, d, "documents").select("doc_id", n(LICENCE).alias("n_licence"), n(EMAIL).alias("n_email"), n("[0-9]+").alias("n_numbers"), ((n(LICENCE) > 0) & (n(EMAIL) == 0)).alias("review"))
+    counts = discovery.needle_counts(table(spark, d, "documents").select("doc_id", "text"), {"n_licence": LICENCE, "n_email": EMAIL, "n_numbers": "[0-9]+"})
+    return counts.withColumn("review", (F.col("n_licence") > 0) & (F.col("n_email") == 0))
 
 
 @query(f"""WITH n AS (SELECT doc_id, regexp_matches(text, '{LICENCE}') AS lic, regexp_matches(text, '{EMAIL}') AS mail, contains(text, '|') AS tab FROM documents)
@@ -132,8 +132,7 @@ SELECT doc_id, 'licence' AS dataset FROM n WHERE lic UNION ALL SELECT doc_id, 'c
 def issue_routing(spark, d):
     """A document may go to several datasets."""
     t = F.col("text")
-    names = F.array_compact(F.array(F.when(t.rlike(LICENCE), "licence"), F.when(t.rlike(EMAIL), "contact"), F.when(t.contains("|"), "table")))
-    return table(spark, d, "documents").select("doc_id", F.explode(names).alias("dataset"))
+    return provisions.route(table(spark, d, "documents"), ["doc_id"], {"licence": t.rlike(LICENCE), "contact": t.rlike(EMAIL), "table": t.contains("|")}, "dataset")
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
@@ -197,10 +196,8 @@ SELECT w.l_orderkey, w.n::BIGINT AS wanted, CASE WHEN c.l_orderkey IS NULL THEN
 def longest_prefix_resolve(spark, d):
     """The deepest existing id on the way to a cited one: candidate prefixes, semi-join, longest."""
     have = line_ids(spark, d).select("l_orderkey", "l_linenumber", "gid").distinct()
-    cited = have.select("l_orderkey", (F.col("l_linenumber") + 1).cast("long").alias("wanted"))
-    cand = cited.withColumn("cand", F.explode(ids.ancestors(F.concat(F.lit("o:"), "l_orderkey", F.lit("."), "wanted"))))
-    known = have.select(F.explode(ids.ancestors(F.col("gid"))).alias("cand")).distinct()
-    return cand.join(known, "cand", "left_semi").groupBy("l_orderkey", "wanted").agg(F.max_by("cand", F.length("cand")).alias("resolved"))
+    cited = have.select("l_orderkey", (F.col("l_linenumber") + 1).cast("long").alias("wanted")).withColumn("cited", F.concat(F.lit("o:"), "l_orderkey", F.lit("."), "wanted"))
+    return ids.longest_prefix(cited, have, ["l_orderkey", "wanted"], "cited", "gid", "resolved")
 
 
 # Ledger
@@ -251,7 +248,7 @@ def governing_commencement(spark, d):
 @query("""SELECT event_id, (ts::DATE + (json_extract(props, '$.k')::INTEGER % 30))::DATE AS from_date, (ts::DATE + INTERVAL 3 MONTH)::DATE AS in_force FROM events WHERE event_type = 'signup'""")
 def start_dates(spark, d):
     day = F.to_date("ts")
-    return table(spark, d, "events").filter("event_type = 'signup'").select("event_id", F.date_add(day, (F.get_json_object("props", "$.k").cast("int") % 30)).alias("from_date"), F.add_months(day, 3).alias("in_force"))
+    return table(spark, d, "events").filter("event_type = 'signup'").select("event_id", F.date_add(day, (F.get_json_object("props", "$.k").cast("int") % 30)).alias("from_date"), provisions.in_force(day).alias("in_force"))
 
 
 # Graph and completeness
@@ -282,10 +279,7 @@ def mention_join(spark, d):
 @query("""SELECT l_suppkey FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY l_suppkey HAVING count(DISTINCT l_returnflag || l_linestatus) = (SELECT count(DISTINCT l_returnflag || l_linestatus) FROM lineitem)""")
 def chapter_division(spark, d):
     """Relational division: suppliers that have every (flag, status) there is."""
-    li = table(spark, d, "lineitem").withColumn("k", F.concat("l_returnflag", "l_linestatus"))
-    need = li.agg(F.countDistinct("k").alias("need"))
-    have = li.select("l_suppkey", "k").distinct().groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("have"))
-    return have.join(F.broadcast(need), F.col("have") == F.col("need")).select("l_suppkey")
+    return provisions.divide(table(spark, d, "lineitem").withColumn("k", F.concat("l_returnflag", "l_linestatus")), "l_suppkey", "k")
 
 
 @query("""SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 20""")
@@ -322,7 +316,7 @@ def integrity_violations(spark, d):
 SELECT word, greatest(e.n - coalesce(g.n, 0), 0)::BIGINT AS missing FROM e LEFT JOIN g USING (word)""")
 def word_bag_diff(spark, d):
     e, g = (textfn.bag(table(spark, d, t).withColumnRenamed("text", "txt")) for t in ("benchmark", "conversations"))
-    return e.join(g.withColumnRenamed("n", "m"), "word", "left").select("word", F.greatest(F.col("n") - F.coalesce("m", F.lit(0)), F.lit(0)).alias("missing"))
+    return textfn.lacking(e, g)
 
 
 @query("""SELECT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS word FROM benchmark) EXCEPT SELECT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS word FROM documents)""")
@@ -363,8 +357,7 @@ _FULL = "l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice"
 
 @query(f"""SELECT l_orderkey, l_linenumber, prev FROM (SELECT l_orderkey, l_linenumber, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY {_FULL}) AS prev FROM lineitem) WHERE l_linenumber - prev NOT IN (0, 1)""")
 def sequence_gaps(spark, d):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", *KEY)
-    return table(spark, d, "lineitem").withColumn("prev", F.lag("l_linenumber").over(w)).filter("l_linenumber - prev NOT IN (0, 1)").select("l_orderkey", "l_linenumber", "prev")
+    return sequences.jumps(table(spark, d, "lineitem"), ["l_orderkey"], ["l_linenumber", *KEY], "l_linenumber", "prev").select("l_orderkey", "l_linenumber", "prev")
 
 
 @query("""SELECT user_id, event_id, prev FROM (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) WHERE value < prev""")
@@ -396,8 +389,7 @@ def gap_fill(spark, d):
 
 @query("""SELECT conv_id, turn, lead(turn, 1, turn) OVER (PARTITION BY conv_id ORDER BY turn) AS last_page FROM (SELECT DISTINCT conv_id, turn FROM conversations)""")
 def page_range(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn").distinct()
-    return rows.withColumn("last_page", F.coalesce(F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")), "turn"))
+    return sequences.last_page(table(spark, d, "conversations").select("conv_id", "turn").distinct(), ["conv_id"], "turn", "last_page")
 
 
 @query("""SELECT user_id, island, count(*)::BIGINT AS n FROM (SELECT user_id, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 12 HOUR THEN 1 ELSE 0 END AS b FROM events)) GROUP BY ALL""")
@@ -509,12 +501,14 @@ def pagination(spark, d):
 
 
 def queries():
-    from . import commands, documents, provisions
+    from . import commands, documents
+    from . import provisions as more
 
-    return dict(QUERIES) | provisions.queries() | commands.queries() | documents.queries()
+    return dict(QUERIES) | more.queries() | commands.queries() | documents.queries()
 
 
 def oracle_sql():
-    from . import commands, documents, provisions
+    from . import commands, documents
+    from . import provisions as more
 
-    return dict(ORACLES) | provisions.oracle_sql() | commands.oracle_sql() | documents.oracle_sql()
+    return dict(ORACLES) | more.oracle_sql() | commands.oracle_sql() | documents.oracle_sql()

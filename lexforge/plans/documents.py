@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assemble, layout, search, validation
 from ..session import table
-from ..sources import listing
+from ..sources import issues, listing
 from .catalog import FOLD_SQL, PARAS_SQL, paras
 from .commands import PARAS, corpus
 
@@ -63,6 +63,13 @@ def inline_clauses(spark, d):
     return table(spark, d, "part").select(k.alias("k"), F.array_join(layout.split_clauses(text), "|").alias("clauses"))
 
 
+@query("SELECT file, act, article, arg_min(l_partkey, (l_shipdate, l_partkey, l_suppkey, l_extendedprice)) AS l_partkey FROM (SELECT 'F' || (l_orderkey % 100) AS file, l_orderkey AS act, l_linenumber AS article, * FROM lineitem) GROUP BY ALL")
+def merged_articles(spark, d):
+    """Copies of an issue's articles: the first copy of each (file, act, article) stays."""
+    rows = table(spark, d, "lineitem").select(F.concat(F.lit("F"), F.col("l_orderkey") % 100).alias("file"), F.col("l_orderkey").alias("act"), F.col("l_linenumber").alias("article"), "l_partkey", F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice").alias("rank"))
+    return issues.merge_copies(rows, "rank").select("file", "act", "article", "l_partkey")
+
+
 @query("SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN '6.' || p_size END AS shown FROM part")
 def misprints(spark, d):
     """Quoted paragraphs: one printed with another number, one with its own, one unnumbered."""
