@@ -42,12 +42,11 @@ def remove(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables written on the way to a result, in one folder that goes when the block ends. `keep` writes the result.
 
-    Inside the block, Arrow batches hold at most BATCH rows, so that a Python stage's memory doesn't follow the length of
-    10,000 texts.
+    Inside the block, Arrow batches hold at most 2,000 rows, so that a Python stage's memory doesn't follow the length of
+    10,000 texts; and a write's shuffle files go when it has ended, as its table is what later steps read.
     """
 
-    BATCH = 2000
-    SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -62,13 +61,14 @@ class Scratch:
         return materialize(self.spark, df, name)
 
     def __enter__(self) -> Scratch:
-        self.before = self.spark.conf.get(self.SETTING)
-        if not 0 < int(self.before) <= self.BATCH:
-            self.spark.conf.set(self.SETTING, str(self.BATCH))
+        self.before = {k: self.spark.conf.get(k, None) for k in self.SETTINGS}
+        for k, v in self.SETTINGS.items():
+            self.spark.conf.set(k, v)
         return self
 
     def __exit__(self, *error) -> None:
-        self.spark.conf.set(self.SETTING, self.before)
+        for k, v in self.before.items():
+            self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         remove(self.spark, self.path)
 
 
