@@ -143,7 +143,7 @@ class Lookup:
     """Values of distinct non-negative 64-bit keys, by open addressing; faster than a binary search where keys are many."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.bits = max(4, int(1.4 * len(keys)).bit_length())
         size = 1 << self.bits
         self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size, values.dtype)
         at = self._slot(keys)

@@ -40,8 +40,8 @@ END = 10
 #: Word hashes keep 63 bits.
 NON_NEGATIVE = (1 << 63) - 1
 #: A part ends at so many distinct byte strings or so many bytes; a chunk stays whole.
-PART_GRAMS = 1_000_000
-PART_BYTES = 24 << 20
+PART_GRAMS = 2_000_000
+PART_BYTES = 32 << 20
 PARTS_DDL = "kind int, part long, bucket int, key long, n long, a binary, b binary"
 PARTS = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("bucket", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
