@@ -42,3 +42,13 @@ def reconcile(found: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame
     a, b = found.select(*keys, F.lit(True).alias("_a")), listed.select(*keys, F.lit(True).alias("_b"))
     both = F.coalesce("_a", F.lit(False)) & F.coalesce("_b", F.lit(False))
     return a.join(b, keys, "full_outer").select(*keys, F.when(both, "confirmed").when(F.col("_a"), "unchecked").otherwise("listed").alias("status"))
+
+
+def reconcile_reasons(found: DataFrame, listed: DataFrame, keys: list[str], reasons: dict[str, Column], otherwise: str) -> DataFrame:
+    """Full outer join of found and listed pointers (distinct in keys): `confirmed` on both sides, `listed` on the second alone;
+    on the first alone the first reason that holds, in the order given, else `otherwise`."""
+    both = found.withColumn("_found", F.lit(True)).join(listed.select(*keys, F.lit(True).alias("_listed")), keys, "full_outer")
+    status = F.when(F.col("_found") & F.col("_listed"), "confirmed").when(F.col("_found").isNull(), "listed")
+    for name, holds in reasons.items():
+        status = status.when(holds, name)
+    return both.select(*keys, status.otherwise(otherwise).alias("status"))

@@ -142,3 +142,10 @@ def route(rows: DataFrame, keys: list[str], rules: dict[str, Column], out: str)
 def in_force(published: Column, months: int = 3) -> Column:
     """The day on which a decree starts, so many months after its release."""
     return F.add_months(published, months)
+
+
+def crosswalk(rows: DataFrame, order: list[str], sources: str, place: str) -> DataFrame:
+    """The different (source, place) links of rows with an array of sources, with the place in the order at which each stands
+    first; a row names its first source only where `sources` repeats."""
+    links = rows.select(F.struct(*order).alias("_at"), F.explode(F.array_distinct(sources)).alias("source"), F.col(place).alias("place"))
+    return links.groupBy("source", "place").agg(F.min("_at").alias("first_at"))

@@ -62,3 +62,15 @@ def listing(hits: DataFrame, article: str, tier: Column, limit: int, more: int =
     place = F.row_number().over(Window.orderBy("tier", F.col("best").desc(), article)).cast("long")
     rows = first.withColumn("place", place).join(F.broadcast(found))
     return rows.withColumn("shown", F.col("place") <= limit).withColumn("suggested", F.least("found", F.lit(3 * limit)))
+
+
+def alternatives(terms: DataFrame, term: str, groups: DataFrame, least: int = 4) -> DataFrame:
+    """(term, stem): a term and the members of each synonym group (group, stem) that it belongs to: it starts with a member of
+    one word, or, with `least` letters or more, a member starts with it. Members meet terms by their prefixes, exploded,
+    so no pair of all terms and members is made."""
+    words = groups.filter(~F.col("stem").contains(" "))
+    heads = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.substring(c, 1, n)))
+    one = terms.select(F.col(term).alias("term")).filter(F.length(term) > 0).distinct()
+    longer = one.select("term", heads(F.col("term")).alias("stem")).join(words, "stem").select("term", "group")
+    shorter = words.filter(F.length("stem") > 0).select("group", heads(F.col("stem")).alias("term")).join(one.filter(F.length("term") >= least), "term").select("term", "group")
+    return longer.unionByName(shorter).distinct().join(groups, "group").select("term", "stem").unionByName(one.select("term", F.col("term").alias("stem"))).distinct()

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import assemble, layout, search, validation
+from ..operators import assemble, layout, ledger, provisions, search, validation
 from ..session import table
 from ..sources import issues, listing
+from ..streaming import discovery
 from .catalog import FOLD_SQL, PARAS_SQL, paras
 from .commands import PARAS, corpus
 
@@ -180,6 +181,41 @@ def coverage(spark, d):
     return validation.coverage(li, li.filter("l_quantity > 3"), "k", "word")
 
 
+@query("""WITH f AS (SELECT DISTINCT user_id, ts::DATE AS d FROM events WHERE event_type <> 'signup'), k AS (SELECT user_id, ts::DATE AS d, bool_or(event_type = 'purchase') AS p, bool_or(event_type = 'error') AS e FROM events WHERE event_type <> 'signup' GROUP BY ALL), l AS (SELECT DISTINCT user_id, ts::DATE AS d FROM events WHERE event_type = 'signup')
+SELECT coalesce(k.user_id, l.user_id) AS user_id, coalesce(k.d, l.d) AS d, CASE WHEN k.d IS NOT NULL AND l.d IS NOT NULL THEN 'confirmed' WHEN k.d IS NULL THEN 'listed' WHEN p THEN 'unchecked' WHEN e THEN 'repeal' ELSE 'matcher' END AS status FROM k FULL OUTER JOIN l ON k.user_id = l.user_id AND k.d = l.d""")
+def reconcile_reasons(spark, d):
+    ev = table(spark, d, "events").select("user_id", F.to_date("ts").alias("d"), "event_type")
+    is_any = lambda t: F.bool_or(F.col("event_type") == t)
+    found = ev.filter("event_type <> 'signup'").groupBy("user_id", "d").agg(is_any("purchase").alias("p"), is_any("error").alias("e"))
+    listed = ev.filter("event_type = 'signup'").select("user_id", "d").distinct()
+    return ledger.reconcile_reasons(found, listed, ["user_id", "d"], {"unchecked": F.col("p"), "repeal": F.col("e")}, "matcher")
+
+
+@query("""WITH r AS (SELECT l_orderkey, unnest(list_distinct(['s' || l_suppkey, 's' || (l_partkey % 50)])) AS source, 'p' || (l_partkey % 100) AS place FROM lineitem) SELECT source, place, min(l_orderkey) AS at_order FROM r GROUP BY ALL""")
+def crosswalk_links(spark, d):
+    s = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array(s(F.col("l_suppkey")), s(F.col("l_partkey") % 50)).alias("sources"), F.concat(F.lit("p"), F.col("l_partkey") % 100).alias("place"))
+    return provisions.crosswalk(rows, ["l_orderkey", "l_linenumber"], "sources", "place").select("source", "place", F.col("first_at.l_orderkey").alias("at_order"))
+
+
+@query("""WITH t AS (SELECT DISTINCT lower(substr(p_name, 1, 3 + p_size % 6)) AS term FROM part WHERE length(p_name) > 0), g AS (SELECT DISTINCT p_brand AS grp, lower(split_part(p_name, ' ', 1 + p_partkey % 2)) AS stem FROM part), hit AS (SELECT DISTINCT t.term, g.grp FROM t JOIN g ON g.stem <> '' AND g.stem NOT LIKE '% %' AND (starts_with(t.term, g.stem) OR (length(t.term) >= 4 AND starts_with(g.stem, t.term))))
+SELECT DISTINCT term, stem FROM hit JOIN g USING (grp) UNION SELECT term, term FROM t""")
+def search_alternatives(spark, d):
+    """Beginnings of names as terms, the words of a brand's names as a synonym group."""
+    p = table(spark, d, "part")
+    terms = p.select(F.lower(F.substr("p_name", F.lit(1), 3 + F.col("p_size") % 6)).alias("term"))
+    groups = p.select(F.col("p_brand").alias("group"), F.lower(F.split_part("p_name", F.lit(" "), (1 + F.col("p_partkey") % 2).cast("int"))).alias("stem")).distinct()
+    return search.alternatives(terms, "term", groups)
+
+
+@query("""WITH y AS (SELECT DISTINCT year(o_orderdate)::INTEGER AS year FROM orders), s AS (SELECT year(o_orderdate)::INTEGER AS year, count(*) FILTER (o_totalprice < 1100) AS failures FROM orders GROUP BY ALL) SELECT year FROM y WHERE year NOT IN (SELECT year FROM s WHERE failures = 0 AND year % 2 = 1 AND year < 1998)""")
+def years_to_scan(spark, d):
+    """Odd years were scanned with today's needles, even ones with others; 1998 is this year."""
+    o = table(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
+    state = o.groupBy("year").agg(F.count_if(F.col("o_totalprice") < 1100).alias("failures")).withColumn("needles", F.when(F.col("year") % 2 == 1, F.array(F.lit("b"), F.lit("a"))))
+    return discovery.years_to_scan(o.select("year").distinct(), state, ["a", "b"], 1998)
+
+
 def queries():
     return dict(QUERIES)
 

@@ -30,3 +30,11 @@ def scan_stream(spark: SparkSession, path: str, glob: str, schema, needles: dict
     run = needle_counts(files, needles).writeStream.format("parquet").option("checkpointLocation", f"{state}/checkpoint").option("path", f"{state}/found").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{state}/found")
+
+
+def years_to_scan(years: DataFrame, state: DataFrame, needles: list[str], this_year: int, force: bool = False) -> DataFrame:
+    """The years whose scan isn't settled: not scanned, scanned with failures, with other needles, or not over yet. The state
+    has year, failures and needles (null in old states: no failures, no needles)."""
+    want = F.array_sort(F.array(*(F.lit(n) for n in needles)))
+    settled = state.filter((F.coalesce("failures", F.lit(0)) == 0) & (F.array_sort(F.coalesce("needles", F.array().cast("array<string>"))) == want) & (F.col("year") < this_year)).select("year")
+    return years if force else years.join(settled.distinct(), "year", "left_anti")
