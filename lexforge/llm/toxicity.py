@@ -75,12 +75,14 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 class Counts:
-    """Documents of each class that hold each word and each pair of words; `docs`: (words, pairs) of each document."""
+    """Documents of each class that hold each word and, at order 2, each pair of words; `docs`: (words, pairs) of each."""
 
-    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
+    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, order: int = 2):
         one, two = [], []
         for (w, p), y in zip(docs, labels, strict=True):
             one.append((np.unique(w), y))
+            if order < 2:
+                continue
             key, at = np.unique(p, return_index=True)
             two.append((key, np.where(at > 0, w[at - 1], START), w[at], y))
         cat = lambda rows, i, kind=U64: np.concatenate([np.zeros(0, kind), *(r[i] for r in rows)])
@@ -169,19 +171,21 @@ def fit(texts: list[tuple[str | None, int]], discounts=DISCOUNTS, leasts=LEAST)
     for y in (0, 1):  # halves of each class
         own = np.flatnonzero(labels == y)
         fold[own] = np.arange(len(own)) % 2
+    tried = list(product(discounts, leasts, (1, 2)))
+    x = np.zeros((len(tried), len(docs)))
+    for k in (0, 1):  # one half's counts at a time
+        counts = Counts([docs[i] for i in np.flatnonzero(fold == k)], labels[fold == k])
+        others = np.flatnonzero(fold != k)
+        asked = _joined([docs[i] for i in others])
+        for row, choice in enumerate(tried):
+            x[row, others] = KneserNey(counts, *choice).evidence(*asked)
+        del counts, asked
     found = []
-    halves = [Counts([docs[i] for i in np.flatnonzero(fold == k)], labels[fold == k]) for k in (0, 1)]
-    others = [np.flatnonzero(fold != k) for k in (0, 1)]
-    for discount, least, order in product(discounts, leasts, (1, 2)):
-        x = np.zeros(len(docs))
-        for k in (0, 1):
-            part = KneserNey(halves[k], discount, least, order)
-            x[others[k]] = part.evidence(*_joined([docs[i] for i in others[k]]))
-        slope, constant, loss = fit_curve(x, labels.astype(float))
-        found.append((loss, discount, least, order, slope, constant))
-    del halves
+    for row, choice in enumerate(tried):
+        slope, constant, loss = fit_curve(x[row], labels.astype(float))
+        found.append((loss, *choice, slope, constant))
     _, discount, least, order, slope, constant = min(found)
-    model = KneserNey(Counts(docs, labels), discount, least, order)
+    model = KneserNey(Counts(docs, labels, order), discount, least, order)
     return {"words": model.words, "ratio": model.ratio, "pairs": model.pairs, "pair_ratio": model.pair_ratio, "slope": slope, "constant": constant, "discount": discount, "least": least, "order": order}
 
 
