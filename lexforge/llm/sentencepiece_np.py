@@ -40,9 +40,9 @@ LONG = 48
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Distinct words whose ids a task keeps; beyond that it starts again.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
 #: Characters of words that a Viterbi takes at a time.
-STEP = 400_000
+STEP = 200_000
 
 
 def _fields(buf: bytes):
