@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,6 +13,15 @@ U64 = np.uint64
 CHUNK_BYTES = 1 << 20
 
 
+def return_memory() -> None:
+    """Have the C library hand back freed arrays of 4 MB or more at once, instead of keeping them for later ones; without such
+    a library nothing changes."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 22)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):
+        pass
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     h = h.astype(U64, copy=True)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .bytesnp import Lookup, Words, chunks, distinct, row_sums
+from .bytesnp import Lookup, Words, chunks, distinct, return_memory, row_sums
 from .context_table import SPLIT, Subtrees, bucket, pieces, sum_runs, top
 from .estimates import KT
 from .joins import ref
@@ -40,8 +40,11 @@ END = 10
 #: Word hashes keep 63 bits.
 NON_NEGATIVE = (1 << 63) - 1
 #: A part ends at so many distinct byte strings or so many bytes; a chunk stays whole.
-PART_GRAMS = 2_000_000
+PART_GRAMS = 1_500_000
 PART_BYTES = 32 << 20
+#: New numbers that are held before they are merged into those of a part, and distinct words held at most.
+FRESH = 400_000
+CHUNK = 1 << 19
 PARTS_DDL = "kind int, part long, bucket int, key long, n long, a binary, b binary"
 PARTS = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("bucket", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
@@ -136,11 +139,13 @@ def _count_rows(depth: int):
 
     def run(batches):
         part = TaskContext.get().partitionId() << 24
-        texts, size, runs, counts, held = 0, 0, [], [], [0, 0]
+        return_memory()
+        texts, size, runs, counts, fresh = 0, 0, [], [], [0, 0]
+        merged = lambda x: [sum_runs(*(np.concatenate(y) for y in zip(*x, strict=True)))]
         for b in batches:
             learn = np.asarray(b.column(2).fill_null(False))
             texts += int(learn.sum())
-            for at, data, off in chunks(b.column(1)):
+            for at, data, off in chunks(b.column(1), CHUNK):
                 w = Words(data, off)
                 rows = len(off) - 1
                 taught = learn[at : at + rows]
@@ -154,16 +159,17 @@ def _count_rows(depth: int):
                 names = pickle.dumps((np.asarray(ids.fill_null(0)), np.asarray(ids.is_null()), off))
                 yield batch(1, kind=of_kind(3, 1), part=pa.array([part]), a=pa.array([zlib.compress(data.tobytes(), 1)], pa.binary()), b=pa.array([zlib.compress(names, 1)], pa.binary()))
                 size += len(data)
-                held = [held[0] + len(runs[-2][0]) + len(other), held[1] + len(counts[-1][0])]
-                if held[0] > 2 * PART_GRAMS:
-                    runs = [sum_runs(*(np.concatenate(x) for x in zip(*runs, strict=True)))]
-                    held[0] = len(runs[0][0])
-                if held[0] > PART_GRAMS and len(runs) == 1 or size > PART_BYTES:
-                    yield from grams(runs, part)
-                    part, runs, held[0], size = part + 1, [], 0, 0
-                if held[1] > PART_GRAMS:
-                    yield from words(counts)
-                    counts, held[1] = [], 0
+                fresh = [fresh[0] + len(runs[-2][0]) + len(other), fresh[1] + len(counts[-1][0])]
+                if fresh[0] > FRESH:
+                    runs, fresh[0] = merged(runs), 0
+                    if len(runs[0][0]) > PART_GRAMS or size > PART_BYTES:
+                        yield from grams(runs, part)
+                        part, runs, size = part + 1, [], 0
+                if fresh[1] > FRESH:
+                    counts, fresh[1] = merged(counts), 0
+                    if len(counts[0][0]) > FRESH:
+                        yield from words(counts)
+                        counts = []
         if runs:
             yield from grams(runs, part)
         if counts:
@@ -178,6 +184,7 @@ def _upward(depth: int):
     logs by their parents' nodes (kind 1)."""
 
     def run(t: pa.Table) -> pa.Table:
+        return_memory()
         grams, n = sum_runs(*(np.concatenate(x) for x in zip(*_asked(t["a"], t["b"], depth), strict=True)))
         grams, n, kt = grams[n > 0], n[n > 0], KT()
         found = []
@@ -197,6 +204,7 @@ def _downward(depth: int, shared):
     """(part, bucket, logs) of each part's grams of a bucket: the upper three bytes of rounded 32-bit floats."""
 
     def run(t: pa.Table) -> pa.Table:
+        return_memory()
         upper, kt = pickle.loads(shared.value), KT()
         asked = _asked(t["a"], t["b"], depth)
         grams, n = sum_runs(*(np.concatenate(x) for x in zip(*asked, strict=True)))
@@ -234,12 +242,13 @@ def _score_part(shared, depth: int):
             yield pa.array(ids, mask=null), Words(np.frombuffer(zlib.decompress(a), np.uint8), off)
 
     def run(docs: pa.Table, values: pa.Table) -> pa.Table:
+        return_memory()
         heads = Lookup(*pickle.loads(shared.value))
         # The part's distinct grams, in the order in which it sent them.
         runs: list[np.ndarray] = []
         for _, w in texts(docs):
             runs.append(distinct(grams_of(w, depth)[0]))
-            if len(runs) > 8:
+            if sum(map(len, runs[1:])) > FRESH:
                 runs = [sum_runs(np.concatenate(runs))[0]]
         grams = sum_runs(np.concatenate([np.zeros(0, np.int64), *runs]))[0]
         order, names, _ = by_bucket(grams, depth)
