@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch, shuffle_partitions
-from .bytesnp import U64, _mix, chunks, shingle_sets
+from .bytesnp import U64, _mix, chunks, return_memory, shingle_sets
 from .components import components
 from .joins import skew_left_join, without_ids
 
@@ -118,6 +118,7 @@ def least_reserve(n):
 
 def _digest_rows(width: int):
     def run(batches):
+        return_memory()
         for b in batches:
             for at, data, off in chunks(b.column(1), CHUNK):
                 s, bounds = shingle_sets(data, off, width)
@@ -166,6 +167,7 @@ def _signature_rows(width: int, buckets: int, seed: int):
     """Packed signatures; bucket -1 has the ids of documents with too few segments."""
 
     def run(batches):
+        return_memory()
         edges = band_edges()
         for b in batches:
             for at, data, off in chunks(b.column(1), CHUNK):
@@ -192,6 +194,7 @@ def _single_rows(width: int, buckets: int):
     """Every shingle of a set as a segment of its own."""
 
     def run(batches):
+        return_memory()
         for b in batches:
             for at, data, off in chunks(b.column(1), CHUNK):
                 s, bounds = shingle_sets(data, off, width)
@@ -204,6 +207,7 @@ def _single_rows(width: int, buckets: int):
 
 def _set_rows(width: int):
     def run(batches):
+        return_memory()
         for b in batches:
             for at, data, off in chunks(b.column(1), CHUNK):
                 s, bounds = shingle_sets(data, off, width)
@@ -240,6 +244,7 @@ def _short_pairs(doc: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
 def _meet(batches):
     """Lists of a partition's packed rows: kind 0, pairs of the short ones; kind 1, (signature, document) of the long
     ones; kind 2, documents of bucket -1."""
+    return_memory()
     sigs, docs, held, long = [], [], 0, np.zeros(0, np.int64)
 
     def settle(last: bool):
