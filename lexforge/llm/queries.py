@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import exact_dedup, html_extract, jaccard_join, language_id, lm_scoring, mixing, packing, quality_rules, sentencepiece_np, toxicity
+from . import conversations, exact_dedup, html_extract, jaccard_join, language_id, lm_scoring, mixing, packing, quality_model, quality_rules, sentencepiece_np, toxicity, whitening
 from .text import LOWER, UPPER, fold_of
 
 
@@ -63,8 +63,22 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"), html_extract.train())
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op12_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold_of(F.col("doc_id"), 5) == 0
+    rows = quality_model.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "quality"))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
-    return {"op1_toxicity": op1_toxicity, "op2_jaccard_join": op2_jaccard_join, "op3_mix_sources": op3_mix_sources, "op4_lm_scoring": op4_lm_scoring, "op5_quality_rules": op5_quality_rules, "op6_exact_dedup": op6_exact_dedup, "op7_pack_tokens": op7_pack_tokens, "op8_language_id": op8_language_id, "op9_sentencepiece": op9_sentencepiece, "op10_html_extract": op10_html_extract}
+    return {"op1_toxicity": op1_toxicity, "op2_jaccard_join": op2_jaccard_join, "op3_mix_sources": op3_mix_sources, "op4_lm_scoring": op4_lm_scoring, "op5_quality_rules": op5_quality_rules, "op6_exact_dedup": op6_exact_dedup, "op7_pack_tokens": op7_pack_tokens, "op8_language_id": op8_language_id, "op9_sentencepiece": op9_sentencepiece, "op10_html_extract": op10_html_extract, "op11_conversation_repair": op11_conversation_repair, "op12_quality_model": op12_quality_model, "op13_whitening": op13_whitening}
 
 
 def oracle_sql():

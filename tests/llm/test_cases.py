@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexforge.llm import exact_dedup, html_extract, jaccard_join, language_id, lm_scoring, mixing, packing, quality_rules, sentencepiece_np, toxicity
+from lexforge.llm import exact_dedup, html_extract, jaccard_join, language_id, lm_scoring, mixing, packing, quality_model, quality_rules, sentencepiece_np, toxicity
 
 from fixtures import components_by_force, corpus, low, words
 from test_operators import MODEL, RANKS, plain_counts, plain_targets
@@ -27,9 +27,14 @@ def tox(docs):
     return toxicity.score(docs, toxicity.train(docs, labels))
 
 
+def rated(docs):
+    return quality_model.classify(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")))
+
+
 #: Each gives one row for each row of documents.
 ROWS = {
     "toxicity": tox,
+    "quality_model": rated,
     "jaccard": jaccard_join.near_duplicates,
     "mix": mixing.mix,
     "lm": lambda docs: lm_scoring.score(docs, F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True))),
@@ -163,4 +168,4 @@ for name, q in e.queries().items():
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stderr[-3000:]
     counts = dict(line.split() for line in done.stdout.splitlines())
-    assert len(counts) == 11 and all(int(n) > 0 for n in counts.values())
+    assert len(counts) == 14 and all(int(n) > 0 for n in counts.values())
