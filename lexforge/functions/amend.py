@@ -1,141 +1,49 @@
-"""What the sentences of an amending text do and to which provisions, and what a text refers to: expressions.
+"""What the sentences of an amending text do and to which provisions, and what a text refers to.
 
-A text's quotes are blanked and it is cut into sentences; in a sentence each reference has the text before it and after it.
+`citations` reads one text; here it runs in Arrow batches, and the joins and sums around it are DataFrame operations.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .greek import NUMERALS, numeral
-from .textfn import fold
-
-#: Verbs of amending sentences, those of repeals among them, and nouns of amending titles.
-VERBS = "τροποποιε[ίι]ται τροποποιούνται αντικαθ[ίι]σταται αντικαθίστανται προστίθεται προστίθενται καταργε[ίι]ται καταργούνται αναστέλλεται αναστέλλονται συμπληρώνεται αναριθμε[ίι]ται διαγράφεται διαγράφονται απαλείφεται απαλείφονται διαμορφώνεται διαμορφώνονται επέρχονται παρατείνεται παρατείνονται".split()
-REPEALS = "καταργε[ίι]ται καταργούνται".split()
-TITLES = "Τροποποίηση Τροποποιήσεις Προσθήκη Κατάργηση Αντικατάσταση Συμπλήρωση Αναστολή Παράταση".split()
-#: Words for paragraphs and for clauses.
-PARAGRAPH = "παρ\\. παράγραφος παραγράφου παράγραφο παράγραφοι παραγράφων παραγράφους".split()
-CLAUSE = "περ\\. περίπτωση περίπτωσης περιπτώσεως περιπτώσεις περιπτώσεων υποπερ\\.".split()
-#: What follows a reference to another act, to one named before, and to this one.
-ELSEWHERE = r"^[΄'’]?\s*(?:του|της|των)\s+(?:προϊσχύοντος\s+)?(?:ν\.|ν\.δ\.|π\.\s?δ\.|β\.δ\.|νόμου|διατάγματος|κ\.υ\.α\.|υ\.α\.|κοινής|υπουργικής|απόφασης|Συντάγματος|Κανονισμού)"
-SAME_ACT = r"^\s*(?:του|της)\s+(?:ίδιου|ίδιας|ως\s+άνω|εν\s+λόγω|αυτού|αυτής)"
-THIS_ACT = r"^\s*(?:του\s+παρόντος(?:\s+Κώδικα)?|του\s+Κώδικα\s+αυτού)"
-
-
-def _any(words) -> str:
-    return "(?:" + "|".join(words) + ")"
+from . import citations, ids
 
+CHANGE = "array<struct<article:string,kind:string,targets:array<string>,restates:boolean>>"
+CITED = "array<struct<article:string,para:string,clause:string>>"
+STRINGS = "array<string>"
 
-_ONE = r"(?:\d+[α-ω]?|[α-ω]{1,4}[΄'’]?\)?)"
-_LIST = rf"{_ONE}(?:\s*(?:,|και|έως)\s*{_ONE})*"
-NUMBERS = r"\d+[Α-Ω]?(?:\s*(?:,|και|έως|-)\s*\d+[Α-Ω]?)*"
-_LEAD = r"^\s*(?:\d+[.)]\s*)?(?:[α-ω]{1,3}[.)]\s*)?"
-_END = r"(?:(?<=[^\s.]{3}[.;·])|(?<=[»)][.;·]))(?<!σφαλμ\.)(?<!διορθ\.)(?<!αριθμ\.)\s+(?=[Α-ΩΆ-Ώ])"
 
+def _batched(read, kind: str, text: Column) -> Column:
+    """read(text) of each text of a batch; nulls are passed on."""
 
-def sentences(text: Column) -> Column:
-    """A text's sentences, its quotes blanked; an abbreviation before a capital ends none."""
-    return F.split(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), "«[^«»]*»?", " "), _END)
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(read)
 
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, kind)(text)
 
-def around(sentence: Column, pattern: str) -> Column:
-    """(before, here, after) of each match of a pattern in a sentence."""
-    parts, found = F.split(sentence, pattern), F.regexp_extract_all(sentence, F.lit(f"({pattern})"), 1)
 
-    def one(here: Column, i: Column) -> Column:
-        led = F.array_join(F.zip_with(F.slice(parts, F.lit(1), i), F.slice(found, F.lit(1), i), lambda x, y: F.concat(x, y)), "")
-        before = F.concat(led, F.get(parts, i))
-        return F.struct(before.alias("before"), here.alias("here"), F.substr(sentence, F.length(before) + F.length(here) + 1).alias("after"))
+def labels(text: Column) -> Column:
+    """Numbers and numerals of a list such as `2 και 4` or `α), β) και γ'`; `3α` is 3.α; other words go.
 
-    return F.transform(found, one)
-
-
-def kind(before: Column, after: Column) -> Column:
-    """repeal, amend or null of a reference: a verb after it counts, one before it where the sentence starts with the verb
-    or with `Στο …`, the place of the change; a repeal's verb counts anywhere."""
-    verb, repeal = f"(?iu){_any(VERBS)}", f"(?iu){_any(REPEALS)}"
-    first = before.rlike(f"(?iu){_LEAD}{_any(VERBS)}") | (before.rlike(verb) & before.rlike(_LEAD + "Στ(?:ο|ην|ον|α|ις|ους) "))
-    return F.when(before.rlike(repeal) | after.rlike(repeal), "repeal").when(after.rlike(verb) | first, "amend")
+    `2 έως 5` is 2, 3, 4, 5, and so with numerals; ends that don't rise or lie 50 or more apart stay the two ends.
+    """
+    return _batched(citations.label_list, STRINGS, text)
 
 
 def title_kind(title: Column) -> Column:
-    return F.when(title.rlike(_any(TITLES)), "amend")
-
-
-#: Greek numerals of 1 to 89: 1 to 9, then each ten and its units.
-_NUMERALS = list(NUMERALS)
-
-
-def labels(listed: Column) -> Column:
-    """Numbers and numerals of a list such as `2 και 4`; `3α` is 3.α; other words go.
-
-    `2 έως 5` is 2, 3, 4, 5, and so with numerals; ends that don't rise or lie 50 or more apart stay the two ends.
-    """
-    joined = F.regexp_replace(listed, r"\s*έως\s*", "-")
-    parts = F.transform(F.split(joined, r"\s*,\s*|\s+και\s+|\s+"), lambda x: F.replace(x, F.lit("΄"), F.lit("")))
-    one = lambda x: F.when(x.rlike(r"^\d+$"), x).when(x.rlike(r"^\d+[α-ω]$"), F.regexp_replace(x, r"^(\d+)", "$1.")).when(numeral(x).isNotNull(), x)
-    names = F.array(*(F.lit(x) for x in _NUMERALS))
-
-    def expand(x: Column) -> Column:
-        ends = F.split(x, "-")
-        first, last = F.element_at(ends, 1), F.element_at(ends, -1)
-        rises = lambda lo, hi: (F.size(ends) == 2) & (lo <= hi) & (hi - lo < 50)
-        lo, hi = F.regexp_extract(first, r"^(\d{1,9})$", 1).try_cast("int"), F.regexp_extract(last, r"^(\d{1,9})$", 1).try_cast("int")
-        low, high = numeral(first).cast("int"), numeral(last).cast("int")
-        numbers = F.when(rises(lo, hi), F.transform(F.sequence(lo, hi), lambda i: i.cast("string")))
-        letters = F.when(rises(low, high) & (high <= len(_NUMERALS)), F.slice(names, low, high - low + 1))
-        return F.coalesce(numbers, letters, F.transform(ends, one))
-
-    return F.array_compact(F.flatten(F.transform(parts, expand)))
-
-
-def articles(numbers: Column) -> Column:
-    """Articles of a list: `29 έως 33` is all five, unless the ends lie 50 or more apart or aren't plain numbers."""
-    names = F.regexp_extract_all(numbers, F.lit(r"(\d+[Α-Ω]?)"), 1)
-    lo, hi = F.get(names, F.lit(0)).try_cast("int"), F.get(names, F.lit(1)).try_cast("int")
-    ranged = numbers.rlike("έως|-") & (F.size(names) == 2) & lo.isNotNull() & hi.isNotNull() & (hi - lo < 50)
-    up = F.when(lo <= hi, F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda n: n.cast("string"))).otherwise(F.array().cast("array<string>"))
-    return F.when(ranged, up).otherwise(names)
-
-
-def targets(before: Column, here: Column, after: Column, article: Column) -> Column:
-    """(targets, restates) of a reference to one article: the provisions named before it or inside it, and those that the
-    rest of the sentence adds; restates where the article as a whole is written anew."""
-    para, clause = _any(PARAGRAPH), _any(CLAUSE)
-    chain = rf"(?:{clause}\s*({_LIST})\s+(?:της|των)\s+)?{para}\s*({_LIST})\s+(?:του|στο|στον)\s+$"
-    led = F.regexp_extract(before, chain, 2)
-    paras = labels(F.when(led != "", led).otherwise(F.regexp_extract(here, rf"{para}\s*({_LIST})", 1)))
-    clauses = labels(F.regexp_extract(before, chain, 1))
-    below = lambda base, more: F.flatten(F.transform(base, lambda b: F.transform(more, lambda x: F.concat(b, F.lit("."), x))))
-    base = F.when(F.size(paras) > 0, below(F.array(article), paras)).otherwise(F.array(article))
-    named = F.when(F.size(clauses) > 0, below(base, clauses)).otherwise(base)
-    adds = lambda word: F.flatten(F.transform(F.regexp_extract_all(after, F.lit(rf"προστίθε(?:ται|νται)\s+(?:νέα\s+|νέες\s+|νέο\s+)?{word}\s*({_LIST})"), 1), labels))
-    added = F.concat(below(F.array(article), adds(para)), below(base, adds(clause)))
-    only_added = (F.size(added) > 0) & (F.size(paras) == 0) & (F.size(clauses) == 0)
-    found = F.array_sort(F.array_distinct(F.when(only_added, added).otherwise(F.concat(named, added))))
-    whole = after.rlike(r"άρθρο(?:\s+\d+[Α-Ω]?)?\s+διαμορφώνεται") | ((F.size(paras) == 0) & after.rlike(r"αντικαθ[ίι]σταται\s+ως\s+εξής"))
-    return F.struct(found.alias("targets"), whole.alias("restates"))
+    return _batched(lambda x: citations.title_change(x or ""), "string", title)
 
 
 def amendments(text: Column, law: str) -> Column:
     """Array of (article, kind, targets, restates) of a text's references to articles of a law (a pattern of its names) in
-    amending sentences. A list of articles names them whole."""
-    reference = rf"άρθρ(?:ο|ου|α|ων)\s+{NUMBERS}\s+(?:(?:παρ|περ)\.\s*[^\s,]+\s+)?{law}"
-
-    def one(x: Column) -> Column:
-        names = articles(F.regexp_extract(x["here"], rf"({NUMBERS})", 1))
-        single = F.size(names) == 1
-        what = kind(x["before"], x["after"])
-
-        def entry(a: Column) -> Column:
-            aim = targets(x["before"], x["here"], x["after"], a)
-            return F.struct(a.alias("article"), what.alias("kind"), F.when(single, aim["targets"]).otherwise(F.array(a)).alias("targets"), (single & aim["restates"]).alias("restates"))
-
-        return F.transform(names, entry)
-
-    return F.filter(F.flatten(F.transform(F.flatten(F.transform(sentences(text), lambda s: around(s, reference))), one)), lambda x: x["kind"].isNotNull())
+    amending sentences. A list of articles names them whole; `Στον <law> προστίθεται άρθρο 20Α` names the new article."""
+    return _batched(lambda x: citations.amendments(x, re.compile(law)), CHANGE, text)
 
 
 def matcher(paragraphs: DataFrame, source: list[str], gid: str, text: str, law: str) -> DataFrame:
@@ -146,34 +54,14 @@ def matcher(paragraphs: DataFrame, source: list[str], gid: str, text: str, law:
 
 
 def references(text: Column) -> Column:
-    """Array of (article, para, clause) that a text of the act itself refers to; those of another act are left out."""
-    pattern = r"(?:(?:περ\.|περίπτωσης?)\s*[α-ω]{1,4}[΄'’]?\)?\s+(?:της|του)\s+)?(?:(?:παρ\.|παραγράφου|παραγράφους|παράγραφο)\s*\d+[Α-Ω]?\s+(?:του|της)\s+)?(?:άρθρου|άρθρο)\s+\d+[Α-Ω]?(?![\dΑ-Ω])"
-    many = rf"(?:άρθρων|άρθρα)\s+\d+[Α-Ω]?(?:\s*(?:,|και|έως)\s*\d+[Α-Ω]?)+"
-    tail = lambda x: F.substring(x["after"], 1, 60)
-    ours = lambda x: ~(tail(x).rlike(ELSEWHERE) | tail(x).rlike(SAME_ACT)) | tail(x).rlike(THIS_ACT)
-    none = F.lit("")
-
-    def one(x: Column) -> Column:
-        h = x["here"]
-        clause = fold(F.regexp_extract(h, r"(?:περ\.|περίπτωσης?)\s*([α-ω]{1,4})", 1))
-        return F.struct(F.regexp_extract(h, r"(\d+[Α-Ω]?)$", 1).alias("article"), F.regexp_extract(h, r"(?:παρ\.|παραγράφου|παραγράφους|παράγραφο)\s*(\d+[Α-Ω]?)", 1).alias("para"), F.when(numeral(clause).isNotNull(), clause).otherwise(none).alias("clause"))
-
-    single = F.transform(F.filter(around(text, pattern), ours), one)
-    lists = F.flatten(F.transform(F.filter(around(text, many), ours), lambda x: articles(F.regexp_extract(x["here"], rf"({NUMBERS})", 1))))
-    return F.concat(single, F.transform(lists, lambda a: F.struct(a.alias("article"), none.alias("para"), none.alias("clause"))))
+    """Array of (article, para, clause) that a text of the act itself refers to; those of another act are left out. The
+    article is empty where the text names its own (`παρ. 3 του παρόντος`)."""
+    return _batched(citations.references, CITED, text)
 
 
 def law_references(text: Column, law: str) -> Column:
     """`article` or `article.paragraph` of each reference to provisions of `law` (n/yyyy)."""
-    paras = rf"(?iu)(?:{_any(PARAGRAPH)}\s*{_LIST}\s+του\s+)?άρθρ(?:ο|ου)\s+\d+[Α-Ω]?\s+του\s+ν\.\s+{law}"
-    here = F.regexp_extract_all(text, F.lit(f"({paras})"), 1)
-
-    def one(x: Column) -> Column:
-        a = F.regexp_extract(x, r"(\d+[Α-Ω]?)\s+του\s+ν\.", 1)
-        below = labels(F.regexp_extract(x, rf"(?iu){_any(PARAGRAPH)}\s*({_LIST})", 1))
-        return F.when(F.size(below) == 0, F.array(a)).otherwise(F.transform(below, lambda p: F.concat(a, F.lit("."), p)))
-
-    return F.flatten(F.transform(here, one))
+    return _batched(lambda x: citations.law_references(x, law), STRINGS, text)
 
 
 def resolve(cited: DataFrame, known: DataFrame, key: list[str], steps: str, gid: str, out: str) -> DataFrame:
@@ -186,6 +74,22 @@ def resolve(cited: DataFrame, known: DataFrame, key: list[str], steps: str, gid:
     return stop.withColumn(out, last["_step"]).filter(F.col(out).isNotNull()).select(*key, out)
 
 
+def cross_references(paragraphs: DataFrame, gid: str, text: str) -> DataFrame:
+    """src, dst: the deepest provision there is of each that a paragraph of the same scope refers to. Provisions within the
+    paragraph, or that it is within, are none."""
+    me = F.col(gid)
+    found = paragraphs.select(me.alias("src"), F.explode(references(F.col(text))).alias("x"))
+    own = F.element_at(F.split(F.element_at(F.split("src", ":", 2), 2), "[.#~@]", 2), 1)
+    first = F.concat(ids.scope(F.col("src")), F.lit(":"), F.when(F.col("x.article") == "", own).otherwise(F.col("x.article")))
+    para, clause = F.col("x.para"), F.col("x.clause")
+    second = F.when(para != "", F.concat(first, F.lit("."), para)).otherwise(first)
+    steps = F.array_distinct(F.array(first, second, F.when(clause != "", F.concat(second, F.lit("."), clause)).otherwise(second)))
+    rows = found.select("src", steps.alias("steps")).distinct()
+    links = resolve(rows.withColumn("at", F.array_join("steps", " ")), paragraphs.select(F.explode(ids.ancestors(me)).alias("_gid")), ["src", "at"], "steps", "_gid", "dst").select("src", "dst").distinct()
+    apart = ~F.array_contains(ids.ancestors(F.col("src")), F.col("dst")) & ~F.array_contains(ids.ancestors(F.col("dst")), F.col("src"))
+    return links.filter(apart)
+
+
 def synonym_groups(terms: DataFrame, term: str, also: str) -> DataFrame:
     """The different pairs of search stems of terms and their other names; abbreviations are none."""
     from .phrases import stem
@@ -195,7 +99,25 @@ def synonym_groups(terms: DataFrame, term: str, also: str) -> DataFrame:
 
 
 def definition(text: Column) -> Column:
-    """(term, also) of a definition: a quoted or leading term, another name in brackets; null if it is none."""
-    pattern = r"(?iu)^(?:[α-ω]{1,3}\)\s*|\d+\.\s*)?[«\"]?\s*([^«»\":(]{2,80}?)\s*(?:\(([^)]+)\))?\s*[»\"]?\s*(?::|είναι|νοείται|καλείται)"
-    term = F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-    return F.when(term.isNotNull(), F.struct(term.alias("term"), F.nullif(F.regexp_extract(text, pattern, 2), F.lit("")).alias("also")))
+    """(term, also) of a definition; null if it is none. Four forms, the first that fits: a numbered quoted term with another
+    name in brackets before a colon; one without; a numbered or lettered term before a verb of defining; a term before a colon."""
+    none = F.lit("")
+    number = F.regexp_extract(text, r"^(\d+[Α-Ω]?\.|[α-ω]{1,3}\))\s*", 0)
+    body = F.substr(text, F.length(number) + 1)
+    quote = F.regexp_extract(body, "^«([^»]*)»", 1)
+    after = F.ltrim(F.substr(body, F.length(quote) + 3))
+    plain = body.startswith("«") == F.lit(False)
+    verb = F.regexp_extract(body, r"^([^.:«»]*?)\s(?:είναι|νοείται|νοούνται|καλείται)(?![α-ωά-ώ])", 1)
+    colon = F.when(F.instr(body, ":") > 0, F.substring_index(body, ":", 1)).otherwise(none)
+    bracket = F.regexp_extract(F.coalesce(F.nullif(quote, none), F.nullif(verb, none), colon), r"\(([^()]*)\)\s*$", 1)
+
+    def parts(whole: Column) -> Column:
+        term = F.trim(F.when(bracket != "", F.substring_index(whole, "(", 1)).otherwise(whole))
+        return F.struct(term.alias("term"), F.nullif(F.trim(bracket), none).alias("also"))
+
+    fits = lambda whole, most: F.length(F.trim(F.substring_index(whole, "(", 1))).between(2, most)
+    return (
+        F.when((quote != "") & after.startswith(":") & fits(quote, 160), parts(quote))
+        .when((number != "") & plain & (verb != "") & fits(verb, 100), parts(verb))
+        .when((number == "") & plain & body.rlike("^[Α-ΩΆ-Ώ]") & ~colon.rlike("[.«»]") & fits(colon, 80) & body.contains(": "), parts(colon))
+    )

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 FOLD_FROM = "άέήίόύώϊΐϋΰςáàâäãåçéèêëíìîïñóòôöõúùûüÿ"
 FOLD_TO = "αεηιουωιιυυσaaaaaaceeeeiiiinooooouuuuy"
 #: Latin capitals and small letters that look Greek, and the Greek ones (folded).
-LOOKALIKE_FROM, LOOKALIKE_TO = "abehikmnoptuxyz", "αβεηικμνορτυχυζ"
+LOOKALIKE_FROM, LOOKALIKE_TO = "abehikmnoptxyz", "αβεηικμνορτχυζ"
+_GREEK = str.maketrans(LOOKALIKE_FROM, LOOKALIKE_TO)
 
 
 def fold(x: Column) -> Column:
@@ -19,7 +20,12 @@ def fold(x: Column) -> Column:
 
 def searchable(x: Column) -> Column:
     """fold, then Latin look-alikes as Greek letters."""
-    return F.translate(fold(x), LOOKALIKE_FROM, LOOKALIKE_TO)
+    return F.translate(F.lower(x), FOLD_FROM + LOOKALIKE_FROM, FOLD_TO.translate(_GREEK) + LOOKALIKE_TO)
+
+
+def typed(x: str) -> str:
+    """searchable of what a user types."""
+    return x.lower().translate(str.maketrans(FOLD_FROM, FOLD_TO)).translate(_GREEK)
 
 
 def occurrences(x: Column, stem: str) -> Column:
@@ -28,9 +34,18 @@ def occurrences(x: Column, stem: str) -> Column:
 
 
 def snippet(x: Column, at: Column, size: int = 260) -> Column:
-    """Up to `size` characters of x around the 1-based offset `at`; shorter texts whole."""
-    start = F.greatest(F.lit(1), at - size // 3)
-    return F.when(F.length(x) <= size, x).otherwise(F.substr(x, start, F.lit(size)))
+    """Up to `size` characters of x around the 1-based offset `at`, from a word's start to a word's end, with an ellipsis
+    where text is left out; shorter texts whole. An offset of 0 or null starts at the text's start."""
+    space = F.lit(" ")
+    early = F.greatest(F.lit(0), F.coalesce(at, F.lit(0)) - 1 - size // 3)
+    word = F.when(early > 0, F.call_function("locate", space, x, early + 1)).otherwise(0)
+    start = F.when(word > 0, word).otherwise(early)
+    part = F.substr(x, start + 1, F.lit(size))
+    last = F.length(part) - F.instr(F.reverse(part), " ")
+    full = start + F.length(part) >= F.length(x)
+    cut = F.when(full | (F.instr(part, " ") == 0) | (last == 0), part).otherwise(F.substr(part, F.lit(1), last))
+    some = F.concat(F.when(start > 0, "…").otherwise(""), cut, F.when(full, "").otherwise("…"))
+    return F.when(F.length(x) <= size, x).otherwise(some)
 
 
 def lines(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:

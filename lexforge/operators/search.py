@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.textfn import fold, occurrences
+from ..functions.textfn import occurrences, searchable, typed
 
 
 def score_paragraphs(paras: DataFrame, terms: list[list[list[str]]], text: str, title: str | None = None) -> DataFrame:
@@ -15,9 +15,10 @@ def score_paragraphs(paras: DataFrame, terms: list[list[list[str]]], text: str,
 
     A term is a list of alternatives, an alternative a list of stems that stand in the paragraph or its title; the first
     alternative that holds is chosen. One chosen stem at least is in the paragraph. score: occurrences of the chosen
-    stems in the paragraph, and 2 for each of them in the title.
+    stems in the paragraph, and 2 for each of them in the title. Stems and texts are compared as `searchable`.
     """
-    body, head = fold(F.col(text)), fold(F.coalesce(F.col(title), F.lit(""))) if title else F.lit("")
+    terms = [[[typed(s) for s in alt] for alt in alternatives] for alternatives in terms]
+    body, head = searchable(F.col(text)), searchable(F.coalesce(F.col(title), F.lit(""))) if title else F.lit("")
     rows = paras.withColumn("_b", body).withColumn("_h", head)
     holds: list[Column] = []
     score, inside = F.lit(0).cast("long"), F.lit(False)
@@ -44,13 +45,17 @@ def best_articles(hits: DataFrame, article: str, tier: Column, limit: int, bonus
 
 
 def top_articles(hits: DataFrame, article: str, position: str, tier: Column, limit: int, k: int = 3) -> DataFrame:
-    """The best k paragraphs of the first `limit` articles in one pass over the hits: an article's hits meet once, and only its
-    k best leave; rows of article, rnk, position, score."""
-    place = F.struct((-F.col("score")).alias("s"), F.col(position).alias("p"))
-    best = hits.groupBy(article).agg(F.min(tier).alias("tier"), F.max("score").alias("best"), F.slice(F.array_sort(F.collect_list(place)), 1, k).alias("top"))
+    """The best k paragraphs of the first `limit` articles in one pass; rows of article, rnk, position, score.
+
+    A window with a limit keeps k rows an article in each task before an article's rows meet, so one with most of the
+    hits sends no more than another; the sum that follows stays on the same partitions. `tier` is an article's.
+    """
+    rows = hits.select(article, position, "score", tier.alias("tier"))
+    w = Window.partitionBy(article).orderBy(F.col("score").desc(), position)
+    top = rows.withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= k)
+    best = top.groupBy(article).agg(F.min("tier").alias("tier"), F.max("score").alias("best"), F.collect_list(F.struct("rnk", position, "score")).alias("top"))
     first = best.orderBy("tier", F.col("best").desc(), article).limit(limit)
-    rows = first.select(article, F.posexplode("top").alias("rnk", "x"))
-    return rows.select(article, (F.col("rnk") + 1).cast("long").alias("rnk"), F.col("x.p").alias(position), (-F.col("x.s")).alias("score"))
+    return first.select(article, F.explode("top").alias("x")).select(article, F.col("x.rnk").cast("long").alias("rnk"), F.col(f"x.{position}").alias(position), "x.score")
 
 
 def listing(hits: DataFrame, article: str, tier: Column, limit: int, more: int = 20) -> DataFrame:

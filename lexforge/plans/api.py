@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..functions.textfn import searchable, typed
 from ..operators import search as find
 
 
@@ -32,8 +33,8 @@ class Corpus:
     def search(self, terms: list[list[list[str]]], tier: Column | None = None, limit: int = 8, per_article: int = 3) -> DataFrame:
         """The best paragraphs of the best articles: tier, then 10 a term in the title and the best paragraph, then order."""
         hits = find.score_paragraphs(self.paragraphs.withColumn("key", F.concat_ws(":", "file", "article")), terms, "text", "title")
-        title = find.fold(F.coalesce("title", F.lit("")))
-        bonus = sum((F.when(F.exists(F.array(*(F.forall(F.array(*(F.lit(s) for s in alt)), lambda s: F.contains(title, s)) for alt in alts)), lambda x: x), 10).otherwise(0) for alts in terms), F.lit(0))
+        title = searchable(F.coalesce("title", F.lit("")))
+        bonus = sum((F.when(F.exists(F.array(*(F.forall(F.array(*(F.lit(typed(s)) for s in alt)), lambda s: F.contains(title, s)) for alt in alts)), lambda x: x), 10).otherwise(0) for alts in terms), F.lit(0))
         best = find.best_articles(hits, "key", F.lit(0) if tier is None else tier, limit, bonus)
         shown = find.top_per_article(hits.join(F.broadcast(best.select("key", "tier", "best")), "key"), "key", "para_pos", per_article)
         return shown.select("tier", "best", "key", "rnk", "gid", "score", "text")
@@ -92,6 +93,6 @@ class Corpus:
         arts = self.paragraphs.filter(F.col("dataset") == dataset).groupBy("article").agg(F.min("art_pos").alias("art_pos"), F.first("title").alias("title"))
         rows = arts.join(self.sections, "article", "left")
         if section:
-            rows = rows.filter(find.fold(F.concat_ws(" ", "path", "title")).contains(section.lower()))
+            rows = rows.filter(searchable(F.concat_ws(" ", "path", "title")).contains(typed(section)))
         w = Window.partitionBy(F.lit(dataset)).orderBy("art_pos", "article")  # the articles of one text
         return rows.withColumn("heading", F.when(~F.col("path").eqNullSafe(F.lag("path").over(w)), F.col("path"))).orderBy("art_pos", "article")

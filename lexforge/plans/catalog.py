@@ -113,8 +113,10 @@ def search_title_bonus(spark, d):
     return hits.groupBy("page_id").agg((F.max("score") + F.max(F.when(F.col("title").contains("ation"), 10).otherwise(0))).cast("long").alias("score"))
 
 
-@query(f"""WITH {PARAS_SQL}, h AS (SELECT doc_id, para_pos, txt, instr(lower(txt), 'tion')::BIGINT AS pos FROM paras WHERE contains(lower(txt), 'tion'))
-SELECT doc_id, para_pos, CASE WHEN length(txt) <= 260 THEN txt ELSE substr(txt, greatest(1, pos - 86), 260) END AS snip FROM h""")
+@query(f"""WITH {PARAS_SQL}, h AS (SELECT doc_id, para_pos, txt, greatest(0, instr(lower(txt), 'tion') - 1 - 86) AS early FROM paras WHERE contains(lower(txt), 'tion')),
+s AS (SELECT *, CASE WHEN early > 0 AND instr(substr(txt, early + 1), ' ') > 0 THEN early + instr(substr(txt, early + 1), ' ') ELSE early END AS start FROM h), c AS (SELECT *, substr(txt, start + 1, 260) AS part FROM s),
+e AS (SELECT *, start + length(part) >= length(txt) AS whole, length(part) - instr(reverse(part), ' ') AS last FROM c)
+SELECT doc_id, para_pos, CASE WHEN length(txt) <= 260 THEN txt ELSE CASE WHEN start > 0 THEN '…' ELSE '' END || CASE WHEN whole OR instr(part, ' ') = 0 OR last = 0 THEN part ELSE substr(part, 1, last) END || CASE WHEN whole THEN '' ELSE '…' END END AS snip FROM e""")
 def search_snippet(spark, d):
     h = paras(spark, d).withColumn("at", F.instr(F.lower("txt"), "tion")).filter("at > 0")
     return h.select("doc_id", "para_pos", textfn.snippet(F.col("txt"), F.col("at")).alias("snip"))

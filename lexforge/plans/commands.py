@@ -116,10 +116,10 @@ def issue_checks(spark, d):
     )
 
 
-@query("SELECT user_id, ts::DATE AS day, count(*) FILTER (value > 150)::BIGINT AS n FROM events GROUP BY ALL HAVING count(*) FILTER (value > 150) >= 3")
+@query("SELECT user_id, ts::DATE AS day, count(*) FILTER (value > 60)::BIGINT AS n FROM events GROUP BY ALL HAVING count(*) FILTER (value > 60) >= 3")
 def flagged_pages(spark, d):
     ev = table(spark, d, "events").withColumn("day", F.to_date("ts"))
-    return validation.flagged_pages(ev, ["user_id", "day"], F.col("value") > 150, 3)
+    return validation.flagged_pages(ev, ["user_id", "day"], F.col("value") > 60, 3)
 
 
 @query("""WITH e AS (SELECT user_id, event_id // 50 AS page, value AS lo, value + 10 AS hi FROM events), o AS (SELECT user_id, page, min(lo) AS l, max(hi) AS r, count(*) AS n FROM e GROUP BY ALL), u AS (SELECT user_id, page % 2 AS odd, min(lo) AS ul, max(hi) AS ur FROM e GROUP BY ALL)

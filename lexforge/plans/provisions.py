@@ -74,13 +74,22 @@ def valid_ids(spark, d):
     return p.select("k", greek.is_normal(F.element_at(F.array(*made), (F.col("k") % 4 + 1).cast("int"))).alias("valid"))
 
 
-@query(f"""SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'άρθ. ' || p_partkey || ' παρ. ' || p_size || ' περ. ' || {_sql_list(greek.UNITS)}[1 + p_partkey % 9] || '΄ ν. 5306/2026 (ΦΕΚ Α΄ 88/2026)'
-ELSE 'άρθ. ' || p_partkey || ' Κεφ. Α΄ παρ. ' || p_partkey || '.' || p_size || ' περ. ' || {_sql_list(greek.UNITS)}[1 + p_partkey % 9] || '΄ π.δ. 41/2018 (ΦΕΚ Α΄ 80/2018)' END AS cited FROM part""")
+CITED = [("{k}.{n}.{u}#2~1", "άρθ. {k} παρ. {n} περ. {u}΄"), ("Α{k}.{n}.{u}", "άρθ. {k} Κεφ. Α΄ παρ. {k}.{n} περ. {u}΄"), ("{k}.{n}Α", "άρθ. {k} παρ. {n}Α"), ("{k}.{n}.4", "άρθ. {k} παρ. {n} περ. 4"), ("{k}.{n}.{u}.2.{v}", "άρθ. {k} παρ. {n} περ. {u}΄ υποπερ. 2.{v}΄"), ("{k}.{u}", "άρθ. {k} περ. {u}΄"), ("Β{k}", "άρθ. {k} Κεφ. Β΄"), ("Β{k}.{n}.2.{u}.{v}", "άρθ. {k} Κεφ. Β΄ παρ. {k}.{n}.2 περ. {u}΄ υποπερ. {v}΄")]
+
+
+def _sql_fill(template: str) -> str:
+    for name in "knmpquvw":
+        template = template.replace("{" + name + "}", f"' || {name} || '")
+    return "'" + template + "'"
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, p_size AS n, {_sql_list(greek.UNITS)}[1 + p_partkey % 9] AS u, {_sql_list(greek.UNITS)}[1 + (p_partkey + 1) % 9] AS v FROM part)
+SELECT k, CASE k % 8 {" ".join(f"WHEN {i} THEN {_sql_fill(want)}" for i, (_, want) in enumerate(CITED))} END || ' ν. 5306/2026 (ΦΕΚ Α΄ 88/2026)' AS cited FROM p""")
 def cited_provisions(spark, d):
-    p = parts(spark, d).withColumn("u", _pick(greek.UNITS, F.col("k") % 9))
-    law = F.col("k") % 2 == 0
-    local = F.when(law, _fill("{k}.{n}.{u}#2~1", k=F.col("k"), n=F.col("n"), u=F.col("u"))).otherwise(_fill("Α{k}.{n}.{u}", k=F.col("k"), n=F.col("n"), u=F.col("u")))
-    return p.select("k", greek.cite(local, F.when(law, "Ν. 5306/2026").otherwise("Π.Δ. 41/2018"), F.when(law, "Α΄ 88/2026").otherwise("Α΄ 80/2018")).alias("cited"))
+    """Ids of every shape: letters after numbers, numbers as clauses, sub-clauses, chapters with decimal paragraphs."""
+    names = {"k": F.col("k"), "n": F.col("n"), "u": _pick(greek.UNITS, F.col("k") % 9), "v": _pick(greek.UNITS, (F.col("k") + 1) % 9)}
+    local = F.element_at(F.array(*(_fill(x, **names) for x, _ in CITED)), (F.col("k") % 8 + 1).cast("int"))
+    return parts(spark, d).select("k", greek.cite(local, F.lit("Ν. 5306/2026"), F.lit("Α΄ 88/2026")).alias("cited"))
 
 
 @query("SELECT p_partkey AS k, p_size AS n FROM part")
@@ -105,10 +114,20 @@ def ordinals(spark, d):
     return parts(spark, d).select("k", greek.ordinal(words).alias("article"))
 
 
-@query("""SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN p_size || ',' || (p_size + 2) || ',' || (p_size + 7) WHEN 1 THEN array_to_string(range(p_size, p_size + p_partkey % 9 + 1), ',') ELSE p_size || '.α,' || (p_size + 1) END AS labels FROM part""")
+LISTS = ["{n}, {m} και {p}", "{n} έως {m}", "{n}α και {m}", "{u}), {v}) και {w}'", "{u}΄, {n} και το {w}’", "{n}Α, και {m}", "{u} έως {w}", "καθώς και"]
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, p_size AS n, p_size + p_partkey % 9 AS m, p_size + 60 AS p, {_sql_list(greek.UNITS)}[1 + p_partkey % 7] AS u, {_sql_list(greek.UNITS)}[2 + p_partkey % 7] AS v, {_sql_list(greek.UNITS)}[3 + p_partkey % 7] AS w FROM part),
+t AS (SELECT k, CASE k % 8 {" ".join(f"WHEN {i} THEN {_sql_fill(x.replace(chr(39), chr(39) * 2))}" for i, x in enumerate(LISTS))} END AS txt FROM p),
+o AS (SELECT k, contains(txt, 'έως') AS ranged, list_filter(regexp_extract_all(replace(txt, 'έως', ' '), '[0-9]+[α-ωΑ-Ω]?|[α-ωά-ώ]+'), lambda x: regexp_matches(x, '^[0-9]') OR x IN ({", ".join(f"'{x}'" for x in greek.NUMERALS)})) AS xs FROM t),
+e AS (SELECT k, CASE WHEN NOT ranged THEN list_transform(xs, lambda x: regexp_replace(x, '^([0-9]+)([α-ω])$', '\\1.\\2')) WHEN regexp_matches(xs[1], '^[0-9]') THEN list_transform(range(xs[1]::BIGINT, xs[2]::BIGINT + 1), lambda x: x::VARCHAR) ELSE list_slice({_sql_list(greek.UNITS)}, list_position({_sql_list(greek.UNITS)}, xs[1]), list_position({_sql_list(greek.UNITS)}, xs[2])) END AS xs FROM o)
+SELECT k, array_to_string(xs, ',') AS labels FROM e""")
 def label_lists(spark, d):
-    made = [_fill(x, n=F.col("n"), n1=F.col("n") + 1, n2=F.col("n") + 2, n7=F.col("n") + 7, to=F.col("n") + F.col("k") % 9) for x in ("{n}, {n2} και {n7}", "{n} έως {to}", "{n}α και {n1}")]
-    return parts(spark, d).select("k", F.array_join(amend.labels(F.element_at(F.array(*made), (F.col("k") % 3 + 1).cast("int"))), ",").alias("labels"))
+    """Lists with brackets, marks and letters after numbers, ranges, and one without labels; the SQL reads the same texts."""
+    k = F.col("k")
+    names = {"n": F.col("n"), "m": F.col("n") + k % 9, "p": F.col("n") + 60} | {x: _pick(greek.UNITS, k % 7 + i) for i, x in enumerate("uvw")}
+    made = F.element_at(F.array(*(_fill(x, **names) for x in LISTS)), (k % 8 + 1).cast("int"))
+    return parts(spark, d).select("k", F.array_join(amend.labels(made), ",").alias("labels"))
 
 
 @query("""WITH r AS (SELECT p_partkey AS k, p_size AS lo, p_size + p_partkey % 70 - 5 AS hi FROM part)
@@ -121,7 +140,7 @@ def number_ranges(spark, d):
 
 # Sentences
 
-LAW = r"(?:του|στον)\s+ν\.\s*4067/2012"
+LAW = r"(?:(?:του|στον)\s+)?ν\.\s*4067/2012"
 #: sentence, kind, target pattern, restates
 SENTENCES = [
     ("Η περ. {u}΄ της παρ. {n} του άρθρου {k} του ν. 4067/2012 (Α΄ 79) αντικαθίσταται ως εξής: «Νέο κείμενο.»", "amend", "{k}.{n}.{u}", False),
@@ -132,31 +151,32 @@ SENTENCES = [
     ("Στο άρθρο {k} του ν. 4067/2012 προστίθεται περ. {u} ως εξής:", "amend", "{k}.{u}", False),
     ("Τα έργα της παρ. {n} ορίζονται. Αντικαθίσταται το πρώτο εδάφιο της παρ. {n} του άρθρου {k} του ν. 4067/2012.", "amend", "{k}.{n}", False),
     ("Οι παρ. {n} και {m} του άρθρου {k} του ν. 4067/2012 τροποποιούνται ως εξής:", "amend", "{k}.{n},{k}.{m}", False),
+    ("Οι περ. {u}) και {v}) της παρ. {n} του άρθρου {k} του ν. 4067/2012 αντικαθίστανται ως εξής:", "amend", "{k}.{n}.{u},{k}.{n}.{v}", False),
+    ("Η περ. {u}' της παρ. {n}Α του άρθρου {k} του ν. 4067/2012 διαγράφεται.", "amend", "{k}.{n}Α.{u}", False),
+    ("Οι παρ. {n} έως {p} του άρθρου {k} του ν. 4067/2012 αναστέλλονται.", "amend", "{k}.{n},{k}.{q},{k}.{p}", False),
+    ("Η παρ. {n} του άρθρου {k} του ν. 4067/2012 ισχύει " + "και για κάθε άλλη περιοχή της χώρας " * 12 + "χωρίς να τροποποιείται.", None, None, None),
+    ("Στον ν. 4067/2012 (Α΄ 79) προστίθεται άρθρο {k}Α με τίτλο «Νέο».", "amend", "{k}Α", False),
 ]
 
 
 def written(spark, d) -> DataFrame:
     """A sentence of one of eight kinds for each part: article 1 to 60, paragraph 1 to 50."""
-    p = parts(spark, d).select(F.col("k").alias("id"), (F.col("k") % 60 + 1).alias("k"), "n", (F.col("n") + 50).alias("m"), _pick(greek.UNITS, F.col("k") % 9).alias("u"), (F.floor(F.col("k") / 7) % 8).cast("int").alias("kind_of"))
-    made = [_fill(s, k=F.col("k"), n=F.col("n"), m=F.col("m"), u=F.col("u")) for s, *_ in SENTENCES]
+    p = parts(spark, d).select(F.col("k").alias("id"), (F.col("k") % 60 + 1).alias("k"), "n", (F.col("n") + 50).alias("m"), (F.col("n") + 2).alias("p"), (F.col("n") + 1).alias("q"), _pick(greek.UNITS, F.col("k") % 9).alias("u"), _pick(greek.UNITS, (F.col("k") + 1) % 9).alias("v"), (F.floor(F.col("k") / 7) % len(SENTENCES)).cast("int").alias("kind_of"))
+    made = [_fill(s, k=F.col("k"), n=F.col("n"), m=F.col("m"), **{x: F.col(x) for x in "upqv"}) for s, *_ in SENTENCES]
     return p.withColumn("text", F.element_at(F.array(*made), F.col("kind_of") + 1))
 
 
-def _sql_fill(template: str) -> str:
-    return "'" + template.replace("{k}", "' || k || '").replace("{n}", "' || n || '").replace("{m}", "' || m || '").replace("{u}", "' || u || '") + "'"
-
-
-WRITTEN_SQL = f"""w AS (SELECT p_partkey AS id, p_partkey % 60 + 1 AS k, p_size AS n, p_size + 50 AS m, {_sql_list(greek.UNITS)}[1 + p_partkey % 9] AS u, (p_partkey // 7) % 8 AS kind_of FROM part),
-x AS (SELECT id, k, kind_of, CASE kind_of {" ".join(f"WHEN {i} THEN '{s[1]}'" for i, s in enumerate(SENTENCES) if s[1])} END AS kind, CASE kind_of {" ".join(f"WHEN {i} THEN {_sql_fill(s[2])}" for i, s in enumerate(SENTENCES) if s[1])} END AS targets, kind_of = 2 AS restates FROM w)"""
+WRITTEN_SQL = f"""w AS (SELECT p_partkey AS id, p_partkey % 60 + 1 AS k, p_size AS n, p_size + 50 AS m, p_size + 2 AS p, p_size + 1 AS q, {_sql_list(greek.UNITS)}[1 + p_partkey % 9] AS u, {_sql_list(greek.UNITS)}[1 + (p_partkey + 1) % 9] AS v, (p_partkey // 7) % {len(SENTENCES)} AS kind_of FROM part),
+x AS (SELECT id, kind_of, CASE kind_of {" ".join(f"WHEN {i} THEN '{s[1]}'" for i, s in enumerate(SENTENCES) if s[1])} END AS kind, CASE kind_of {" ".join(f"WHEN {i} THEN {_sql_fill(s[2])}" for i, s in enumerate(SENTENCES) if s[1])} END AS targets, kind_of = 2 AS restates, CASE WHEN kind_of = 12 THEN k || 'Α' ELSE k::VARCHAR END AS article FROM w)"""
 
 
-@query(f"WITH {WRITTEN_SQL} SELECT id, k::VARCHAR AS article, kind, array_to_string(list_sort(string_split(targets, ',')), ',') AS targets, restates FROM x WHERE kind IS NOT NULL")
+@query(f"WITH {WRITTEN_SQL} SELECT id, article, kind, array_to_string(list_sort(string_split(targets, ',')), ',') AS targets, restates FROM x WHERE kind IS NOT NULL")
 def amending_sentences(spark, d):
     rows = written(spark, d).select("id", F.explode(amend.amendments(F.col("text"), LAW)).alias("x"))
     return rows.select("id", "x.article", "x.kind", F.array_join("x.targets", ",").alias("targets"), "x.restates")
 
 
-@query(f"WITH {WRITTEN_SQL}, t AS (SELECT *, id % 10 AS source, unnest(string_split(targets, ',')) AS target FROM x WHERE kind IS NOT NULL) SELECT k::VARCHAR AS article, source, count(DISTINCT id)::INTEGER AS n, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, string_agg(DISTINCT target, ',' ORDER BY target) AS targets, bool_or(restates) AS restates FROM t GROUP BY k, source")
+@query(f"WITH {WRITTEN_SQL}, t AS (SELECT *, id % 10 AS source, unnest(string_split(targets, ',')) AS target FROM x WHERE kind IS NOT NULL) SELECT article, source, count(DISTINCT id)::INTEGER AS n, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, string_agg(DISTINCT target, ',' ORDER BY target) AS targets, bool_or(restates) AS restates FROM t GROUP BY article, source")
 def matcher_pointers(spark, d):
     rows = amend.matcher(written(spark, d).withColumn("source", F.col("id") % 10), ["source"], "id", "text", LAW)
     return rows.select("article", "source", F.size("paragraphs").alias("n"), F.array_join("kinds", ",").alias("kinds"), F.array_join("targets", ",").alias("targets"), "restates")
@@ -174,6 +194,21 @@ def cross_references(spark, d):
     return amend.resolve(found.withColumn("steps", steps), known, ["id"], "steps", "gid", "dst")
 
 
+@query("""WITH p AS (SELECT p_partkey AS k, 1 + p_partkey % 40 AS a, 1 + (p_partkey // 3) % 45 AS b, p_size AS n, 1 + p_partkey % 50 AS q FROM part), ids AS (SELECT DISTINCT a, n FROM p), arts AS (SELECT DISTINCT a FROM p),
+r AS (SELECT a, n, a AS ra, q AS rq FROM p WHERE k % 5 = 0 UNION ALL SELECT a, n, b, q FROM p WHERE k % 5 = 1 UNION ALL SELECT a, n, unnest(range(b, b + 3)), NULL FROM p WHERE k % 5 = 3 UNION ALL SELECT a, n, b, NULL FROM p WHERE k % 5 = 4),
+f AS (SELECT DISTINCT r.a, r.n, r.ra, i.n AS rq FROM r SEMI JOIN arts ON arts.a = r.ra LEFT JOIN ids AS i ON i.a = r.ra AND i.n = r.rq)
+SELECT DISTINCT 'code:' || a || '.' || n AS src, 'code:' || ra || CASE WHEN rq IS NULL THEN '' ELSE '.' || rq END AS dst FROM f WHERE NOT (a = ra AND (rq IS NULL OR rq = n))""")
+def reference_links(spark, d):
+    """References of paragraphs to their own article, to another, to another law, to a range, and in a chain; those to the
+    paragraph itself or to its article are none."""
+    k = F.col("k")
+    p = parts(spark, d).select("k", (1 + k % 40).alias("a"), (1 + F.floor(k / 3) % 45).alias("b"), "n", (1 + k % 50).alias("q"))
+    made = ["Κατά την παρ. {q} του παρόντος, ισχύουν.", "Όπως η παρ. {q} του άρθρου {b} ορίζει.", "Κατά το άρθρο {b} του ν. 1577/1985 και το άρθρο {q} του ίδιου νόμου.", "Τα άρθρα {b} έως {c} του παρόντος Κώδικα.", "Οι παρ. 1 και 2 του άρθρου {b}, η παρ. {q} του παρόντος Τμήματος."]
+    text = F.element_at(F.array(*(_fill(x, q=F.col("q"), b=F.col("b"), c=F.col("b") + 2) for x in made)), (k % 5 + 1).cast("int"))
+    rows = p.select(_fill("code:{a}.{n}", a=F.col("a"), n=F.col("n")).alias("gid"), text.alias("text"))
+    return amend.cross_references(rows, "gid", "text")
+
+
 @query("SELECT p_partkey AS k, p_name AS term, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS also FROM part")
 def glossary_terms(spark, d):
     text = F.concat(F.col("n").cast("string"), F.lit(". «"), "p_name", F.when(F.col("k") % 2 == 0, F.concat(F.lit(" ("), "p_brand", F.lit(")"))).otherwise(""), F.lit("»: ό,τι ορίζεται εδώ."))

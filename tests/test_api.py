@@ -34,6 +34,8 @@ def test_commands(corpus):
     assert [r["gid"] for r in corpus.nearest("nok:27.9").collect()] == ["nok:27.1", "nok:27.5"]
     hits = corpus.search([[["εξωστ"]]]).collect()
     assert [(r["key"], r["best"]) for r in hits] == [("B:27", 13), ("B:270", 2)]
+    assert [r["key"] for r in corpus.search([[["Εξώστ"]]]).collect()] == ["B:27", "B:270"]
+    assert [r["article"] for r in corpus.toc("nok", "Εξώστ").collect()] == ["27"]
     assert [r["by"] for r in corpus.history("nok:27.5", "2015-01-01").collect()] == [None, "FEK-A-1-2013:3.1"]
     assert [r["by"] for r in corpus.history("nok:27").collect()][2:] == ["FEK-A-2-2016:4.1"]
     assert [r["by"] for r in corpus.changes("2013-01-01").collect()] == ["FEK-A-2-2016:4.1"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexforge.functions import amend, greek, phrases
 from lexforge.operators import numbering
 
-LAW = r"(?:του|στον)\s+ν\.\s*4067/2012"
+LAW = r"(?:(?:του|στον)\s+)?ν\.\s*4067/2012"
 
 
 def column(spark, values, f, kind="string"):
@@ -41,6 +41,13 @@ SENTENCES = [
     ("Στο άρθρο 28 του ν. 4067/2012 προστίθεται περ. γ ως εξής:", "amend", ["28.γ"], False),
     ("Οι άδειες εκδίδονται σύμφωνα με την παρ. 2 του άρθρου 6 του ν. 4067/2012.", None, None, None),
     ("Οι όροι τροποποιούνται, όπως ορίζονται σύμφωνα με την παρ. 2 του άρθρου 6 του ν. 4067/2012, κάθε έτος.", None, None, None),
+    ("Οι περ. α) και β) της παρ. 3 του άρθρου 5 του ν. 4067/2012 τροποποιούνται ως εξής:", "amend", ["5.3.α", "5.3.β"], False),
+    ("Η περ. ιδ' της παρ. 6 του άρθρου 11 του ν. 4067/2012 αντικαθίσταται ως εξής:", "amend", ["11.6.ιδ"], False),
+    ("Η περ. ιδ’ της παρ. 7Α του άρθρου 11 του ν. 4067/2012 αντικαθίσταται ως εξής:", "amend", ["11.7Α.ιδ"], False),
+    ("Στον ν. 4067/2012 (Α΄ 79) προστίθεται άρθρο 20Α ως εξής:", "amend", ["20Α"], False),
+    ("Το άρθρο 9 του ν. 4067/2012 ισχύει " + "και για κάθε άλλη περιοχή " * 17 + "χωρίς να τροποποιείται.", None, None, None),
+    ("Στο άρθρο 36 του ν. 4067/2012, το άρθρο 36 διαμορφώνεται ως εξής:", "amend", ["36"], True),
+    ("Στο άρθρο 23 παρ. δ΄ του ν. 4067/2012 προστίθενται νέες περ. α) και β).", "amend", ["23.δ", "23.δ.α", "23.δ.β"], False),
     ("Το άρθρο 3 προβλέπει «το άρθρο 4 του ν. 4067/2012 αντικαθίσταται ως εξής».", None, None, None),
 ]
 
@@ -51,6 +58,25 @@ def test_amending_sentences(spark):
         assert [(r["kind"], r["targets"], r["restates"]) for r in found] == ([(kind, targets, restates)] if kind else [])
 
 
+def test_labels(spark):
+    #: Lists and their labels.
+    known = {"2 και 4": ["2", "4"], "ιδ΄": ["ιδ"], "3α": ["3.α"], "το": [], "α), β) και γ'": ["α", "β", "γ"], "7Α, 8": ["7Α", "8"], "α έως δ": ["α", "β", "γ", "δ"], "5 έως και 7": ["5", "6", "7"], "9 έως 2": ["9", "2"], "": []}
+    assert dict(zip(known, column(spark, list(known), amend.labels), strict=True)) == known
+
+
+#: Ids and their citations.
+CITED = {
+    "224.3.β": "άρθ. 224 παρ. 3 περ. β΄", "120#1~4": "άρθ. 120", "206.6.ιστ.α": "άρθ. 206 παρ. 6 περ. ιστ΄ υποπερ. α΄", "Α5.3.7.1.α": "άρθ. 5 Κεφ. Α΄ παρ. 5.3.7.1 περ. α΄", "Β3": "άρθ. 3 Κεφ. Β΄",
+    "11.7Α": "άρθ. 11 παρ. 7Α", "224.3.4": "άρθ. 224 παρ. 3 περ. 4", "11.3.α.2": "άρθ. 11 παρ. 3 περ. α΄ υποπερ. 2", "1.α": "άρθ. 1 περ. α΄", "1.2.α.β.γ": "άρθ. 1 παρ. 2 περ. α΄ υποπερ. β΄.γ΄",
+}
+
+
+def test_citations_go_by_position(spark):
+    got = column(spark, list(CITED), lambda x: greek.cite(x, F.lit("Ν. 5306/2026"), F.lit("Α΄ 88/2026")))
+    assert got == [f"{x} ν. 5306/2026 (ΦΕΚ Α΄ 88/2026)" for x in CITED.values()]
+    assert column(spark, ["Π-Α"], lambda x: greek.cite(x, F.lit("Π.Δ. 41/2018"), F.lit("Α΄ 80/2018"), F.lit("Παράρτημα Α΄"))) == ["Παράρτημα Α΄ π.δ. 41/2018 (ΦΕΚ Α΄ 80/2018)"]
+
+
 def test_a_list_of_articles_names_them_whole(spark):
     (found,) = column(spark, ["Τα άρθρα 29 έως 31 του ν. 4067/2012 καταργούνται. Στο άρθρο 5 του ν. 4067/2012 προστίθεται παρ. 2."], lambda x: amend.amendments(x, LAW))
     assert [(r["article"], r["kind"], r["targets"]) for r in found] == [("29", "repeal", ["29"]), ("30", "repeal", ["30"]), ("31", "repeal", ["31"]), ("5", "amend", ["5.2"])]
@@ -59,6 +85,8 @@ def test_a_list_of_articles_names_them_whole(spark):
 def test_references(spark):
     text = ["της περ. β) της παρ. 3 του άρθρου 224 και του άρθρου 10 του ν. 1577/1985", "των άρθρων 183 έως 185 του παρόντος Κώδικα", "του άρθρου 7 του ίδιου νόμου"]
     got = [[tuple(r) for r in x] for x in column(spark, text, amend.references)]
+    own = ["Κατά την παρ. 3 του παρόντος άρθρου και την παρ. 4 του παρόντος Κεφαλαίου.", "της παρ. 5 του ίδιου άρθρου, του άρθρου 8 (Α΄ 79), του άρθρου 9 των προϊσχυόντων"]
+    assert [[tuple(r) for r in x] for x in column(spark, own, amend.references)] == [[("", "3", "")], [("", "5", ""), ("9", "", "")]]
     assert got == [[("224", "3", "β")], [("183", "", ""), ("184", "", ""), ("185", "", "")], []]
     refs = {"Παρ. 5 του άρθρου 27 του ν. 4067/2012, όπως ισχύει": ["27.5"], "Παρ. 1 και 2 του άρθρου 13 του ν. 4067/2012": ["13.1", "13.2"], "Άρθρο 3 του ν. 4067/2012": ["3"], "Άρθρο 3 του ν. 1577/1985": []}
     assert column(spark, list(refs), lambda x: amend.law_references(x, "4067/2012")) == list(refs.values())
@@ -70,6 +98,28 @@ def test_deepest_known_id_without_a_hole(spark):
     assert {(r["i"], r["dst"]) for r in amend.resolve(cited, known, ["i"], "steps", "gid", "dst").collect()} == {(1, "a.1.x"), (2, "a")}
 
 
+def test_links_between_paragraphs(spark):
+    rows = [("code:1.1", "Βλ. παρ. 2 του παρόντος, παρ. 1 του άρθρου 1, άρθρο 2 και παρ. 9 του άρθρου 2."), ("code:1.2", "Βλ. περ. β) της παρ. 1 του άρθρου 2."), ("code:2.1", "Κείμενο."), ("code:2.1.β", None)]
+    got = amend.cross_references(spark.createDataFrame(rows, "gid string, text string"), "gid", "text").collect()
+    assert {tuple(r) for r in got} == {("code:1.1", "code:1.2"), ("code:1.1", "code:2"), ("code:1.2", "code:2.1.β")}
+
+
+def test_four_forms_of_definitions(spark):
+    texts = {"12. «Ανοικτός εξώστης (μπαλκόνι)»: η προεξοχή.": ("Ανοικτός εξώστης", "μπαλκόνι"), "3Α. «Δώμα»: το τμήμα.": ("Δώμα", None), "5. Ανοικτός Εξώστης (μπαλκόνι) είναι η προεξοχή.": ("Ανοικτός Εξώστης", "μπαλκόνι"), "Αντίδραση στη φωτιά (πυραντίδραση): Συμπεριφορά.": ("Αντίδραση στη φωτιά", "πυραντίδραση"), "το δώμα: τμήμα": None}
+    assert [x and tuple(x) for x in column(spark, list(texts), amend.definition)] == list(texts.values())
+
+
+def test_search_text(spark):
+    from lexforge.functions import textfn
+
+    assert column(spark, ["Cα Α2-s1 Εξώστ u"], textfn.searchable) == ["cα α2-s1 εξωστ u"]
+    assert textfn.typed("Εξώστ Cα u") == "εξωστ cα u"
+    long = "αρχή " + "λέξη " * 40 + "στόχος " + "λέξη " * 60
+    (got,) = column(spark, [long], lambda x: textfn.snippet(x, F.instr(x, "στόχος")))
+    assert got.startswith("…λέξη") and got.endswith("λέξη…") and "στόχος" in got and len(got) <= 262
+    assert column(spark, ["short"], lambda x: textfn.snippet(x, F.lit(3))) == ["short"]
+
+
 def test_definitions_and_numerals(spark):
     got = column(spark, ["«Ανοικτός εξώστης (μπαλκόνι)»: η οριζόντια προεξοχή.", "α) Οικόπεδο είναι η έκταση γης.", "Χωρίς ορισμό."], amend.definition)
     assert [x and tuple(x) for x in got] == [("Ανοικτός εξώστης", "μπαλκόνι"), ("Οικόπεδο", None), None]
