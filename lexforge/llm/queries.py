@@ -23,7 +23,9 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = exact_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), exact_dedup.DigestIndex(spark))
+    index = exact_dedup.DigestIndex(spark)
+    rows = exact_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), index)
+    index.drop()
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
