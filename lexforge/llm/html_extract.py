@@ -9,7 +9,9 @@ such pages from a grammar of layouts, as none are given.
 
 Text: scripts, styles, comments and the head are never text; character references are decoded; white space inside a
 block becomes one space; blocks are joined in page order by one space. Unclosed and misnested tags are mended as
-browsers do for paragraphs, list items, cells and options. A `<` that no tag or `>` follows is text. Scanning takes time
+browsers do for paragraphs, list items, cells and options. Drawings and formulas are inline text. A class, id or role name tells by
+itself only where it is known as a whole or in each part; other parts are weaker features, weighed with the article around the
+element, its tag and the length of its text. A `<` that no tag or `>` follows is text. Scanning takes time
 in proportion to a page's length, whatever stands in it.
 
 Defined results: null and empty html, and pages without content, give ""; plain text without tags is one block of the
@@ -36,8 +38,8 @@ from .bytesnp import chunks
 CHUNK = 1 << 20
 #: Element names by role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea template iframe svg annotation select button canvas xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover mstyle semantics".split())
+RAW = frozenset("script style title textarea template iframe select button xmp noembed noframes".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover mstyle semantics annotation svg g path text tspan textpath defs use symbol circle rect line polygon polyline ellipse canvas".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tbody": {"table"}, "option": {"select"}}
@@ -65,11 +67,13 @@ WORDS = re.compile(r"[a-z]+(?:-[a-z]+)*")
 SPLIT = re.compile(r"[^a-z]+")
 
 N_TAGS = len(TAGS) + 1
-#: tag, names, then: constant, text sizes (3), link share, long and unlinked, lists' links, depth, no text, all linked.
-N_FEATURES = N_TAGS + _KINDS + 11
+#: tag, whole names, parts of names, then: constant, text sizes (3), link share, long and unlinked, lists' links, depth, no text, all
+#: linked, little text; inside an article: itself, with a telling name, with a telling part, either of them with long unlinked
+#: text, a header, a heading; a telling part on a tag of running text; the parent's telling name and part.
+N_FEATURES = N_TAGS + 2 * _KINDS + 20
 _TAG = {t: i for i, t in enumerate(TAGS)}
 #: Kinds of edges: by the child's role.
-EDGE_KINDS = 5
+EDGE_KINDS = 6
 
 
 @dataclass
@@ -78,7 +82,8 @@ class Tree:
 
     parent: list[int] = field(default_factory=list)
     tag: list[str] = field(default_factory=list)
-    names: list[frozenset] = field(default_factory=list)
+    names: list[frozenset] = field(default_factory=list)  # kinds that class, id and role names tell, whole or by each part
+    parts: list[frozenset] = field(default_factory=list)  # kinds that parts of other names tell
     marked: list[str] = field(default_factory=list)  # data-label, for labelled pages
     own: list[int] = field(default_factory=list)
     linked: list[int] = field(default_factory=list)
@@ -135,17 +140,21 @@ def parse(page: str | None, labels: bool = False) -> Tree:
     t = Tree()
 
     def node(parent: int, tag: str, attrs: str) -> int:
-        found = set()
+        found, some = set(), set()
         if attrs and "=" in attrs:
             for _, value in ATTR.findall(attrs):
                 value = value.strip("\"'").lower()
                 for w in WORDS.findall(value):
-                    for part in (w, *SPLIT.split(w)):
-                        if (k := _NAME.get(part)) is not None:
-                            found.add(k)
+                    if (k := _NAME.get(w)) is not None:
+                        found.add(k)
+                        continue
+                    parts = SPLIT.split(w)
+                    told = [_NAME[part] for part in parts if part in _NAME]
+                    (found if len(told) == len(parts) else some).update(told)
         t.parent.append(parent)
         t.tag.append(tag)
         t.names.append(frozenset(found))
+        t.parts.append(frozenset(some))
         t.own.append(0)
         t.linked.append(0)
         if labels:
@@ -257,13 +266,14 @@ def features(trees: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     x = np.zeros((n, N_FEATURES))
     tags = cat(lambda t: [_TAG.get(g, N_TAGS - 1) for g in t.tag], np.int64)
     x[np.arange(n), tags] = 1
-    i = 0
-    for t in trees:
-        for names in t.names:
-            for k in names:
-                x[i, N_TAGS + k] = 1
-            i += 1
-    at = N_TAGS + _KINDS
+    for first, get in ((N_TAGS, lambda t: t.names), (N_TAGS + _KINDS, lambda t: t.parts)):
+        i = 0
+        for t in trees:
+            for names in get(t):
+                for k in names:
+                    x[i, first + k] = 1
+                i += 1
+    at = N_TAGS + 2 * _KINDS
     share = np.where(whole > 0, whole_linked / np.maximum(whole, 1), 0.0)
     x[:, at] = 1
     x[:, at + 1] = own >= 25
@@ -276,11 +286,26 @@ def features(trees: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     x[:, at + 8] = whole == 0
     x[:, at + 9] = (share > 0.9) & (whole > 0)
     x[:, at + 10] = (own > 0) & (own < 25)
+    named = x[:, N_TAGS : N_TAGS + _KINDS - 1].any(axis=1)
+    partly = x[:, N_TAGS + _KINDS : N_TAGS + 2 * _KINDS - 1].any(axis=1)
+    inside = np.isin(tags, [_TAG["article"], _TAG["main"]]) | (x[:, N_TAGS + _KINDS - 1] > 0)
+    of_article = inside.copy()
+    for here in levels_of(depth)[1:]:  # strictly below an article, and then whether such a one is the node or above
+        inside[here] = of_article[parent[here]]
+        of_article[here] |= inside[here]
+    inside[depth == 0] = False
+    running = (own >= 40) & (share == 0)
+    headings = np.isin(tags, [_TAG[k] for k in ("h1", "h2", "h3", "h4")])
+    text_tags = np.isin(tags, [_TAG[k] for k in ("p", "h1", "h2", "h3", "h4", "li", "blockquote", "pre", "td", "dd", "figcaption")])
+    above = lambda flag: np.where(parent >= 0, flag[parent], False)
+    for k, flag in enumerate((inside, inside & named, inside & partly, inside & partly & running, inside & named & running, inside & (tags == _TAG["header"]), inside & headings, partly & text_tags, above(named) | above(partly))):
+        x[:, at + 11 + k] = flag
     kind = np.zeros(n, np.int64)
     kind[np.isin(tags, [_TAG[k] for k in ("p", "h1", "h2", "h3", "h4", "li", "blockquote", "pre", "td", "dd", "figcaption")])] = 1
     kind[np.isin(tags, [_TAG[k] for k in ("ul", "ol", "table", "tr", "figure", "dl")])] = 2
     kind[np.isin(tags, [_TAG[k] for k in ("nav", "header", "footer", "aside", "form")])] = 3
-    kind[x[:, N_TAGS : N_TAGS + _KINDS - 1].any(axis=1)] = 4
+    kind[partly] = 5
+    kind[named] = 4
     return x, parent, depth, kind
 
 
@@ -335,7 +360,7 @@ class TreeModel:
                 value += rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
 
 
-def labelled_pages(n: int = 360, seed: int = 11) -> list[tuple[str, None]]:
+def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[str, None]]:
     """Pages whose blocks carry data-label="1" for content and "0" for the rest, from a grammar of layouts."""
     rng = random.Random(seed)
     syll = "ta ri mo ne lu ka so de vi pa er on th an in es qu ou ch le".split()
@@ -353,58 +378,70 @@ def labelled_pages(n: int = 360, seed: int = 11) -> list[tuple[str, None]]:
     def pick(*options):
         return rng.choice(options)
 
+    telling = [w for kind, ws in NAMES.items() if kind != "content" for w in ws.split() if "-" not in w]
+
+    def misleading():
+        """A name of which a part tells of boilerplate, though the block is text."""
+        if rng.random() < 0.8:
+            return ""
+        return "-".join(pick([rng.choice(telling), words(1)], [words(1), rng.choice(telling)], [words(1), rng.choice(telling), words(1)]))
+
     def links(k, label=0):
         return el(pick("ul", "ul", "div"), label, "".join(el("li", label, f'<a href="/x">{words(rng.randint(1, 3))}</a>') for _ in range(k)))
 
-    def boiler():
+    def boiler(inside=False):
+        """inside: in an article, where a block of plain text has names that tell in full."""
         kind = rng.randrange(10)
         if kind == 0:
             return el("nav", 0, links(rng.randint(2, 8))) if rng.random() < 0.6 else el("div", 0, links(rng.randint(2, 8)), pick("nav", "menu", "breadcrumb", "main-menu"))
         if kind == 1:
-            return el("header", 0, el("div", 0, words(3)) + links(rng.randint(0, 4)), pick("", "masthead")) if rng.random() < 0.6 else el("div", 0, el(pick("p", "h1"), 0, words(rng.randint(1, 4))), pick("header", "topbar", "logo"))
+            return el("header", 0, el("div", 0, words(3)) + links(rng.randint(0, 4)), pick("", "masthead")) if rng.random() < 0.6 else el("div", 0, el(pick("p", "h1"), 0, words(rng.randint(1, 4))), pick("header", "topbar", "logo", "site-header", "page-logo"))
         if kind == 2:
-            return el("footer", 0, pick(words(8), el("p", 0, "&copy; 2024 " + sentence_block(1, 2)), links(4))) if rng.random() < 0.7 else el("div", 0, el("p", 0, sentence_block(1, 2)), pick("footer", "site-footer", "copyright"))
+            return el("footer", 0, pick(words(8), el("p", 0, "&copy; 2024 " + sentence_block(1, 2)), links(4))) if rng.random() < 0.7 else el("div", 0, el("p", 0, sentence_block(1, 2)), pick("footer", "site-footer", "copyright", "page-foot"))
         if kind == 3:
-            return el(pick("aside", "div", "section"), 0, el("h3", 0, words(2)) + pick(links(5), el("p", 0, sentence_block(1, 3))), pick("sidebar", "widget", "related", "right-sidebar"))
+            return el(pick("aside", "div", "section"), 0, el("h3", 0, words(2)) + pick(links(5), el("p", 0, sentence_block(1, 3))), pick("sidebar", "widget", "related", "right-sidebar", "related-posts", "trending-now"))
         if kind == 4:
-            return el("div", 0, pick(sentence_block(1, 3), el("p", 0, sentence_block(1, 3)) + "<button>ok</button>"), pick("cookie-notice", "notice", "newsletter", "cookie-consent", "alert"))
+            return el("div", 0, pick(sentence_block(1, 3), el("p", 0, sentence_block(1, 3)) + "<button>ok</button>"), pick("cookie-notice", "notice", "newsletter", "cookie-consent", "alert", "newsletter-signup", "gdpr-popup"))
         if kind == 5:
-            return el(pick("div", "div", "aside"), 0, pick(sentence_block(1, 4), el("p", 0, sentence_block(1, 3)), f'<a href="x">{words(4)}</a>'), pick("ad", "ads", "advert", "promo", "sponsor", "ad-box"))
+            return el(pick("div", "div", "aside"), 0, pick(sentence_block(1, 4), el("p", 0, sentence_block(1, 3)), f'<a href="x">{words(4)}</a>'), pick("ad", "ads", "advert", "promo", "sponsor", *(() if inside else ("ad-box", "ad-slot", "sponsor-line"))))
         if kind == 6:
             return el("form", 0, el("p", 0, words(4)) + f'<label>{words(2)}</label><input name="q"><button>go</button>', pick("", "search"))
         if kind == 7:
             one = lambda: el(pick("div", "li", "p"), 0, el("p", 0, sentence_block(1, 4)), pick("comment", "", "reply"))
-            return el(pick("section", "div", "ol"), 0, el("h3", 0, words(2)) + "".join(one() for _ in range(rng.randint(1, 4))), pick("comments", "comment-list", "discussion"))
+            return el(pick("section", "div", "ol"), 0, el("h3", 0, words(2)) + "".join(one() for _ in range(rng.randint(1, 4))), pick("comments", "comment-list", "discussion", "user-comments"))
         if kind == 8:
-            return el("div", 0, links(3), pick("share", "social", "tags", "pagination"))
+            return el("div", 0, links(3), pick("share", "social", "tags", "pagination", "share-buttons", "social-links", "tags-list"))
         return el("aside", 0, el("p", 0, sentence_block(1, 2)))
 
     def content():
-        parts = [el("h1", 1, words(rng.randint(1, 12)))] if rng.random() < 0.85 else []
+        title = el("h1", 1, words(rng.randint(1, 12)), misleading())
+        if rng.random() < 0.2:
+            title = el("header", 1, title + pick("", el("p", 1, words(rng.randint(2, 20)))), misleading())
+        parts = [title] if rng.random() < 0.85 else []
         plain = rng.random() < 0.25  # without punctuation
         short = rng.random() < 0.2  # mostly short lines
         for _ in range(rng.randint(1, 25 if short else 12)):
             r = rng.random()
             if short and r < 0.85:
-                parts.append(el("p", 1, pick("", "<b>") + words(rng.randint(1, 3))))
+                parts.append(el("p", 1, pick("", "<b>") + words(rng.randint(1, 3)), misleading()))
             elif plain and r < 0.8:
-                parts.append(el("p", 1, pick("", "", "<b>") + " | ".join(words(rng.randint(1, 80)) for _ in range(pick(1, 1, 4)))))
+                parts.append(el("p", 1, pick("", "", "<b>") + " | ".join(words(rng.randint(1, 80)) for _ in range(pick(1, 1, 4))), misleading()))
             elif r < 0.7:
-                parts.append(el("p", 1, pick("", "", "<b>") + pick(sentence_block(1, 6), sentence_block(1, 6), words(rng.randint(1, 5)), f'{sentence_block(1, 2)} <a href="x">{words(3)}</a> {sentence_block(1, 2)}')))
+                parts.append(el("p", 1, pick("", "", "<b>") + pick(sentence_block(1, 6), sentence_block(1, 6), words(rng.randint(1, 5)), f'{sentence_block(1, 2)} <a href="x">{words(3)}</a> {sentence_block(1, 2)}'), misleading()))
             elif r < 0.78:
-                parts.append(el(pick("h2", "h3"), 1, words(rng.randint(1, 6))))
+                parts.append(el(pick("h2", "h3"), 1, words(rng.randint(1, 6)), misleading()))
             elif r < 0.86:
-                parts.append(el(pick("ul", "ol"), 1, "".join(el("li", 1, sentence_block(1, 2)) for _ in range(rng.randint(2, 5)))))
+                parts.append(el(pick("ul", "ol"), 1, "".join(el("li", 1, sentence_block(1, 2)) for _ in range(rng.randint(2, 5))), misleading()))
             elif r < 0.9:
                 parts.append(el("blockquote", 1, el("p", 1, sentence_block(1, 2))))
             elif r < 0.94:
                 parts.append(el("table", 1, "".join(el("tr", 1, el("td", 1, words(2)) + el("td", 1, words(3))) for _ in range(3))))
-            elif r < 0.97:
+            elif r < 0.96:
                 parts.append(el("figure", 1, '<img src="x">' + el("figcaption", 1, sentence_block(1, 1))))
             else:
-                parts.append(el("div", 1, el("p", 1, sentence_block(1, 3))))
-            if rng.random() < 0.07:
-                parts.append(boiler())
+                parts.append(el(pick("div", "section"), 1, pick(el("p", 1, sentence_block(1, 3)), sentence_block(1, 4)), misleading()))
+            if rng.random() < 0.1:
+                parts.append(boiler(True))
         body = "".join(parts)
         if rng.random() < 0.3:
             body = el("div", 1, body, pick("", "entry", "text", "content"))
