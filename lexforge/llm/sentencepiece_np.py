@@ -257,7 +257,7 @@ class Encoder:
                 if size == 1:
                     known[hit] = True
             alone = np.flatnonzero(~known)
-            found.append((alone, np.ones(len(alone), np.int64), base + codes[alone, j - 1], np.full(len(alone), t["unknown_score"])))
+            found.insert(0, (alone, np.ones(len(alone), np.int64), base + codes[alone, j - 1], np.full(len(alone), t["unknown_score"])))
             row, size, sym, score = (np.concatenate(x) for x in zip(*found, strict=True))
             if bpe and j > 1:
                 last = piece[j - size, row]
@@ -270,7 +270,7 @@ class Encoder:
             score = score + best[j - size, row]
             np.maximum.at(best[j], row, score)
             top = score == best[j, row]
-            back[j, row[top]], piece[j, row[top]] = size[top], sym[top]
+            back[j, row[top]], piece[j, row[top]] = size[top], sym[top]  # sizes rise, so the longest of equal scores stays
         rows = np.arange(n)
         path, counts, at = np.full((n, width), -1, dtype=np.int64), np.zeros(n, np.int64), np.full(n, width)
         while rows.size:
@@ -308,7 +308,7 @@ class Encoder:
                         self.stay[before, sym] = bool(self._apart(np.array([before]), np.array([sym]))[0])
                     if not self.stay[before, sym]:
                         continue
-                if score + best[j - size] > top[0]:
+                if score + best[j - size] >= top[0]:  # of equal scores the longest last piece, as in `_viterbi`
                     top = (score + best[j - size], size, sym)
             best.append(top[0])
             back.append(top[1])
