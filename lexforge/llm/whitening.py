@@ -166,7 +166,7 @@ def covariance(fit: DataFrame, centre: Centre) -> np.ndarray:
     k = len(centre.whole)
     v = np.zeros((k, k))
     sums = fit.mapInArrow(run, "line long, part long, high array<double>, low array<double>")
-    for r in merged(sums, ["line"], ["high", "low"], add_pairs).toLocalIterator():
+    for r in merged(sums, ["line"], ["high", "low"], add_pairs).collect():
         high, low = np.array(r["high"]), np.array(r["low"])
         q = high / centre.n
         p, e = two_product(q, float(centre.n))
