@@ -11,7 +11,8 @@ running sums of its segments), positions (restarting at 0 in each segment, littl
 (the token of its document at which each segment begins), so `unpack` gives the documents back.
 
 Defined results: null and empty texts are the end id alone; equal pieces keep the input's order; repeated rows
-are packed as often as they stand; an empty table gives no rows; extra columns aren't read.
+are packed as often as they stand; null ids are packed under a null id, and `unpack` joins what shares an id, null
+included, in the order of the starts; very long texts are cut into rows; an empty table gives no rows; extra columns aren't read.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ Training rows are bounded: `per_class` documents of each class, whole texts. Sco
 Defined results: null and empty texts, and texts without letters, have no evidence and get the curve's value at zero
 evidence, at most 0.5; without labels of both classes all scores are 0; repeated rows, and ids that repeat or are null,
 get a row each and equal texts equal scores; an empty table gives no rows; very long texts are read whole; extra columns
-aren't read. A label under several values for one id counts once for each. The model's size is bounded by the sample, so it is broadcast.
+aren't read. A label above 0 counts as 1; an id under several labels counts once for each. The model's size is bounded by the sample, so it is broadcast.
 """
 
 from __future__ import annotations

@@ -98,6 +98,40 @@ def test_exact_dedup(spark, docs):
             assert bytes(got[i]["digest"]).hex() == hashlib.sha256(t.encode()).hexdigest()
     again = exact_dedup.dedup(docs.filter("doc_id < 50"), index)
     assert again.filter("kept").count() == 0
+    index.drop()
+
+
+def test_a_batch_that_runs_again_keeps_its_rows(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    docs = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b"), (4, "c")], "doc_id long, text string")
+    rows = lambda df: sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in df.collect())
+    first = rows(exact_dedup.dedup(docs, exact_dedup.DigestIndex(spark, path, 3), batch="b1"))
+    assert first == [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True), (4, 4, 1, True)]
+    spark.conf.set("spark.sql.shuffle.partitions", "7")  # another setting doesn't change the index
+    try:
+        index = exact_dedup.DigestIndex(spark, path)
+        assert index.buckets == 3
+        assert rows(exact_dedup.dedup(docs, index, batch="b1")) == first
+        assert index.read().count() == 3
+        later = spark.createDataFrame([(9, "B"), (8, "d")], "doc_id long, text string")
+        assert rows(exact_dedup.dedup(later, index, batch="b2")) == [(8, 8, 1, True), (9, 3, 1, False)]
+        assert rows(exact_dedup.dedup(docs, index)) == [(i, k, n, False) for i, k, n, _ in first]  # other rows, all known
+        index.close()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, path, 4)
+
+
+def test_a_batch_of_which_a_part_was_appended(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"t{i % 7}") for i in range(30)], "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", 2)
+    whole = exact_dedup.DigestIndex(spark)
+    want = sorted(map(tuple, exact_dedup.dedup(docs, whole, batch="b").select("doc_id", "keep_id", "group_size", "kept").collect()))
+    index.append(whole.read().filter("keep_id % 2 = 0"))
+    whole.drop()
+    got = exact_dedup.dedup(docs, index, batch="b").select("doc_id", "keep_id", "group_size", "kept").collect()
+    assert sorted(map(tuple, got)) == want and index.read().count() == 7
 
 
 def plain_counts(t):
@@ -254,6 +288,14 @@ def test_unigram_viterbi_finds_the_best_path():
     assert enc.encode(["az", "  a   a "]) == [[5, 0], [5, 5]]
 
 
+def test_equal_scores_go_to_the_longest_last_piece_at_every_length():
+    pieces = {"▁": -1.0, "a": -2.0, "b": -2.5, "ab": -4.5}
+    m = sentencepiece_np.Model(pieces=["<unk>", *pieces], scores=[0.0, *pieces.values()], kinds=[2] + [1] * len(pieces), kind=1, dummy_prefix=True, squeeze=True)
+    enc = sentencepiece_np.Encoder(sentencepiece_np.prepare(m))
+    for k in (1, 5, 20, 30, 60):
+        assert enc.encode(["ab" * k]) == [[1] + [4] * k]
+
+
 def test_lookup_equals_a_dictionary():
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(0, 1 << 62, 5000))
@@ -447,6 +489,37 @@ def test_html_text(html_model):
     assert sum((a > 0.5) == b for a, b in zip(p, labels, strict=True)) >= 0.95 * len(labels)
 
 
+NAMES = "notice-period tags-history form-of-verb share-price header-note social-policy popular-music ad-hoc comment-on-law".split()
+BLOCK = "Every contract ends after thirty days, unless both sides agree in writing to go on. That holds for all of them."
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("tag", ["p", "div", "section", "h2"])
+def test_a_name_alone_drops_no_article_block(html_model, name, tag):
+    inner = f"<p>{BLOCK}" if tag == "section" else BLOCK
+    page = f"<body><nav><ul><li><a href=/>Home</a></li><li><a href=/b>B</a></li></ul></nav><article><h1>Head</h1><p>First words of it.</p><{tag} class='{name}'>{inner}</{tag}><p>Last words.</p></article><footer>site</footer></body>"
+    assert html_extract.extract(html_model, [page]) == [f"Head First words of it. {BLOCK} Last words."]
+
+
+def test_headers_and_drawings_of_an_article(html_model):
+    body = "<header class=entry-header><h1>Big head</h1><p>By a writer</p></header><p>Area <svg><text>x squared</text></svg>, <canvas>fallback words</canvas> and <math><semantics><mi>y</mi><annotation>y</annotation></semantics></math>.</p>"
+    page = f"<header><div>Site name here</div><ul><li><a href=x>Home</a></li></ul></header><article>{body}</article>"
+    assert html_extract.extract(html_model, [page]) == ["Big head By a writer Area x squared, fallback words and yy."]
+
+
+@pytest.mark.parametrize("block", ["<div class='share-buttons'><a href=x>Share</a> <a href=y>Tweet</a></div>", "<section id=comments><p>I like it very much, thank you for the text.</p></section>", "<aside class=related><h3>Related</h3><ul><li><a href=a>One</a></li></ul></aside>", "<div class=ad>Buy now, buy this fine thing.</div>", "<div class='cookie-notice'>We use cookies on this page for your comfort.</div>"])
+def test_blocks_in_an_article_that_are_none_of_it(html_model, block):
+    page = f"<article><h1>Head</h1><p>Text of some length follows here, as it does.</p>{block}<p>More of it.</p></article>"
+    assert html_extract.extract(html_model, [page]) == ["Head Text of some length follows here, as it does. More of it."]
+
+
+def test_all_pages_give_their_article(html_model, spark):
+    rows = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    for page, got in zip(rows, html_extract.extract(html_model, rows), strict=True):
+        want = html.unescape(re.sub("<[^>]*>", " ", re.search("<article>(.*?)</article>", page, re.S)[1]))
+        assert "".join(got.split()) == "".join(want.split())
+
+
 def test_odd_markup_keeps_the_text(html_model):
     body = "<p>The paragraph that follows has enough words to be a text of its own.</p>"
     for page, want in (
