@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lexforge.llm import exact_dedup, jaccard_join, mixing, quality_rules, sentencepiece_np
 from lexforge.llm.joins import without_ids
-from lexforge.session import materialize, table
+from lexforge.session import Block, materialize, remove, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -27,7 +27,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    return exact_dedup.drop_copies(docs, exact_dedup.DigestIndex(spark))
+    index = exact_dedup.DigestIndex(spark)
+    try:
+        return exact_dedup.drop_copies(docs, index)
+    finally:
+        index.drop()
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +65,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Only the table that it reads is left; a stage's own tables and its input go once it is written."""
+    docs, before = table(spark, sf_dir, "documents"), ""
     for name, stage in STAGES[:-1]:
-        docs = materialize(spark, stage(spark, docs, sf_dir), f"stage-{name}")
+        with Block(spark) as block:
+            docs = block.keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            remove(spark, before)
+        before = block.kept
     return STAGES[-1][1](spark, docs, sf_dir)
