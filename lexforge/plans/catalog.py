@@ -502,15 +502,15 @@ def pagination(spark, d):
     return pages.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-def queries():
-    from . import commands, documents
-    from . import provisions as more
+def _others():
+    from . import commands, documents, printed, provisions
 
-    return dict(QUERIES) | more.queries() | commands.queries() | documents.queries()
+    return (provisions, commands, documents, printed)
 
 
-def oracle_sql():
-    from . import commands, documents
-    from . import provisions as more
+def queries():
+    return dict(QUERIES) | {k: q for m in _others() for k, q in m.queries().items()}
 
-    return dict(ORACLES) | more.oracle_sql() | commands.oracle_sql() | documents.oracle_sql()
+
+def oracle_sql():
+    return dict(ORACLES) | {k: q for m in _others() for k, q in m.oracle_sql().items()}
