@@ -332,6 +332,22 @@ def law_references(text: str | None, law: str) -> list[str]:
     return out
 
 
+def laws_named(text: str | None, but: str, since: int) -> list[dict]:
+    """law (n/yyyy) and article of each reference to one article of a law from a year on; a stray number may stand between."""
+    ts = tokens(text or "")
+    out = []
+    for chain in chains(ts):
+        articles, at = chain.labels("article"), chain.after
+        if at < len(ts) and ts[at].number and len(ts[at].text) <= 2:
+            at += 1
+        after = [t.low for t in ts[at : at + 6]]
+        if len(articles) == 1 and len(after) == 6 and after[:3] == ["του", "ν", "."] and after[4] == "/" and after[5].isdigit():
+            law = f"{after[3]}/{after[5]}"
+            if law != but and int(after[5]) >= since:
+                out.append({"law": law, "article": articles[0]})
+    return out
+
+
 def label_list(text: str | None) -> list[str]:
     """Numbers and numerals of a list; other words go."""
     ts, out, i = tokens(text or ""), [], 0

@@ -503,9 +503,9 @@ def pagination(spark, d):
 
 
 def _others():
-    from . import commands, documents, printed, provisions
+    from . import codes, commands, documents, printed, provisions
 
-    return (provisions, commands, documents, printed)
+    return (provisions, commands, documents, printed, codes)
 
 
 def queries():
