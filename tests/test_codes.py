@@ -16,10 +16,11 @@ TABLE = [
     "1234",
     "          Περ. ιε) Παρ. 5 του άρθρου 27" + " " * 80 + "Άρθρο 3 του βασικού",
     "          του ν. 4067/2012. Παρ. 8 του άρθρου 27 του ν. 4067/2012.",
+    "          Περ. Παρ. 22 του άρθρου 2 του ν. 1577/1985. 40Α",
     "Άρθρο",
-    "2         Παρ. 10 Το άρθρο 3 του ν. 4067/2012. Περ. Παρ. 22 του άρθρου 2 του ν. 1577/1985. 40Α",
+    "2         Παρ. 10 Το άρθρο 3 του ν. 4067/2012.",
     "          Παρ. 1 Παρ. 1 και 2 του άρθρου 13 του ν. 4067/2012, με το άρθρο 7 1 του ν. 4315/2014.",
-    "Άρθρο 3   Παρ. 2 Άρθρο 3 του ν. 4067/2012. E Παρ. 3 Εδάφιο άλλο.",
+    "Άρθρο 3   Παρ. 2 Άρθρο 3 του ν. 4067/2012. E Παρ. 3 Εδάφ. άλλο.",
 ]
 
 
@@ -30,14 +31,14 @@ def test_entries(spark):
         ("1", 1, "α) έως ιδ)", "Περ. α) έως ιδ)", "Άρθρο 1 του ν. 4447/2016, όπως ισχύει (Α΄ 241)."),
         ("1", 2, "ιε)", "Περ. ιε)", "Παρ. 5 του άρθρου 27 του ν. 4067/2012."),
         ("1", 3, "ιε)", "Περ. ιε)", "Παρ. 8 του άρθρου 27 του ν. 4067/2012."),
+        ("1", 4, "40Α", "Περ. 40Α", "Παρ. 22 του άρθρου 2 του ν. 1577/1985."),
         ("2", 1, "10", "Παρ. 10", "Το άρθρο 3 του ν. 4067/2012."),
-        ("2", 2, "40Α", "Περ. 40Α", "Παρ. 22 του άρθρου 2 του ν. 1577/1985."),
         ("3", 1, "1", "Παρ. 1", "Παρ. 1 και 2 του άρθρου 13 του ν. 4067/2012, με το άρθρο 7 1 του ν. 4315/2014."),
         ("3", 2, "2", "Παρ. 2", "Άρθρο 3 του ν. 4067/2012."),
-        ("3", 3, "3", "Παρ. 3", "Εδάφιο άλλο."),
+        ("3", 3, "3", "Παρ. 3", "Εδάφ. άλλο."),
     ]
     refs = crosswalk.provisions(crosswalk.entries(table, ["doc"]), ["doc"], "4067/2012", 2012).orderBy("code_article", "seq").collect()
-    assert [r["codified"] for r in refs] == [[], ["27.5"], ["27.8"], ["3"], [], ["13.1", "13.2"], ["3"], []]
+    assert [r["codified"] for r in refs] == [[], ["27.5"], ["27.8"], [], ["3"], ["13.1", "13.2"], ["3"], []]
     assert [[tuple(x) for x in r["amended_by"]] for r in refs][5] == [("4315/2014", "7")]
 
 
