@@ -90,6 +90,28 @@ def cross_references(paragraphs: DataFrame, gid: str, text: str) -> DataFrame:
     return links.filter(apart)
 
 
+def fire_links(paragraphs: DataFrame, gid: str, text: str) -> DataFrame:
+    """src, dst: references between paragraphs of the fire code (`fire:Α5.3.2`), each to the deepest paragraph that there is on the
+    way to it, or to its article; those to a part of the paragraph, or to what it is a part of, are none."""
+    local = F.element_at(F.split(gid, ":", 2), 2)
+    read = F.pandas_udf(_fire_read, STRINGS)
+    cited = paragraphs.select(F.col(gid).alias("src"), F.explode(read(F.col(text), F.left(local, F.lit(1)))).alias("x")).select("src", F.concat(F.lit("fire:"), "x").alias("cited")).distinct()
+    articles = paragraphs.select(F.element_at(ids.ancestors(F.col(gid)), 1).alias("known"))
+    known = paragraphs.select(F.col(gid).alias("known")).unionByName(articles)
+    links = ids.deepest_known(cited, known, ["src", "cited"], "cited", "known", "dst").select("src", "dst").distinct()
+    apart = ~F.array_contains(ids.ancestors(F.col("src")), F.col("dst")) & ~F.array_contains(ids.ancestors(F.col("dst")), F.col("src"))
+    return links.filter(apart)
+
+
+def _fire_read(texts: pd.Series, chapters: pd.Series) -> pd.Series:
+    return pd.Series([citations.fire_references(t, c) for t, c in zip(texts, chapters, strict=True)], dtype=object)
+
+
+def internal_refs(articles: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, cited: the articles of its own law that each article's own text refers to, but itself."""
+    return articles.select(*keys, F.explode(_batched(citations.internal_numbers, STRINGS, F.col(text))).alias("cited")).distinct()
+
+
 def synonym_groups(terms: DataFrame, term: str, also: str) -> DataFrame:
     """The different pairs of search stems of terms and their other names; abbreviations are none."""
     from .phrases import stem

@@ -59,9 +59,10 @@ class Token:
         self.number = self.text[0].isdigit()
 
 
-def tokens(text: str) -> list[Token]:
-    """Numbers with a letter after them, words, and single marks."""
-    return [Token(m[0], m.start()) for m in re.finditer(r"\d+[^\W\d_]?(?![^\W\d_])|\d+|[^\W\d_]+|[^\w\s]", text)]
+def tokens(text: str, decimals: bool = False) -> list[Token]:
+    """Numbers with a letter after them, words, and single marks; with `decimals`, decimal numbers as one token."""
+    first = r"\d+(?:\.\d+)+|" if decimals else ""
+    return [Token(m[0], m.start()) for m in re.finditer(first + r"\d+[^\W\d_]?(?![^\W\d_])|\d+|[^\W\d_]+|[^\w\s]", text)]
 
 
 def label_of(token: Token) -> str | None:
@@ -332,6 +333,93 @@ def law_references(text: str | None, law: str) -> list[str]:
     return out
 
 
+#: Fixed values, folded: words for a chapter, for an annex; letters of the fire code's chapters and annexes.
+CHAPTER_WORDS, ANNEX_WORDS, CHAPTERS, ANNEXES = {"κεφαλαιου", "κεφ"}, {"παραρτημα", "παραρτηματοσ"}, "ΑΒΓ", "ΑΒΓΔ"
+
+
+def _chapter(ts: list[Token], at: int) -> tuple[str, int]:
+    """(letter, token after it) of `[του] Κεφαλαίου Α΄`; an empty letter if none follows."""
+    k = at + (at < len(ts) and ts[at].low in ("του", "των"))
+    if k < len(ts) and ts[k].low in CHAPTER_WORDS:
+        k += 1 + (k + 1 < len(ts) and ts[k + 1].text == ".")
+        if k < len(ts) and ts[k].text in CHAPTERS:
+            return ts[k].text, k + 1
+    return "", at
+
+
+def fire_references(text: str | None, chapter: str) -> list[str]:
+    """Local ids that a text of the fire code refers to: decimal paragraphs, articles with their chapter (this one, or the general
+    provisions, chapter Α), annexes. A decimal paragraph starts with its article's number."""
+    ts = tokens(text or "", decimals=True)
+    out = []
+    for i, t in enumerate(ts):
+        level = UNIT.get(t.low)
+        at = i + 1 + (i + 1 < len(ts) and ts[i + 1].text == ".")
+        if level == "paragraph" and at < len(ts) and "." in ts[at].text and ts[at].number:
+            path, at = ts[at].text, at + 1
+            at += at < len(ts) and ts[at].text == "."
+            if [x.low for x in ts[at : at + 2]] == ["του", "αρθρου"] and at + 2 < len(ts) and ts[at + 2].number:
+                at += 3
+            letter, at = _chapter(ts, at)
+            if not elsewhere(ts, at):
+                out.append(f"{letter or chapter}{path}")
+        elif level == "article":
+            labels, at = listed(ts, i + 1, CITED_SPAN + 1)
+            letter, after = _chapter(ts, at)
+            words = [x.low for x in ts[at + (at < len(ts) and ts[at].low in ("του", "των")) :][:2]]
+            if not letter:
+                letter = chapter if words in (["παροντοσ", "κεφαλαιου"],) else "Α" if words == ["γενικων", "διαταξεων"] else ""
+                after = at + 3
+            if letter and not elsewhere(ts, after):
+                out += [f"{letter}{x}" for x in labels if x.isdigit()]
+        elif t.low in ANNEX_WORDS and i + 1 < len(ts) and ts[i + 1].text in ANNEXES and not elsewhere(ts, i + 2):
+            out.append(f"Π-{ts[i + 1].text}")
+    return list(dict.fromkeys(out))
+
+
+#: Fixed value: within so many characters after its numbers a law claims a reference.
+LAW_REACH = 80
+
+
+def _law_named(ts: list[Token], at: int) -> bool:
+    """Whether a law's name begins at a token."""
+    words = [t.low for t in ts[at : at + 4]]
+    if words[:1] == ["απο"]:
+        return len(ts) > at + 1 and ts[at + 1].number
+    letters = words[0] in {"ν", "β", "α", "π", "κ"} and words[1:2] == ["."] if words else False
+    return letters or bool(words) and (words[0] in {"νομου", "κωδικα", "κυα", "νοκ", "υπ", "συνταγματοσ"} or ts[at].text[0].isupper() and words[1:2] == ["κωδικα"])
+
+
+def internal_numbers(text: str | None) -> list[str]:
+    """Articles of its own law that an article's text refers to. A law that is named within LAW_REACH characters claims the numbers
+    before it, and those of the references that are joined to them; quotations don't count."""
+    plain = unquoted(text or "")
+    ts = tokens(plain)
+    found = []  # first token, token after, numbers
+    for i, t in enumerate(ts):
+        if UNIT.get(t.low) == "article":
+            labels, after = listed(ts, i + 1)
+            numbers = [m[0] for x in labels if (m := re.match(r"\d+", x))]
+            if numbers:
+                found.append((i, after, numbers))
+    foreign = []
+    for _, after, _ in found:
+        words = [t.low for t in ts[after : after + 2]]
+        own = words[:1] in (["του"], ["τησ"]) and words[1:2] in (["παροντοσ"], ["παρουσασ"], ["ιδιου"])
+        end = ts[after - 1].end + LAW_REACH
+        near = [k for k in range(after, len(ts)) if ts[k].start < end]
+        near = near[: next((n for n, k in enumerate(near) if UNIT.get(ts[k].low) == "article"), len(near))]
+        claimed = any(ts[k].low in ("του", "τησ", "των") and _law_named(ts, k + 1) for k in near)
+        direct = bool(words) and (words[0] == "(" or words == ["ν", "."])
+        foreign.append(direct or not own and claimed)
+    joints = {"το", "του", "τα", "των", "στο", "στα"}
+    for k in range(len(found) - 2, -1, -1):
+        between = [t.low for t in ts[found[k][1] : found[k + 1][0]]]
+        joined = between[:1] in ([","], ["και"]) and (len(between) == 1 or len(between) == 2 and between[1] in joints)
+        foreign[k] |= foreign[k + 1] and joined
+    return list(dict.fromkeys(n for (_, _, numbers), out in zip(found, foreign, strict=True) if not out for n in numbers))
+
+
 def laws_named(text: str | None, but: str, since: int) -> list[dict]:
     """law (n/yyyy) and article of each reference to one article of a law from a year on; a stray number may stand between."""
     ts = tokens(text or "")

@@ -44,6 +44,14 @@ def longest_prefix(cited: DataFrame, known: DataFrame, keys: list[str], cited_id
     return candidates.join(have, "_cand", "left_semi").groupBy(*keys).agg(F.max_by("_cand", F.length("_cand")).alias(out))
 
 
+def deepest_known(cited: DataFrame, known: DataFrame, keys: list[str], cited_id: str, known_id: str, out: str) -> DataFrame:
+    """keys and the longest id on the way to a cited one that is itself known, whatever is missing in between: candidate
+    prefixes, a semi-join, the longest. Citations without one have no row."""
+    candidates = cited.select(*keys, F.explode(ancestors(F.col(cited_id))).alias("_cand"))
+    have = known.select(F.col(known_id).alias("_cand")).distinct()
+    return candidates.join(have, "_cand", "left_semi").groupBy(*keys).agg(F.max_by("_cand", F.length("_cand")).alias(out))
+
+
 def related_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
     """Pairs of rows of which either id is within the other; equal ids give one row."""
     down = within_join(b, a, b_id, a_id).filter(F.col(a_id) != F.col(b_id)).select(*a.columns, *b.columns)

@@ -209,6 +209,32 @@ def reference_links(spark, d):
     return amend.cross_references(rows, "gid", "text")
 
 
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 3 AS c, 1 + p_partkey % 25 AS a, p_size AS n, 1 + (p_partkey // 5) % 25 AS b, 1 + (p_partkey // 3) % 60 AS q FROM part), ids AS (SELECT DISTINCT ['Α', 'Β', 'Γ'][1 + c] AS ch, a, n FROM p), arts AS (SELECT DISTINCT ch, a FROM ids),
+r AS (SELECT ['Α', 'Β', 'Γ'][1 + c] AS ch, a, n, ['Α', 'Β', 'Γ'][1 + c] AS rc, b AS ra, q AS rq FROM p WHERE k % 5 = 0 UNION ALL SELECT ['Α', 'Β', 'Γ'][1 + c], a, n, 'Β', b, q FROM p WHERE k % 5 = 1 UNION ALL SELECT ['Α', 'Β', 'Γ'][1 + c], a, n, 'Γ', unnest([b, b + 1]), NULL FROM p WHERE k % 5 = 2 UNION ALL SELECT ['Α', 'Β', 'Γ'][1 + c], a, n, 'Α', b, NULL FROM p WHERE k % 5 = 3),
+f AS (SELECT DISTINCT r.ch, r.a, r.n, r.rc, r.ra, i.n AS rq FROM r SEMI JOIN arts ON arts.ch = r.rc AND arts.a = r.ra LEFT JOIN ids AS i ON i.ch = r.rc AND i.a = r.ra AND i.n = r.rq)
+SELECT 'fire:' || ch || a || '.' || n AS src, 'fire:' || rc || ra || CASE WHEN rq IS NULL THEN '' ELSE '.' || rq END AS dst FROM f WHERE NOT (ch = rc AND a = ra AND (rq IS NULL OR rq = n))""")
+def fire_links(spark, d):
+    """Decimal references with two levels too many, chapters named or understood, and other acts'."""
+    k = F.col("k")
+    p = parts(spark, d).select("k", _pick(["Α", "Β", "Γ"], k % 3).alias("ch"), (1 + k % 25).alias("a"), "n", (1 + F.floor(k / 5) % 25).alias("b"), (1 + F.floor(k / 3) % 60).alias("q"))
+    made = ["Κατά την παρ. {b}.{q}.7.1 του άρθρου {b}, ισχύουν.", "Όπως η παράγραφος {b}.{q}. του Κεφαλαίου Β΄ ορίζει.", "Κατά τα άρθρα {b} και {c} του Κεφαλαίου Γ, όχι του άρθρου {b}.", "Το άρθρο {b} των Γενικών Διατάξεων.", "Το άρθρο {b} του Κεφαλαίου Α΄ του π.δ. 71/1988 και η παρ. {b}.{q} του ν. 1/1990."]
+    text = F.element_at(F.array(*(_fill(x, q=F.col("q"), b=F.col("b"), c=F.col("b") + 1) for x in made)), (k % 5 + 1).cast("int"))
+    return amend.fire_links(p.select(_fill("fire:{ch}{a}.{n}", ch=F.col("ch"), a=F.col("a"), n=F.col("n")).alias("gid"), text.alias("text")), "gid", "text")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey // 60 AS act, 1 + p_partkey % 60 AS a, 1 + p_size AS b FROM part), r AS (SELECT act, a, unnest(range(b, b + 4)) AS cited FROM p WHERE k % 4 = 0 UNION ALL SELECT act, a, b FROM p WHERE k % 4 = 2 UNION ALL SELECT act, a, unnest([b, b + 5]) FROM p WHERE k % 4 = 3), h AS (SELECT act, a FROM p WHERE k % 13 = 0)
+SELECT DISTINCT r.act, r.a::VARCHAR AS article FROM r SEMI JOIN h ON h.act = r.act AND h.a = r.cited ANTI JOIN h AS g ON g.act = r.act AND g.a = r.a""")
+def related_articles(spark, d):
+    """Articles that refer to a hit article of their own act: a law that is named claims the numbers joined before it."""
+    k = F.col("k")
+    p = parts(spark, d).select("k", F.floor(k / 60).alias("act"), (1 + k % 60).cast("string").alias("article"), (1 + F.col("n")).alias("b"))
+    made = ["Κατά τα άρθρα {b} έως και {to} του παρόντος.", "Τα άρθρα {b} έως {to} και το άρθρο {to} του ν. 719/1977 ισχύουν.", "Το άρθρο {b} ισχύει. Κατά το «άρθρο {to}» και το άρθρο 9 του Ποινικού Κώδικα.", "Τα άρθρα {b} και {five}α."]
+    text = F.element_at(F.array(*(_fill(x, b=F.col("b"), to=F.col("b") + 3, five=F.col("b") + 5) for x in made)), (k % 4 + 1).cast("int"))
+    refs = amend.internal_refs(p.withColumn("text", text), ["act", "article"], "text")
+    hits = p.filter(k % 13 == 0).select("act", "article")
+    return provisions.refers_to_hits(refs, hits, "act", "article", "cited")
+
+
 @query("SELECT p_partkey AS k, p_name AS term, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS also FROM part")
 def glossary_terms(spark, d):
     text = F.concat(F.col("n").cast("string"), F.lit(". «"), "p_name", F.when(F.col("k") % 2 == 0, F.concat(F.lit(" ("), "p_brand", F.lit(")"))).otherwise(""), F.lit("»: ό,τι ορίζεται εδώ."))
@@ -245,13 +271,14 @@ def commencement_rules(spark, d):
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_partkey, l_suppkey, l_shipdate, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS pos FROM lineitem)
-SELECT l_orderkey, pos::INTEGER AS pos, l_orderkey || '.' || ((pos - 1) // 3 + 1) || CASE (pos - 1) % 3 WHEN 0 THEN '' WHEN 1 THEN '.α' ELSE '#1' END AS pid FROM l""")
+SELECT l_orderkey, pos::INTEGER AS pos, l_orderkey || '.' || ((pos - 1) // 3 + 1) || CASE (pos - 1) % 3 WHEN 0 THEN '' WHEN 1 THEN '.α' ELSE CASE WHEN ((pos - 1) // 3) % 2 = 0 THEN '#1' ELSE '.α#1' END END AS pid FROM l""")
 def paragraph_numbers(spark, d):
-    """An order as an article: each three lines are a numbered paragraph, a clause of it, and a text without a number."""
+    """An order as an article: each three lines are a numbered paragraph, a clause of it, and a text without a number, which
+    belongs to the paragraph where the clause ends a sentence and to the clause where it doesn't."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
     rows = table(spark, d, "lineitem").select("l_orderkey", F.row_number().over(w).alias("pos"))
     para = F.floor((F.col("pos") - 1) / 3) + 1
-    text = F.when(F.col("pos") % 3 == 1, F.concat(para.cast("string"), F.lit(". Όροι:"))).when(F.col("pos") % 3 == 2, "α) ένα").otherwise("κείμενο")
+    text = F.when(F.col("pos") % 3 == 1, F.concat(para.cast("string"), F.lit(". Όροι:"))).when(F.col("pos") % 3 == 2, F.when(para % 2 == 1, "α) ένα.").otherwise("α) ένα")).otherwise("κείμενο")
     rows = rows.withColumn("article", F.col("l_orderkey").cast("string")).withColumn("txt", text)
     return numbering.number(rows, ["l_orderkey"], "article", "pos", "txt").select("l_orderkey", "pos", "pid")
 

@@ -161,6 +161,54 @@ def test_numbering(spark):
         assert numbering.paragraph_ids(article, texts, decimal) == want
 
 
+#: Texts of an article, which are quoted, their ids.
+QUOTED = [
+    ("26", ["2. Το άρθρο 6 αλλάζει:", "«6.1. Γενικά", "κείμενο", "6.5. Άλλο", "6.1. Μετάδοση", "6.6.1. Εντός", "6.7. Τέλος»"], [0, 1, 1, 1, 1, 1, 1], ["26.2", "26.2~6.1", "26.2~6.1#1", "26.2~6.5", "26.2~6.6", "26.2~6.6.1", "26.2~6.7"]),
+    ("120", ["Το άρθρο αλλάζει:", "«κείμενο", "4. Τέσσερα:", "γ) τρία,", "κείμενο»", "2. Δύο"], [0, 1, 1, 1, 1, 0], ["120#1", "120#1~#1", "120#1~4", "120#1~4.γ", "120#1~4.γ#1", "120.2"]),
+    ("11", ["11. Όροι:", "ιβ) δώδεκα:", "1. ένα", "2. δύο", "ιγ) δεκατρία:", "α) πρώτο", "β) δεύτερο", "ιδ) δεκατέσσερα", "12. Άλλο"], [0] * 9, ["11.11", "11.11.ιβ", "11.11.ιβ.1", "11.11.ιβ.2", "11.11.ιγ", "11.11.ιγ.α", "11.11.ιγ.β", "11.11.ιδ", "11.12"]),
+    ("7", ["3. Όροι:", "α) ένα.", "β) δύο.", "κείμενο", "γ) τρία.", "γα) μέρος", "κείμενο", "4. Τέλος"], [0] * 8, ["7.3", "7.3.α", "7.3.β", "7.3#1", "7.3.γ", "7.3.γ.α", "7.3.γ.α#1", "7.4"]),
+    ("8", ["1. Ένα", "ν. 4067/2012 ορίζει", "ωξ) άγνωστο", "1. Ένα πάλι"], [0] * 4, ["8.1", "8.1#1", "8.1#2", "8.1.1"]),
+]
+
+
+def test_numbering_of_quotations_and_resumed_lists(spark):
+    for article, texts, quoted, want in QUOTED:
+        assert numbering.paragraph_ids(article, texts, None, [bool(x) for x in quoted]) == want
+    rows = spark.createDataFrame([(k, i, t, bool(q)) for k, (_, texts, quoted, _) in enumerate(QUOTED) for i, (t, q) in enumerate(zip(texts, quoted, strict=True))], "k int, i int, t string, q boolean").withColumn("a", F.element_at(F.array(*(F.lit(x[0]) for x in QUOTED)), F.col("k") + 1))
+    got = numbering.number(rows, ["k"], "a", "i", "t", quoted="q").orderBy("k", "i").collect()
+    assert [r["pid"] for r in got] == [pid for x in QUOTED for pid in x[3]]
+
+
+def test_fire_references(spark):
+    from lexforge.functions import citations
+
+    #: Texts of chapter Β, and what they refer to.
+    known = {
+        "κατά την παρ. 5.3.7.3 του άρθρου 5 του Κεφαλαίου Α΄ και την παρ. 4.2.2 του άρθρου 4": ["Α5.3.7.3", "Α5", "Β4.2.2"], "τα άρθρα 9 και 10 του Κεφαλαίου Β": ["Β9", "Β10"], "του άρθρου 4 του παρόντος κεφαλαίου": ["Β4"],
+        "του άρθρου 5 των Γενικών Διατάξεων, στο Παράρτημα Γ": ["Α5", "Π-Γ"], "κεφ. Α΄ του προϊσχύοντος π.δ. 71/1988, παρ. 2.1 του π.δ. 3/1981": [], "του άρθρου 7": [], "των άρθρων 2 έως και 4 του κεφ. Γ": ["Γ2", "Γ3", "Γ4"],
+    }
+    assert [citations.fire_references(t, "Β") for t in known] == list(known.values())
+    rows = [("fire:Α5", ""), ("fire:Α5.3", "Βλ. παρ. 5.3.7.9 του άρθρου 5 και παρ. 6.1.2."), ("fire:Α5.3.7", "Βλ. παρ. 9.1, παρ. 6.2.5.1."), ("fire:Α6.2.5", "Βλ. το άρθρο 5 του παρόντος κεφαλαίου."), ("fire:Α6.1", "")]
+    got = amend.fire_links(spark.createDataFrame(rows, "gid string, text string"), "gid", "text").collect()
+    assert {tuple(r) for r in got} == {("fire:Α5.3", "fire:Α6.1"), ("fire:Α5.3.7", "fire:Α6.2.5"), ("fire:Α6.2.5", "fire:Α5")}
+
+
+def test_internal_references():
+    from lexforge.functions import citations
+
+    #: Texts, and the articles of their own law that they refer to.
+    known = {
+        "Των άρθρων 66 έως 68 και του άρθρου 70 του παρόντος": ["66", "67", "68", "70"], "τα άρθρα 1 έως και 4 και το άρθρο 16 του ν. 719/1977": [], "το άρθρο 5 και, χωριστά, το άρθρο 16 του ν. 719/1977": ["5"],
+        "των άρθρων 13 περίπτωση α΄ και 263Α του Ποινικού Κώδικα": [], "του άρθρου 14β, κατά το «άρθρο 9»": ["14"], "τα άρθρα 4 έως 7 του από 5/17.9.1935 π.δ.": [], "του άρθρου 8 (Α΄ 79)": [], "κατά το άρθρο 3 " + "και όσα άλλα ορίζονται " * 5 + "του ν. 1/1990": ["3"],
+    }
+    assert [citations.internal_numbers(t) for t in known] == list(known.values())
+
+
+def test_levels_of_the_pages_of_a_law():
+    assert numbering.marks("5. α) αβ) κείμενο") == [numbering.Mark("number", 5, "5"), numbering.Mark("clause", 1, "α"), numbering.Mark("part", 0, "αβ")]
+    assert numbering.decimal_path("17.2.1989 κάτι") is None and numbering.decimal_path("5.3.7.1. Όροι") == ("5.3.7.1", "Όροι")
+
+
 def test_phrases(spark):
     assert column(spark, ["Ανοικτός εξώστης", "Το δώμα και η στέγη"], phrases.stem) == ["ανοικτ εξωστ", "δωμα στεγ"]
     joined = column(spark, [["", "κτί-", "ριο του ν. 4014/", "2011 - όροι", "Α-", "Β α-", "Β"]], phrases.joined, "array<string>")
