@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import greek, textfn
-from .plans.api import Corpus
+from .plans.api import SCOPES, Corpus
 
 TABLES = ("paragraphs", "pointers", "links", "sections")
 
@@ -35,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     search = commands.add_parser("search")
     search.add_argument("stems", nargs="+")
     search.add_argument("--limit", type=int, default=8)
+    search.add_argument("--in", dest="scope", choices=SCOPES, default="all")
     for name in ("read", "trace"):
         commands.add_parser(name).add_argument("id")
     history = commands.add_parser("history")
@@ -70,9 +71,11 @@ def run(corpus: Corpus, args: argparse.Namespace) -> tuple[list[str], int]:
     if args.command == "info":
         return page(corpus.info().orderBy("dataset"), args.page)
     if args.command == "search":
-        terms = [[[s]] for s in args.stems]
-        lines, n = page(corpus.search(terms, limit=args.limit), args.page)
-        total = corpus.found(terms).first()["articles"]
+        terms, part = corpus.terms(args.stems), corpus.within(args.scope)
+        if not terms:
+            raise ValueError("give at least one search stem")
+        lines, n = page(part.search(terms, limit=args.limit), args.page)
+        total = part.found(terms).first()["articles"]
         return lines + ([f"{total - args.limit} more articles match"] if total > args.limit else []), n
     if args.command == "changes":
         return page(corpus.changes(args.since), args.page)
@@ -88,7 +91,8 @@ def run(corpus: Corpus, args: argparse.Namespace) -> tuple[list[str], int]:
         near = [r["gid"] for r in corpus.nearest(gid).collect()]
         raise ValueError(f"there is no {gid}" + (f"; there are {', '.join(near)}" if near else ""))
     said = corpus.status(gid).first()
-    return [f"Status: amended {said['amended']} time(s), latest {said['latest'] or 'date unknown'}." if said else "Status: no amendment.", *lines], n
+    left = f" {said['hidden']} superseded left out." if said and said["hidden"] else ""
+    return [f"Status: amended {said['amended']} time(s), latest {said['latest'] or 'date unknown'}.{left}" if said else "Status: no amendment.", *lines], n
 
 
 def main(argv: list[str] | None = None, corpus: Corpus | None = None) -> int:

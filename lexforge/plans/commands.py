@@ -28,14 +28,22 @@ def corpus(spark: SparkSession, d: str) -> Corpus:
     gid = F.concat(F.lit("nok:"), "l_orderkey", F.lit("."), "l_linenumber")
     paragraphs = li.select(F.col("l_returnflag").alias("dataset"), F.concat(F.lit("F"), F.col("l_orderkey") % 100).alias("file"), (F.col("l_orderkey") % 100 == 0).alias("base"), F.col("l_orderkey").cast("string").alias("article"), F.concat(F.lit("order "), "l_orderkey").alias("title"), F.col("l_orderkey").alias("art_pos"), F.col("l_linenumber").alias("para_pos"), gid.alias("gid"), F.concat(F.lit("part "), "l_partkey", F.lit(" from "), "l_suppkey").alias("text"), F.to_date("l_shipdate").alias("published"))
     k = F.col("o_orderkey")
-    pointers = orders.select(F.concat(F.lit("nok:"), (k % 40).cast("string"), F.when(k % 3 == 0, F.concat(F.lit("."), (k % 4 + 1).cast("string"))).otherwise("")).alias("target"), F.concat(F.lit("nok:"), k.cast("string")).alias("by"), F.lit("amend").alias("kind"), F.col("o_orderstatus").alias("status"), F.to_date("o_orderdate").alias("published"), F.lit(False).alias("restates"), F.when(k % 7 == 0, F.concat(F.lit("nok:"), (k + 1).cast("string"))).alias("superseded_by"))
+    target = F.concat(F.lit("nok:"), (k % 40).cast("string"))
+    below = lambda x, n: F.concat(x, F.lit("."), n.cast("string"))
+    targets = F.when(k % 3 == 0, F.array(below(target, k % 4 + 1), below(target, k % 5 + 1)))
+    by = F.concat(F.lit("nok:"), k.cast("string"))
+    texts = F.when(k % 2 == 0, F.array(below(by, F.lit(1)), below(by, F.lit(3))))
+    pointers = orders.select(target.alias("target"), targets.alias("targets"), by.alias("by"), texts.alias("paragraphs"), F.lit("amend").alias("kind"), F.col("o_orderstatus").alias("status"), F.to_date("o_orderdate").alias("published"), F.lit(False).alias("restates"), F.when(k % 7 == 0, F.concat(F.lit("nok:"), (k + 40).cast("string"))).alias("superseded_by"))
     links = li.select(gid.alias("a"), F.concat(F.lit("code:"), "l_partkey").alias("b"))
     sections = orders.select(k.cast("string").alias("article"), F.col("o_orderpriority").alias("path"))
-    return Corpus(paragraphs, pointers, links, sections)
+    rules = orders.filter(k % 50 == 0).select(by.alias("article"), k.alias("number"), F.col("o_orderpriority").alias("rule"), F.to_date("o_orderdate").alias("from_date"), F.lit(None).cast("date").alias("from_issued"))
+    part = table(spark, d, "part")
+    sources = part.select(F.concat(F.lit("code:"), "p_partkey").alias("place"), F.col("p_brand").alias("label"), F.col("p_name").alias("source"))
+    return Corpus(paragraphs, pointers, links, sections, rules, sources)
 
 
 PARAS = "p AS (SELECT l_returnflag AS dataset, 'F' || (l_orderkey % 100) AS file, l_orderkey % 100 = 0 AS base, l_orderkey::VARCHAR AS article, l_orderkey AS art_pos, l_linenumber AS para_pos, 'nok:' || l_orderkey || '.' || l_linenumber AS gid, 'part ' || l_partkey || ' from ' || l_suppkey AS text FROM lineitem)"
-POINTERS = "q0 AS (SELECT 'nok:' || (o_orderkey % 40) || CASE WHEN o_orderkey % 3 = 0 THEN '.' || (o_orderkey % 4 + 1) ELSE '' END AS target, 'nok:' || o_orderkey AS by_id, o_orderstatus AS status, o_orderdate::DATE AS published, CASE WHEN o_orderkey % 7 = 0 THEN 'nok:' || (o_orderkey + 1) END AS sup FROM orders)"
+POINTERS = "q0 AS (SELECT o_orderkey AS k, 'nok:' || (o_orderkey % 40) AS target, CASE WHEN o_orderkey % 3 = 0 THEN ['nok:' || (o_orderkey % 40) || '.' || (o_orderkey % 4 + 1), 'nok:' || (o_orderkey % 40) || '.' || (o_orderkey % 5 + 1)] ELSE [] END AS targets, 'nok:' || o_orderkey AS by_id, o_orderstatus AS status, o_orderdate::DATE AS published, CASE WHEN o_orderkey % 7 = 0 THEN 'nok:' || (o_orderkey + 40) END AS sup FROM orders)"
 
 
 @query(f"WITH {PARAS} SELECT dataset, count(DISTINCT file)::BIGINT - max(base::INTEGER) AS issues FROM p GROUP BY dataset")
@@ -65,19 +73,28 @@ def command_nearest(spark, d):
     return corpus(spark, d).nearest("nok:7.99")
 
 
-_MINE = f"{PARAS}, {POINTERS}, v AS (SELECT * FROM q0 WHERE published <= DATE '1997-01-01'), q AS (SELECT * FROM v WHERE sup IS NULL OR sup NOT IN (SELECT by_id FROM v)), m AS (SELECT * FROM q WHERE target = 'nok:7' OR target = 'nok:7.2' OR target LIKE 'nok:7.2.%')"
+_MINE = f"{PARAS}, {POINTERS}, c AS (SELECT * FROM q0 WHERE target = 'nok:7' AND published <= DATE '1997-01-01' AND (len(targets) = 0 OR list_contains(targets, 'nok:7.2'))), m AS (SELECT *, coalesce(sup IN (SELECT by_id FROM c), false) AS hidden FROM c)"
 
 
-@query(f"WITH {_MINE} SELECT 0 AS part, NULL::DATE AS published, NULL AS by_id, NULL AS status, gid, text FROM p WHERE gid = 'nok:7.2' OR gid LIKE 'nok:7.2.%' UNION ALL SELECT 1, m.published, by_id, status, p.gid, p.text FROM m LEFT JOIN p ON by_id = 'nok:' || p.article")
+@query(f"""WITH {_MINE}, g AS (SELECT m.by_id, coalesce(min(o_orderkey) FILTER (o_orderkey >= m.k), max(o_orderkey)) AS g FROM m, orders WHERE o_orderkey % 50 = 0 AND NOT hidden GROUP BY m.by_id)
+SELECT 0 AS part, NULL::DATE AS published, NULL AS by_id, NULL AS status, NULL AS targets, NULL AS rule, NULL::DATE AS starts, gid, text FROM p WHERE gid = 'nok:7.2' OR gid LIKE 'nok:7.2.%'
+UNION ALL SELECT DISTINCT 1, m.published, m.by_id, status, array_to_string(targets, ','), o_orderpriority, o_orderdate::DATE, p.gid, p.text FROM m JOIN g ON g.by_id = m.by_id JOIN orders ON o_orderkey = g.g LEFT JOIN p ON m.by_id = 'nok:' || p.article AND (m.k % 2 = 1 OR p.para_pos IN (1, 3)) WHERE NOT hidden""")
 def command_history(spark, d):
-    return corpus(spark, d).history("nok:7.2", "1997-01-01").withColumnRenamed("by", "by_id")
+    """The amendments of one provision: pointers with several targets or none, their own paragraphs, and when each starts."""
+    return corpus(spark, d).history("nok:7.2", "1997-01-01").select("part", "published", F.col("by").alias("by_id"), "status", F.array_join("targets", ",").alias("targets"), "rule", "starts", "gid", "text")
 
 
-@query(f"WITH {_MINE} SELECT count(*)::BIGINT AS amended, max(published) AS latest FROM m HAVING count(*) > 0")
+@query(f"WITH {_MINE} SELECT count(*) FILTER (NOT hidden)::BIGINT AS amended, max(published) FILTER (NOT hidden) AS latest, count(*) FILTER (hidden)::BIGINT AS hidden FROM m HAVING count(*) > 0")
 def command_status(spark, d):
     return corpus(spark, d).status("nok:7.2", "1997-01-01")
 
 
+@query("SELECT DISTINCT 'code:' || p_partkey AS place, p_brand AS label, p_name AS source FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey = 7")
+def command_trace_sources(spark, d):
+    """The crosswalk's rows of the places that an article is linked to."""
+    return corpus(spark, d).trace_sources("nok:7")
+
+
 @query(f"WITH {POINTERS} SELECT target, by_id, published FROM q0 WHERE published >= DATE '1998-01-01' AND (sup IS NULL OR sup NOT IN (SELECT by_id FROM q0))")
 def command_changes(spark, d):
     return corpus(spark, d).changes("1998-01-01").select("target", F.col("by").alias("by_id"), "published")
