@@ -21,15 +21,18 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def scan_stream(spark: SparkSession, path: str, glob: str, schema, needles: dict[str, str], state: str | None = None) -> DataFrame:
-    """All needle counts of the files that match; files seen before under the same state folder aren't read again.
+    """All needle counts of what matches in the folder, files or folders of files; files seen before under the same state
+    folder aren't read again.
 
     A file-source stream runs until nothing is left (availableNow); its checkpoint and its result lie under `state`.
     """
     state = state or os.path.join(shared_dir(spark), f"discovery-{uuid.uuid4().hex}")
-    files = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
-    run = needle_counts(files, needles).writeStream.format("parquet").option("checkpointLocation", f"{state}/checkpoint").option("path", f"{state}/found").trigger(availableNow=True).start()
+    # A name without a wildcard still goes as one: the source takes a plain path for a folder.
+    names = glob if any(c in glob for c in "*?[{") else f"{glob[:-1]}[{glob[-1]}]"
+    found = needle_counts(spark.readStream.schema(schema).parquet(os.path.join(path, names)), needles)
+    run = found.writeStream.format("parquet").option("checkpointLocation", f"{state}/checkpoint").option("path", f"{state}/found").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{state}/found")
+    return spark.read.schema(found.schema).parquet(f"{state}/found")
 
 
 def years_to_scan(years: DataFrame, state: DataFrame, needles: list[str], this_year: int, force: bool = False) -> DataFrame:
