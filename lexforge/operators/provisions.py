@@ -43,10 +43,11 @@ def split_at_gap(words: DataFrame, line: str, left: str, right: str, middle: Col
     return marked.drop("_before", "_gap", "_usual")
 
 
-def in_regions(items: DataFrame, page: str, top: str, regions: DataFrame, region_top: str, region_bottom: str, slack: float = 2) -> DataFrame:
+def in_regions(items: DataFrame, page: str, top: str, regions: DataFrame, region_top: str, region_bottom: str, slack: float = 2, ties: tuple[str, ...] = ()) -> DataFrame:
     """items with `inside`: whether one starts inside a region of its page, or above it and runs past its foot. An item lasts
-    to the next one's start on its page, and to the foot where there is none."""
-    w = Window.partitionBy(page).orderBy(top)
+    to the next one's start on its page, and to the foot where there is none. Of items that start at one height, `ties` tells
+    which is next; without it any may be."""
+    w = Window.partitionBy(page).orderBy(top, *ties)
     ends = items.withColumn("_end", F.lead(top).over(w))
     r = regions.groupBy(page).agg(F.collect_list(F.struct(F.col(region_top).alias("t"), F.col(region_bottom).alias("b"))).alias("_regions"))
     hit = lambda x: ((F.col(top) >= x["t"] - slack) & (F.col(top) <= x["b"] + slack)) | ((F.col(top) < x["t"]) & (F.coalesce(F.col("_end") > x["b"], F.lit(True))))

@@ -405,7 +405,7 @@ SELECT event_id, EXISTS (SELECT 1 FROM r WHERE r.user_id = i.user_id AND ((top >
 def table_members(spark, d):
     ev = table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
     regions = ev.filter("event_type = 'error'").select("user_id", F.col("value").alias("t"), (F.col("value") + 20).alias("b"))
-    return provisions.in_regions(ev.filter("event_type <> 'error'"), "user_id", "value", regions, "t", "b").select("event_id", "inside")
+    return provisions.in_regions(ev.filter("event_type <> 'error'"), "user_id", "value", regions, "t", "b", ties=("event_id",)).select("event_id", "inside")
 
 
 @query("SELECT l_partkey AS k FROM lineitem UNION SELECT p_partkey FROM part")

@@ -36,3 +36,12 @@ def test_xref_all_lines(spark, tables):
     d, lines = tables
     want = sorted((k, n + i) for k, n in {(k, n) for k, n, _ in lines} for i in range(3))
     assert rows(catalog.queries()["xref_expand_all"](spark, d).select("l_orderkey", "cited")) == want
+
+
+def test_table_members_ties(spark, tmp_path):
+    """Of a user's events with one value the later one is next, however the rows lie: only the last one runs past the region."""
+    rows = [(k, 1, "view", 5.0) for k in range(1, 41)] + [(90, 1, "error", 30.0)]
+    for n, order in enumerate((rows, rows[::-1], rows[20:] + rows[:20])):
+        spark.createDataFrame(order, "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/{n}/events.parquet")
+        got = catalog.queries()["table_members"](spark, f"{tmp_path}/{n}").filter("inside").collect()
+        assert [r["event_id"] for r in got] == [40]
