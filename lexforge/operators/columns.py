@@ -21,25 +21,26 @@ def lines_of_words(words: DataFrame, page: list[str], line: str, width: str, hei
     """page, width, height, x0, y0, x1, y1, text of each line. A line whose words stand on both sides of the page's middle, with a gap
     there that is wider than any column's and than twice its usual word space, is two lines."""
     word = F.struct("x0", "x1", F.col(text).alias("t"), "y0", "y1")
-    rows = words.groupBy(*page, line).agg(F.array_sort(F.collect_list(word)).alias("ws"), F.first(width).alias(width), F.first(height).alias(height))
+    rows = words.groupBy(*page, line).agg(F.sort_array(F.collect_list(word)).alias("ws"), F.first(width).alias(width), F.first(height).alias(height))
     ws, half = F.col("ws"), F.col(width) / 2
-    gaps = F.transform(F.slice(ws, 2, F.size(ws)), lambda w, i: w["x0"] - F.get(ws, i)["x1"])
-    usual = F.coalesce(F.get(F.array_sort(F.col("gaps")), F.floor((F.size("gaps") - 1) / 2).cast("int")), F.lit(0.0))
-    split = F.filter(
-        F.transform("gaps", lambda g, i: F.when((g > F.greatest(F.lit(float(COLUMN_GAP)), 2 * usual)) & (F.get(ws, i)["x1"] < half) & (half < F.get(ws, i + 1)["x0"]), i + 1)),
-        lambda k: k.isNotNull(),
-    )
-    cut = F.coalesce(F.array_min(split), F.size(ws))
-    parts = F.filter(F.array(F.slice(ws, F.lit(1), F.col("cut")), F.slice(ws, F.col("cut") + 1, F.size(ws))), lambda p: F.size(p) > 0)
-    each = rows.withColumn("gaps", gaps).withColumn("cut", cut).select(*page, width, height, F.explode(parts).alias("ws"))
+    gap = lambda i: F.get(ws, i + 1)["x0"] - F.get(ws, i)["x1"]
+    places = F.sequence(F.lit(0), F.size(ws) - 2)
+    gaps = F.array_sort(F.transform(places, gap))
+    usual = F.coalesce(F.get(gaps, F.floor((F.size(ws) - 2) / 2).cast("int")), F.lit(0.0))
+    # The usual space is asked last, for the one gap that may be the columns'.
+    apart = F.filter(places, lambda i: (F.get(ws, i)["x1"] < half) & (half < F.get(ws, i + 1)["x0"]) & (gap(i) > COLUMN_GAP) & (gap(i) > 2 * usual))
+    # Few lines have words on both sides, and only those are looked at word by word.
+    cut = F.when((F.array_min("ws.x1") < half) & (half < F.array_max("ws.x0")) & (F.size(ws) > 1), F.array_min(apart) + 1)
+    parts = F.when(F.col("cut").isNull(), F.array(ws)).otherwise(F.array(F.slice(ws, F.lit(1), F.col("cut")), F.slice(ws, F.col("cut") + 1, F.size(ws))))
+    each = rows.withColumn("cut", cut).select(*page, width, height, F.explode(parts).alias("ws"))
 
     def piece(w: Column, i: Column) -> Column:
         before = F.get(F.col("ws"), i - 1)
         glued = (F.abs(w["x0"] - before["x1"]) < TOUCH) | superscript(before["x1"], before["y0"], before["y1"], w["x0"], w["y0"], w["y1"])
         return F.concat(F.when((i == 0) | glued, "").otherwise(" "), w["t"])
 
-    edge = lambda f, c: f(F.transform("ws", lambda w: w[c]))
-    return each.select(*page, width, height, *(edge(f, c).alias(c) for f, c in ((F.array_min, "x0"), (F.array_min, "y0"), (F.array_max, "x1"), (F.array_max, "y1"))), F.array_join(F.transform("ws", piece), "").alias("text"))
+    edges = [f(f"ws.{c}").alias(c) for f, c in ((F.array_min, "x0"), (F.array_min, "y0"), (F.array_max, "x1"), (F.array_max, "y1"))]
+    return each.select(*page, width, height, *edges, F.array_join(F.transform("ws", piece), "").alias("text"))
 
 
 def columns(lines: DataFrame, page: list[str], width: str, height: str) -> DataFrame:
@@ -50,14 +51,15 @@ def columns(lines: DataFrame, page: list[str], width: str, height: str) -> DataF
     right = F.col("x0") > middle
     long = right & (F.col("x1") - F.col("x0") > w * LONG_LINE)
     left_end = F.when((F.col("x0") < middle) & (F.col("x1") < w / 2 + PAST_MIDDLE), F.round("x1"))
-    found = body.groupBy(*page).agg(F.collect_set(F.when(long, F.col("x0"))).alias("_long"), F.min(F.when(right, F.col("x0"))).alias("_any"), F.mode(left_end, True).alias("_end"), F.max(w).alias("_w"))
-    after = F.array_min(F.filter("_long", lambda x: x > F.col("_end")))
-    edge = found.select(*page, F.coalesce(after, F.array_min("_long"), "_any", "_w").alias("_edge"))
+    whole = Window.partitionBy(*page)
+    # Windows, as a join with the pages' edges would read and build all lines twice.
+    rows = body.withColumns({"_end": F.mode(left_end, True).over(whole), "_first": F.min(F.when(long, F.col("x0"))).over(whole), "_any": F.min(F.when(right, F.col("x0"))).over(whole), "_w": F.max(w).over(whole)})
+    after = F.min(F.when(long & (F.col("x0") > F.col("_end")), F.col("x0"))).over(whole)
+    rows = rows.withColumn("_edge", F.coalesce(after, "_first", "_any", "_w"))
     limit = F.col("_edge") - SLACK
-    side = F.when(F.col("x1") < limit, "L").when(F.col("x0") >= limit, "R").otherwise("S")
-    rows = body.join(edge, page).withColumn("_side", side)
-    whole = F.avg((F.col("_side") == "S").cast("int")).over(Window.partitionBy(*page)) > 0.5
-    return rows.withColumn("col", F.when(whole, "S").otherwise(F.col("_side"))).drop("_edge", "_side")
+    rows = rows.withColumn("_side", F.when(F.col("x1") < limit, "L").when(F.col("x0") >= limit, "R").otherwise("S"))
+    across = F.avg((F.col("_side") == "S").cast("int")).over(whole) > 0.5
+    return rows.withColumn("col", F.when(across, "S").otherwise(F.col("_side"))).drop("_end", "_first", "_any", "_w", "_edge", "_side")
 
 
 def reading_order(lines: DataFrame, page: list[str], width: str, height: str) -> DataFrame:

@@ -42,8 +42,9 @@ def _words(lines: DataFrame) -> DataFrame:
     gap = F.when(how.isin("centre", "short"), float(LETTER)).otherwise((measure - shift - letters) / (F.size("words") - 1))
     x = F.col("start") + F.when(how == "centre", (measure - F.length(text) * LETTER) / 2).otherwise(shift)
     rows = rows.withColumns({"x": x, "gap": gap}).select("*", F.posexplode("words").alias("i", "w"))
-    before = F.sum(F.length("w")).over(Window.partitionBy("issue", "page", "line").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
-    x0 = F.col("x") + F.coalesce(before, F.lit(0)) * LETTER + F.col("i") * F.col("gap")
+    # Letters of the words before: their text without its spaces.
+    before = F.when(F.col("i") == 0, 0).otherwise(F.length(F.call_function("substring_index", text, F.lit(" "), F.col("i"))) - (F.col("i") - 1))
+    x0 = F.col("x") + before * LETTER + F.col("i") * F.col("gap")
     return rows.select("issue", "page", "line", x0.alias("x0"), F.col("y").alias("y0"), (x0 + F.length("w") * LETTER).alias("x1"), (F.col("y") + 10).alias("y1"), F.col("w").alias("text"))
 
 
