@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amend, greek, ids, phrases
 from ..operators import numbering, provisions
-from ..session import table
+from ..session import spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,7 +24,7 @@ def query(sql: str):
 
 
 def parts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("n"), "p_name", "p_brand", "p_type")
+    return spread(table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("n"), "p_name", "p_brand", "p_type"))
 
 
 def _pick(values: list[str], at) -> F.Column:

@@ -152,3 +152,9 @@ class Scratch(Block):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df's rows over as many tasks as a shuffle has. A small file comes as one task, however many rows are packed in it: what
+    costs much a row goes after this."""
+    return df.repartition(shuffle_partitions(df.sparkSession))

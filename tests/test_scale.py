@@ -12,3 +12,9 @@ def plan(spark, name):
 def test_reading_columns_reads_its_words_once(spark):
     text = plan(spark, "reading_columns")
     assert text.count("FileScan") == 1 and "Join" not in text
+
+
+def test_rows_of_one_small_file_go_to_several_tasks(spark):
+    for name in ("cited_provisions", "amending_sentences", "matcher_pointers"):
+        assert "RoundRobinPartitioning(4)" in plan(spark, name), name
+    assert catalog.queries()["cited_provisions"](spark, SF).rdd.getNumPartitions() == 4
