@@ -1,5 +1,6 @@
 """Plans of queries that must grow with their input and no faster."""
 
+from lexforge.operators import sequences
 from lexforge.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -18,3 +19,11 @@ def test_rows_of_one_small_file_go_to_several_tasks(spark):
     for name in ("cited_provisions", "amending_sentences", "matcher_pointers"):
         assert "RoundRobinPartitioning(4)" in plan(spark, name), name
     assert catalog.queries()["cited_provisions"](spark, SF).rdd.getNumPartitions() == 4
+
+
+def test_merge_intervals_has_tasks_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(sequences, "ROWS_A_TASK", 10)
+    rows = spark.range(100).selectExpr("id % 25 AS k", "id AS lo", "id + 1 AS hi")
+    merged = sequences.merge_intervals(rows, ["k"], "lo", "hi", 24)
+    assert merged.rdd.getNumPartitions() == 10
+    assert sorted(tuple(r) for r in merged.collect()) == [(k, k, k + 76, 4) for k in range(25)]
