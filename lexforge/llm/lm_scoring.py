@@ -59,22 +59,26 @@ def stream(w: Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(depth):
         out[bounds[:-1] + k] = END
     out[bounds[1:] - 1] = END
-    word = np.repeat(np.arange(len(sizes)), sizes)
-    before = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    inside = np.arange(len(word)) - before[word]
+    before = np.concatenate([[0], np.cumsum(sizes)])
     # A word's place: its row's first byte, the context, and the words of the row before it.
     offset = np.concatenate([[0], np.cumsum(sizes + 1)])
     base = bounds[w.row] + depth + offset[:-1] - offset[w.first[w.row]]
-    out[base[word] + inside] = w.data[w.start[word] + inside]
+    each = np.arange(before[-1])
+    out[each + np.repeat(base - before[:-1], sizes)] = w.data[each + np.repeat(w.start - before[:-1], sizes)]
     return out, bounds
 
 
 def grams_of(w: Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(grams in the order of the coded bytes, their bounds by row)."""
     out, bounds = stream(w, depth)
-    code = out.astype(np.int64)
-    for k in range(1, depth + 1):
-        code[k:] |= out[:-k].astype(np.int64) << (8 * (depth + 1 - k))
+    # The eight bytes before each one as a number, the nearest on top, read from the bytes in reverse.
+    back = np.zeros(len(out) + 8, dtype=np.uint8)
+    back[: len(out)] = out[::-1]
+    code = np.ndarray(len(out), ">u8", back, 1, (1,))[::-1].astype(np.uint64)
+    code >>= np.uint64(8 * (8 - depth))
+    code <<= np.uint64(8)
+    code |= out
+    code = code.view(np.int64)
     coded = np.ones(len(out), dtype=bool)
     for k in range(depth):
         coded[bounds[:-1] + k] = False
