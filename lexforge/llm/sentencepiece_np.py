@@ -1,15 +1,16 @@
-"""SentencePiece encoding and decoding (operator 9): batched numpy Viterbi over equal-length words, from a model file.
+"""SentencePiece encoding and decoding (operator 9): batched numpy Viterbi over words, from a model file.
 
-Words of equal length advance together as rows of a matrix. At each place, the rolling hashes of the substrings that end
-there probe the sorted hashes of the pieces; of the pieces found, vectorised maxima keep the best score and, as a
-backpointer, the piece that reached it; the paths are read backwards, all words at a time.
+Words of up to `LONG` characters advance together, a character at a time. A trie of the pieces, as a hash table, is walked from all
+characters at once, a level at a time, until no piece goes on; the pieces found are sorted by where in their word they end. At each place,
+vectorised maxima keep the best score and, as a backpointer, the piece that reached it; the paths are read backwards, all words
+at a time.
 
 Unigram models: the score is the sum of the pieces' scores. BPE models: a piece's score is its merge rank, and a path is
 what the merges would make when each two neighbours stay apart, that is, when joining their characters again by rank
 gives these two pieces. So there a piece only follows a best path whose last piece it stays apart from (`_apart`); one path
 is left for each prefix, and its ids are those of the merges. `_apart` undoes the merges on both sides of the
-border from the latest on: the border holds if the two symbols at it never join before one of them is undone. Words
-longer than `LONG` characters take the same steps one word at a time.
+border from the latest on: the border holds if the two symbols at it never join before one of them is undone. A task
+remembers the answers for `2 ** PAIR_BITS` pairs. Words longer than `LONG` characters take the same steps one word at a time.
 
 A text is cut before each run of U+2581: no piece has that mark after another character (checked when the model is
 read), so no piece spans two words, and each distinct word is encoded once a task: words meet their ids by 64-bit hashes
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesnp import chunks, word_hashes
+from .bytesnp import Lookup, chunks, word_hashes
 
 MARK = "▁"
 LONG = 48
@@ -43,6 +44,9 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 MEMO_WORDS = 400_000
 #: Characters of words that a Viterbi takes at a time.
 STEP = 200_000
+#: A task keeps whether pieces stay apart for at most 2 ** PAIR_BITS pairs of them, a pair in a slot of its hash.
+PAIR_BITS = 20
+NO_PATH = "a word has no path: the model's pieces aren't those of merges by rank"
 
 
 def _fields(buf: bytes):
@@ -174,17 +178,19 @@ def prepare(model: Model) -> dict:
     out["unknown_score"] = (min(used) if used else 0.0) - 10.0
     if out["bpe"]:
         pairs, rank, left, right = _parts(model, id_of)
-        keys = np.array(sorted(pairs), dtype=U64)
-        out |= {"pair_keys": keys, "pair_rank": rank[[pairs[k] for k in keys.tolist()]], "rank": rank, "left": left, "right": right}
-    by: dict[int, list] = {}
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        out |= {"pair_keys": keys, "pair_rank": rank[np.fromiter(pairs.values(), np.int64, len(pairs))], "rank": rank, "left": left, "right": right}
+    nodes, piece = {}, [-1]
     for text, i in id_of.items():
         if out["bpe"] and out["rank"][i] == -2:
             continue
-        h = 0
+        at = 0
         for c in text:
-            h = (h * _BASE + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-        by.setdefault(len(text), []).append((h, i))
-    out["by_length"] = {size: tuple(np.array(x, dtype=kind) for x, kind in zip(zip(*sorted(rows), strict=True), (U64, np.int64), strict=True)) for size, rows in sorted(by.items())}
+            at = nodes.setdefault(at << 21 | ord(c), len(piece))
+            if at == len(piece):
+                piece.append(-1)
+        piece[at] = i
+    out |= {"trie_keys": np.fromiter(nodes, np.int64, len(nodes)), "trie_piece": np.array(piece, dtype=np.int64)}
     return out
 
 
@@ -194,6 +200,12 @@ class Encoder:
     def __init__(self, tables: dict):
         self.t = tables
         self.byte_of = {i: b for b, i in tables["byte_id"].items()}
+        self.trie = Lookup(tables["trie_keys"], np.arange(1, len(tables["trie_piece"])))
+        self.score = np.append(tables["score"], tables["unknown_score"])  # the last one is any bare character's, also below
+        if tables["bpe"]:
+            self.pairs = Lookup(tables["pair_keys"], tables["pair_rank"])
+            self.rank, self.left, self.right = (np.append(tables[x], -1) for x in ("rank", "left", "right"))
+            self.seen = np.full(1 << PAIR_BITS, -1, dtype=np.int64)
         self.forget()
 
     def forget(self) -> None:
@@ -206,86 +218,98 @@ class Encoder:
     def _apart(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Whether piece u, then piece v, stay two under the merges. Orders count double; of two equal ones the left
         merge comes first."""
-        t, base = self.t, self.t["base"]
-        keys, ranks = t["pair_keys"], t["pair_rank"]
+        base = self.t["base"]
         out = np.ones(len(u), dtype=bool)
-        if not len(keys):
-            return out
-        live, a, b = np.arange(len(u)), u.copy(), v.copy()
+        live, a, b = np.arange(len(u)), u, v
         until = np.full(len(u), np.iinfo(np.int64).max)
-        order = lambda x: np.where(x < base, t["rank"][np.minimum(x, base - 1)], -1)
         while len(live):
-            key = a.astype(U64) << U64(32) | b.astype(U64)
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            joined = (keys[at] == key) & (2 * ranks[at] < until)
+            rank, joined = self.pairs.find(a << 32 | b)
+            joined &= 2 * rank < until
             out[live[joined]] = False
-            ra, rb = order(a), order(b)
+            ia, ib = np.minimum(a, base), np.minimum(b, base)
+            ra, rb = self.rank[ia], self.rank[ib]
             go = ~joined & (np.maximum(ra, rb) >= 0)
-            live, a, b, ra, rb = live[go], a[go], b[go], ra[go], rb[go]
+            live, a, b, ia, ib, ra, rb = (x[go] for x in (live, a, b, ia, ib, ra, rb))
             undo_left = ra > rb
             until = np.where(undo_left, 2 * ra, 2 * rb + 1)
-            a, b = np.where(undo_left, t["right"][np.minimum(a, base - 1)], a), np.where(undo_left, b, t["left"][np.minimum(b, base - 1)])
+            a, b = np.where(undo_left, self.right[ia], a), np.where(undo_left, b, self.left[ib])
         return out
 
-    def _viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best paths of words of one length (codes: words x characters): symbols, and how many each word has.
+    def _stay(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """`_apart`, worked out for pairs that aren't remembered; before a word's first piece u is -1."""
+        key = u << 32 | v
+        slot = (key.astype(U64) * U64(_BASE) >> U64(64 - PAIR_BITS)).astype(np.int64)
+        kept = self.seen[slot]
+        out = (kept & 1 == 1) | (u < 0)
+        new = np.flatnonzero((kept >> 1 != key) & (u >= 0))
+        if len(new):
+            pairs, place = np.unique(key[new], return_inverse=True)
+            out[new] = self._apart(pairs >> 32, pairs & 0xFFFFFFFF)[place]
+            self.seen[slot[new]] = key[new] << 1 | out[new]
+        return out
 
-        A character without a piece is the symbol base + its code point.
+    def _found(self, codes: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces in words: first character, size and symbol of each, by rising size. rest: characters from each one to its word's end."""
+        at, node, size, out = np.arange(len(codes)), np.zeros(len(codes), np.int64), 0, []
+        while len(at):
+            node, hit = self.trie.find(node << 21 | codes[at + size])
+            symbol = self.t["trie_piece"][node]
+            size += 1
+            if size == 1:
+                symbol = np.where(symbol < 0, self.t["base"] + codes, symbol)
+            good = symbol >= 0
+            out.append((at[good], np.full(int(good.sum()), size), symbol[good]))
+            hit &= rest[at] > size
+            at, node = at[hit], node[hit]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _viterbi(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best paths of words (codes: their characters, one word after another): symbols, and how many each word has.
+
+        A character without a piece is the symbol base + its code point. A word of k characters has k + 1 prefixes, which
+        lie one after another; the places of its characters are those of the prefixes that end before them.
         """
-        t, (n, width) = self.t, codes.shape
-        base, bpe = t["base"], t["bpe"]
+        n, base = len(lengths), self.t["base"]
         codes = codes.astype(np.int64)
-        prefix = np.zeros((width + 1, n), dtype=U64)
-        power = [1]
-        for j in range(width):
-            prefix[j + 1] = prefix[j] * U64(_BASE) + codes[:, j].astype(U64) + U64(1)
-            power.append(power[-1] * _BASE & 0xFFFFFFFFFFFFFFFF)
-        best = np.full((width + 1, n), -np.inf)
-        best[0] = 0.0
-        back = np.zeros((width + 1, n), dtype=np.int64)
-        piece = np.full((width + 1, n), -1, dtype=np.int64)
-        for j in range(1, width + 1):
-            found = []  # rows, sizes, pieces
-            known = np.zeros(n, dtype=bool)
-            for size, (keys, ids) in t["by_length"].items():
-                if size > j:
-                    break
-                h = prefix[j] - prefix[j - size] * U64(power[size])
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = np.flatnonzero(keys[at] == h)
-                found.append((hit, np.full(len(hit), size), ids[at[hit]], t["score"][ids[at[hit]]]))
-                if size == 1:
-                    known[hit] = True
-            alone = np.flatnonzero(~known)
-            found.insert(0, (alone, np.ones(len(alone), np.int64), base + codes[alone, j - 1], np.full(len(alone), t["unknown_score"])))
-            row, size, sym, score = (np.concatenate(x) for x in zip(*found, strict=True))
-            if bpe and j > 1:
-                last = piece[j - size, row]
-                pairs, place = np.unique(last << 32 | sym, return_inverse=True)
-                whole = pairs < 0  # the word's start
-                ok = np.ones(len(pairs), dtype=bool)
-                ok[~whole] = self._apart(pairs[~whole] >> 32, pairs[~whole] & 0xFFFFFFFF)
-                keep = ok[place]
-                row, size, sym, score = row[keep], size[keep], sym[keep], score[keep]
-            score = score + best[j - size, row]
-            np.maximum.at(best[j], row, score)
-            top = score == best[j, row]
-            back[j, row[top]], piece[j, row[top]] = size[top], sym[top]  # sizes rise, so the longest of equal scores stays
-        rows = np.arange(n)
-        path, counts, at = np.full((n, width), -1, dtype=np.int64), np.zeros(n, np.int64), np.full(n, width)
-        while rows.size:
-            counts[rows] += 1
-            path[rows, width - counts[rows]] = piece[at[rows], rows]
-            at[rows] -= back[at[rows], rows]
-            rows = rows[at[rows] > 0]
-        return path[path >= 0], counts
+        word = np.repeat(np.arange(n), lengths)
+        bound = np.cumsum(lengths)
+        rest = bound[word] - np.arange(len(codes))
+        first, size, symbol = self._found(codes, rest)
+        end = (lengths[word] - rest)[first] + size
+        order = np.argsort(end.astype(np.int16), kind="stable")  # so sizes still rise at each place
+        bounds = np.cumsum(np.bincount(end))
+        size, symbol = size[order], symbol[order]
+        start = (first + word[first])[order]
+        score = self.score[np.minimum(symbol, base)]
+        whole = bound + np.arange(n)  # prefixes that are whole words
+        best = np.full(len(codes) + n, -np.inf)
+        best[whole - lengths] = 0.0
+        back, piece = np.zeros(len(best), np.int64), np.full(len(best), -1, np.int64)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            at, k, sym, value = start[a:b], size[a:b], symbol[a:b], score[a:b]
+            if self.t["bpe"]:
+                keep = self._stay(piece[at], sym)
+                at, k, sym, value = at[keep], k[keep], sym[keep], value[keep]
+            to, value = at + k, value + best[at]
+            np.maximum.at(best, to, value)
+            top = value == best[to]
+            back[to[top]], piece[to[top]] = k[top], sym[top]  # sizes rise, so the longest of equal scores stays
+        if not np.isfinite(best[whole]).all():
+            raise ValueError(NO_PATH)
+        on, at, zero = np.zeros(len(best), dtype=bool), whole, whole - lengths
+        while len(at):
+            on[at] = True
+            at = at - back[at]
+            go = at > zero
+            at, zero = at[go], zero[go]
+        return piece[on], np.add.reduceat(on, whole - lengths, dtype=np.int64)
 
     def _viterbi_long(self, codes: np.ndarray) -> np.ndarray:
         """The same for one long word: symbols."""
         t, base = self.t, self.t["base"]
         if not hasattr(self, "id_of"):
-            self.id_of = {t["pieces"][i]: int(i) for _, ids in t["by_length"].values() for i in ids}
-            self.longest = max(t["by_length"], default=1)
+            self.id_of = {t["pieces"][i]: i for i in t["trie_piece"].tolist() if i >= 0}
+            self.longest = max(map(len, self.id_of), default=1)
             self.stay: dict[tuple[int, int], bool] = {}
         text = codes.astype("<u4").tobytes().decode("utf-32-le", "replace")
         best, last, back = [0.0], [-1], [0]
@@ -314,6 +338,8 @@ class Encoder:
             back.append(top[1])
             last.append(top[2])
         out, j = [], len(text)
+        if not np.isfinite(best[j]):
+            raise ValueError(NO_PATH)
         while j:
             out.append(last[j])
             j -= back[j]
@@ -356,19 +382,17 @@ class Encoder:
             lengths = np.array([len(x) for x in texts], dtype=np.int64)
         codes = np.where(codes == 32, ord(MARK), codes)
         first = np.cumsum(lengths) - lengths
-        order, parts = [], []
-        for size in np.unique(lengths).tolist():
-            group = np.flatnonzero(lengths == size)
-            step = max(1, STEP // size) if size <= LONG else 1
-            for a in range(0, len(group), step):
-                part = group[a : a + step]
-                if size > LONG:
-                    symbols = self._viterbi_long(codes[first[part[0]] : first[part[0]] + size])
-                    counts = np.array([len(symbols)])
-                else:
-                    symbols, counts = self._viterbi(codes[first[part][:, None] + np.arange(size)])
-                order.append(part)
-                parts.append(self._spelled(symbols, counts))
+        short = np.flatnonzero(lengths <= LONG)
+        order = [x for x in np.split(short, np.flatnonzero(np.diff(np.cumsum(lengths[short]) // STEP)) + 1) if len(x)]
+        parts = []
+        for part in order:
+            of = lengths[part]
+            symbols, counts = self._viterbi(codes[np.arange(int(of.sum())) + np.repeat(first[part] - (np.cumsum(of) - of), of)], of)
+            parts.append(self._spelled(symbols, counts))
+        for k in np.flatnonzero(lengths > LONG):
+            symbols = self._viterbi_long(codes[first[k] : first[k] + lengths[k]])
+            order.append(np.array([k]))
+            parts.append(self._spelled(symbols, np.array([len(symbols)])))
         order = np.concatenate(order) if order else np.zeros(0, np.int64)
         flat, counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         begin = (np.cumsum(counts) - counts)[np.argsort(order)]

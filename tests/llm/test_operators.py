@@ -264,6 +264,60 @@ def test_sentencepiece_equals_library(docs):
     assert back == {r[0]: r[1] or "" for r in corpus()}
 
 
+def test_words_of_all_lengths_take_one_viterbi_and_a_pair_is_worked_out_once(monkeypatch):
+    import sentencepiece
+
+    rng, calls, pairs = random.Random(2), [], []
+    viterbi, apart = sentencepiece_np.Encoder._viterbi, sentencepiece_np.Encoder._apart
+    monkeypatch.setattr(sentencepiece_np.Encoder, "_viterbi", lambda self, *a: calls.append(1) or viterbi(self, *a))
+    monkeypatch.setattr(sentencepiece_np.Encoder, "_apart", lambda self, u, v: pairs.extend(zip(u.tolist(), v.tolist(), strict=True)) or apart(self, u, v))
+    enc = encoder()
+    batches = [["".join(rng.choice("etaoinsrhlé中") for _ in range(k)) for k in range(1, 40)] for _ in range(4)]
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert [enc.encode(x) for x in batches] == [sp.encode(x) for x in batches]
+    assert len(calls) == len(batches)
+    assert len(pairs) < 1.01 * len(set(pairs))  # two pairs may have one slot
+
+
+def test_pairs_with_one_slot_are_told_apart(monkeypatch):
+    texts = ["the reading of interesting strings", "singing rings", "the strings"] * 2
+    plain = encoder().encode(texts)
+    monkeypatch.setattr(sentencepiece_np, "PAIR_BITS", 1)
+    enc = encoder()
+    assert enc.encode(texts) == plain and enc.encode(texts[::-1]) == plain[::-1]
+
+
+def test_models_of_merges_equal_plain_merges():
+    rng = random.Random(4)
+    for _ in range(20):
+        pieces = ["▁", "a", "b", "c"]
+        for _ in range(rng.randint(1, 25)):
+            both = rng.choice(pieces) + rng.choice(pieces)
+            if both not in pieces and "▁" not in both[1:] and len(both) < 9:
+                pieces.append(both)
+        m = sentencepiece_np.Model(pieces=["<unk>", *pieces], scores=[0.0, *(-float(k) for k in range(len(pieces)))], kinds=[2] + [1] * len(pieces), kind=2)
+        enc = sentencepiece_np.Encoder(sentencepiece_np.prepare(m))
+
+        def merged(word):
+            row = list(word)
+            while found := [(pieces.index(row[k] + row[k + 1]), k) for k in range(len(row) - 1) if row[k] + row[k + 1] in pieces]:
+                _, k = min(found)
+                row[k : k + 2] = [row[k] + row[k + 1]]
+            return [1 + pieces.index(p) for p in row]
+
+        texts = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 60))) for _ in range(60)]
+        assert enc.encode(texts) == [merged("▁" + x) for x in texts]
+
+
+def test_a_model_without_a_path_is_an_error():
+    pieces = {"▁": -1.0, "a": -1.0, "b": -3.0, "bb": -2.0, "bba": -1.0, "aab": -1.0}  # bba's rank comes before that of bb, of which it is made
+    m = sentencepiece_np.Model(pieces=["<unk>", *pieces], scores=[0.0, *pieces.values()], kinds=[2] + [1] * len(pieces), kind=2)
+    enc = sentencepiece_np.Encoder(sentencepiece_np.prepare(m))
+    for word in ("bbbba", "bbbba" * 12):
+        with pytest.raises(ValueError, match="no path"):
+            enc.encode([word])
+
+
 def test_words_are_told_apart_where_hashes_agree(monkeypatch):
     plain, texts = encoder().encode(["alpha beta alphx", "beta gamma"]), ["alpha beta alphx", "beta gamma"]
     real = sentencepiece_np._word_hashes
