@@ -2,12 +2,15 @@
 
 Lines carry the article of the last label; an article's lines are one text, corrected by an overlay of errata of which each must
 apply exactly once; the text is cut into entries, an entry without a label of its own continues the one before, and a first entry that
-the print puts before its article's label goes to that article. All but the reading of references are DataFrame operations; a window
-goes over one document, an array over one article.
+the print puts before its article's label goes to that article. The entries of one article's text and the references of one entry are
+read in Arrow batches; all else are DataFrame operations. A window goes over one document, an array over one article.
 """
 
 from __future__ import annotations
 
+import re
+from itertools import takewhile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,42 +25,41 @@ SOURCE = "Παρ Περ Άρθρο Υποπερ Εδάφ Τα Το Η Οι Πρ
 LAST_COLUMN, GAP = 100, 4
 
 
-def _word(text: Column) -> Column:
-    """The letters that a text begins with."""
-    return F.regexp_extract(text, r"^(\p{L}+)", 1)
-
-
 def table_lines(lines: DataFrame, text: str) -> DataFrame:
     """lines of the table alone, without the last column, control characters as spaces."""
     t = F.col(text)
-    tail = F.substr(t, F.lit(LAST_COLUMN + 1))
-    gap = F.regexp_instr(tail, F.lit(rf"\s{{{GAP},}}\S"))
-    cut = F.rtrim(F.when(gap > 0, F.substr(t, F.lit(1), LAST_COLUMN + gap - 1)).otherwise(t))
-    plain = F.trim(cut)
-    page = (plain == "") | plain.isin(*PAGE_LINES) | plain.rlike(r"^\d{4}$")
-    for words in PAGE_WORDS:
-        page = page | cut.contains(words)
-    return lines.withColumn(text, cut).filter(~page).withColumn(text, F.translate(text, "".join(chr(i) for i in range(32)), " " * 32))
+    wide = F.length(t) > LAST_COLUMN + GAP
+    cut = F.rtrim(F.when(wide, F.regexp_replace(t, rf"(?s)^(.{{{LAST_COLUMN}}}.*?)\s{{{GAP},}}\S.*$", "$1")).otherwise(t))
+
+    def kept(line: Column) -> Column:
+        plain = F.trim(line)
+        page = (plain == "") | plain.isin(*PAGE_LINES) | plain.rlike(r"^\d{4}$")
+        for words in PAGE_WORDS:
+            page = page | line.contains(words)
+        return ~page
+
+    # An array of one line or none: a filter would go below the cut, and compute it for each of its tests.
+    plain = F.transform(F.filter(F.array(cut), kept), lambda x: F.translate(x, "".join(chr(i) for i in range(32)), " " * 32))
+    return lines.withColumn(text, F.explode(plain))
 
 
 def articles(lines: DataFrame, doc: list[str], order: str, text: str) -> DataFrame:
     """doc, place, article, text: each label `Άρθρο N` with the lines up to the next one, in order. The number may stand at the
     start of a later line of its own article."""
     t = F.col(text)
-    label = t.rlike(r"^Άρθρο\s*(\d|\s|$)")
     upto = Window.partitionBy(*doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = table_lines(lines, text).withColumn("place", F.sum(label.cast("int")).over(upto)).filter("place > 0")
-    number = F.regexp_extract(t, r"^Άρθρο\s*(\d*)", 1)
-    leading = F.regexp_extract(t, r"^(\d+)(?!\S)", 1)
-    of_place = Window.partitionBy(*doc, "place")
-    rows = rows.withColumn("_label", F.max(F.when(label, number)).over(of_place))
-    rows = rows.withColumn("_late", F.min(F.when(~label & (leading != "") & (F.col("_label") == ""), F.col(order))).over(of_place))
-    here = F.col("_late").eqNullSafe(F.col(order))
-    rest = F.when(label, F.regexp_replace(t, r"^Άρθρο\s*\d*", "")).when(here, F.regexp_replace(t, r"^\d+", "")).otherwise(t)
-    name = F.when(label & (number != ""), number).when(here, leading)
-    whole = rows.groupBy(*doc, "place").agg(F.max(name).alias("article"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), rest.alias("t")))).alias("_parts"))
-    joined = F.trim(F.regexp_replace(F.array_join(F.transform("_parts", lambda x: x["t"]), " "), r"\s+", " "))
-    return whole.select(*doc, "place", "article", F.regexp_replace(joined, r"(?<=[.)]) E (?=(?:Παρ|Περ|Άρθρο)(?!\p{L}))", " ").alias("text")).filter("article IS NOT NULL")
+    rows = table_lines(lines, text).withColumn("_label", t.startswith("Άρθρο") & t.rlike(r"^Άρθρο\s*(\d|\s|$)"))
+    rows = rows.withColumn("place", F.sum(F.col("_label").cast("int")).over(upto)).filter("place > 0")
+    # No line holds a line break, so an article is one text, its label on the first line.
+    parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), t.alias("t"))))
+    whole = rows.groupBy(*doc, "place").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("_lines"))
+    number = F.regexp_extract("_lines", r"^Άρθρο[^\S\n]*(\d*)", 1)
+    whole = whole.withColumns({"_number": number, "_body": F.regexp_replace("_lines", r"^Άρθρο[^\S\n]*\d*", "")})
+    late = F.col("_number") == ""
+    name = F.when(late, F.nullif(F.regexp_extract("_body", r"\n(\d+)(?!\S)", 1), F.lit(""))).otherwise(F.col("_number"))
+    body = F.when(late, F.regexp_replace("_body", r"(?s)^(.*?\n)\d+(?!\S)", "$1")).otherwise(F.col("_body"))
+    joined = F.trim(F.regexp_replace(body, r"\s+", " "))
+    return whole.select(*doc, "place", name.alias("article"), F.regexp_replace(joined, r"(?<=[.)]) E (?=(?:Παρ|Περ|Άρθρο)(?!\p{L}))", " ").alias("text")).filter("article IS NOT NULL")
 
 
 def _times(text: Column, part: Column) -> Column:
@@ -81,52 +83,70 @@ def with_errata(table: DataFrame, errata: DataFrame) -> DataFrame:
     return table.join(mine, "article", "left").withColumn("text", fixed).drop("_errata")
 
 
-def _sentences(text: Column) -> Column:
-    """A text cut after full stops before words that begin an entry."""
-    pieces = F.split(text, r"(?<=\.)\s+")
+def _word(text: str) -> str:
+    """The letters that a text begins with."""
+    return "".join(takewhile(str.isalpha, text))
 
-    def step(out: Column, x: Column) -> Column:
-        bare = F.coalesce(F.try_element_at(out, F.lit(-1)).isin("Παρ.", "Περ."), F.lit(False))  # its number stands at the end
-        begins = (F.size(out) == 0) | (_word(x).isin(*ENTRY) & ~bare)
-        longer = F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.concat_ws(" ", F.try_element_at(out, F.lit(-1)), x)))
-        return F.when(begins, F.array_append(out, x)).otherwise(longer)
 
-    return F.aggregate(pieces, F.array().cast("array<string>"), step)
+def _sentences(text: str) -> list[str]:
+    """A text cut after full stops before words that begin an entry."""
+    out: list[list[str]] = []
+    for x in re.split(r"(?<=\.)\s+", text, flags=re.ASCII):
+        bare = bool(out) and out[-1] in (["Παρ."], ["Περ."])  # its number stands at the end
+        if not out or _word(x) in ENTRY and not bare:
+            out.append([x])
+        else:
+            out[-1].append(x)
+    return [" ".join(x) for x in out]
 
 
-def _labelled(sentence: Column) -> Column:
+def _labelled(sentence: str) -> tuple[str | None, str | None, str]:
     """(label, paragraph, source) of a sentence: `Παρ. 4 Παρ. 5 του …`, `Περ. α) έως ιδ) Άρθρο …`, or a label whose number stands at
-    the sentence's end; label and paragraph are null where it begins with the source."""
-    w = F.split(sentence, " ")
-    at = lambda k: F.coalesce(F.try_element_at(w, F.lit(k)), F.lit(""))
-    text = lambda start, size=None: F.array_join(F.slice(w, F.lit(start), F.size(w) if size is None else size), " ")
-    opens = at(1).isin("Παρ.", "Περ.")
-    parted = opens & _word(at(2)).isin("Παρ", "Περ", "Άρθρο") & at(-1).rlike(r"^\d+[Α-Ω]?$")
-    ranged = opens & (at(3) == "έως") & _word(at(5)).isin(*SOURCE)
-    plain = opens & _word(at(3)).isin(*SOURCE) & ~(at(2).rlike(r"\.$") & _word(at(2)).isin(*SOURCE))
-    entry = lambda para, source: F.struct(F.concat(at(1), F.lit(" "), para).alias("label"), para.alias("paragraph"), source.alias("source"))
-    none = F.lit(None).cast("string")
-    return F.when(parted, entry(at(-1), text(2, F.size(w) - 2))).when(ranged, entry(text(2, F.lit(3)), text(5))).when(plain, entry(at(2), text(3))).otherwise(F.struct(none.alias("label"), none.alias("paragraph"), sentence.alias("source")))
+    the sentence's end; label and paragraph are None where it begins with the source."""
+    w = sentence.split(" ")
+    if w[0] not in ("Παρ.", "Περ."):
+        return None, None, sentence
+    second, third, fifth = (w[k] if k < len(w) else "" for k in (1, 2, 4))
+    if _word(second) in ("Παρ", "Περ", "Άρθρο") and re.search(r"^[0-9]+[Α-Ω]?$", w[-1]):
+        para, source = w[-1], w[1:-1]
+    elif third == "έως" and _word(fifth) in SOURCE:
+        para, source = " ".join(w[1:4]), w[4:]
+    elif _word(third) in SOURCE and not (second.endswith(".") and _word(second) in SOURCE):
+        para, source = second, w[2:]
+    else:
+        return None, None, sentence
+    return f"{w[0]} {para}", para, " ".join(source)
+
+
+def _read(text: str) -> list[dict]:
+    """label, paragraph, n (the number that the paragraph begins with) and source of each entry; one without a label continues the
+    one before."""
+    out: list[dict] = []
+    label = para = n = None
+    for s in _sentences(text):
+        own, its, source = _labelled(s)
+        if own is not None:
+            label, para, digits = own, its, re.match(r"[0-9]+", its)
+            n = int(digits[0]) if digits and int(digits[0]) < 1 << 31 else None
+        out.append({"label": label, "paragraph": para, "n": n, "source": source.strip(" ")})
+    return out
 
 
 def entries(table: DataFrame, doc: list[str]) -> DataFrame:
     """doc, code_article, seq, code_paragraph, code_label, source of each entry, in the print's order."""
-    rows = table.select(*doc, "place", "article", F.posexplode(_sentences(F.col("text"))).alias("at", "s")).withColumn("x", _labelled(F.col("s")))
-    own = Window.partitionBy(*doc, "place").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    carried = lambda c: F.last(F.col(f"x.{c}"), ignorenulls=True).over(own)
-    rows = rows.select(*doc, "place", "article", "at", carried("paragraph").alias("code_paragraph"), carried("label").alias("code_label"), F.trim("x.source").alias("source"))
-    n = F.regexp_extract(F.coalesce("code_paragraph", F.lit("")), r"^(\d+)", 1).try_cast("int")
-    rows = rows.withColumn("n", n)
-    ends = F.max(F.when(~F.col("n").eqNullSafe(F.lit(1)), F.col("at")))
-    groups = rows.groupBy(*doc, "place", "article").agg(ends.alias("_end"), F.max("n").alias("_most"), F.min_by("n", F.when(F.col("n").isNotNull(), F.col("at"))).alias("_first"))
+    e = F.col("_entries")
+    rows = table.select(*doc, "place", "article", amend._batched(_read, "array<struct<label:string,paragraph:string,n:int,source:string>>", F.col("text")).alias("_entries"))
+    first = F.get(F.filter("_entries.n", F.isnotnull), F.lit(0))
+    end = F.array_max(F.transform(e, lambda x, i: F.when(~x["n"].eqNullSafe(F.lit(1)), i)))
+    rows = rows.withColumns({"_end": end, "_most": F.array_max("_entries.n"), "_first": first})
     order = Window.partitionBy(*doc).orderBy("place")
-    groups = groups.withColumns({"_next": F.lead("article").over(order), "_next_place": F.lead("place").over(order), "_next_first": F.lead("_first").over(order)})
-    both = rows.join(groups.drop("article"), [*doc, "place"])
-    moved = F.coalesce((F.col("n") == 1) & (F.col("at") > F.col("_end")) & (F.col("_most") > 1) & (F.col("_next_first") > 1), F.lit(False))
+    rows = rows.withColumns({"_next": F.lead("article").over(order), "_next_place": F.lead("place").over(order), "_next_first": F.lead("_first").over(order)})
+    both = rows.select("*", F.posexplode("_entries").alias("at", "x")).drop("_entries")
+    moved = F.coalesce((F.col("x.n") == 1) & (F.col("at") > F.col("_end")) & (F.col("_most") > 1) & (F.col("_next_first") > 1), F.lit(False))
     both = both.withColumns({"code_article": F.when(moved, F.col("_next")).otherwise(F.col("article")), "_place": F.when(moved, F.col("_next_place")).otherwise(F.col("place"))})
     # A moved entry stands before those of its new article.
     seq = F.row_number().over(Window.partitionBy(*doc, "_place").orderBy("place", "at"))
-    return both.select(*doc, "code_article", seq.alias("seq"), "code_paragraph", "code_label", "source")
+    return both.select(*doc, "code_article", seq.alias("seq"), F.col("x.paragraph").alias("code_paragraph"), F.col("x.label").alias("code_label"), F.col("x.source").alias("source"))
 
 
 def provisions(rows: DataFrame, keys: list[str], law: str, first_year: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import base_text, crosswalk
-from ..session import table
+from ..session import materialize, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -61,7 +61,8 @@ a || '.' || s AS codified, CASE WHEN y >= 2012 THEN (s + 4100) || '/' || y || ':
 def crosswalk_entries(spark, d):
     """The printed table's entries, and the provisions each names: what it codifies and what has changed that since."""
     lines, errata = crosswalk_lines(spark, d)
-    table_ = crosswalk.with_errata(crosswalk.articles(lines, ["doc"], "at", "text"), errata)
+    printed = materialize(spark, crosswalk.articles(lines, ["doc"], "at", "text"), "crosswalk-articles")  # the errata's check reads it too
+    table_ = crosswalk.with_errata(printed, errata)
     rows = crosswalk.provisions(crosswalk.entries(table_, ["doc"]), ["doc"], LAW, 2012)
     return rows.select("code_article", "seq", "code_paragraph", "code_label", "source", F.array_join("codified", ",").alias("codified"), F.array_join(F.transform("amended_by", lambda x: F.concat(x["law"], F.lit(":"), x["article"])), ",").alias("amended_by"))
 

@@ -80,3 +80,11 @@ def test_contents_and_gaps(spark):
     assert [(r["title"], r["page"], r["paragraphs"], r["missing"], r["image_pages"], r["gap"]) for r in rows] == [
         ("Κανόνες δόμησης", 1, ["α"], False, [3], None), ("Όροι χρήσης", 3, ["β"], False, [3], None), ("Λείπει", 3, [], True, [3], "missing_text"), ("", 3, [], True, [3, 8], "missing_text"), ("Ίδιος", 9, ["γ"], False, None, None),
     ]
+
+
+def test_a_table_is_read_once(spark):
+    """Lines are cut once, before the tests of what is a page's, and entries aren't joined with themselves."""
+    table = crosswalk.articles(lines(spark, *TABLE), ["doc"], "at", "line")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan(crosswalk.entries(table, ["doc"]))
+    assert plan(crosswalk.table_lines(lines(spark, *TABLE), "line")).count(f".{{{crosswalk.LAST_COLUMN}}}") == 1
