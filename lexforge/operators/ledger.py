@@ -29,11 +29,11 @@ def forward_asof(left: DataFrame, right: DataFrame, key: str, lnum: str, rnum: s
     Both sides meet in one window per key over their union: no pair is made.
     """
     both = left.select(key, F.col(lnum).alias("_n"), F.lit(1).alias("_l")).unionByName(right.select(key, F.col(rnum).alias("_n"), F.lit(0).alias("_l")))
-    # On equal numbers the right row is met going down.
-    w = Window.partitionBy(key).orderBy("_n", F.col("_l").desc()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # From the largest number down, as a frame that ends with its row grows by a row; on equal numbers the right row comes first.
+    w = Window.partitionBy(key).orderBy(F.col("_n").desc(), "_l").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(key)
     value = F.when(F.col("_l") == 0, F.col("_n"))
-    got = both.withColumn(out, F.coalesce(F.first(value, ignorenulls=True).over(w), F.max(value).over(whole)))
+    got = both.withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(w), F.max(value).over(whole)))
     return got.filter("_l = 1").select(key, F.col("_n").alias(lnum), out).filter(F.col(out).isNotNull())
 
 

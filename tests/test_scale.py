@@ -1,6 +1,6 @@
 """Plans of queries that must grow with their input and no faster."""
 
-from lexforge.operators import sequences
+from lexforge.operators import ledger, sequences
 from lexforge.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +27,11 @@ def test_merge_intervals_has_tasks_by_rows(spark, monkeypatch):
     merged = sequences.merge_intervals(rows, ["k"], "lo", "hi", 24)
     assert merged.rdd.getNumPartitions() == 10
     assert sorted(tuple(r) for r in merged.collect()) == [(k, k, k + 76, 4) for k in range(25)]
+
+
+def test_forward_asof_looks_at_a_row_once(spark):
+    """No frame of a window goes from its row to the end: for one key that reads all rows after each row."""
+    left, right = spark.range(5).selectExpr("1 AS k", "id AS n"), spark.createDataFrame([(1, 2), (1, 3)], "k int, g long")
+    got = ledger.forward_asof(left, right, "k", "n", "g", "at")
+    assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower().replace("unboundedpreceding$(), unboundedfollowing", "")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 0, 2), (1, 1, 2), (1, 2, 2), (1, 3, 3), (1, 4, 3)]
