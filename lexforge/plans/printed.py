@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import columns, printed
-from ..session import materialize, table
+from ..session import materialize, shuffle_partitions, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -50,8 +50,10 @@ def _words(lines: DataFrame) -> DataFrame:
 
 def printed_words(spark: SparkSession, d: str) -> DataFrame:
     """issue, page, line, x0, y0, x1, y1, text, width, height of each word."""
-    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("issue"), F.col("o_orderkey").alias("o"), k.alias("k"))
+    k = F.row_number().over(Window.partitionBy("issue").orderBy("o"))
+    # Dealt by issue while rows are short: words, lines and pages of an issue stay in its task, and no shuffle carries them.
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("issue"), F.col("o_orderkey").alias("o")).repartition(shuffle_partitions(spark), "issue")
+    o = orders.select("issue", "o", k.alias("k"))
     o = o.withColumn("page", (F.floor((F.col("k") - 1) / 4) + 1).cast("int")).withColumn("slot", (F.col("k") - 1) % 4)
     left, top = F.when(F.col("slot") % 2 == 0, LEFT).otherwise(RIGHT), F.when(F.col("slot") < 2, UPPER).otherwise(LOWER)
     name, issue, page = (F.col(c).cast("string") for c in ("o", "issue", "page"))

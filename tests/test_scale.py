@@ -35,3 +35,8 @@ def test_forward_asof_looks_at_a_row_once(spark):
     got = ledger.forward_asof(left, right, "k", "n", "g", "at")
     assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower().replace("unboundedpreceding$(), unboundedfollowing", "")
     assert sorted(tuple(r) for r in got.collect()) == [(1, 0, 2), (1, 1, 2), (1, 2, 2), (1, 3, 3), (1, 4, 3)]
+
+
+def test_words_of_an_issue_stay_in_its_task(spark):
+    """Only the orders are shuffled, not the words and lines made from them."""
+    assert plan(spark, "reading_columns").count("Exchange") == 1
