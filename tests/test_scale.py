@@ -1,6 +1,6 @@
 """Plans of queries that must grow with their input and no faster."""
 
-from lexforge.operators import ledger, sequences
+from lexforge.operators import ledger, printed, sequences
 from lexforge.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +40,9 @@ def test_forward_asof_looks_at_a_row_once(spark):
 def test_words_of_an_issue_stay_in_its_task(spark):
     """Only the orders are shuffled, not the words and lines made from them."""
     assert plan(spark, "reading_columns").count("Exchange") == 1
+
+
+def test_issues_are_read_from_arrow(spark):
+    """No frame is built for each issue."""
+    lines = spark.createDataFrame([], "issue int, page int, seq int, x0 double, x1 double, left double, right double, text string")
+    assert "FlatMapGroupsInArrow" in printed.parse_issues(lines, ["issue"])._jdf.queryExecution().executedPlan().toString()
